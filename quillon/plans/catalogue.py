@@ -6,7 +6,7 @@ import importlib
 
 from quillon.plans.registry import ORACLES, QUERIES
 
-MODULES = ["sources", "tabular"]
+MODULES = ["sources", "tabular", "joins"]
 
 
 def _load() -> None:
