@@ -6,7 +6,7 @@ import importlib
 
 from quillon.plans.registry import ORACLES, QUERIES
 
-MODULES = ["sources", "tabular", "joins"]
+MODULES = ["sources", "tabular", "joins", "vectors", "graphs"]
 
 
 def _load() -> None:
