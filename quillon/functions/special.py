@@ -59,14 +59,22 @@ def binomial_two_sided(wins: int, trials: int) -> float:
     return min(1.0, 2.0 * lower)
 
 
-@F.pandas_udf("double")
-def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(float(a), float(b)) for a, b in zip(t, dof)])
+def t_pvalue(t, dof):
+    """Column form of the scalar function, for result tables."""
 
+    def many(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([t_two_sided(float(a), float(b)) for a, b in zip(x, y)], dtype="float64")
 
-@F.pandas_udf("double")
-def sign_test_pvalue(wins: pd.Series, trials: pd.Series) -> pd.Series:
-    return pd.Series([binomial_two_sided(int(a), int(b)) for a, b in zip(wins, trials)])
+    return F.pandas_udf(many, "double")(t, dof)
+
+
+def sign_test_pvalue(wins, trials):
+    """Column form of the scalar function, for result tables."""
+
+    def many(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([binomial_two_sided(int(a), int(b)) for a, b in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(many, "double")(wins, trials)
 
 
 def kolmogorov_tail(d: float, n: int) -> float:
@@ -80,9 +88,13 @@ def kolmogorov_tail(d: float, n: int) -> float:
     return float(np.clip(2.0 * np.sum((-1.0) ** (j - 1) * np.exp(-2.0 * (j * lam) ** 2)), 0.0, 1.0))
 
 
-@F.pandas_udf("double")
-def ks_pvalue(d: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([kolmogorov_tail(float(a), int(b)) for a, b in zip(d, n)])
+def ks_pvalue(d, n):
+    """Column form of the scalar function, for result tables."""
+
+    def many(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([kolmogorov_tail(float(a), int(b)) for a, b in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(many, "double")(d, n)
 
 
 def gamma_quantile(p: float, shape: float) -> float:

@@ -197,6 +197,8 @@ def knn_join(
     qt = q.withColumnRenamed("_cell", "qc").join(plan, "qc").withColumn("qs", q_sub).withColumn("bs", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     bt = b.withColumnRenamed("_cell", "bc").join(plan, "bc").withColumn("bs", b_sub).withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     keys = [*by, *tile]
+    # Fresh column identities: both sides may come from one table.
+    bt = bt.select(*[F.col(c).alias(c) for c in [*keys, "_id", "_v"]])
     n_tiles = sum(sub_q[i] * sub_b[j] for i, j in pairs)
     parts = max(1, min(n_tiles if not by else 4 * workers, 20_000))
     qt = qt.select(*keys, "_id", "_v").repartition(parts, *keys)

@@ -101,9 +101,9 @@ def _delta_sql(dist: str) -> str:
 with {Z}, r as (select v, row_number() over (order by {h32(0, 'vec_id')}, vec_id) - 1 as row from z), n as (select count(*) as n from z),
 p as (select max({dist.replace('@1', 'a.v').replace('@2', 'b.v')}) as dm from (select {pick('0p-0', 'range')} as i, {pick('0p-1', 'range')} as j from range(5000), n) q join r a on a.row = q.i join r b on b.row = q.j),
 q as (select {pick('0q-0', 'range')} as i, {pick('0q-1', 'range')} as j, {pick('0q-2', 'range')} as k, {pick('0q-3', 'range')} as l from range({_QUADS}), n),
-s as (select list_sort([{dist.replace('@1', 'a.v').replace('@2', 'b.v')} + {dist.replace('@1', 'c.v').replace('@2', 'd.v')}, {dist.replace('@1', 'a.v').replace('@2', 'c.v')} + {dist.replace('@1', 'b.v').replace('@2', 'd.v')},
+ss as (select list_sort([{dist.replace('@1', 'a.v').replace('@2', 'b.v')} + {dist.replace('@1', 'c.v').replace('@2', 'd.v')}, {dist.replace('@1', 'a.v').replace('@2', 'c.v')} + {dist.replace('@1', 'b.v').replace('@2', 'd.v')},
   {dist.replace('@1', 'a.v').replace('@2', 'd.v')} + {dist.replace('@1', 'b.v').replace('@2', 'c.v')}], 'DESC') as s from q join r a on a.row = q.i join r b on b.row = q.j join r c on c.row = q.k join r d on d.row = q.l),
-x as (select (s[1] - s[2]) / 2 / p.dm as delta, p.dm from s, p)
+x as (select (s[1] - s[2]) / 2 / p.dm as delta, p.dm from ss, p)
 select round(max(dm), 6) as diameter, round(avg(delta), 6) as mean, round(quantile_cont(delta, 0.5), 6) as median, round(quantile_cont(delta, 0.95), 6) as p95 from x"""
 
 
