@@ -117,12 +117,12 @@ def sign_test(spark, sf):
     return _r(R.sign_test(d, "d", ["c_mktsegment"]), 6, "p_value")
 
 
-_P = f"select l_suppkey, l_returnflag, round(exp(-10 * abs(avg(l_discount) - 0.05) * sqrt(count(*))), 12) as p from lineitem group by 1, 2"
+_P = f"select l_suppkey, l_returnflag, round(exp(-0.1 * abs(avg(round(l_discount * 100)) - 5) * sqrt(count(*))), 12) as p from lineitem group by 1, 2"
 
 
 def _pvalues(spark, sf):
     l = table(spark, sf, "lineitem")
-    return l.groupBy("l_suppkey", "l_returnflag").agg(F.round(F.exp(-10 * F.abs(F.avg("l_discount") - 0.05) * F.sqrt(F.count(F.lit(1)))), 12).alias("p"))
+    return l.groupBy("l_suppkey", "l_returnflag").agg(F.round(F.exp(-0.1 * F.abs(F.avg(F.round(F.col("l_discount") * 100)) - 5) * F.sqrt(F.count(F.lit(1)))), 12).alias("p"))
 
 
 @query("bonferroni_bh", f"""
