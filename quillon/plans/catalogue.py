@@ -6,7 +6,7 @@ import importlib
 
 from quillon.plans.registry import ORACLES, QUERIES
 
-MODULES = ["sources", "tabular", "joins", "vectors", "graphs", "probes", "inference", "features", "sampling"]
+MODULES = ["sources", "tabular", "joins", "vectors", "graphs", "probes", "inference", "features", "sampling", "incremental"]
 
 
 def _load() -> None:
