@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon import runtime
 from quillon.functions import hashing
 from quillon.functions.special import sign_test_pvalue
 from quillon.operators import ranking
@@ -20,7 +21,7 @@ def with_replicates(df: DataFrame, key: str, n_boot: int, seed) -> DataFrame:
 
     The weight is a hash of (seed, replicate, key): no resampled table is stored and a retried task agrees.
     """
-    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    out = runtime.spread(df).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     w = hashing.poisson1(hashing.hash32(seed, "rep", key) / F.lit(hashing.SPAN))
     return out.withColumn("w", w.cast("double")).where(F.col("w") > 0)
 

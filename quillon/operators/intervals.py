@@ -9,7 +9,7 @@ from quillon import runtime
 from quillon.functions.angles import min_image
 
 
-def block_size(owners: DataFrame, n_col: str, lo: int = 64, hi: int = 1 << 20) -> int:
+def block_size(owners: DataFrame, n_col: str, lo: int = 16, hi: int = 1 << 20) -> int:
     """Block length near the mean interval length, so a block meets about two intervals."""
     mean = owners.agg(F.avg(n_col)).first()[0] or lo
     return int(min(max(mean, lo), hi))

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from quillon import runtime
 from quillon.functions import hashing
 
-BUCKETS = 4096
-
 
 def _edges(df: DataFrame, value: str, buckets: int) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
@@ -32,7 +30,6 @@ def value_ranks(
     by: Sequence[str] = (),
     weight: Column | None = None,
     rows: int | None = None,
-    buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row per (by, value): ``n`` copies, ``before`` rows with smaller values, ``total`` rows in the group.
 
@@ -42,6 +39,7 @@ def value_ranks(
     one = F.lit(1).cast("long") if weight is None else weight.cast("long")
     src = df.where(F.col(value).isNotNull()).withColumn("_w", one).where(F.col("_w") > 0)
     counts = src.groupBy(*by, value).agg(F.sum("_w").alias("n"))
+    rows = df.count() if rows is None else rows
     if runtime.is_small(df, rows):
         order = Window.partitionBy(*by).orderBy(value)
         whole = Window.partitionBy(*by)
@@ -52,7 +50,7 @@ def value_ranks(
             (F.sum("n").over(order) - F.col("n")).alias("before"),
             F.sum("n").over(whole).alias("total"),
         )
-    splits = _edges(src, value, buckets)
+    splits = _edges(src, value, runtime.bucket_count(rows))
     if len(splits) > 3:
         binned = counts.withColumn("_v", F.col(value).cast("double"))
         binned = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(binned).drop("_v")
@@ -122,8 +120,8 @@ def quantiles(
     """Exact linear-interpolated percentiles per group, one column per probability."""
     by, probs = list(by), list(probs)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    rows_known = rows
-    if runtime.is_small(df, rows_known):
+    rows = df.count() if rows is None else rows
+    if runtime.is_small(df, rows):
         w = F.lit(1).cast("long") if weight is None else weight.cast("long")
         arr = F.percentile(value, [float(p) for p in probs], w).alias("_q")
         out = df.groupBy(*by).agg(arr)
@@ -165,7 +163,6 @@ def hash_order(
     by: Sequence[str] = (),
     rows: int | None = None,
     out: str = "rn",
-    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Number the rows of each group in seeded hash order (ties by key).
 
@@ -174,6 +171,8 @@ def hash_order(
     """
     by = list(by)
     h = df.withColumn("_h", hashing.hash32(seed, key))
+    rows = df.count() if rows is None else rows
+    buckets = runtime.bucket_count(rows)
     if runtime.is_small(df, rows):
         return h.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy("_h", key))).drop("_h")
     h = h.withColumn("_b", F.floor(F.col("_h") / F.lit(hashing.SPAN / buckets)).cast("int"))

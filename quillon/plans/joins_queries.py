@@ -128,7 +128,7 @@ from r join w on r.idx >= w.off and r.idx < w.off + w.n group by 1""")
 def interval_segment_agg(spark, sf):
     w = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * 8 + 1).alias("off"), (1 + F.col("o_orderkey") % 7).alias("n"))
     r = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), "l_quantity", "l_extendedprice", "l_discount")
-    m = intervals.interval_join(r, w, "idx", "off", "n", block=1024)
+    m = intervals.interval_join(r, w, "idx", "off", "n")
     return m.groupBy("o_orderkey").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"),
         F.round(F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")).otherwise(0.0)), 2).alias("discounted"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Row bound below which a one-task-per-group plan (window or percentile buffer) is used. Beyond it every
 # operator takes its range-split plan. Override with spark.quillon.smallRows.
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 500_000
 # Row bound for broadcasting a counted side. Override with spark.quillon.broadcastRows.
 BROADCAST_ROWS = 100_000
 
@@ -50,12 +50,23 @@ def is_small(df: DataFrame, rows: int | None = None) -> bool:
     return (df.count() if rows is None else rows) <= bound
 
 
+def bucket_count(rows: int, most: int = 4096) -> int:
+    """Ranges to cut an ordered column into: about 50,000 rows each, within limits."""
+    return int(min(most, max(16, rows // 50_000)))
+
+
 def broadcast_checked(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only when the counted side is under the bound; otherwise leave the choice to Spark."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= broadcast_rows(df.sparkSession) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a table before its rows are multiplied many times over, so that the work uses every core."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only when nothing is configured (tests)."""
     sc = spark.sparkContext
