@@ -95,3 +95,11 @@ def bh_qvalues(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "q", ch
     inside = Window.partitionBy(*by, "_c").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
     j = r.withColumn("_s", F.min("_x").over(inside)).join(carry, [*by, "_c"])
     return j.select(*by, p, F.least(F.lit(1.0), F.least("_s", "_carry")).alias(out))
+
+
+def ks_uniform(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Kolmogorov distance of a value from the uniform distribution on [0, 1] per group, from ranks per value."""
+    r = ranking.value_ranks(df, value, by)
+    above = (F.col("before") + F.col("n")) / F.col("total") - F.col(value)
+    below = F.col(value) - F.col("before") / F.col("total")
+    return r.groupBy(*by).agg(F.max("total").alias("n"), F.max(F.greatest(above, below)).alias("d"))

@@ -10,9 +10,10 @@ from quillon.functions.angles import min_image
 
 
 def block_size(owners: DataFrame, n_col: str, lo: int = 16, hi: int = 1 << 20) -> int:
-    """Block length near the mean interval length, so a block meets about two intervals."""
-    mean = owners.agg(F.avg(n_col)).first()[0] or lo
-    return int(min(max(mean, lo), hi))
+    """Block length near the mean interval length, so a block meets about two intervals; never so short that the
+    longest interval spans more than 100,000 blocks."""
+    row = owners.agg(F.avg(n_col).alias("mean"), F.max(n_col).alias("most")).first()
+    return int(max(min(max(row["mean"] or lo, lo), hi), (row["most"] or 0) // 100_000))
 
 
 def interval_join(rows: DataFrame, owners: DataFrame, row_idx: str, offset: str, n: str, block: int | None = None) -> DataFrame:

@@ -17,6 +17,10 @@ from quillon import runtime
 from quillon.functions import hashing
 
 
+COPIES = 100_000  # copies of one value laid out by one row
+TAKE_ROWS = 1_000  # rows a take-ordered may keep per partition without a filter before it
+
+
 def _edges(df: DataFrame, value: str, buckets: int) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(value, probs, 20 * buckets).alias("e")).first()
@@ -100,8 +104,14 @@ def with_average_rank(
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Every copy of a value with its position i in the sorted group and ``(i - 0.5) / total``."""
+    rows = df.count() if rows is None else rows
     r = value_ranks(df, value, by, rows=rows)
-    copies = r.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    # Copies of a value are laid out in slices, so a value shared by a third of all rows is no single long array.
+    part = r.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    if not runtime.is_small(df, rows):
+        part = runtime.spread(part)
+    first = F.col("_s") * COPIES + 1
+    copies = part.withColumn("_j", F.explode(F.sequence(first, F.least(first + (COPIES - 1), F.col("n")))))
     return copies.select(
         *by, value, (F.col("before") + F.col("_j")).alias("i"),
         ((F.col("before") + F.col("_j") - 0.5) / F.col("total")).alias("cdf"),
@@ -192,7 +202,18 @@ def hash_order(
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed) -> DataFrame:
-    """Seeded sample of n rows without replacement: the n smallest hashes (a take-ordered, not a full sort)."""
+    """Seeded sample of n rows without replacement: the n smallest hashes (a take-ordered, not a full sort).
+
+    For larger n, rows whose hash is far above the n-th smallest are filtered out first (hashes are uniform, so the
+    limit is ten deviations away); should the filter ever leave too few rows, it is not used.
+    """
+    if n > TAKE_ROWS:
+        total = df.count()
+        limit = hashing.SPAN * (n + 10.0 * n**0.5 + 100.0) / max(total, 1)
+        if limit < hashing.SPAN:
+            near = df.where(hashing.hash32(seed, key) < F.lit(int(limit)))
+            if near.count() >= n:
+                df = near
     return df.withColumn("_h", hashing.hash32(seed, key)).orderBy("_h", key).limit(n).drop("_h")
 
 

@@ -44,7 +44,7 @@ def one_entry_draw(pools: DataFrame, key: str, bin_col: str, chain: str, quotas:
             avail = avail.join(drawn.select(chain), chain, "left_anti").select(*pools.columns)
         avail = runtime.cut_lineage(avail)
         n_avail = avail.count()
-        pick = runtime.cut_lineage(ranking.sample_n(avail, key, int(quotas[b]), seed) if quotas[b] <= 100_000 else quota_draw(avail, key, bin_col, int(quotas[b]), seed))
+        pick = runtime.cut_lineage(ranking.sample_n(avail, key, int(quotas[b]), seed) if quotas[b] <= ranking.TAKE_ROWS else quota_draw(avail, key, bin_col, int(quotas[b]), seed))
         drawn = pick if drawn is None else runtime.cut_lineage(drawn.unionByName(pick))
         report.append((b, int(quotas[b]), n_avail))
     t = pools.schema[bin_col].dataType.simpleString()

@@ -51,7 +51,7 @@ def auc(df: DataFrame, score: str, positive: Column, weight: Column | None = Non
     order = Window.orderBy("_c")  # one row per 100k distinct scores
     carry = per.select("_c", (F.sum("_t").over(order) - F.col("_t")).alias("_off"))
     inside = Window.partitionBy("_c").orderBy("s")
-    k = j.join(F.broadcast(carry), "_c").withColumn("_below", F.sum("wn").over(inside) - F.col("wn") + F.col("_off"))
+    k = j.join(carry, "_c").withColumn("_below", F.sum("wn").over(inside) - F.col("wn") + F.col("_off"))
     return k.agg((F.sum(F.col("wp") * (F.col("_below") + F.col("wn") / 2)) / (F.sum("wp") * F.sum("wn"))).alias("auc"))
 
 

@@ -162,10 +162,7 @@ def ks_uniform(spark, sf):
 
 def _ks(spark, sf):
     e = table(spark, sf, "events").select("event_type", (F.pmod(F.col("value") * 7, F.lit(180.0)) / 180).alias("x"))
-    c = ranking.ecdf(e, "x", ["event_type"])
-    tot = ranking.value_ranks(e, "x", ["event_type"]).groupBy("event_type").agg(F.max("total").alias("n"))
-    j = c.join(tot, "event_type")
-    return j.groupBy("event_type").agg(F.max("n").alias("n"), F.max(F.greatest(F.col("i") / F.col("n") - F.col("x"), F.col("x") - (F.col("i") - 1) / F.col("n"))).alias("d"))
+    return R.ks_uniform(e, "x", ["event_type"])
 
 
 @query("ks_pvalues")

@@ -70,7 +70,7 @@ def run_chunks(df: DataFrame, chunk_col: str, work: Callable[[DataFrame], DataFr
     spark = df.sparkSession
     try:
         finished = spark.read.parquet(path).select(chunk_col).distinct()
-        todo = df.join(F.broadcast(finished), chunk_col, "left_anti")  # one row per chunk
+        todo = df.join(finished, chunk_col, "left_anti")
     except AnalysisException:
         todo = df
     if not todo.isEmpty():
