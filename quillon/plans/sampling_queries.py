@@ -98,18 +98,38 @@ def hist_match_starved(spark, sf):
 _VOL = {"1-URGENT": 1.0, "2-HIGH": 2.5, "3-MEDIUM": 4.0}
 
 
-@query("importance_draw")
+def _shell_sql(name: str, status: str, used: str) -> str:
+    return f"{name} as (select o_orderkey, o_custkey, o_orderpriority, o_totalprice from sel where o_orderpriority = '{status}'{used} order by {h32(6, 'o_orderkey')}, o_orderkey limit (select cap from cap))"
+
+
+_IMP = "with recursive " + ", ".join([
+    "sel as (select o_orderkey, o_custkey, o_orderpriority, o_totalprice from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') and (o_orderpriority <> '1-URGENT' or o_totalprice > 300000))",
+    "n as (select o_orderpriority as s, count(*) as n from sel group by 1)",
+    "c as (select 0 as i, 3000::BIGINT as cap union all select i + 1, floor(cap * 3000 / greatest((select sum(least(n, cap)) from n), 1))::BIGINT from c where i < 40 and abs((select sum(least(n, cap)) from n) - 3000) >= 20 and cap <= (select max(n) from n))",
+    "cap as (select cap from c order by i desc limit 1)",
+    _shell_sql("u", "1-URGENT", ""),
+    _shell_sql("h", "2-HIGH", " and o_custkey not in (select o_custkey from u)"),
+    _shell_sql("m", "3-MEDIUM", " and o_custkey not in (select o_custkey from u) and o_custkey not in (select o_custkey from h)"),
+    "d as (select * from u union all select * from h union all select * from m)",
+    "w as (select d.*, v.vol * n.n / count(*) over (partition by d.o_orderpriority) as w from d join n on n.s = d.o_orderpriority join (values ('1-URGENT', 1.0::DOUBLE), ('2-HIGH', 2.5), ('3-MEDIUM', 4.0)) v(s, vol) on v.s = d.o_orderpriority)",
+    "r as (select *, w / avg(w) over () as weight from w)",
+])
+
+
+@query("importance_draw", _IMP + " select o_orderkey, o_custkey, o_orderpriority, o_totalprice, round(weight, 8) as weight from r")
 def importance_draw(spark, sf):
     o = table(spark, sf, "orders").where(F.col("o_orderpriority").isin(*_VOL) & ((F.col("o_orderpriority") != "1-URGENT") | (F.col("o_totalprice") > 300000)))
     o = o.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
-    return sampling.importance_draw(o, "o_orderkey", "o_orderpriority", "o_custkey", _VOL, 3000, ["1-URGENT", "2-HIGH", "3-MEDIUM"], 6, tolerance=20)
+    return sampling.importance_draw(o, "o_orderkey", "o_orderpriority", "o_custkey", _VOL, 3000, ["1-URGENT", "2-HIGH", "3-MEDIUM"], 6, tolerance=20).withColumn("weight", F.round("weight", 8)).select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "weight")
 
 
-@query("importance_summary")
+@query("importance_summary", _IMP + """, f as (select *, floor(o_totalprice / 100000)::INT as bin from r)
+select bin, count(*)::BIGINT as n, round(sum(weight * (o_totalprice % 2 < 1)::INT) / sum(weight), 5) as weighted_mean, round(avg((o_totalprice % 2 < 1)::INT), 6) as raw_mean, round(sum(weight) ** 2 / sum(weight * weight), 2) as ess from f group by 1""")
 def importance_summary(spark, sf):
-    d = cut_lineage(importance_draw(spark, sf))
-    out = profiles.weighted_summary(d, ["o_orderpriority"], F.col("o_totalprice"), "weight")
-    return out.withColumn("mean_weight_all", F.lit(d.agg(F.avg("weight")).first()[0]))
+    """Weighted and raw class share with the effective sample size per value bin."""
+    d = cut_lineage(importance_draw(spark, sf)).withColumn("bin", F.floor(F.col("o_totalprice") / 100000).cast("int"))
+    out = profiles.weighted_summary(d, ["bin"], (F.col("o_totalprice") % 2 < 1).cast("double"), "weight")
+    return _r(_r(_r(out, 5, "weighted_mean"), 6, "raw_mean"), 2, "ess")
 
 
 @query("inverse_cdf_draw", f"""

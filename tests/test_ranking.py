@@ -84,3 +84,17 @@ def test_shuffle_is_a_permutation(spark, split_plans):
     r = inference.shuffle_within(df, "id", "x", 1, "y").collect()
     assert sorted(x["y"] for x in r if x["x"] is not None) == sorted(x["x"] for x in r if x["x"] is not None)
     assert all(x["y"] is None for x in r if x["x"] is None) and any(x["x"] != x["y"] for x in r)
+
+
+def test_large_sample_equals_the_full_sort(spark):
+    df = spark.range(20000)
+    want = [r["id"] for r in df.withColumn("h", ranking.hashing.hash32(3, "id")).orderBy("h", "id").limit(1500).collect()]
+    got = [r["id"] for r in ranking.sample_n(df, "id", 1500, 3).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_copies_are_laid_out_in_slices(spark, split_plans, monkeypatch):
+    monkeypatch.setattr(ranking, "COPIES", 7)
+    df = spark.createDataFrame([(1.0,)] * 50 + [(2.0,)] * 3, "x double")
+    got = ranking.ecdf(df, "x").orderBy("i").collect()
+    assert [r["i"] for r in got] == list(range(1, 54)) and [r["x"] for r in got] == [1.0] * 50 + [2.0] * 3
