@@ -172,8 +172,9 @@ def circular_summary(scored: DataFrame, k: int, by: Sequence[str] = (), min_rows
         F.count(F.lit(1)).alias("n"), F.avg((F.col("err") < 20).cast("double")).alias("within_20"), r2("_c", "pc").alias("r2_cos"),
         r2("_s", "ps").alias("r2_sin"), F.sqrt(F.avg(F.col("radius") * F.col("radius"))).alias("radius_rms"),
     ).where(F.col("n") >= min_rows)
-    e = ranking.quantiles(scored, "err", [0.5], by, names=["med_err"])
-    r = ranking.quantiles(scored, "radius", [0.5], by, names=["loop_radius"])
+    rows = scored.count()
+    e = ranking.quantiles(scored, "err", [0.5], by, rows=rows, names=["med_err"])
+    r = ranking.quantiles(scored, "radius", [0.5], by, rows=rows, names=["loop_radius"])
     join = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))
     return join(join(basic, e), r).withColumn("chance", angles.chance_floor(k))
 
@@ -367,7 +368,8 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), min_rows: in
     """Rank correlation (average ties) per group with at least ``min_rows`` complete rows."""
     by = list(by)
     rows = _present(df.select(*by, x, y), [x, y])
-    r = ranking.with_average_rank(ranking.with_average_rank(rows, x, "_rx", by), y, "_ry", by)
+    n = rows.count()
+    r = ranking.with_average_rank(ranking.with_average_rank(rows, x, "_rx", by, n), y, "_ry", by, n)
     return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho")).where(F.col("n") >= min_rows)
 
 

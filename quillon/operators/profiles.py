@@ -127,13 +127,14 @@ def weighted_summary(df: DataFrame, by: Sequence[str], value: Column, weight) ->
 def robust_scatter(df: DataFrame, residual: str, by: Sequence[str] = (), outlier: float = 0.15, min_rows: int = 1) -> DataFrame:
     """Median, 1.4826 x median absolute deviation, outlier share and RMS of a residual per group."""
     by = list(by)
-    med = ranking.quantiles(df, residual, [0.5], by, names=["bias"])
+    rows = df.count()
+    med = ranking.quantiles(df, residual, [0.5], by, rows=rows, names=["bias"])
     if by:
         dev = df.join(runtime.broadcast_checked(med), by)
     else:
         dev = df.crossJoin(F.broadcast(med))  # one row
     dev = dev.withColumn("_dev", F.abs(F.col(residual) - F.col("bias")))
-    mad = ranking.quantiles(dev, "_dev", [0.5], by, names=["mad"])
+    mad = ranking.quantiles(dev, "_dev", [0.5], by, rows=rows, names=["mad"])
     basic = df.where(F.col(residual).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.abs(F.col(residual)) > outlier).cast("double")).alias("outlier_share"),
         F.sqrt(F.avg(F.pow(F.col(residual), 2))).alias("rms"),
