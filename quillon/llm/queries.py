@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import language, mixing, topk, warc
+from quillon.llm import language, mixing, quality, topk, warc
 from quillon.llm.common import remainder
 from quillon.runtime import table
 
@@ -56,6 +56,13 @@ def op5(spark, sf):
     return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
 
 
+@query("op6_quality_rules")
+def op6(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    model = quality.learn(docs, table(spark, sf, "labels"), ~F.col("held_out"))
+    return quality.score(docs, model, ["doc_id", "held_out"]).withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int"))
+
+
 @query("op8_language_id")
 def op8(spark, sf):
     docs = table(spark, sf, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
