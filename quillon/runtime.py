@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 2_000_000
 # Row bound for broadcasting a counted side. Override with spark.quillon.broadcastRows.
 BROADCAST_ROWS = 100_000
+# Applications whose executors have this package.
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "quillon", master: str | None = None, **conf) -> SparkSession:
@@ -30,7 +34,25 @@ def session(app: str = "quillon", master: str | None = None, **conf) -> SparkSes
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it from anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "quillon.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(folder):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(folder)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
