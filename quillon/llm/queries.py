@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import language, mixing, quality, topk, warc
+from quillon.llm import language, mixing, neardup, quality, topk, warc
 from quillon.llm.common import remainder
 from quillon.runtime import table
 
@@ -68,3 +68,8 @@ def op8(spark, sf):
     docs = table(spark, sf, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
     model = language.learn(docs, ~F.col("held_out"))
     return language.identify(docs, model, ["doc_id", "held_out"])
+
+
+@query("op10_near_duplicates")
+def op10(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
