@@ -172,14 +172,16 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, depth:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Fit on at most ``sample_rows`` labelled training rows: those with the smallest hash of text and key.
+    """Fit on the training rows among ``sample_rows`` labels: those with the smallest hash of (doc_id, label).
 
     Labels other than 0 and 1 are left out; a document with several labels gives a row for each. Without labels the model is
-    a constant. Only the labelled sample's texts are shuffled.
+    a constant. The sample is drawn from the labels alone and is broadcast, its size being the bound, so no text is shuffled.
     """
-    rows = docs.filter(train).select("doc_id", "text").join(labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "doc_id")
-    rows = with_statistics(rows, F.xxhash64("doc_id", "quality", "text").alias("order"), "quality")
-    got = rows.orderBy("order", "quality").limit(sample_rows).toPandas()
+    chosen = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), "quality")
+    chosen = chosen.withColumn("order", F.xxhash64("label_id", "quality")).orderBy("order", "label_id", "quality").limit(sample_rows)
+    rows = docs.filter(train).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = with_statistics(rows, "order", "doc_id", "quality")
+    got = rows.toPandas().sort_values(["order", "doc_id", "quality", *NAMES])
     return fit(got[NAMES].to_numpy(float).reshape(len(got), len(NAMES)), got["quality"].to_numpy(float), NAMES)
 
 
