@@ -72,10 +72,10 @@ def _offers(queries: pa.Table, members: pa.Table, compare: Compare, dtype, thres
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def link(items: DataFrame, shelf: Shelf, compare: Compare, dtype, verify: Callable[[DataFrame], DataFrame], threshold: float, cut: float) -> DataFrame:
+def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dtype, verify: Callable[[DataFrame], DataFrame], threshold: float, cut: float) -> DataFrame:
     """(node, root) of all items that similar items link, root being the smallest id of the component.
 
-    ``items``: id (unique), n (set size), sketch (binary), bands (array of keys). Items that share a band key share a
+    ``items``: id (unique), n (set size), sketch (binary); ``banded``: id, bands (array of keys). Items that share a band key share a
     bucket. First, every member of a bucket meets its smallest member; pairs that survive the sketch are verified
     exactly (``verify`` takes and returns rows a, b). Whole groups of copies fall into one component by this. Then, as
     long as a bucket holds several components, its members outside the main one are offered partners of other
@@ -83,7 +83,7 @@ def link(items: DataFrame, shelf: Shelf, compare: Compare, dtype, verify: Callab
     So every pair of a bucket that the sketch lets pass is verified or already in one component, while the pairs
     listed stay in proportion to the members. Large buckets are cut into blocks that separate tasks compare.
     """
-    keyed = items.select(F.explode("bands").alias("key"), "id")
+    keyed = banded.select(F.explode("bands").alias("key"), "id")
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("total")).filter("total > 1")
     members = shelf.put(keyed.join(hubs.withColumnRenamed("key", "hub_key"), F.col("key") == F.col("hub_key")).select("key", "id", "hub", "total"), "members")
     star = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()

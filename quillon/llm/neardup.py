@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import setsketch
-from quillon.llm.buckets import link
+from quillon.llm.buckets import link, sketch_matrix
 from quillon.llm.common import Shelf, slices, text_buffer
 from quillon.llm.shingles import distinct, jaccard, mix, shingles, words
 
@@ -51,15 +51,16 @@ def sketch_documents(docs: DataFrame, m: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, n long, name long, sketch binary")
 
 
-def with_bands(items: DataFrame, rows: int) -> DataFrame:
+def banded(items: DataFrame, rows: int) -> DataFrame:
+    """(id, bands): the keys of the bands of ``rows`` registers each."""
+
     def run(batches):
         for batch in batches:
-            sk = batch.column(2).to_pylist()
-            keys = setsketch.bands(np.frombuffer(b"".join(sk), np.uint16).reshape(len(sk), -1), rows).view(np.int64) if sk else np.zeros((0, 1), np.int64)
-            offsets = np.arange(len(sk) + 1, dtype=np.int32) * keys.shape[1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=["id", "n", "sketch", "doc", "bands"])
+            keys = setsketch.bands(sketch_matrix(batch.column(1), np.uint16), rows).view(np.int64) if batch.num_rows else np.zeros((0, 1), np.int64)
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * keys.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=["id", "bands"])
 
-    return items.select("id", "n", "sketch", "doc").mapInArrow(run, "id long, n long, sketch binary, doc long, bands array<long>")
+    return items.select("id", "sketch").mapInArrow(run, "id long, bands array<long>")
 
 
 def verify_documents(pairs: DataFrame, items: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -105,8 +106,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sketched = shelf.put(sketch_documents(hashed, bands * rows), "sketched")
     usable = sketched.filter("name is not null and doc_id is not null")
     first = usable.groupBy(F.col("name").alias("id")).agg(F.min(F.struct("doc_id", "n", "sketch")).alias("first"))
-    items = shelf.put(with_bands(first.select("id", "first.n", "first.sketch", F.col("first.doc_id").alias("doc")), rows), "items")
-    roots = link(items, shelf, setsketch.compare, np.uint16, lambda pairs: verify_documents(pairs, items, docs, threshold), threshold, CUT)
+    items = shelf.put(first.select("id", "first.n", "first.sketch", F.col("first.doc_id").alias("doc")), "items")
+    roots = link(items, banded(items, rows), shelf, setsketch.compare, np.uint16, lambda pairs: verify_documents(pairs, items, docs, threshold), threshold, CUT)
     rooted = items.select("id", "doc").join(roots, items["id"] == roots["node"], "left").select("id", "doc", F.coalesce("root", "id").alias("root"))
     names = rooted.groupBy(F.col("root").alias("class")).agg(F.min("doc").alias("component"))
     known = shelf.put(rooted.join(names, rooted["root"] == names["class"]).select(F.col("id").alias("set_id"), "component"), "classes")

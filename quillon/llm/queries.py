@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import language, mixing, neardup, quality, topk, warc
+from quillon.llm import language, mixing, neardup, quality, substring, topk, warc
 from quillon.llm.common import remainder
 from quillon.runtime import table
 
@@ -50,6 +50,12 @@ def op3(spark, sf):
     return topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op4_substring_dedup")
+def op4(spark, sf):
+    cleaned = substring.deduplicate(table(spark, sf, "documents"))
+    return cleaned.select("doc_id", "text", "n_removed", "removed", "repeats_of")
+
+
 @query("op5_warc_normalise")
 def op5(spark, sf):
     index = warc.archive_pages(table(spark, sf, "pages"))
