@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import language, mixing, neardup, quality, substring, topk, warc
+from quillon.llm import language, mixing, neardup, pieces, quality, substring, topk, warc
 from quillon.llm.common import remainder
 from quillon.runtime import table
 
@@ -79,3 +79,8 @@ def op8(spark, sf):
 @query("op10_near_duplicates")
 def op10(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_sentencepiece_sample")
+def op7(spark, sf):
+    return pieces.encode(table(spark, sf, "documents"), ["doc_id"])
