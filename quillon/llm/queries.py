@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import language, mixing, neardup, pieces, quality, substring, topk, warc
+from quillon.llm import language, lm, mixing, neardup, pieces, quality, substring, topk, warc
 from quillon.llm.common import remainder
 from quillon.runtime import table
 
@@ -84,3 +84,8 @@ def op10(spark, sf):
 @query("op7_sentencepiece_sample")
 def op7(spark, sf):
     return pieces.encode(table(spark, sf, "documents"), ["doc_id"])
+
+
+@query("op9_lm_scores")
+def op9(spark, sf):
+    return lm.score(table(spark, sf, "documents"), remainder("doc_id", 5) == 1)
