@@ -14,6 +14,8 @@ from quillon.llm.components import components
 
 # Members of a bucket that one task compares with as many others.
 BLOCK = 2048
+# Rows of small buckets that are handed to Python together, about.
+BIN = 8192
 # How many partners an item is offered in each round: all of a bucket's come in turn, best first.
 FIRST_WINDOW = 4
 
@@ -41,38 +43,62 @@ def _screen(pairs: DataFrame, items: DataFrame, compare: Compare, dtype, thresho
 
 
 def _offering(*settings):
-    def run(key, queries, members):
-        return _offers(queries, members, *settings)
+    """A function for groups of whole buckets (or blocks of buckets); many small ones share a group."""
+
+    def run(queries, members):
+        a, b = [], []
+        if queries.num_rows and members.num_rows:
+            qk, ck = (np.rec.fromarrays([t.column(x).to_numpy() for x in ("key", "qblock", "cblock")], names="key,qblock,cblock") for t in (queries, members))
+            keys, inverse = np.unique(np.concatenate([qk, ck]), return_inverse=True)
+            qo, co = np.argsort(inverse[: len(qk)], kind="stable"), np.argsort(inverse[len(qk) :], kind="stable")
+            q, c = _columns(queries, settings[1], qo), _columns(members, settings[1], co)
+            qcut, ccut = (np.searchsorted(x, np.arange(len(keys) + 1)) for x in (inverse[: len(qk)][qo], inverse[len(qk) :][co]))
+            for i in range(len(keys)):
+                if qcut[i] < qcut[i + 1] and ccut[i] < ccut[i + 1]:
+                    x, y = _offers([v[qcut[i] : qcut[i + 1]] for v in q], [v[ccut[i] : ccut[i + 1]] for v in c], *settings)
+                    a += x
+                    b += y
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _offers(queries: pa.Table, members: pa.Table, compare: Compare, dtype, threshold: float, cut: float, low: int, high: int) -> pa.Table:
-    """Partners number ``low`` to ``high`` of every query by estimated similarity, if in another component; a row without b tells that more follow."""
+def _columns(t: pa.Table, dtype, order: np.ndarray) -> list[np.ndarray]:
+    return [*(t.column(x).to_numpy()[order] for x in ("id", "root", "n")), sketch_matrix(t.column("sketch"), dtype)[order]]
+
+
+def _offers(queries, members, compare: Compare, dtype, threshold: float, cut: float, least_equal: float, low: int, high: int) -> tuple[list, list]:
+    """Partners number ``low`` to ``high`` of every query by estimated similarity, if in another component; a partner None tells that more follow."""
+    (qi, qr, qn, qs), (ci, cr, cn, cs) = queries, members
     a, b = [], []
-    if queries.num_rows and members.num_rows:
-        qi, ci = queries.column("id").to_numpy(), members.column("id").to_numpy()
-        qr, cr = queries.column("root").to_numpy(), members.column("root").to_numpy()
-        qn, cn = queries.column("n").to_numpy(), members.column("n").to_numpy()
-        qs, cs = (sketch_matrix(t.column("sketch"), dtype) for t in (queries, members))
-        for i in range(len(qi)):
-            able = np.flatnonzero((ci != qi[i]) & (np.minimum(cn, qn[i]) >= threshold * np.maximum(cn, qn[i])))
-            if not len(able) or not (cr[able] != qr[i]).any():
-                continue
-            est = compare(np.broadcast_to(qs[i], (len(able), qs.shape[1])), cs[able], np.full(len(able), qn[i]), cn[able])
-            order = np.lexsort((ci[able], -est))
-            able = able[order][est[order] >= cut]
-            other = cr[able] != qr[i]
-            hit = able[low:high][other[low:high]]
-            a += [qi[i]] * len(hit)
-            b += ci[hit].tolist()
-            if other[high:].any():
-                a.append(qi[i])
-                b.append(None)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dtype, verify: Callable[[DataFrame], DataFrame], threshold: float, cut: float) -> DataFrame:
+    if not (cr != cr[0]).any() and not (qr != cr[0]).any():
+        return a, b
+    step = max(1, (1 << 22) // max(1, cs.size))
+    for s in range(0, len(qi), step):
+        part = slice(s, s + step)
+        able = (qi[part, None] != ci) & (np.minimum(qn[part, None], cn) >= threshold * np.maximum(qn[part, None], cn))
+        able &= (qs[part, None, :] == cs[None, :, :]).mean(axis=2) >= least_equal
+        x, y = np.nonzero(able)
+        if not len(x):
+            continue
+        x += s
+        est = compare(qs[x], cs[y], qn[x], cn[y])
+        fine = est >= cut
+        x, y, est = x[fine], y[fine], est[fine]
+        order = np.lexsort((ci[y], -est, x))
+        x, y = x[order], y[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)
+        other = qr[x] != cr[y]
+        now = other & (rank >= low) & (rank < high)
+        a += qi[x[now]].tolist()
+        b += ci[y[now]].tolist()
+        later = np.unique(x[other & (rank >= high)])
+        a += qi[later].tolist()
+        b += [None] * len(later)
+    return a, b
+
+
+def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dtype, verify: Callable[[DataFrame], DataFrame], threshold: float, cut: float, least_equal: float) -> DataFrame:
     """(node, root) of all items that similar items link, root being the smallest id of the component.
 
     ``items``: id (unique), n (set size), sketch (binary); ``banded``: id, bands (array of keys). Items that share a band key share a
@@ -81,7 +107,8 @@ def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dt
     long as a bucket holds several components, its members outside the main one are offered partners of other
     components in the order of their estimated similarity: 4, then 16, 64, ... more each round, until none is left.
     So every pair of a bucket that the sketch lets pass is verified or already in one component, while the pairs
-    listed stay in proportion to the members. Large buckets are cut into blocks that separate tasks compare.
+    listed stay in proportion to the members. In a block, sketches with a share of equal places under ``least_equal`` are passed over
+    before the estimate. Large buckets are cut into blocks that separate tasks compare.
     """
     keyed = banded.select(F.explode("bands").alias("key"), "id")
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("total")).filter("total > 1")
@@ -94,7 +121,7 @@ def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dt
     main, low, high = None, 0, FIRST_WINDOW
     while True:
         known = roots.select(F.col("node").alias("n_"), "root")
-        placed = members.join(known, members["id"] == known["n_"], "left").select("key", "id", "total", F.coalesce("root", "id").alias("root"))
+        placed = members.filter("total > 2").join(known, members["id"] == known["n_"], "left").select("key", "id", "total", F.coalesce("root", "id").alias("root"))
         if main is None:
             # The main component of a bucket is the one of this member from now on: a member outside it now was outside it in every round before.
             sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("total").alias("total"))
@@ -112,8 +139,9 @@ def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dt
         q = rows.filter("outside").select("key", F.pmod(h, qb).cast("int").alias("qblock"), F.explode(F.sequence(F.lit(0), cb - 1)).alias("cblock"), "id", "root", "n", "sketch")
         c = rows.select("key", F.explode(F.sequence(F.lit(0), qb - 1)).alias("qblock"), F.pmod(h, cb).cast("int").alias("cblock"), "id", "root", "n", "sketch")
         c = c.select(*[F.col(x).alias(x) for x in c.columns])  # attributes of its own, though the source is one
-        by = ["key", "qblock", "cblock"]
-        offers = shelf.put(q.groupBy(*by).cogroup(c.groupBy(*by)).applyInArrow(_offering(compare, dtype, threshold, cut, low, high), "a long, b long"), "offers")
+        bins = F.pmod(F.xxhash64("key", "qblock", "cblock"), F.lit(max(1, open_.count() // BIN)))
+        offers = q.groupBy(bins).cogroup(c.groupBy(bins)).applyInArrow(_offering(compare, dtype, threshold, cut, least_equal, low, high), "a long, b long")
+        offers = shelf.put(offers, "offers")
         fresh = offers.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for done in tested:
             fresh = fresh.join(done, ["a", "b"], "left_anti")

@@ -16,6 +16,7 @@ THRESHOLD = 0.75
 # Bands miss a pair at the threshold with this chance; the estimate must reach CUT, five deviations below the threshold.
 MISS = 3e-5
 CUT = 0.55
+LEAST_EQUAL = 0.4
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -107,7 +108,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     usable = sketched.filter("name is not null and doc_id is not null")
     first = usable.groupBy(F.col("name").alias("id")).agg(F.min(F.struct("doc_id", "n", "sketch")).alias("first"))
     items = shelf.put(first.select("id", "first.n", "first.sketch", F.col("first.doc_id").alias("doc")), "items")
-    roots = link(items, banded(items, rows), shelf, setsketch.compare, np.uint16, lambda pairs: verify_documents(pairs, items, docs, threshold), threshold, CUT)
+    roots = link(items, banded(items, rows), shelf, setsketch.compare, np.uint16, lambda pairs: verify_documents(pairs, items, docs, threshold), threshold, CUT, LEAST_EQUAL)
     rooted = items.select("id", "doc").join(roots, items["id"] == roots["node"], "left").select("id", "doc", F.coalesce("root", "id").alias("root"))
     names = rooted.groupBy(F.col("root").alias("class")).agg(F.min("doc").alias("component"))
     known = shelf.put(rooted.join(names, rooted["root"] == names["class"]).select(F.col("id").alias("set_id"), "component"), "classes")

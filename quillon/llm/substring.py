@@ -167,7 +167,7 @@ def repeated(docs: DataFrame, shelf: Shelf, threshold: float = THRESHOLD) -> Dat
 
         return both.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
-    roots = link(items.select("id", "n", "sketch"), banded(items, per_band), shelf, compare, np.uint16, verify, threshold, CUT)
+    roots = link(items.select("id", "n", "sketch"), banded(items, per_band), shelf, compare, np.uint16, verify, threshold, CUT, CUT)
     rooted = items.join(roots, items["id"] == roots["node"], "left").select("id", "first", "rows", F.coalesce("root", "id").alias("root"))
     groups = rooted.groupBy(F.col("root").alias("group")).agg(F.min("first").alias("kept"), F.sum("rows").alias("all")).filter("all > 1")
     again = shelf.put(rooted.join(groups, rooted["root"] == groups["group"]).select(F.col("id").alias("set_id"), "kept"), "again")
