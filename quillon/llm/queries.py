@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import language, lm, mixing, neardup, pieces, quality, substring, topk, warc
+from quillon.llm import annlinks, language, lm, mixing, neardup, pieces, quality, substring, topk, warc
 from quillon.llm.common import remainder
 from quillon.runtime import table
 
@@ -89,3 +89,23 @@ def op7(spark, sf):
 @query("op9_lm_scores")
 def op9(spark, sf):
     return lm.score(table(spark, sf, "documents"), remainder("doc_id", 5) == 1)
+
+
+@query(
+    "op2_near_vectors",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+    out AS (SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id
+      FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id)
+    SELECT *, vec_id = component_id AS kept FROM out
+    """,
+)
+def op2(spark, sf):
+    return annlinks.near_vectors(table(spark, sf, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
