@@ -15,9 +15,9 @@ from quillon.llm.components import components
 # Members of a bucket that one task compares with as many others.
 BLOCK = 2048
 # Rows of small buckets that are handed to Python together, about.
-BIN = 8192
+BIN = 512
 # How many partners an item is offered in each round: all of a bucket's come in turn, best first.
-FIRST_WINDOW = 4
+FIRST_WINDOW, GROWTH = 16, 8
 
 Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -77,7 +77,7 @@ def _offers(queries, members, compare: Compare, dtype, threshold: float, cut: fl
     for s in range(0, len(qi), step):
         part = slice(s, s + step)
         able = (qi[part, None] != ci) & (np.minimum(qn[part, None], cn) >= threshold * np.maximum(qn[part, None], cn))
-        able &= (qs[part, None, :] == cs[None, :, :]).mean(axis=2) >= least_equal
+        able &= np.count_nonzero(qs[part, None, :] == cs[None, :, :], axis=2) >= least_equal * cs.shape[1]
         x, y = np.nonzero(able)
         if not len(x):
             continue
@@ -105,7 +105,7 @@ def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dt
     bucket. First, every member of a bucket meets its smallest member; pairs that survive the sketch are verified
     exactly (``verify`` takes and returns rows a, b). Whole groups of copies fall into one component by this. Then, as
     long as a bucket holds several components, its members outside the main one are offered partners of other
-    components in the order of their estimated similarity: 4, then 16, 64, ... more each round, until none is left.
+    components in the order of their estimated similarity: 16, then 8 times as many each round, until none is left.
     So every pair of a bucket that the sketch lets pass is verified or already in one component, while the pairs
     listed stay in proportion to the members. In a block, sketches with a share of equal places under ``least_equal`` are passed over
     before the estimate. Large buckets are cut into blocks that separate tasks compare.
@@ -138,9 +138,11 @@ def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dt
         h = F.xxhash64("id")
         q = rows.filter("outside").select("key", F.pmod(h, qb).cast("int").alias("qblock"), F.explode(F.sequence(F.lit(0), cb - 1)).alias("cblock"), "id", "root", "n", "sketch")
         c = rows.select("key", F.explode(F.sequence(F.lit(0), qb - 1)).alias("qblock"), F.pmod(h, cb).cast("int").alias("cblock"), "id", "root", "n", "sketch")
+        n = open_.count() // BIN + 1
+        parts = min(n, max(shelf.spark.sparkContext.defaultParallelism, int(shelf.spark.conf.get("spark.sql.shuffle.partitions"))))
         c = c.select(*[F.col(x).alias(x) for x in c.columns])  # attributes of its own, though the source is one
-        bins = F.pmod(F.xxhash64("key", "qblock", "cblock"), F.lit(max(1, open_.count() // BIN)))
-        offers = q.groupBy(bins).cogroup(c.groupBy(bins)).applyInArrow(_offering(compare, dtype, threshold, cut, least_equal, low, high), "a long, b long")
+        q, c = (t.withColumn("bin", F.pmod(F.xxhash64("key", "qblock", "cblock"), F.lit(n))).repartition(parts, "bin") for t in (q, c))
+        offers = q.groupBy("bin").cogroup(c.groupBy("bin")).applyInArrow(_offering(compare, dtype, threshold, cut, least_equal, low, high), "a long, b long")
         offers = shelf.put(offers, "offers")
         fresh = offers.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for done in tested:
@@ -159,6 +161,6 @@ def link(items: DataFrame, banded: DataFrame, shelf: Shelf, compare: Compare, dt
         tested.append(fresh)
         if not more:
             break
-        low, high = high, high * 4 + FIRST_WINDOW
+        low, high = high, high * GROWTH
     shelf.drop(members)
     return roots

@@ -8,42 +8,65 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Shelf
 
 
+# Links that one task joins directly; more take the rounds. Rows of a forest that a task holds before it passes them on.
+LOCAL_LINKS = 500_000
+HELD = 2_000_000
+
+
+def _star(a, b):
+    """Edges that join every node to the smallest of its component, without those nodes themselves."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[away], nodes[label[away]]
+
+
 def _forest(edges: DataFrame) -> DataFrame:
-    """Replace the edges of each task's batches by a spanning star per component they hold: no more rows than came in."""
+    """Replace the edges of each task by stars of the components they make: no more rows than came in."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
-            a, b = (batch.column(c).to_numpy() for c in (0, 1))
-            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            u, v = at[: len(a)], at[len(a) :]
-            label = np.arange(len(nodes))
-            while True:
-                low = np.minimum(label[u], label[v])
-                new = label.copy()
-                np.minimum.at(new, label[u], low)
-                np.minimum.at(new, label[v], low)
-                while (new[new] != new).any():
-                    new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            away = np.flatnonzero(label != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[away]), pa.array(nodes[label[away]])], names=["a", "b"])
+            held = _star(*(np.concatenate([h, batch.column(c).to_numpy()]) for c, h in enumerate(held)))
+            if len(held[0]) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], names=["a", "b"])
+                held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], names=["a", "b"])
 
     return edges.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, shelf: Shelf, most_rounds: int = 60) -> DataFrame:
+def _labels(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def components(links: DataFrame, shelf: Shelf, most_rounds: int = 60, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is the component's smallest node.
 
     A round sends every node's larger neighbours, then its smaller ones, to its smallest neighbour; it takes O(log^2)
     rounds, whatever the ids' order. Minima are combined before the shuffle, and the joins that hand them back are
     plain joins that adaptive execution splits when a node has a large share of the links. Each round is stored and
-    the round before it deleted.
+    the round before it deleted. Before all rounds every task reduces its links to stars; where no more than
+    ``local_links`` are left, one more such step in one task gives the same answer without rounds.
     """
     edges = shelf.put(_forest(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")), "edges")
+    if edges.count() <= local_links:
+        return _labels(shelf.put(_forest(edges.coalesce(1)), "stars"))
     for _ in range(most_rounds):
         before = edges
         both = before.select(F.col("a").alias("u"), F.col("b").alias("v")).union(before.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -57,7 +80,7 @@ def components(links: DataFrame, shelf: Shelf, most_rounds: int = 60) -> DataFra
         done = _same(before, edges)
         shelf.drop(before, large)
         if done:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return _labels(edges)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -66,9 +89,3 @@ def _same(x: DataFrame, y: DataFrame) -> bool:
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     fx, fy = (t.distinct().agg(F.count("*"), mark).first() for t in (x, y))
     return tuple(fx) == tuple(fy)
-
-
-def with_roots(nodes: DataFrame, node: str, links: DataFrame, shelf: Shelf) -> DataFrame:
-    """``nodes`` with ``root``: the smallest node linked to theirs, themselves included."""
-    found = shelf.put(components(links, shelf), "roots").withColumnRenamed("node", "__node")
-    return nodes.join(found, nodes[node] == found["__node"], "left").drop("__node").withColumn("root", F.coalesce("root", node))
