@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def row_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and its offsets; a null is an empty text."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_string()) if column.null_count else column.cast(pa.large_string())
+    column = pc.fill_null(column, "").cast(pa.large_string()) if column.null_count else column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

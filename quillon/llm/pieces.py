@@ -8,6 +8,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -338,7 +339,7 @@ def encode(docs: DataFrame, columns: list[str], k: int = 2, seed: int = 1, model
     def run(batches):
         pieces = Pieces(path)
         for whole in batches:
-            lengths = np.array(pa.compute.fill_null(pa.compute.utf8_length(whole.column("__text")), 0))
+            lengths = np.array(pc.fill_null(pc.utf8_length(whole.column("__text")), 0))
             at, sums = 0, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths + 1)])
             while at < whole.num_rows:
                 end = max(at + 1, int(np.searchsorted(sums, sums[at] + SLICE_CHARS, side="right")) - 1)
