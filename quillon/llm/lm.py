@@ -45,6 +45,8 @@ class Subwords:
 
     def encode(self, word: str) -> list[int]:
         # A word is one piece of text for the encoder; very long ones go in parts, since its merges take quadratic time.
+        if len(word) <= 64:
+            return self.encoding.encode_ordinary(" " + word)
         return list(chain.from_iterable(self.encoding.encode_ordinary((" " if i == 0 else "") + word[i : i + 64]) for i in range(0, len(word), 64)))
 
 
@@ -59,17 +61,17 @@ class WordIds:
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.seen) > CACHE:
             self.seen.clear()
-        seen, out, raw = self.seen, [], data.tobytes()
-        for h, i in zip(distinct.tolist(), where.tolist()):
+        seen, out, raw, encode = self.seen, [], data.tobytes().translate(LOWER), self.subwords.encode
+        for h, i, j in zip(distinct.tolist(), first[where].tolist(), last[where].tolist()):
             ids = seen.get(h)
             if ids is None:
-                ids = seen[h] = self.subwords.encode(raw[first[i] : last[i]].decode("utf-8", "replace").translate(LOWER))
+                ids = seen[h] = encode(raw[i:j].decode("utf-8", "replace"))
             out.append(ids)
         begin = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in out], dtype=np.int64)])
         return distinct, which, np.fromiter(chain.from_iterable(out), np.int32, int(begin[-1])), begin
 
 
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def sequences(ids: np.ndarray, begin: np.ndarray, which: np.ndarray, starts: np.ndarray, end: int):
