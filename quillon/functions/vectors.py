@@ -47,3 +47,9 @@ def shift(a, direction, amount) -> Column:
 
 def has_bad_value(a) -> Column:
     return F.exists(as_double(a), lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+
+
+def usable(a) -> Column:
+    """True for a vector that is there and holds finite numbers only."""
+    fine = F.forall(as_double(a), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(fine, F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import hashing, scalars, vectors
 from quillon.operators import kernels, ranking
-from quillon.runtime import cut_lineage
+from quillon.runtime import cut_lineage, discard
 
 TINY = 1e-12
 
@@ -233,30 +233,36 @@ def ollivier(edges: DataFrame, nodes: DataFrame, id_col: str, vec: str, lazy: fl
 def components(edges: DataFrame, nodes: DataFrame | None = None, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) with the smallest node of each component as its name.
 
-    Rounds of contraction: every vertex points at its smallest neighbour, pointers are doubled once, and edges are
-    renamed. Mapping vertices along edges keeps components connected, so the pointers need not be at their roots
-    before the next round; the smallest vertex never moves, so it names the component. Each step is a combinable
-    minimum or a join against one row per vertex.
+    Rounds of random contraction: every vertex points at the neighbour (or itself) with the least hash of the round,
+    pointers are doubled once, and edges are renamed. Hashes make the number of rounds logarithmic whatever the order of the
+    ids; the smallest node of each component is looked up once at the end. Each step is a combinable minimum or a
+    join against one row per vertex, and a round's tables are deleted when the next one is stored.
     """
     both = edges.select(F.col(u).alias("a"), F.col(v).alias("b"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     all_nodes = both.select(F.col("a").alias("node"))
     if nodes is not None:
         all_nodes = all_nodes.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
-    label = all_nodes.distinct().withColumn("component", F.col("node"))
+    label = cut_lineage(all_nodes.where(F.col("node").isNotNull()).distinct().withColumn("centre", F.col("node")))
     live = cut_lineage(both.where(F.col("a") != F.col("b")).distinct())
+    turn = 0
     while not live.isEmpty():
-        hook = live.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
+        turn += 1
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        hook = live.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least(order("a"), F.col("m"))["id"].alias("p"))
+        hook = cut_lineage(hook)
         jump = hook.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         move = cut_lineage(hook.join(jump, "p").select("a", F.col("pp").alias("to")))
-        live = (
+        renamed = cut_lineage(
             live.join(move, "a").select(F.col("to").alias("a2"), F.col("b").alias("a"))
             .join(move, "a").select(F.col("a2").alias("a"), F.col("to").alias("b")).where(F.col("a") != F.col("b")).distinct()
         )
-        live = cut_lineage(live)
-        label = label.join(move.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        label = cut_lineage(label)
-    return label
+        moved = label.join(move.withColumnRenamed("a", "centre"), "centre", "left").select("node", F.coalesce("to", "centre").alias("centre"))
+        moved = cut_lineage(moved)
+        discard(live, hook, move, label)
+        live, label = renamed, moved
+    names = label.groupBy("centre").agg(F.min("node").alias("component"))
+    return cut_lineage(label.join(names, "centre").select("node", "component"))
 
 
 def spanning_forest(undirected: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def salt_hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], row_ke
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, on: str, values: Sequence[str], by: Sequence[str] = (), buckets: int = 512
+    left: DataFrame, right: DataFrame, on: str, values: Sequence[str], by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """Attach to each left row the values of the last right row with the same ``by`` and ``on`` not above its own.
 
@@ -64,18 +64,19 @@ def asof_join(
     from pyspark.sql import Window
 
     by, values = list(by), list(values)
-    if runtime.is_small(left) and runtime.is_small(right):
-        splits = [float("-inf"), float("inf")]
-    else:
-        edges = right.agg(F.percentile_approx(F.col(on).cast("double"), [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
-        splits = [float("-inf"), *sorted(set(edges or [])), float("inf")]
+    buckets = buckets or runtime.bucket_count(left.count() + right.count(), left.sparkSession)
+    edges = None
+    if buckets > 1:
+        fine = right.where(~F.isnan(F.col(on).cast("double")))
+        edges = fine.agg(F.percentile_approx(F.col(on).cast("double"), [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
+    splits = [float("-inf"), *sorted(set(edges or [])), float("inf")]
     packed = F.struct(on, *values)
 
     def cut(df):
         df = df.withColumn("_x", F.col(on).cast("double"))
         if len(splits) < 4:
             return df.withColumn("_b", F.lit(0.0))
-        return Bucketizer(splits=splits, inputCol="_x", outputCol="_b").transform(df)
+        return Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(df)
 
     # One right row per (by, on): the largest value row stands for ties.
     r = right.groupBy(*by, on).agg(F.max(F.struct(*values)).alias("_s")).select(*by, on, "_s.*")

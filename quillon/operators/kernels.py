@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def matrix(column) -> np.ndarray:
-    """Rows of a list column as a float64 matrix."""
+    """Rows of a list column of equal widths as a float64 matrix; a NULL row, and a NULL component, is NaN in its place."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(arr, pa.ChunkedArray):
         arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], type=arr.type)
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(arr), -1) if len(arr) else np.zeros((0, 0))
+    if not len(arr):
+        return np.zeros((0, 0))
+    size = np.asarray(pc.fill_null(pc.list_value_length(arr), -1))
+    there = size >= 0
+    width = int(size.max(initial=0))
+    if (size[there] != width).any():
+        raise ValueError(f"vectors of different widths: {sorted(set(size[there].tolist()))[:5]}")
+    out = np.full((len(arr), width), np.nan)
+    out[there] = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(int(there.sum()), width)
+    return out
 
 
 def lists(m: np.ndarray) -> pa.Array:

@@ -153,11 +153,12 @@ def knn_join(
     """Edges (by..., src, dst, rank, dist): the k nearest base rows of every query row, ties by id.
 
     ``exclude_self`` drops the base row that has the query's own id. ``by`` restricts neighbours to one stratum.
+    Vectors that are NULL or hold NULL, NaN or infinite components take no part on either side.
     """
     spark = base.sparkSession
     by = list(by)
     v = vectors.normalise(vec) if metric == "cosine" else F.col(vec).cast("array<double>")
-    prep = lambda df: df.select(*by, F.col(id_col).cast("long").alias("_id"), v.alias("_v"))
+    prep = lambda df: df.select(*by, F.col(id_col).cast("long").alias("_id"), v.alias("_v")).where(vectors.usable("_v"))
     q, b = prep(queries), prep(base)
     info = b.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n_b, dim = info["n"], info["d"] or 1

@@ -2,7 +2,8 @@
 
 The shared shape: count equal values first (map-side combine), cut the value axis into buckets, take running
 totals over the few buckets of each group, then rank inside (group, bucket). A group holding a third of all
-rows is thus spread over a third of the buckets. Counted small inputs use one plain window instead.
+rows is thus spread over a third of the buckets. The plan is the same at every size; a short column has one bucket.
+NULL values are left out, NULL group keys form a group, and NaN ranks above every number, as Spark orders it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ TAKE_ROWS = 1_000  # rows a take-ordered may keep per partition without a filter
 
 
 def _edges(df: DataFrame, value: str, buckets: int) -> list[float]:
+    """Bounds of the ranges; NaN is not looked at here and gets a range of its own."""
+    if buckets < 2:
+        return [float("-inf"), float("inf")]
+    df = df.where(~F.isnan(F.col(value).cast("double")))
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(value, probs, 20 * buckets).alias("e")).first()
     inner = sorted({float(x) for x in (row["e"] or [])})
@@ -44,20 +49,10 @@ def value_ranks(
     src = df.where(F.col(value).isNotNull()).withColumn("_w", one).where(F.col("_w") > 0)
     counts = src.groupBy(*by, value).agg(F.sum("_w").alias("n"))
     rows = df.count() if rows is None else rows
-    if runtime.is_small(df, rows):
-        order = Window.partitionBy(*by).orderBy(value)
-        whole = Window.partitionBy(*by)
-        return counts.select(
-            *by,
-            value,
-            "n",
-            (F.sum("n").over(order) - F.col("n")).alias("before"),
-            F.sum("n").over(whole).alias("total"),
-        )
-    splits = _edges(src, value, runtime.bucket_count(rows))
+    splits = _edges(src, value, runtime.bucket_count(rows, df.sparkSession))
     if len(splits) > 3:
         binned = counts.withColumn("_v", F.col(value).cast("double"))
-        binned = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(binned).drop("_v")
+        binned = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(binned).drop("_v")
     else:
         binned = counts.withColumn("_b", F.lit(0.0))
     per_bucket = binned.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"))
@@ -93,13 +88,12 @@ def with_average_rank(
 ) -> DataFrame:
     """Attach the average-tie rank of ``value`` within ``by`` to every row; NULL stays NULL."""
     by = list(by)
-    if runtime.is_small(df, rows):
-        order = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value)
-        ties = Window.partitionBy(*by, value)
-        rank = F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
-    ranks = average_ranks(df, value, by, rows=rows).select(*by, value, F.col("avg_rank").alias(out))
-    return df.join(ranks, [*by, value], "left")
+    ranks = average_ranks(df, value, by, rows=rows)
+    ranks = ranks.select(*[F.col(c).alias(f"_r_{i}") for i, c in enumerate(by)], F.col(value).alias("_r_value"), F.col("avg_rank").alias(out))
+    same = F.col(value) == F.col("_r_value")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{i}"))
+    return df.join(ranks, same, "left").select(*df.columns, out)
 
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
@@ -108,8 +102,7 @@ def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), rows: int | None = N
     r = value_ranks(df, value, by, rows=rows)
     # Copies of a value are laid out in slices, so a value shared by a third of all rows is no single long array.
     part = r.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
-    if not runtime.is_small(df, rows):
-        part = runtime.spread(part)
+    part = runtime.spread(part)
     first = F.col("_s") * COPIES + 1
     copies = part.withColumn("_j", F.explode(F.sequence(first, F.least(first + (COPIES - 1), F.col("n")))))
     return copies.select(
@@ -131,11 +124,6 @@ def quantiles(
     by, probs = list(by), list(probs)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     rows = df.count() if rows is None else rows
-    if runtime.is_small(df, rows):
-        w = F.lit(1).cast("long") if weight is None else weight.cast("long")
-        arr = F.percentile(value, [float(p) for p in probs], w).alias("_q")
-        out = df.groupBy(*by).agg(arr)
-        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     r = value_ranks(df, value, by, weight=weight, rows=rows)
     aggs = []
     for i, p in enumerate(probs):
@@ -182,9 +170,7 @@ def hash_order(
     by = list(by)
     h = df.withColumn("_h", hashing.hash32(seed, key))
     rows = df.count() if rows is None else rows
-    buckets = runtime.bucket_count(rows)
-    if runtime.is_small(df, rows):
-        return h.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy("_h", key))).drop("_h")
+    buckets = runtime.bucket_count(rows, df.sparkSession)
     h = h.withColumn("_b", F.floor(F.col("_h") / F.lit(hashing.SPAN / buckets)).cast("int"))
     order = Window.partitionBy(*by).orderBy("_b")
     offsets = (
@@ -197,7 +183,7 @@ def hash_order(
     null_safe = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_b"]]
     joined = numbered.alias("l").join(offsets.alias("r"), null_safe)
     return joined.select(
-        *[F.col(f"l.{c}") for c in df.columns], (F.col("_in") + F.col("_off")).cast("int").alias(out)
+        *[F.col(f"l.{c}") for c in df.columns], (F.col("_in") + F.col("_off")).cast("long").alias(out)
     )
 
 

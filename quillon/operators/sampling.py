@@ -70,23 +70,28 @@ def histogram_matched_draw(pool: DataFrame, key: str, value: str, target: DataFr
     return drawn, starved.where(F.col("got") < F.col("want"))
 
 
-def search_cap(counts: Sequence[int], total: int, tolerance: int = 200, rounds: int = 40) -> int:
-    """Common per-shell cap whose capped counts add up to about the total (a few numbers)."""
-    cap = total
-    for _ in range(rounds):
-        got = sum(min(c, cap) for c in counts)
-        if abs(got - total) < tolerance or cap > max(counts):
-            break
-        cap = int(cap * total / max(got, 1))
-    return cap
-
-
-def importance_draw(selected: DataFrame, key: str, shell: str, chain: str, volumes: Mapping, total: int, order: Sequence, seed=0, tolerance: int = 200) -> DataFrame:
+def level_cap(counts: Sequence[int], total: int) -> int:
+    """The largest common cap whose capped counts add up to no more than the total (the largest count, if all fit).
+
+    With the counts in order, the cap lies above the j smallest when these are taken whole and the rest of the total, shared by the
+    others, is not less than the j-th: cap = (total - sum of the j smallest) // (shells - j) for the largest such j.
+    """
+    if sum(counts) <= total:
+        return max(counts, default=0)
+    filled, shells = 0, len(counts)
+    for j, c in enumerate(sorted(counts)):
+        if filled + c * (shells - j) > total:
+            return (total - filled) // (shells - j)
+        filled += c
+    return 0
+
+
+def importance_draw(selected: DataFrame, key: str, shell: str, chain: str, volumes: Mapping, total: int, order: Sequence, seed=0) -> DataFrame:
     """Take all rows of scarce shells, cap the abundant ones, one entry per chain; the weight is volume x selected
     over drawn, scaled to mean one. ``selected`` counts are taken before used chains are removed."""
     spark = selected.sparkSession
     n_sel = {r[shell]: r["n"] for r in selected.groupBy(shell).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per shell
-    cap = search_cap([n_sel.get(s, 0) for s in order], total, tolerance)
+    cap = level_cap([n_sel.get(s, 0) for s in order], total)
     drawn, report = one_entry_draw(selected, key, shell, chain, {s: cap for s in order}, order, seed)
     meta = spark.createDataFrame([(s, float(volumes[s]), int(n_sel.get(s, 0))) for s in order], f"{shell} {selected.schema[shell].dataType.simpleString()}, volume double, n_selected long")
     w = report.select(shell, "n_drawn").join(meta, shell).select(shell, (F.col("volume") * F.col("n_selected") / F.greatest("n_drawn", F.lit(1))).alias("_w"))

@@ -66,7 +66,7 @@ class Eigenpairs:
         self.values, self.vectors, self.residuals = values, vectors, residuals
 
 
-def top_eigenpairs(s: DataFrame, m: int, steps: int = 5, max_steps: int = 12, tol: float = 1e-5, seed=0) -> Eigenpairs:
+def top_eigenpairs(s: DataFrame, m: int, steps: int = 5, max_steps: int = 60, tol: float = 1e-5, seed=0) -> Eigenpairs:
     """Leading eigenpairs of a symmetric edge table by block Krylov with Rayleigh-Ritz.
 
     Each step multiplies the newest block (one shuffle on the node), and orthogonalises it with coefficients from
@@ -119,7 +119,9 @@ def top_eigenpairs(s: DataFrame, m: int, steps: int = 5, max_steps: int = 12, to
         order = np.argsort(w)[::-1][:m]
         w, z = w[order], li.T @ z[:, order]
         res = np.sqrt(np.maximum(np.einsum("ij,ij->j", z, aa @ z) - 2 * w * np.einsum("ij,ij->j", z, ab @ z) + w**2 * np.einsum("ij,ij->j", z, bb @ z), 0.0))
-        if res.max() <= tol or step >= max_steps or exhausted:
+        if res.max() > tol and step >= max_steps and not exhausted:
+            raise RuntimeError(f"eigenpairs did not settle in {max_steps} steps: largest residual {res.max():.2e}, tolerance {tol:.0e}")
+        if res.max() <= tol or exhausted:
             z = z * np.where(z[np.abs(z).argmax(0), np.arange(z.shape[1])] < 0, -1.0, 1.0)
             out = project(both, "q", np.vstack([z, np.zeros_like(z)]), "vector").select("node", "vector")
             return Eigenpairs(w, cut_lineage(out), res)

@@ -23,7 +23,11 @@ EPS = 1e-8
 
 
 def dim_stats(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    """Row count, mean and population standard deviation per dimension, as arrays (one row per group)."""
+    """Row count, mean and population standard deviation per dimension, as arrays (one row per group).
+
+    Vectors that are NULL or hold NULL, NaN or infinite components are left out, and not counted.
+    """
+    df = df.where(vectors.usable(vec))
     s = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(vectors.as_double(vec)))
     out = df.groupBy(*by).agg(s.alias("_s"))
     n = F.col("_s.count")
@@ -93,8 +97,11 @@ def moment_rows(
     """Rows of the matrix sum w a a^T with a = [1, vector, extra...], per group.
 
     Each partition adds its rows with BLAS and emits one matrix; the matrices are added by row index. A partition
-    that meets many groups emits early, so its memory stays bounded.
+    that meets many groups emits early, so its memory stays bounded. Rows whose vector is NULL or holds NULL, NaN or
+    infinite components are left out.
     """
+    if vec:
+        df = df.where(vectors.usable(vec))
     by, extra = list(by), list(extra)
     cols = by + ([vec] if vec else []) + extra + ([weight] if weight else [])
     fields = [df.schema[c] for c in by]

@@ -8,7 +8,7 @@ from quillon.functions import vectors
 from quillon.operators import graph, knn, profiles, ranking, spectral, vector_stats as V
 from quillon.plans.registry import h32, query, uni
 from quillon.plans.vectors_queries import KNN, Z, emb, knn_graph, sample, zemb
-from quillon.runtime import cut_lineage
+from quillon.runtime import cut_lineage, table
 
 
 def _r(df, digits, *cols):
@@ -290,3 +290,14 @@ def spread_ratio(spark, sf):
     w[:8] = 1 / np.sqrt(8.0)
     out = spread(zemb(spark, sf), "v", w, F.col("label") >= 5, F.col("label") < 5)
     return out.select(*[F.round(c, 6).alias(c) for c in ("ratio", "std_in", "std_out")])
+
+
+@query("components_chain", """
+with o as (select o_orderkey, o_orderkey // 1000 as block from orders)
+select o_orderkey as node, min(o_orderkey) over (partition by block) as component from o""")
+def components_chain(spark, sf):
+    """Long ordered chains: every order is linked to the next key of its block of a thousand."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    nxt = o.select((F.col("o_orderkey") - 1).alias("u"), F.col("o_orderkey").alias("v"))
+    links = o.join(nxt, F.col("o_orderkey") == F.col("u")).where(F.floor(F.col("u") / 1000) == F.floor(F.col("v") / 1000)).select("u", "v")
+    return graph.components(links, o)

@@ -102,11 +102,11 @@ def _shell_sql(name: str, status: str, used: str) -> str:
     return f"{name} as (select o_orderkey, o_custkey, o_orderpriority, o_totalprice from sel where o_orderpriority = '{status}'{used} order by {h32(6, 'o_orderkey')}, o_orderkey limit (select cap from cap))"
 
 
-_IMP = "with recursive " + ", ".join([
+_IMP = "with " + ", ".join([
     "sel as (select o_orderkey, o_custkey, o_orderpriority, o_totalprice from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') and (o_orderpriority <> '1-URGENT' or o_totalprice > 300000))",
     "n as (select o_orderpriority as s, count(*) as n from sel group by 1)",
-    "c as (select 0 as i, 3000::BIGINT as cap union all select i + 1, floor(cap * 3000 / greatest((select sum(least(n, cap)) from n), 1))::BIGINT from c where i < 40 and abs((select sum(least(n, cap)) from n) - 3000) >= 20 and cap <= (select max(n) from n))",
-    "cap as (select cap from c order by i desc limit 1)",
+    "o as (select n, row_number() over (order by n) - 1 as j, coalesce(sum(n) over (order by n rows between unbounded preceding and 1 preceding), 0) as filled, count(*) over () as k, sum(n) over () as everything from n)",
+    "cap as (select (case when max(everything) <= 3000 then max(n) else (select min_by((3000 - filled) // (k - j), j) from o where filled + n * (k - j) > 3000) end)::BIGINT as cap from o)",
     _shell_sql("u", "1-URGENT", ""),
     _shell_sql("h", "2-HIGH", " and o_custkey not in (select o_custkey from u)"),
     _shell_sql("m", "3-MEDIUM", " and o_custkey not in (select o_custkey from u) and o_custkey not in (select o_custkey from h)"),
@@ -120,7 +120,7 @@ _IMP = "with recursive " + ", ".join([
 def importance_draw(spark, sf):
     o = table(spark, sf, "orders").where(F.col("o_orderpriority").isin(*_VOL) & ((F.col("o_orderpriority") != "1-URGENT") | (F.col("o_totalprice") > 300000)))
     o = o.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
-    return sampling.importance_draw(o, "o_orderkey", "o_orderpriority", "o_custkey", _VOL, 3000, ["1-URGENT", "2-HIGH", "3-MEDIUM"], 6, tolerance=20).withColumn("weight", F.round("weight", 8)).select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "weight")
+    return sampling.importance_draw(o, "o_orderkey", "o_orderpriority", "o_custkey", _VOL, 3000, ["1-URGENT", "2-HIGH", "3-MEDIUM"], 6).withColumn("weight", F.round("weight", 8)).select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "weight")
 
 
 @query("importance_summary", _IMP + """, f as (select *, floor(o_totalprice / 100000)::INT as bin from r)

@@ -115,18 +115,18 @@ with t as (
   union all select 'customer', count(*), 5, 'bigint,double,int,string' from customer
   union all select 'nation', count(*), 3, 'int,string' from nation),
 m as (
-  select 'orders' as product, (select quantile_cont(o_totalprice, 0.5) from (select o_totalprice from orders order by o_orderkey limit 1024)) as sm
-  union all select 'events', (select quantile_cont(value, 0.5) from (select value from events order by event_id limit 1024))
-  union all select 'customer', (select quantile_cont(c_acctbal, 0.5) from (select c_acctbal from customer order by c_custkey limit 1024))
+  select 'orders' as product, (select quantile_cont(o_totalprice, 0.5) from orders) as sm
+  union all select 'events', (select quantile_cont(value, 0.5) from events)
+  union all select 'customer', (select quantile_cont(c_acctbal, 0.5) from customer)
   union all select 'nation', null)
 select t.product, t.n_rows::BIGINT as n_rows, t.n_columns::INT as n_columns, t.types, m.sm as sample_median,
-  case when m.sm is null then 'no-data' when m.sm < 0 then 'absolute' when m.sm > 5 then 'apparent' else 'ambiguous' end as convention,
+  case when m.sm < 0 then 'negative' when m.sm < 10 then 'small' when m.sm >= 10 then 'large' end as convention,
   coalesce((select string_agg(u.product, ',' order by u.product) from t u where u.n_rows = t.n_rows and u.product <> t.product), '') as same_rows
 from t join m on t.product = m.product""")
 def schema_census(spark, sf):
     names = ["orders", "events", "customer", "nation"]
     tables = {n: table(spark, sf, n) for n in names}
-    probe = {"orders": ("o_orderkey", "o_totalprice"), "events": ("event_id", "value"), "customer": ("c_custkey", "c_acctbal")}
+    probe = {"orders": "o_totalprice", "events": "value", "customer": "c_acctbal"}
     return census.census(tables, probe)
 
 

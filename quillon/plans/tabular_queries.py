@@ -432,3 +432,26 @@ def safe_log10(spark, sf):
 def relative_residual(spark, sf):
     dz = scalars.relative_residual(F.col("l_extendedprice") / 40000.0, F.col("l_quantity") / 25.0)
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(dz), 6).alias("mean_dz"))
+
+
+@query("ranks_null_group", """
+with r as (select o_orderkey, case when o_orderpriority = '5-LOW' then null else o_orderpriority end as g, case when o_orderkey % 11 = 0 then null else floor(o_totalprice / 1000) end as x from orders),
+k as (select o_orderkey, g, x, rank() over (partition by g, x is null order by x) + (count(*) over (partition by g, x) - 1) / 2.0::DOUBLE as a from r)
+select o_orderkey, g, case when x is not null then a end as avg_rank from k""")
+def ranks_null_group(spark, sf):
+    """Rows without a group are ranked among themselves; rows without a value have no rank."""
+    o = table(spark, sf, "orders")
+    o = o.select("o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("g"), F.when(F.col("o_orderkey") % 11 != 0, F.floor(F.col("o_totalprice") / 1000).cast("double")).alias("x"))
+    return ranking.with_average_rank(o, "x", "avg_rank", ["g"]).select("o_orderkey", "g", "avg_rank")
+
+
+@query("quantiles_with_nan", """
+with r as (select case when o_orderpriority = '5-LOW' then null else o_orderpriority end as g, case when o_orderkey % 13 = 0 then 'nan'::DOUBLE when o_orderkey % 7 = 0 then null else o_totalprice end as x from orders)
+select g, round(quantile_cont(x, 0.25), 6) as q0, round(quantile_cont(x, 0.5), 6) as q1, quantile_disc(x, 1.0) as q2 from r group by 1""")
+def quantiles_with_nan(spark, sf):
+    """NaN ranks above every number, NULL is left out, and NULL group keys are a group."""
+    o = table(spark, sf, "orders")
+    x = F.when(F.col("o_orderkey") % 13 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice"))
+    o = o.select(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("g"), x.alias("x"))
+    q = ranking.quantiles(o, "x", [0.25, 0.5, 1.0], ["g"])
+    return q.select("g", F.round("q0", 6).alias("q0"), F.round("q1", 6).alias("q1"), "q2")

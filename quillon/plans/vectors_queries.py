@@ -258,3 +258,30 @@ def principal_angles(spark, sf):
     null = [V.principal_angles(plane, V.random_directions(2, plane.shape[0], s))[0] for s in range(200)]
     rows.append((-1, float(np.percentile(null, 2.5)), float(np.percentile(null, 97.5))))
     return spark.createDataFrame(rows, "first_component int, angle_1 double, angle_2 double")
+
+
+# Vectors with faults: every 17th is NULL, every 19th has a NaN, every 23rd a NULL component.
+_FAULTS = "vec_id % 17 <> 0 and vec_id % 19 <> 0 and vec_id % 23 <> 0"
+
+
+def faulty(spark, sf):
+    parts = F.transform("v", lambda x, i: F.when((F.col("vec_id") % 19 == 0) & (i == 3), F.lit(float("nan"))).when((F.col("vec_id") % 23 == 0) & (i == 5), F.lit(None)).otherwise(x.cast("double")))
+    return emb(spark, sf).withColumn("v", F.when(F.col("vec_id") % 17 == 0, F.lit(None)).otherwise(parts))
+
+
+@query("knn_with_bad_vectors", f"""
+with e as (select vec_id, embedding::DOUBLE[] as v from embeddings where {_FAULTS}),
+d as (select a.vec_id as src, b.vec_id as dst, list_distance(a.v, b.v) as dist from e a, e b where a.vec_id <> b.vec_id),
+k as (select *, row_number() over (partition by src order by dist, dst) as rank from d)
+select src, dst, rank::INT as rank, round(dist, 6) as dist from k where rank <= 5""")
+def knn_with_bad_vectors(spark, sf):
+    """Faulty vectors take no part, as query or as neighbour."""
+    e = faulty(spark, sf)
+    return knn.knn_join(e, e, 5, "vec_id", "v").withColumn("dist", F.round("dist", 6))
+
+
+@query("gram_with_null_vectors", f"""
+with u as (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::DOUBLE as x from embeddings where {_FAULTS})
+select (a.i - 1)::INT as i, (b.i - 1)::INT as j, round(sum(a.x * b.x), 6) as value from u a join u b using (vec_id) group by a.i, b.i""")
+def gram_with_null_vectors(spark, sf):
+    return V.gram(faulty(spark, sf), "v").withColumn("value", F.round("value", 6))

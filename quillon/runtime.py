@@ -10,13 +10,15 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Row bound below which a one-task-per-group plan (window or percentile buffer) is used. Beyond it every
-# operator takes its range-split plan. Override with spark.quillon.smallRows.
-SMALL_ROWS = 2_000_000
+# Rows that one range of an ordered column aims at, and the most ranges whose edges are searched for.
+RANGE_ROWS = 50_000
+MOST_RANGES = 65_536
 # Row bound for broadcasting a counted side. Override with spark.quillon.broadcastRows.
 BROADCAST_ROWS = 100_000
 # Applications whose executors have this package.
 _SHIPPED: set[str] = set()
+# Stored tables by identity, with the folder of each.
+_STORED: dict[int, tuple[DataFrame, str]] = {}
 
 
 def session(app: str = "quillon", master: str | None = None, **conf) -> SparkSession:
@@ -56,25 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.quillon.smallRows", str(SMALL_ROWS)))
-
-
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.quillon.broadcastRows", str(BROADCAST_ROWS)))
 
 
-def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    """True when the counted table fits the one-task bound. Pass ``rows`` when the count is already known."""
-    bound = small_rows(df.sparkSession)
-    if bound <= 0:
-        return False
-    return (df.count() if rows is None else rows) <= bound
-
-
-def bucket_count(rows: int, most: int = 4096) -> int:
-    """Ranges to cut an ordered column into: about 50,000 rows each, within limits."""
-    return int(min(most, max(16, rows // 50_000)))
+def bucket_count(rows: int, spark: SparkSession | None = None) -> int:
+    """Ranges to cut an ordered column into: about RANGE_ROWS rows each (spark.quillon.rangeRows), one for a short column."""
+    size = int(spark.conf.get("spark.quillon.rangeRows", str(RANGE_ROWS))) if spark else RANGE_ROWS
+    return int(min(MOST_RANGES, max(1, -(-rows // size))))
 
 
 def broadcast_checked(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -112,4 +103,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(stored)] = (stored, path)
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` stored and that no later step reads."""
+    for t in tables:
+        _, path = _STORED.pop(id(t), (None, None))
+        if path:
+            sc = t.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)

@@ -19,19 +19,20 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def convention(median) -> Column:
-    """Magnitude convention guessed from the sign and size of the median."""
-    m = F.col(median) if isinstance(median, str) else median
-    return (
-        F.when(m.isNull(), "no-data").when(m < 0, "absolute").when(m > 5, "apparent").otherwise("ambiguous")
-    )
+# Labels for a column by where its median lies: (label, least median, past the largest). Callers may pass their own.
+SCALES = [("negative", float("-inf"), 0.0), ("small", 0.0, 10.0), ("large", 10.0, float("inf"))]
+
+
+def label_by_range(median: Column, scales=SCALES) -> Column:
+    """The label of the first range [low, high) that holds the median; NULL without one."""
+    return F.coalesce(*[F.when((median >= low) & (median < high), F.lit(name)) for name, low, high in scales])
 
 
-def census(tables: Mapping[str, DataFrame], probe: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """One row per table: columns, rows, median of the probed column over its first 1024 rows by key, the
-    convention guess, and the other tables with the same row count.
+def census(tables: Mapping[str, DataFrame], probe: Mapping[str, str], scales=SCALES) -> DataFrame:
+    """One row per table: columns, rows, the exact median of the probed column over all rows, the label of the
+    range that the median lies in, and the other tables with the same row count.
 
-    ``probe`` names (key column, numeric column) per table.
+    ``probe`` names the numeric column per table.
     """
     rows = []
     for name, df in tables.items():
@@ -39,13 +40,12 @@ def census(tables: Mapping[str, DataFrame], probe: Mapping[str, tuple[str, str]]
         base = base.withColumn("n_columns", F.lit(len(df.columns)))
         base = base.withColumn("types", F.lit(",".join(sorted({f.dataType.simpleString() for f in df.schema.fields}))))
         if name in probe:
-            key, value = probe[name]
-            head = df.select(key, finite(value).alias("v")).orderBy(key).limit(1024)
-            base = base.crossJoin(F.broadcast(head.agg(F.percentile("v", 0.5).alias("sample_median"))))
+            middle = ranking.quantiles(df.select(finite(probe[name]).alias("v")), "v", [0.5], names=["sample_median"])
+            base = base.crossJoin(F.broadcast(middle.agg(F.max("sample_median").alias("sample_median"))))  # one row, also without values
         else:
             base = base.withColumn("sample_median", F.lit(None).cast("double"))
         rows.append(base)
-    out = _union(rows).withColumn("convention", convention("sample_median"))
+    out = _union(rows).withColumn("convention", label_by_range(F.col("sample_median"), scales))
     same = out.groupBy("n_rows").agg(F.sort_array(F.collect_list("product")).alias("_peers"))
     return out.join(same, "n_rows").select(
         "product", "n_rows", "n_columns", "types", "sample_median", "convention",

@@ -22,7 +22,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def split_plans(spark):
-    """Force the range-split plans that large tables take."""
-    spark.conf.set("spark.quillon.smallRows", "0")
+    """Cut columns into many ranges, as long columns are."""
+    spark.conf.set("spark.quillon.rangeRows", "20")
     yield
-    spark.conf.unset("spark.quillon.smallRows")
+    spark.conf.unset("spark.quillon.rangeRows")

@@ -82,7 +82,7 @@ def test_asof_join_both_plans(spark):
     l = spark.createDataFrame(left, "id long, g int, t double")
     r = spark.createDataFrame([(g, x, x * 2) for g, x in right], "g int, t double, v double")
     for small in ("1000000", "0"):
-        spark.conf.set("spark.quillon.smallRows", small)
+        spark.conf.set("spark.quillon.rangeRows", small)
         got = {x["id"]: x["v"] for x in joins.asof_join(l, r, "t", ["v"], ["g"], buckets=16).collect()}
         assert got == want
-    spark.conf.unset("spark.quillon.smallRows")
+    spark.conf.unset("spark.quillon.rangeRows")

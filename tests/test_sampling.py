@@ -46,9 +46,9 @@ def test_one_entry_rule_and_report(spark):
 
 def test_importance_weights(spark):
     df = spark.range(1000).select(F.col("id"), F.col("id").alias("chain"), F.when(F.col("id") < 100, "far").otherwise("near").alias("shell"))
-    d = sampling.importance_draw(df, "id", "shell", "chain", {"far": 10.0, "near": 1.0}, 300, ["far", "near"], 0, tolerance=5)
+    d = sampling.importance_draw(df, "id", "shell", "chain", {"far": 10.0, "near": 1.0}, 300, ["far", "near"], 0)
     w = {r["shell"]: (r["n"], r["w"]) for r in d.groupBy("shell").agg(F.count("*").alias("n"), F.avg("weight").alias("w")).collect()}
-    assert w["far"][0] == 100 and abs(w["near"][0] - 200) < 10
+    assert w["far"][0] == 100 and w["near"][0] == 200
     assert abs(d.agg(F.avg("weight")).first()[0] - 1) < 1e-9
     assert abs(w["far"][1] / w["near"][1] - 10.0 / (900 / w["near"][0])) < 1e-6
 
@@ -91,3 +91,10 @@ def test_shape_identities(spark):
         e = np.hypot(r["a"], r["b"])
         assert abs(r["e"] - e) < 1e-9 and abs(r["q"] - (1 - e) / (1 + e)) < 1e-9
         assert abs(r["pa"] - np.degrees(np.arctan2(r["b"], r["a"]) / 2) % 180) < 1e-9 or abs(abs(r["pa"] - np.degrees(np.arctan2(r["b"], r["a"]) / 2) % 180) - 180) < 1e-9
+
+
+def test_level_cap_fills_the_total_as_far_as_it_goes():
+    for counts, total in (([5, 100, 100], 105), ([1, 2, 3], 100), ([10, 10, 10], 29), ([7], 3), ([], 5), ([0, 4, 9, 30], 20), ([3, 3], 1)):
+        cap = sampling.level_cap(counts, total)
+        filled = [sum(min(c, k) for c in counts) for k in (cap, cap + 1)]
+        assert filled[0] <= total and (filled[1] > total or cap == max(counts, default=0))
