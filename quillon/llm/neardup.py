@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import setsketch
-from quillon.llm.buckets import link, sketch_matrix
+from quillon.llm.buckets import link, shorten, sketch_matrix
 from quillon.llm.common import Shelf, slices, text_buffer
 from quillon.llm.shingles import distinct, jaccard, mix, shingles, words
 
@@ -64,11 +64,33 @@ def banded(items: DataFrame, rows: int) -> DataFrame:
     return items.select("id", "sketch").mapInArrow(run, "id long, bands array<long>")
 
 
+def texts_of(ids: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the asked classes, from the document that stands for each; a repeated doc_id gives several rows."""
+    asked = ids.join(items.select(F.col("id").alias("item"), "doc"), F.col("id") == F.col("item")).select("id", "doc")
+    return docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(asked, F.col("d") == F.col("doc")).select("id", "text")
+
+
+def short_sets(ids: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, short): the shortened shingle sets of the asked classes."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                wanted, got, short = batch.column(0).to_numpy(), [], []
+                for first, values, begin in shingle_sets(batch.column(1)):
+                    names = set_keys(values, begin)
+                    for j in np.flatnonzero(names == wanted[first : first + len(names)]):
+                        got.append(names[j])
+                        short.append(shorten(values[begin[j] : begin[j + 1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(short, pa.binary())], names=["id", "short"])
+
+    return texts_of(ids, items, docs).mapInArrow(run, "id long, short binary").dropDuplicates(["id"])
+
+
 def verify_documents(pairs: DataFrame, items: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold. Only texts that are in a pair are moved."""
-    where = items.select(F.col("id"), "doc")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(where, "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(asked, "doc").select("id", "text")
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), items, docs)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
@@ -108,7 +130,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     usable = sketched.filter("name is not null and doc_id is not null")
     first = usable.groupBy(F.col("name").alias("id")).agg(F.min(F.struct("doc_id", "n", "sketch")).alias("first"))
     items = shelf.put(first.select("id", "first.n", "first.sketch", F.col("first.doc_id").alias("doc")), "items")
-    roots = link(items, banded(items, rows), shelf, setsketch.compare, np.uint16, lambda pairs: verify_documents(pairs, items, docs, threshold), threshold, CUT, LEAST_EQUAL)
+    roots = link(items, banded(items, rows), shelf, setsketch.compare, np.uint16, lambda pairs: verify_documents(pairs, items, docs, threshold), lambda ids: short_sets(ids, items, docs), threshold, CUT, LEAST_EQUAL)
     rooted = items.select("id", "doc").join(roots, items["id"] == roots["node"], "left").select("id", "doc", F.coalesce("root", "id").alias("root"))
     names = rooted.groupBy(F.col("root").alias("class")).agg(F.min("doc").alias("component"))
     known = shelf.put(rooted.join(names, rooted["root"] == names["class"]).select(F.col("id").alias("set_id"), "component"), "classes")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import setsketch
-from quillon.llm.buckets import link, sketch_matrix
+from quillon.llm.buckets import link, shorten, sketch_matrix
 from quillon.llm.common import Shelf, slices, text_buffer
 from quillon.llm.neardup import set_keys
 from quillon.llm.shingles import distinct, jaccard, mix, shingles, words
@@ -146,6 +146,13 @@ def repeated(docs: DataFrame, shelf: Shelf, threshold: float = THRESHOLD) -> Dat
     places = all_places.select("doc_id", "text_hash", "pos", "name")
     at = items.select("id", "first.doc_id", "first.text_hash", "first.pos")
 
+    def load(ids: DataFrame) -> DataFrame:
+        def pack(ids, texts):
+            for a, values, begin in text_sets(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + len(begin) - 1], pa.int64()), pa.array([shorten(values[begin[j] : begin[j + 1]]) for j in range(len(begin) - 1)], pa.binary())], names=["id", "short"])
+
+        return extract(docs, at.join(ids.select(F.col("id").alias("p")), F.col("id") == F.col("p")).drop("p"), pack, "id long, short binary").dropDuplicates(["id"])
+
     def verify(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("p")).union(pairs.select(F.col("b").alias("p"))).distinct()
         wanted = at.join(asked, at["id"] == asked["p"]).select("id", "doc_id", "text_hash", "pos")
@@ -167,7 +174,7 @@ def repeated(docs: DataFrame, shelf: Shelf, threshold: float = THRESHOLD) -> Dat
 
         return both.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
-    roots = link(items.select("id", "n", "sketch"), banded(items, per_band), shelf, compare, np.uint16, verify, threshold, CUT, CUT)
+    roots = link(items.select("id", "n", "sketch"), banded(items, per_band), shelf, compare, np.uint16, verify, load, threshold, CUT, CUT)
     rooted = items.join(roots, items["id"] == roots["node"], "left").select("id", "first", "rows", F.coalesce("root", "id").alias("root"))
     groups = rooted.groupBy(F.col("root").alias("group")).agg(F.min("first").alias("kept"), F.sum("rows").alias("all")).filter("all > 1")
     again = shelf.put(rooted.join(groups, rooted["root"] == groups["group"]).select(F.col("id").alias("set_id"), "kept"), "again")

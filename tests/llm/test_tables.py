@@ -89,7 +89,7 @@ def test_components_agree_for_rounds_and_one_step(spark):
 
 def test_bucket_offers_reach_every_partner_in_turn():
     n = 60
-    members = [np.arange(n), np.arange(n), np.full(n, 100), np.zeros((n, 8), np.uint16)]
+    members = [np.arange(n), np.arange(n), np.full(n, 100), np.zeros((n, 8), np.uint16), np.array([buckets.shorten(np.arange(100, dtype=np.uint64))] * n, object)]
     seen, low, high = set(), 0, 4
     while True:
         a, b = buckets._offers(members, members, lambda x, y, *_: np.ones(len(x)), np.uint16, 0.75, 0.5, 0.5, low, high)
@@ -100,6 +100,18 @@ def test_bucket_offers_reach_every_partner_in_turn():
     assert seen == {(x, y) for x in range(n) for y in range(n) if x != y}
 
 
+def test_bound_refuses_no_pair_that_reaches_the_threshold():
+    rng = np.random.default_rng(3)
+    for size in (40, 1990, 2600, 30_000):
+        x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        ys = [np.unique(np.concatenate([x[: int(len(x) * share)], rng.integers(0, 2**63, len(x) - int(len(x) * share), dtype=np.uint64)])) for share in (0.3, 0.84, 0.87, 1.0)]
+        got = buckets.able_to_reach(buckets.shorten(x), len(x), [buckets.shorten(y) for y in ys], np.array([len(y) for y in ys]), 0.75)
+        for y, g in zip(ys, got):
+            common = len(np.intersect1d(x, y))
+            assert g or 100 * common < 75 * (len(x) + len(y) - common)
+        assert not got[0] or size == 2600
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 300_000 + "\r\n\r\nWARC/1.1\r\n"
     rows = [(5, "u5", "same"), (3, "u3", "same"), (9, None, "same"), (1, "u1", None), (2, "u2\nx", ""), (4, "u4", big), (6, "u6", "one"), (6, "u6", "one"), (None, "u", "same"), (None, "u", "alone")]
