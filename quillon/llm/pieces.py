@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.llm.shingles import mix, powers
 
 SPACE, MARK, NEWLINE, NONE = 32, 0x2581, 10, 0x110000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 3_000_000
 STEPS = mix(np.arange(1, 4097, dtype=np.uint64))
 SCHEMA = "sample int, ids array<int>, n_pieces int, log_prob double, score double, inclusion double, round_trip boolean"
 
@@ -109,10 +109,7 @@ class Lattices:
         c[c == SPACE] = MARK
         c[literal] = NONE
         left = np.repeat(begin[1:], size) - np.arange(len(c))
-        self.width = max(pieces.table)
-        self.ids = np.full((len(c), self.width), -1, np.int32)
-        self.logp = np.full((len(c), self.width), -np.inf, np.float32)
-        sums = poly(c)
+        sums, found = poly(c), []
         for k, (hashes, ids, filled) in pieces.table.items():
             i = np.flatnonzero(left >= k)
             h = (sums[i + k] - sums[i]) * down[i]
@@ -120,7 +117,13 @@ class Lattices:
             i, h = i[some], h[some]
             p = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = hashes[p] == h
-            i, p = i[hit], ids[p[hit]]
+            if hit.any():
+                found.append((k, i[hit], ids[p[hit]]))
+        # As wide as the longest piece that occurs.
+        self.width = max([k for k, _, _ in found], default=1)
+        self.ids = np.full((len(c), self.width), -1, np.int32)
+        self.logp = np.full((len(c), self.width), -np.inf, np.float32)
+        for k, i, p in found:
             self.ids[i, k - 1] = p
             self.logp[i, k - 1] = pieces.weight[p]
         # Characters without a piece: their ids are -2, -3, ... into ``raw``.
@@ -146,6 +149,7 @@ class Lattices:
             total[some] = all_
             self.logp[some, :k] = value - all_[:, None]
         self.cum = np.cumsum(np.exp(self.logp), axis=1, dtype=np.float32)
+        self.lone = np.count_nonzero(np.isfinite(self.logp), axis=1) == 1  # rows with one edge
 
     def follow(self, seed: np.ndarray, cur: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a segmentation of the rest [cur, end) of each unit; the edges' codes in order, and which unit each is of."""
@@ -202,12 +206,20 @@ def truncated(loc: np.ndarray, limit: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(loc), -np.inf, np.minimum(out, limit))
 
 
-def best_steps(values: np.ndarray, doc: np.ndarray, most: int):
-    """The ``most`` largest values of each document (doc is sorted), as positions."""
-    order = np.lexsort((-values, doc))
-    starts = np.flatnonzero(np.diff(doc, prepend=-1))
-    rank = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc))))
-    return order[(rank < most) & ~np.isneginf(values[order])]
+def best_steps(values: np.ndarray, begin: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the ``most`` largest values of each document (begin has where each one's begin; none is empty), document by document."""
+    left, found = values.copy(), []
+    size = np.diff(begin)
+    for _ in range(min(most, int(size.max(initial=0)))):
+        high = np.maximum.reduceat(left, begin[:-1])
+        at = np.flatnonzero((left == np.repeat(high, size)) & ~np.isneginf(left))
+        doc = np.searchsorted(begin, at, side="right") - 1
+        at = at[np.flatnonzero(np.diff(doc, prepend=-1))]  # of equal values the first
+        if not len(at):
+            break
+        found.append(at)
+        left[at] = -np.inf
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def sample(lat: Lattices, unit_at: np.ndarray, seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -234,16 +246,19 @@ def sample(lat: Lattices, unit_at: np.ndarray, seeds: np.ndarray, k: int) -> lis
         before = base[doc_of] + runs[:-1] - runs[begin[doc_of]]
         with np.errstate(divide="ignore"):
             aside = np.log(np.maximum(-np.expm1(np.minimum(logp, 0.0)), 0.0))
-            sure = np.flatnonzero(logp > -1e-3)  # there, add up the sisters instead
+            close = np.flatnonzero(logp > -1e-3)  # there, add up the sisters instead, if there are any
+            alone = lat.lone[codes[close] // lat.width]
+            aside[close[alone]] = -np.inf
+            sure = close[~alone]
             sisters = np.exp(lat.logp[codes[sure] // lat.width].astype(np.float64))
             sisters[np.arange(len(sure)), codes[sure] % lat.width] = 0.0
             aside[sure] = np.log(sisters.sum(axis=1))
         loc = before + aside
         if skip:
             loc[begin[:-1]] = -np.inf  # the parent keeps what the branching step leaves aside
-        e = exponential(seeds[[d[0] for d in docs]][doc_of] ^ mix((np.arange(len(codes)) - begin[doc_of] + turn * 1_000_003 + 7).astype(np.uint64)))
+        e = exponential(seeds[np.array([d[0] for d in docs])][doc_of] ^ mix((np.arange(len(codes)) - begin[doc_of] + turn * 1_000_003 + 7).astype(np.uint64)))
         gumbel = truncated(loc, values[doc_of], e)
-        for j in best_steps(gumbel, doc_of, k + 1):
+        for j in best_steps(gumbel, begin, k + 1).tolist():
             i = doc_of[j]
             d, p, s, _ = docs[i]
             heapq.heappush(queues[d], (-gumbel[j], len(paths[d]), s + int(j - begin[i]), (int(codes[j]),)))
