@@ -56,10 +56,24 @@ def op4(spark, sf):
     return cleaned.select("doc_id", "text", "n_removed", "removed", "repeats_of")
 
 
-@query("op5_warc_normalise")
+@query(
+    "op5_warc_normalise",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY s, n) AS first FROM d),
+    -- base32: five hexadecimal digits are four letters
+    b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(s, (1 + 5 * i)::INTEGER, 5))::BIGINT) AS w FROM f)
+    SELECT page_id, n AS payload_bytes,
+      list_aggregate(list_transform(w, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 32768 + 1)::INTEGER, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 1024 % 32 + 1)::INTEGER, 1)
+        || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 32 % 32 + 1)::INTEGER, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x % 32 + 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM b
+    """,
+)
 def op5(spark, sf):
     index = warc.archive_pages(table(spark, sf, "pages"))
-    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op6_quality_rules")
@@ -76,7 +90,23 @@ def op8(spark, sf):
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
-@query("op10_near_duplicates")
+@query(
+    "op10_near_duplicates",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS x
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    out AS (SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id)
+    SELECT *, doc_id = component_id AS kept FROM out
+    """,
+)
 def op10(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
