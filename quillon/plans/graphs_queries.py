@@ -194,10 +194,15 @@ def geodesics(spark, sf):
     return _r(graph.geodesics(g, lm, require_connected=False), 6, "d")
 
 
-@query("fermat_geodesics")
+@query("fermat_geodesics", f"""
+with recursive {KNN}{_SYM.replace('rank <= 10', 'rank <= 15')}, lm as (select vec_id as landmark from embeddings order by {h32(5, 'vec_id')}, vec_id limit 3),
+p as (select landmark, landmark as node, 0.0::DOUBLE as d, 0 as hop from lm
+  union all select landmark, node, min(d), any_value(hop) from (select p.landmark, g.v as node, p.d + g.w * g.w as d, p.hop + 1 as hop from p join g on g.u = p.node where p.hop < 12) group by 1, 2),
+b as (select landmark, node, min(d) as d from p group by 1, 2)
+select landmark, node, round(d, 6) as d from b""")
 def fermat_geodesics(spark, sf):
     lm = ranking.sample_n(emb(spark, sf).select("vec_id"), "vec_id", 3, 5)
-    return graph.geodesics(graph.symmetrise(edges(spark, sf, 15)), lm, power=2, require_connected=False)
+    return _r(graph.geodesics(graph.symmetrise(edges(spark, sf, 15)), lm, power=2, require_connected=False), 6, "d")
 
 
 @query("diffusion_map")
