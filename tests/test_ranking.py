@@ -15,7 +15,7 @@ def skewed(spark):
 @pytest.mark.parametrize("split", [False, True])
 def test_ranks_and_quantiles_match_numpy(spark, skewed, split):
     df, rows = skewed
-    spark.conf.set("spark.quillon.rangeRows", "0" if split else "100000")
+    spark.conf.set("spark.quillon.rangeRows", "37" if split else "100000")
     for g in ("hot", "cold"):
         v = np.array([r[2] for r in rows if r[1] == g])
         got = {r["x"]: r["avg_rank"] for r in ranking.average_ranks(df, "x", ["g"]).where(F.col("g") == g).collect()}
@@ -36,7 +36,7 @@ def test_weighted_quantile_both_plans(spark, skewed):
     df, _ = skewed
     w = F.col("id") % 4
     a = ranking.quantiles(df, "x", [0.5], ["g"], weight=w).orderBy("g").collect()
-    spark.conf.set("spark.quillon.rangeRows", "0")
+    spark.conf.set("spark.quillon.rangeRows", "37")
     b = ranking.quantiles(df, "x", [0.5], ["g"], weight=w).orderBy("g").collect()
     spark.conf.unset("spark.quillon.rangeRows")
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
@@ -45,7 +45,7 @@ def test_weighted_quantile_both_plans(spark, skewed):
 def test_hash_order_is_the_same_in_both_plans(spark, skewed):
     df, rows = skewed
     a = {r["id"]: r["rn"] for r in ranking.hash_order(df, "id", 5, ["g"]).collect()}
-    spark.conf.set("spark.quillon.rangeRows", "0")
+    spark.conf.set("spark.quillon.rangeRows", "37")
     b = {r["id"]: r["rn"] for r in ranking.hash_order(df, "id", 5, ["g"]).collect()}
     spark.conf.unset("spark.quillon.rangeRows")
     assert a == b and len(a) == len(rows)
