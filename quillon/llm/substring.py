@@ -18,6 +18,8 @@ THRESHOLD = 0.75
 MISS = 3e-4
 # Paragraphs of fewer words are left alone.
 LEAST_WORDS = 20
+# A passage ends at a word whose hash is the least of REACH words before and after it.
+REACH = 5
 # Estimates below this are not verified.
 CUT = 0.5
 STEP = 1 << 15
@@ -182,41 +184,128 @@ def repeated(docs: DataFrame, shelf: Shelf, threshold: float = THRESHOLD) -> Dat
     return hits.distinct().select("doc_id", "text_hash", "pos", F.col("kept.doc_id").alias("first_doc"), F.col("kept.pos").alias("first_pos"))
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def passages(data: np.ndarray, offsets: np.ndarray):
+    """Content-defined passages of the lines of LEAST_WORDS words or more: (text, first word in the text, name, first byte, past-the-last byte).
+
+    Where a run of words is cut depends on the REACH words around each place only, so that a run which two texts share
+    falls into the same passages in both, but for its ends, whatever stands around it.
+    """
+    _, hashes, starts = paragraphs(data, offsets)
+    _, first, last, of_text = words(data, offsets)
+    n = len(hashes)
+    if not n:
+        return [np.zeros(0, np.int64)] * 5
+    h = mix(hashes + (np.concatenate([hashes[1:], hashes[:1]]) >> np.uint64(1)))
+    cut = np.ones(n, bool)
+    for d in range(1, REACH + 1):
+        cut[d:] &= h[d:] < h[:-d]
+        cut[:-d] &= h[:-d] <= h[d:]
+    edges = np.unique(np.concatenate([np.flatnonzero(cut) + 1, starts]))
+    line = np.searchsorted(starts, edges[:-1], side="right") - 1
+    whole = (edges[:-1] > starts[line]) & (edges[1:] < starts[line + 1])  # the ends of a line are no passages
+    keep = np.flatnonzero(whole & (np.diff(starts)[line] >= LEAST_WORDS) & (np.diff(edges) > REACH))
+    a, b = edges[:-1][keep], edges[1:][keep]
+    powers_ = mix(np.arange(n, dtype=np.uint64) - np.repeat(edges[:-1], np.diff(edges)).astype(np.uint64) + np.uint64(1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ powers_), dtype=np.uint64)])
+    names = mix(sums[b] - sums[a]).view(np.int64)
+    text = np.searchsorted(of_text, a, side="right") - 1
+    return text, a - of_text[text], names, first[a], last[b - 1]
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, names, first_docs): passages that stand word for word in a place before, by (doc_id, word)."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            for a, b in slices(offsets):
+                text, start, name, _, _ = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + text)), pa.array(start.astype(np.int32)), pa.array(name)], names=["doc_id", "start", "name"])
+
+    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start int, name long")
+    place = F.struct("doc_id", "start")
+    groups = found.groupBy(F.col("name").alias("group")).agg(F.min(place).alias("kept"), F.count("*").alias("rows")).filter("rows > 1")
+    hits = found.join(groups, found["name"] == groups["group"]).filter(place != F.col("kept"))
+    return hits.select("doc_id", "start", "name", F.col("kept.doc_id").alias("first_doc"))
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, inner: bool = True) -> DataFrame:
     """The input's columns, with repeated paragraphs cut out of ``text``, and n_removed, removed, repeats_of.
 
     A paragraph is a line of LEAST_WORDS words or more. One that repeats another (Jaccard similarity of five-word
-    shingle sets of ``threshold`` or more, over links) is removed everywhere but at the smallest (doc_id, text_hash, position);
-    shorter lines and all other text stay as they are. removed has (start, stop, first_doc) per cut passage, in characters of the
-    input's text; repeats_of lists the documents that keep the passages. A null text stays null; rows
-    repeated whole are cut alike; a null doc_id comes before all others. Input columns of the three names are replaced.
+    shingle sets of ``threshold`` or more, over links) is removed everywhere but at the smallest (doc_id, text_hash, position).
+    With ``inner``, passages within such lines that stand word for word at a smaller (doc_id, word) are cut out as well, so that a run of words that
+    two lines share is broken also where the lines as a whole differ; places are compared over the whole input, also where a line
+    goes as a near copy of another. Shorter lines and all other text stay as they are. removed has (start, stop, first_doc) per cut
+    piece, in characters of the input's text; repeats_of lists the documents that keep them. A null text stays null; rows
+    repeated whole are cut alike; a null doc_id comes before all others and its inner passages stay. Input columns of the three names are replaced.
     """
     shelf = Shelf(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_removed", "removed", "repeats_of")]
     docs = docs.select(*columns)
-    cuts = repeated(docs, shelf, threshold).groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.collect_list(F.struct("pos", "first_doc")).alias("__cuts"))
+    piece = lambda at, name: F.struct(F.col(at).alias("at"), F.col(name).alias("name") if name else F.lit(None).cast("long").alias("name"), "first_doc")
+    hits = repeated(docs, shelf, threshold).select("doc_id", "text_hash", piece("pos", None).alias("cut"))
+    cuts = hits.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.collect_list("cut").alias("__cuts"))
+    cuts = shelf.put(cuts, "cuts")
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    rows = rows.join(cuts, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").select(*columns, "__cuts")
+    more = None
+    if inner:
+        more = repeated_passages(docs).groupBy(F.col("doc_id").alias("__e")).agg(F.collect_list(piece("start", "name")).alias("__more"))
+        more = shelf.put(more, "passages")
+    shelf.drop(*[t for t, _ in list(shelf.paths.values()) if t is not cuts and t is not more])
+    lines = cuts.select(F.col("__d").alias("d1"), "__h", "__cuts")
+    rows = rows.join(lines, F.col("__id").eqNullSafe(F.col("d1")) & (F.col("__hash") == F.col("__h")), "left")
+    rows = rows.join(more, F.col("__id") == F.col("__e"), "left").select(*columns, "__cuts", "__more") if inner else rows.select(*columns, "__cuts", F.lit(None).cast("array<struct<at:int,name:bigint,first_doc:bigint>>").alias("__more"))
     at = columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
+    def spans_of(text: str, cut, more) -> list[tuple[int, int, int | None]]:
+        """Byte ranges to cut: whole lines with their line end, and passages that are still in the others."""
+        raw, spans, place = text.encode(), [], 0
+        drop = {c["at"]: c["first_doc"] for c in cut or []}
+        if drop:
+            for k, line in enumerate(raw.split(b"\n")):
+                if k in drop:
+                    spans.append((place, place + len(line), drop[k]))
+                place += len(line) + 1
+        if more:
+            data = np.frombuffer(raw, np.uint8)
+            _, start, name, first, last = passages(data, np.array([0, len(data)]))
+            there = dict(zip(zip(start.tolist(), name.tolist()), zip(first.tolist(), last.tolist())))
+            lines = sorted(spans)
+            edges = np.array([x[0] for x in lines], np.int64)
+            for c in more:
+                span = there.get((c["at"], c["name"]))  # else a passage of another text with this doc_id
+                if span:
+                    i = int(np.searchsorted(edges, span[0], side="right")) - 1
+                    if i < 0 or lines[i][1] <= span[0]:
+                        spans.append((*span, c["first_doc"]))
+        return sorted(spans, key=lambda x: x[:2])
+
     def run(batches):
         for batch in batches:
             texts, removed = batch.column(at).to_pylist(), []
-            for i, cut in enumerate(batch.column(len(columns)).to_pylist()):
-                spans = []
-                if cut and texts[i] is not None:
-                    drop = {c["pos"]: c["first_doc"] for c in cut}
-                    lines, kept, place = texts[i].split("\n"), [], 0
-                    for k, line in enumerate(lines):
-                        if k in drop:
-                            spans.append({"start": place, "stop": place + len(line), "first_doc": drop[k]})
-                        else:
-                            kept.append(line)
-                        place += len(line) + 1
-                    texts[i] = "\n".join(kept)
-                removed.append(spans)
-            arrays = list(batch.columns[:-1])
+            for i, (cut, more) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist())):
+                spans = spans_of(texts[i], cut, more) if texts[i] is not None and (cut or more) else []
+                if spans:
+                    raw, kept, place, chars = texts[i].encode(), [], 0, []
+                    whole, done = {c["at"] for c in cut or []}, 0
+                    for a, b, d in spans:
+                        done += len(raw[place:a].decode())
+                        n = len(raw[a:b].decode())
+                        chars.append({"start": done, "stop": done + n, "first_doc": d})
+                        done += n
+                        kept.append(raw[place:a])
+                        place = b
+                    kept.append(raw[place:])
+                    joined = b"".join(kept).decode()
+                    if whole:  # a line that went takes its line end along
+                        joined = "\n".join(x for k, x in enumerate(joined.split("\n")) if k not in whole)
+                    texts[i] = joined
+                    removed.append(chars)
+                else:
+                    removed.append([])
+            arrays = list(batch.columns[:-2])
             arrays[at] = pa.array(texts, batch.schema.field(at).type)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("first_doc", pa.int64())]))
             arrays += [pa.array([len(r) for r in removed], pa.int32()), pa.array(removed, kind), pa.array([sorted({x["first_doc"] for x in r if x["first_doc"] is not None}) for r in removed], pa.list_(pa.int64()))]

@@ -108,7 +108,7 @@ def test_empty_tables(spark, docs):
 
 def test_substring_removals_match_brute_force(spark, docs):
     rows = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect() if r["text"]})
-    got = {(r["doc_id"], r["n_removed"], r["text"]) for r in substring.deduplicate(docs).collect()}
+    got = {(r["doc_id"], r["n_removed"], r["text"]) for r in substring.deduplicate(docs, inner=False).collect()}
     hashes = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
     paras = [((d, i, hashes[(i if d else None, t)], p), shingle_set(x)) for d, i, t in rows for p, x in enumerate(t.split("\n")) if len(tokens(x)) >= substring.LEAST_WORDS]
     paras.sort()
@@ -126,7 +126,7 @@ def test_removed_spans_point_at_the_passages(spark, docs):
     before = {(r["doc_id"], r["h"]): r["text"] for r in docs.withColumn("h", F.xxhash64("text")).collect()}
     lines = {x for t in before.values() if t for x in t.split("\n")}
     seen = 0
-    for r in substring.deduplicate(docs.withColumn("h", F.xxhash64("text"))).filter("n_removed > 0").collect():
+    for r in substring.deduplicate(docs.withColumn("h", F.xxhash64("text")), inner=False).filter("n_removed > 0").collect():
         for s in r["removed"]:
             assert before[(r["doc_id"], r["h"])][s["start"] : s["stop"]] in lines
             seen += 1
@@ -229,3 +229,26 @@ def test_samples_follow_the_lattice_and_take_every_segmentation():
     for lp in {round(e[1], 4) for e in every}:
         expected = np.exp(lp) * sum(round(e[1], 4) == lp for e in every)
         assert abs(sum(round(x, 4) == lp for x in first) / 4000 - expected) < 0.03
+
+
+def test_passages_inside_lines_are_cut_once_found_before(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdéfgh") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    shared = [prose(rng, 55, vocabulary) for _ in range(40)]
+    rows, clean = [], {}
+    for i in range(80):
+        rows.append((i, f"{prose(rng, 40, vocabulary)} {shared[i % 40]} {prose(rng, 45, vocabulary)}\nshort line\n{prose(rng, 30, vocabulary)}"))
+    for i in range(100, 140):
+        clean[i] = f"{prose(rng, 120, vocabulary)}\n{prose(rng, 60, vocabulary)}"
+        rows.append((i, clean[i]))
+    out = {r["doc_id"]: r for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    before = dict(rows)
+    assert all(out[i]["text"] == before[i] and out[i]["n_removed"] == 0 for i in [*range(40), *clean])
+    caught = [i for i in range(40, 80) if shared[i - 40] not in out[i]["text"]]
+    assert len(caught) >= 38
+    for i in caught:
+        assert out[i]["repeats_of"] == [i - 40] and all(before[i][s["start"] : s["stop"]] in shared[i - 40] for s in out[i]["removed"])
+        left = before[i]
+        for s in reversed(out[i]["removed"]):
+            left = left[: s["start"]] + left[s["stop"] :]
+        assert left == out[i]["text"]
