@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.runtime import checkpoint_dir
 
 # Bytes of text that one numpy step works on: small enough for the processor's cache, whatever the row count.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 class Shelf:
