@@ -56,6 +56,14 @@ def robust_prune(x: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: f
     return out
 
 
+def dots(x: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Inner products of rows a[i] and b[i] of x; only ``step`` pairs of rows are laid out at once."""
+    out = np.empty(len(a))
+    for s in range(0, len(a), step):
+        out[s : s + step] = np.einsum("ij,ij->i", x[a[s : s + step]], x[b[s : s + step]])
+    return out
+
+
 def nearest(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of every row, nearest first (-1 fills up), block by block."""
     n = len(x)
@@ -82,7 +90,7 @@ def build(x: np.ndarray) -> np.ndarray:
     a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
     both = np.unique(a * len(x) + b)
     a, b = both // len(x), both % len(x)
-    d = np.einsum("ij,ij->i", x[a], x[b])
+    d = dots(x, a, b)
     order = np.lexsort((-d, a))
     a, b = a[order], b[order]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
@@ -99,7 +107,7 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, entry: np.ndarray, querie
     lie in range, until none is left unexpanded. All queries of a block go on together.
     """
     n, found_q, found_v = len(x), [], []
-    block = max(1, (1 << 24) // max(1, n * 8))
+    block = max(1, (1 << 23) // max(1, n * 8))
     for s in range(0, len(queries), block):
         q = queries[s : s + block]
         sim = np.full((len(q), n), -np.inf)
@@ -107,7 +115,7 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, entry: np.ndarray, querie
         row, col = np.repeat(np.arange(len(q)), len(entry)), np.tile(entry, len(q))
         row, col = np.concatenate([row, np.arange(len(q))]), np.concatenate([col, q])
         while len(row):
-            sim[row, col] = np.einsum("ij,ij->i", x[q[row]], x[col])
+            sim[row, col] = dots(x, q[row], col)
             if n > beam:
                 kth = np.partition(sim, n - beam, axis=1)[:, n - beam]
             else:
