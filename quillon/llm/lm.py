@@ -21,8 +21,10 @@ WINDOW = CONTEXT + SCORED
 WIDTH, KNOWN, CLASS = 16, 1024, 32
 # Words counted this often or more are sent to all tasks; the threshold is raised until at most this many are.
 FREQUENT = 200_000
-# Windows of the start model (one training document gives one window; all windows refine it afterwards).
+# Windows of the start model (all windows of all training texts refine it afterwards).
 START_WINDOWS = 8192
+# Windows laid out at once.
+STEP = 8192
 CACHE = 400_000
 
 
@@ -284,64 +286,80 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def training_windows(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """One window per training document, at a place chosen by the text's hash: (h, inputs, targets); equal windows once."""
+    """Every window of every training text: (h, tokens), tokens being the WINDOW inputs and the last target; copies of a text count each.
+
+    h is a number drawn for the window, in the range of a long.
+    """
 
     def run(batches):
         subwords = Subwords(tokenizer)
         ids_of = WordIds(subwords)
-        for batch in batches:
+        for numbers, batch in row_numbers(batches):
             data, offsets = text_buffer(batch.column(0))
-            picks = mix(batch.column(1).to_numpy().view(np.uint64))
             for a, b in slices(offsets):
                 part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 hashes, first, last, starts = words(part, o)
-                # Only WINDOW words around the place are encoded: each is a subword or more.
-                n = np.diff(starts)
-                low = starts[:-1] + (picks[a:b] % np.maximum(n - WINDOW + 1, 1).astype(np.uint64)).astype(np.int64)
-                high = np.minimum(low + WINDOW, starts[1:])
-                at = np.concatenate([np.arange(x, y) for x, y in zip(low, high)]) if len(low) else np.zeros(0, np.int64)
-                begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(high - low)])
-                _, which, ids, id_at = ids_of(part, hashes[at], first[at], last[at])
-                flat, seq = sequences(ids, id_at, which, begin, subwords.end)
-                size = np.diff(seq)
-                per = -(-size // SCORED)
-                # The piece's first window stands for a text's start only where the piece is one.
-                take = np.cumsum(per) - per + np.where((low > starts[:-1]) & (per > 1), 1, 0)
-                inputs, targets, _ = cut_windows(flat, seq, subwords.end, take)
-                inner = high < starts[1:]
-                cut = (targets == subwords.end) & inner[:, None]
-                targets[cut] = -1
-                names = mix((inputs.astype(np.uint64) * mix(np.arange(1, WINDOW + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), *(pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().astype(np.int32))) for m in (inputs, targets))],
-                    names=["h", "inputs", "targets"],
-                )
+                _, which, ids, id_at = ids_of(part, hashes, first, last)
+                flat, begin = sequences(ids, id_at, which, starts, subwords.end)
+                per = -(-np.diff(begin) // SCORED)
+                total, first_of = int(per.sum()), np.cumsum(per) - per
+                drawn = np.repeat(mix(numbers[a:b].astype(np.uint64) + np.uint64(1)), per)
+                drawn = mix(drawn + (np.arange(total) - np.repeat(first_of, per)).astype(np.uint64)).view(np.int64)
+                for s in range(0, total, STEP):
+                    inputs, targets, _ = cut_windows(flat, begin, subwords.end, np.arange(s, min(total, s + STEP)))
+                    tokens = np.concatenate([inputs, targets[:, -1:]], axis=1).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * (WINDOW + 1)), pa.array(tokens.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(drawn[s : s + STEP]), lists], names=["h", "tokens"])
+
+    return docs.filter("train").select("text").mapInArrow(run, "h long, tokens array<int>")
+
+
+def _matrices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of windows: a target is the input after it, and the last target stands for itself."""
+    tokens = column.flatten().to_numpy().reshape(-1, WINDOW + 1).astype(np.int64)
+    return tokens[:, :WINDOW], tokens[:, CONTEXT + 1 :]
+
+
+def count_subwords(windows: DataFrame, vocabulary: int) -> DataFrame:
+    """(id, count): how often each subword is a target, over all windows; a task adds its own up first."""
+
+    def run(batches):
+        counts = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            _, targets = _matrices(batch.column(0))
+            counts += np.bincount(targets[targets >= 0], minlength=vocabulary)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["id", "count"])
 
-    made = docs.filter("train").select("text", F.xxhash64("text").alias("h")).mapInArrow(run, "h long, inputs array<int>, targets array<int>")
-    return made.groupBy("h").agg(F.min(F.struct("inputs", "targets")).alias("w")).select("h", "w.inputs", "w.targets")
+    return windows.select("tokens").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, width).astype(np.int64)
+def start_sample(windows: DataFrame, rows: int = START_WINDOWS) -> pa.Table:
+    """The ``rows`` windows with the smallest h; only about twice as many are put in order, however many there are."""
+    n = windows.count()
+    some = windows
+    if n > 2 * rows:
+        some = windows.filter(F.col("h") < int(-(2**63) + 2**64 * (2 * rows / n)))
+    return some.orderBy("h").limit(rows).select("tokens").toArrow()
 
 
 def train_model(windows: DataFrame, vocabulary: int, rounds: int = 2) -> Attention:
     """Fit on all windows: a start model on a bounded sample, then ``rounds`` of training in tasks and averaging.
 
-    The start model sees the START_WINDOWS windows with the smallest hashes. In a round every task takes the
-    model through its own windows, and the tasks' weights are averaged by their window counts; the sums are made by Spark.
+    The start model, and nothing else, sees START_WINDOWS windows at most. In a round, which is run whatever the size, every task
+    takes the model through all of its own windows, and the tasks' weights are averaged by their window counts; the
+    sums are made by Spark. Subwords are counted over all windows, thus over all training text.
     """
     spark = windows.sparkSession
-    used = windows.select(F.explode("targets").alias("id")).filter("id >= 0").groupBy("id").count()
     counts = np.zeros(vocabulary)
-    for r in local_rows(used, vocabulary):
+    for r in local_rows(count_subwords(windows, vocabulary), vocabulary):
         counts[r["id"]] = r["count"]
     model = Attention(counts)
-    start = windows.orderBy("h").limit(START_WINDOWS).toArrow()
+    start = start_sample(windows)
     if start.num_rows:
-        inputs, targets = (_matrix(start.column(c).combine_chunks(), n) for c, n in (("inputs", WINDOW), ("targets", SCORED)))
+        inputs, targets = _matrices(start.column(0).combine_chunks())
         model.train(model.tokens(inputs), model.tokens(targets), epochs=6, rate=0.01)
-    for r in range(rounds if start.num_rows == START_WINDOWS else 0):
+    for r in range(rounds if start.num_rows else 0):
         bc = spark.sparkContext.broadcast(model)
 
         def run(batches, bc=bc, r=r):
@@ -351,13 +369,14 @@ def train_model(windows: DataFrame, vocabulary: int, rounds: int = 2) -> Attenti
             n = 0
             for batch in batches:
                 if batch.num_rows:
-                    own.train(own.tokens(_matrix(batch.column(0), WINDOW)), own.tokens(_matrix(batch.column(1), SCORED)), 1, 0.003 / (r + 1))
+                    inputs, targets = _matrices(batch.column(0))
+                    own.train(own.tokens(inputs), own.tokens(targets), 1, 0.003 / (r + 1))
                     n += batch.num_rows
             if n:
                 w = own.flat().astype(np.float64) * n
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w), pa.array(np.full(len(w), n))], names=["at", "sum", "n"])
 
-        parts = windows.select("inputs", "targets").mapInArrow(run, "at int, sum double, n long")
+        parts = windows.select("tokens").mapInArrow(run, "at int, sum double, n long")
         mean = parts.groupBy("at").agg((F.sum("sum") / F.sum("n")).alias("mean")).orderBy("at").toArrow()
         model.load(mean.column("mean").to_numpy())
         bc.unpersist()

@@ -174,6 +174,22 @@ def test_windows_score_each_token_once():
     assert second[: lm.CONTEXT].tolist() == flat[1 + lm.SCORED - lm.CONTEXT - 1 : 1 + lm.SCORED - 1].tolist()
 
 
+def test_lm_trains_on_every_window_of_every_training_text(spark, monkeypatch):
+    late = " ".join(["late"] * 50)
+    rows = [(0, " ".join(f"w{i}" for i in range(400)) + " " + late, True), (1, "same words", True), (2, "same words", True), (3, None, True), (4, "held out " * 99, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    sub = lm.Subwords(lm.default_tokenizer())
+    want = Counter(x for _, t, train in rows if train for x in [*(i for w in (t or "").split() for i in sub.encode(w)), sub.end])
+    windows = lm.training_windows(df, lm.default_tokenizer()).cache()
+    got = Counter(x for r in windows.collect() for x in r["tokens"][lm.CONTEXT + 1 :] if x >= 0)
+    assert got == want and {r["id"]: r["count"] for r in lm.count_subwords(windows, sub.size).collect()} == want
+    assert lm.start_sample(windows, 3).num_rows == 3
+    trained, whole = [], lm.Attention.train
+    monkeypatch.setattr(lm.Attention, "train", lambda self, i, t, *a, **b: trained.append(len(i)) or whole(self, i, t, *a, **b))
+    still, moved = lm.train_model(windows, sub.size, rounds=0), lm.train_model(windows, sub.size)
+    assert trained[0] == windows.count() and not np.allclose(still.flat(), moved.flat())  # rounds are run on few windows, too
+
+
 def test_gradients_and_masking():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 50, 1500).astype(float)
