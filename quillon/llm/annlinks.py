@@ -21,6 +21,8 @@ OVERLAP = 2
 CANDIDATES, DEGREE, ALPHA = 48, 24, 1.2
 # Search: width of the beam, and the share of audited links that a search must find before a wider beam is tried.
 BEAM, AUDIT_ROWS, RECALL = 16, 64, 0.999
+# Vertices, about, whose links are counted against all rows of their labels.
+AUDIT = 512
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -175,17 +177,40 @@ def _centres(vectors: DataFrame, shard_rows: int) -> dict[tuple[int, int], np.nd
     return out
 
 
+def reach(x: np.ndarray, c: np.ndarray, threshold: float, step: int = 512):
+    """(home, row, shard): each unit row's nearest centre, and the other centres whose nearest rows can be in range of it.
+
+    A row u whose nearest centre is s lies on the side of s of the plane between s and the centre h of x. If u is within
+    the angle acos(threshold) of x, the sine of x's own angle to that plane is sin(acos(threshold)) at most, or x is on the side of s, too.
+    """
+    limit = (1 - threshold * threshold) ** 0.5 if threshold > 0 else 2.0
+    home, row, shard = np.zeros(len(x), np.int64), [], []
+    for i in range(0, len(x), step):
+        sim = x[i : i + step] @ c.T
+        home[i : i + step] = h = np.argsort(-sim, axis=1, kind="stable")[:, 0]
+        apart = np.sqrt(np.maximum(0.0, (c[h] ** 2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * c[h] @ c.T))
+        near = sim[np.arange(len(h)), h][:, None] - sim <= limit * apart + 1e-6
+        near[np.arange(len(h)), h] = False
+        r, s = np.nonzero(near)
+        row.append(i + r)
+        shard.append(s)
+    return home, np.concatenate([np.zeros(0, np.int64), *row]), np.concatenate([np.zeros(0, np.int64), *shard])
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", column: str = "embedding", label: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, audit_links, audit_found.
 
     Vectors link when labels are equal and not null and their cosine, in double precision, reaches the threshold. Equal vectors of a
     label are one vertex from the start. Vertices are dealt to overlapping shards around centres (fitted on a bounded sample);
     each shard builds a robust-pruned graph. The shards' adjacency lists are united per vertex; every shard then searches, for each
-    of its vertices, through the united lists of its members, and verifies what it finds. A pair that two shards hold counts
-    in one of them only. Over-full shards are cut into parts by hash, and their vertices search every part. Only counts
-    and a spanning forest of the links leave a task, so a tight group of thousands gives thousands of rows.
-    Searches of some vertices are audited against all of the part; a part whose recall is short is searched with
-    a beam twice as wide, and in the end against all of it: audit_links and audit_found tell what the audit of a vertex's last search saw (0 where it was not audited).
+    of its vertices, through the united lists of its members. Over-full shards are cut into parts by hash. All other parts where a
+    vertex can have links are compared with it block by block: parts of its own shards, and every shard that the plane between its
+    nearest centre and the shard's does not rule out (see ``reach``). No pair is lost between shards; on vectors without clusters
+    little is ruled out, and the work is that of all pairs of a label. A pair counts in the shard of the found vertex's nearest
+    centre only. Only counts and a spanning forest of the links leave a task, so a tight group of thousands gives thousands of rows.
+    Searches of some vertices are checked against all of the part; a part whose recall is short is searched with
+    a beam twice as wide, and in the end against all of it. audit_links is the number of links that about AUDIT hashed vertices have among
+    all rows of their labels, and audit_found what the search counted for them (0 for vertices that are not audited).
     Vectors that are null, zero or hold null or non-finite components, and null labels or ids, link with nothing;
     vectors of different widths do not link. Rows that repeat an id are one vertex each by their vector; component_id is the
     smallest id of the component.
@@ -206,19 +231,30 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
             labels, widths = t.column("label").to_numpy(), t.column("width").to_numpy()
             shards = np.full((t.num_rows, OVERLAP), -1, np.int64)
             shards[:, 0] = 0
+            row, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for (la, w), c in centres.value.items():
                 mine = np.flatnonzero((labels == la) & (widths == w))
                 if len(mine):
-                    sim = unit_rows(t.column("v").take(pa.array(mine))) @ c.T
+                    x = unit_rows(t.column("v").take(pa.array(mine)))
                     k = min(OVERLAP, len(c))
-                    shards[mine[:, None], np.arange(k)] = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                    for i in range(0, len(x), 512):
+                        shards[mine[i : i + 512][:, None], np.arange(k)] = np.argsort(-(x[i : i + 512] @ c.T), axis=1, kind="stable")[:, :k]
+                    _, r, s = reach(x, c, threshold)
+                    row.append(mine[r])
+                    other.append(s)
+            row, other = np.concatenate(row), np.concatenate(other)
+            more = (shards[row] != other[:, None]).all(axis=1)
+            row, other = row[more], other[more]
+            order = np.argsort(row, kind="stable")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(t.num_rows + 1, dtype=np.int32) * OVERLAP), pa.array(shards.ravel()))
-            yield pa.RecordBatch.from_arrays([*t.columns, lists], names=[*t.schema.names, "shards"])
+            others = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(t.num_rows + 1)).astype(np.int32)), pa.array(other[order]))
+            yield pa.RecordBatch.from_arrays([*t.columns, lists, others], names=[*t.schema.names, "shards", "others"])
 
-    dealt = points.select("id", "weight", "label", "width", "v").mapInArrow(deal, "id long, weight long, label long, width int, v array<double>, shards array<long>")
+    dealt = points.select("id", "weight", "label", "width", "v").mapInArrow(deal, "id long, weight long, label long, width int, v array<double>, shards array<long>, others array<long>")
     dealt = shelf.put(dealt, "dealt")
-    members = dealt.select("*", F.explode(F.filter("shards", lambda x: x >= 0)).alias("shard"))
+    members = dealt.drop("others").select("*", F.explode(F.filter("shards", lambda x: x >= 0)).alias("shard"))
     sizes = members.groupBy(F.col("label").alias("l_"), F.col("width").alias("w_"), F.col("shard").alias("s_")).agg(F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("parts"))
+    sizes = shelf.put(sizes, "sizes")
     placed = members.join(sizes, (F.col("label") == F.col("l_")) & (F.col("width") == F.col("w_")) & (F.col("shard") == F.col("s_"))).drop("l_", "w_", "s_")
     placed = shelf.put(placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "placed")
     by = ["label", "width", "shard", "part"]
@@ -232,85 +268,82 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     graph = placed.select(*by, "id", "v").groupBy(*by).applyInArrow(edges, "id long, to array<long>")
     graph = shelf.put(graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")), "graph")
     held = placed.join(graph.withColumnRenamed("id", "g_id"), F.col("id") == F.col("g_id")).select(*by, "id", "weight", "v", "shards", "to")
-    asks = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*[F.col(c).alias(c) for c in [*by, "id", "weight", "v", "shards"]])
 
-    def search(key_, q, t):
+    def search(key_, t):
         shard = key_[2].as_py()
         ids, weight = t.column("id").to_numpy(), t.column("weight").to_numpy()
         x = unit_rows(t.column("v").combine_chunks())
-        qids = q.column("id").to_numpy()
         order = np.argsort(ids)
-        place = np.minimum(np.searchsorted(ids[order], qids), len(ids) - 1)
-        inside = ids[order][place] == qids
-        # Queries of other parts are put behind the members: they have edges to their nearest medoids only.
-        extra = np.flatnonzero(~inside)
-        full = np.concatenate([x, unit_rows(q.column("v").combine_chunks().take(pa.array(extra)))]) if len(extra) else x
-        at = np.empty(len(qids), np.int64)
-        at[inside] = order[place[inside]]
-        at[extra] = len(ids) + np.arange(len(extra))
         to = t.column("to").combine_chunks()
         src, dst = np.repeat(np.arange(len(ids)), np.diff(np.asarray(to.offsets))), to.flatten().to_numpy()
         p = np.minimum(np.searchsorted(ids[order], dst), len(ids) - 1)
         here = ids[order][p] == dst
         src, dst = src[here], order[p[here]]
         rank = np.arange(len(src)) - np.searchsorted(src, src)
-        adjacency = np.full((len(full), max(1, int(rank.max(initial=0)) + 1)), -1, np.int64)
+        adjacency = np.full((len(ids), max(1, int(rank.max(initial=0)) + 1)), -1, np.int64)
         adjacency[src, rank] = dst
         entry = medoids(x)
-        if len(extra):
-            k = min(len(entry), adjacency.shape[1])
-            adjacency[len(ids) :, :k] = entry[:k]
-        audit = np.argsort((qids * np.int64(2654435761)) % 1_000_003, kind="stable")[:AUDIT_ROWS]
-        want = full[at[audit]] @ x.T >= threshold
-        want[np.arange(len(audit))[inside[audit]], at[audit][inside[audit]]] = False
-        beam, todo = BEAM, np.sort(at)
+        audit = np.argsort((ids * np.int64(2654435761)) % 1_000_003, kind="stable")[:AUDIT_ROWS]
+        want = x[audit] @ x.T >= threshold
+        want[np.arange(len(audit)), audit] = False
+        beam, todo = BEAM, np.arange(len(ids))
         while True:
-            fq, fv = range_search(full, adjacency, entry, todo, threshold, beam)
-            real = fv < len(ids)
-            fq, fv = fq[real], fv[real]
-            got = np.zeros(len(full), np.int64)
-            np.add.at(got, fq, 1)
-            total, found = want.sum(axis=1), got[at[audit]]
-            if found.sum() >= RECALL * total.sum():
+            fq, fv = range_search(x, adjacency, entry, todo, threshold, beam)
+            got = np.bincount(fq, minlength=len(ids))
+            if got[audit].sum() >= RECALL * want.sum():
                 break
             if beam >= len(ids):  # parts of the graph that no edge reaches: compare with every member, block by block
-                pairs = [np.nonzero(full[todo[s : s + 512]] @ x.T >= threshold) for s in range(0, len(todo), 512)]
-                fq = np.concatenate([todo[i * 512 + p[0]] for i, p in enumerate(pairs)])
-                fv = np.concatenate([p[1] for p in pairs])
+                fq, fv = in_range(x, x, threshold)
                 fq, fv = fq[fq != fv], fv[fq != fv]
-                found = total
                 break
             beam *= 2
-        # A pair belongs to the first of its common shards; there it counts once for each side that asks.
-        theirs = np.array(t.column("shards").to_pylist(), np.int64).reshape(len(ids), OVERLAP)
-        ask_shards = np.full((len(full), OVERLAP), -1, np.int64)
-        ask_shards[at] = np.array(q.column("shards").to_pylist(), np.int64).reshape(len(qids), OVERLAP)
-        common = np.where((theirs[fv][:, :, None] == ask_shards[fq][:, None, :]).any(axis=2), theirs[fv], np.iinfo(np.int64).max)
-        common[theirs[fv] < 0] = np.iinfo(np.int64).max
-        mine = common.min(axis=1) == shard
-        links = np.zeros(len(full), np.int64)
+        # A pair counts, once for each side that asks, in the shard of the found vertex's nearest centre.
+        home = t.column("home").to_numpy()
+        mine = home[fv] == shard
+        links = np.zeros(len(ids), np.int64)
         np.add.at(links, fq[mine], weight[fv[mine]])
-        name = np.full(len(full), 0, np.int64)
-        name[: len(ids)] = ids
-        name[at] = qids
-        a, b = spanning(fq, fv, len(full))
-        n1, n2 = np.zeros(len(qids), np.int64), np.zeros(len(qids), np.int64)
-        n1[audit], n2[audit] = total, found
-        return pa.table({
-            "id": pa.array(np.concatenate([qids, name[a]])), "other": pa.array(np.concatenate([qids, name[b]])),
-            "links": pa.array(np.concatenate([links[at], np.zeros(len(a), np.int64)])),
-            "audit_links": pa.array(np.concatenate([n1, np.zeros(len(a), np.int64)])), "audit_found": pa.array(np.concatenate([n2, np.zeros(len(a), np.int64)])),
-        })
-
-    held = held.select(*[F.col(c).alias(c) for c in held.columns])
-    found = asks.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(search, "id long, other long, links long, audit_links long, audit_found long")
-    found = shelf.put(found, "found")
+        a, b = spanning(fq, fv, len(ids))
+        return pa.table({"id": pa.array(np.concatenate([ids, ids[a]])), "other": pa.array(np.concatenate([ids, ids[b]])), "links": pa.array(np.concatenate([links, np.zeros(len(a), np.int64)]))})
+
+    held = held.withColumn("home", F.element_at("shards", 1))
+    found = held.groupBy(*by).applyInArrow(search, "id long, other long, links long")
+
+    # What no search has seen: vertices against the home members of other parts and shards, in salted groups of bounded size.
+    whole = dealt.select("id", "label", "width", "shards", F.array_union(F.filter("shards", lambda x: x >= 0), "others").alias("ask"))
+    asks = whole.select("id", "label", "width", "shards", F.explode("ask").alias("shard"))
+    asks = asks.join(sizes, (F.col("label") == F.col("l_")) & (F.col("width") == F.col("w_")) & (F.col("shard") == F.col("s_"))).drop("l_", "w_", "s_")
+    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asks = asks.filter(~(F.array_contains("shards", F.col("shard")) & (F.col("part") == F.pmod(F.xxhash64("id"), F.col("parts")))))
+    asks = shelf.put(asks.select("id", *by), "asks")
+    salts = asks.groupBy(*[F.col(c).alias(f"{c}_") for c in by]).agg(F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("salts"))
+    salts = shelf.put(salts, "salts")
+    same_part = [F.col(c) == F.col(f"{c}_") for c in by]
+    left = asks.join(salts, same_part).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.col("salts")).cast("int")).select("id", *by, "salt")
+    left = left.join(dealt.select(F.col("id").alias("d_"), "v"), F.col("id") == F.col("d_")).drop("d_")
+    right = placed.filter(F.element_at("shards", 1) == F.col("shard")).join(salts, same_part)
+    right = right.select("id", "weight", "v", *by, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def cross(key_, q, t):
+        qids, ids = q.column("id").to_numpy(), t.column("id").to_numpy()
+        if not len(qids) or not len(ids):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("id", "other", "links")})
+        links, label = linked(unit_rows(q.column("v").combine_chunks()), unit_rows(t.column("v").combine_chunks()), t.column("weight").to_numpy(), threshold)
+        both = np.concatenate([qids, ids])
+        a = np.flatnonzero(label != np.arange(len(both)))
+        b = label[a]
+        some = np.flatnonzero(links)
+        return pa.table({"id": pa.array(np.concatenate([qids[some], both[a]])), "other": pa.array(np.concatenate([qids[some], both[b]])), "links": pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)]))})
+
+    over = left.groupBy(*by, "salt").cogroup(right.groupBy(*by, "salt")).applyInArrow(cross, "id long, other long, links long")
+    found = shelf.put(found.union(over), "found")
     roots = shelf.put(components(found.filter("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")), shelf), "roots")
-    totals = found.groupBy(F.col("id").alias("t_id")).agg(F.sum("links").alias("others"), F.sum("audit_links").alias("audit_links"), F.sum("audit_found").alias("audit_found"))
+    totals = found.groupBy(F.col("id").alias("t_id")).agg(F.sum("links").alias("others"))
+    audited = audit_links(points, threshold)
     known = points.select("id", "first", "weight").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     smallest = known.groupBy(F.col("root").alias("r_")).agg(F.min("first").alias("component"))
-    known = known.join(smallest, known["root"] == smallest["r_"]).join(totals, known["id"] == totals["t_id"], "left")
-    known = shelf.put(known.select("id", "component", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "audit_links", "audit_found"), "known")
+    known = known.join(smallest, known["root"] == smallest["r_"]).join(totals, known["id"] == totals["t_id"], "left").join(audited, known["id"] == audited["a_id"], "left")
+    links = F.col("weight") - 1 + F.coalesce("others", F.lit(0))
+    known = shelf.put(known.select("id", "component", links.alias("links"), "audit_links", F.when(F.col("audit_links").isNotNull(), links).alias("audit_found")), "known")
     out = rows.select("vec_id", "name").join(known, F.col("name") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id").cast("long")
     return out.select(
@@ -319,9 +352,58 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     )
 
 
-def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star from each vertex of a component to its smallest: at most n edges that connect what the pairs connect."""
-    label = np.arange(n)
+def in_range(q: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) with cosine at the threshold or above, block by block."""
+    pairs = [np.nonzero(q[s : s + 512] @ x.T >= threshold) for s in range(0, len(q), 512)]
+    return np.concatenate([np.zeros(0, np.int64), *[i * 512 + p[0] for i, p in enumerate(pairs)]]), np.concatenate([np.zeros(0, np.int64), *[p[1] for p in pairs]])
+
+
+def audit_links(points: DataFrame, threshold: float) -> DataFrame:
+    """(a_id, audit_links): the links of about AUDIT vertices, chosen by hash, among all rows of their labels."""
+    share = max(1, points.count() // AUDIT)
+    chosen = points.filter(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(share)) == 0).orderBy("id").limit(4 * AUDIT).select("id", "label", "width", "v").toArrow()
+    groups = {}
+    if chosen.num_rows:
+        labels, widths = chosen.column("label").to_numpy(), chosen.column("width").to_numpy()
+        for la, w in set(zip(labels.tolist(), widths.tolist())):
+            mine = np.flatnonzero((labels == la) & (widths == w))
+            groups[la, w] = (chosen.column("id").to_numpy()[mine], unit_rows(chosen.column("v").combine_chunks().take(pa.array(mine))))
+    asked = points.sparkSession.sparkContext.broadcast(groups)
+
+    def run(batches):
+        for t in batches:
+            labels, widths = t.column("label").to_numpy(), t.column("width").to_numpy()
+            for (la, w), (ids, q) in asked.value.items():
+                mine = np.flatnonzero((labels == la) & (widths == w))
+                if len(mine):
+                    near = q @ unit_rows(t.column("v").take(pa.array(mine))).T >= threshold
+                    own = ids[:, None] == t.column("id").to_numpy()[mine]
+                    weight = t.column("weight").to_numpy()[mine]
+                    links = np.where(own, weight - 1, near * weight).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["a_id", "links"])
+
+    return points.select("id", "weight", "label", "width", "v").mapInArrow(run, "a_id long, links long").groupBy("a_id").agg(F.sum("links").alias("audit_links"))
+
+
+def linked(q: np.ndarray, x: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of the rows of x in range of each row of q, and the smallest row of each one's component (rows of q, then of x); pairs are not stored."""
+    n, links, label = len(q), np.zeros(len(q), np.int64), np.arange(len(q) + len(x))
+    for s in range(0, n, 512):
+        near = q[s : s + 512] @ x.T >= threshold
+        r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if len(r):
+            near = near[np.ix_(r, c)]
+            links[s + r] = np.rint(near.astype(np.float64) @ weight[c]).astype(np.int64)
+            # A first partner of each side joins most of them; what lies apart then is joined pair by pair.
+            a, b = np.concatenate([r, r[near.argmax(axis=0)]]), np.concatenate([c[near.argmax(axis=1)], c])
+            label = joined(label, s + a, n + b)
+            i, j = np.nonzero(near & (label[s + r][:, None] != label[n + c]))
+            label = joined(label, s + r[i], n + c[j])
+    return links, label
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest row of each component) after the pairs are joined, too."""
     while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -332,5 +414,11 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
         if (new == label).all():
             break
         label = new
+    return label
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star from each vertex of a component to its smallest: at most n edges that connect what the pairs connect."""
+    label = joined(np.arange(n), a, b)
     away = np.flatnonzero(label != np.arange(n))
     return away, label[away]

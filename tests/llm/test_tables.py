@@ -58,6 +58,21 @@ def test_near_vectors_find_their_links(spark, vectors, shard_rows):
             assert got[i]["component_id"] == min(seen) and got[i]["kept"] == (min(seen) == i)
 
 
+@pytest.mark.parametrize("shard_rows", [40, 5])
+def test_near_vectors_lose_no_link_between_shards(spark, shard_rows):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 16))
+    x[300:] = x[:300] / np.linalg.norm(x[:300], axis=1, keepdims=True) + 0.34 * rng.standard_normal((300, 16)) / 4  # near the threshold
+    x[590:] = x[0] * np.arange(1, 11)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r for r in annlinks.near_vectors(df, shard_rows=shard_rows).collect()}
+    assert 150 < near.sum() < 1000 and [got[i]["n_links"] for i in range(600)] == near.sum(axis=1).tolist()
+    assert all(r["audit_links"] == r["audit_found"] == near[i].sum() for i, r in got.items())  # few rows: all are audited
+
+
 @pytest.mark.parametrize("sizes", [(8192, 1024, 128), (40, 3, 8)])
 def test_topk_is_exact(spark, vectors, sizes):
     shard, group, block = sizes
