@@ -57,16 +57,24 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def top_ids(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best different ids, each by its best score, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 def search_shard(qids, q, floor, ids, d, k: int, block: int):
     """Top k of one document shard for some queries: blocks in order of their bounds, until a bound falls below the k-th score.
 
-    ``floor`` is a score that k documents are known to reach for the query. Yields (query position, document positions, scores).
+    ``floor`` is a score that k documents are known to reach for the query; rows that repeat an id are one document. Yields (query position, document positions, scores).
     """
     starts = np.arange(0, len(ids), block)
     high = np.maximum.reduceat(d, starts, axis=0)
     low = np.minimum.reduceat(d, starts, axis=0)
     limit = bounds(q, high, low)
     order = np.argsort(-limit, axis=1, kind="stable")
+    pick = top if len(np.unique(ids)) == len(ids) else top_ids
     kth, found = floor.astype(float).copy(), [[] for _ in qids]
     slack = 1e-9 * (1 + np.abs(limit).max(initial=0))  # the bounds are sums of doubles
     for step in range(len(starts)):
@@ -86,14 +94,15 @@ def search_shard(qids, q, floor, ids, d, k: int, block: int):
                     if len(mine) >= k:
                         sc = np.array([m[0] for m in mine], dtype=np.int64)
                         pos = np.array([m[1] for m in mine])
-                        best = top(sc, ids[pos], k)
+                        best = pick(sc, ids[pos], k)
                         found[i] = [mine[j] for j in best]
-                        kth[i] = max(kth[i], found[i][-1][0])
+                        if len(best) == k:
+                            kth[i] = max(kth[i], found[i][-1][0])
     for i, mine in enumerate(found):
         if mine:
             sc = np.array([m[0] for m in mine], dtype=np.int64)
             pos = np.array([m[1] for m in mine])
-            best = top(sc, ids[pos], k)
+            best = pick(sc, ids[pos], k)
             yield i, pos[best], sc[best]
 
 
@@ -115,13 +124,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, bl
     strong = F.array_position(size, F.array_max(size))
     base = base.withColumn("term", strong * F.when(F.element_at("v", strong.cast("int")) < 0, -1).otherwise(1))
     base = shelf.put(base, "base")
-    facts = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.sum(F.col("is_query").cast("long")).alias("nq")).first()
-    n, width, nq = facts["n"] or 0, facts["width"] or 1, facts["nq"] or 0
+    rows = shelf.put(base.select("id", "v", "term").distinct(), "rows")  # rows that repeat an id and its weights are one
+    facts = base.agg(F.max(F.size("v")).alias("width"), F.sum(F.col("is_query").cast("long")).alias("nq")).first()
+    n, width, nq = rows.count(), facts["width"] or 1, facts["nq"] or 0
     out_schema = "query_id long, vec_id long, score long"
     if not n or not nq:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shards, groups = -(-n // shard_rows), -(-nq // query_rows)
-    docs = base.select("id", "v", "term").repartitionByRange(shards, "term", "id").withColumn("shard", F.spark_partition_id())
+    docs = rows.repartitionByRange(shards, "term", "id", F.xxhash64("v")).withColumn("shard", F.spark_partition_id())
     docs = shelf.put(docs, "shards")
     homes = base.filter("is_query").groupBy("id").agg(F.min("v").alias("v")).withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
     homes = shelf.put(homes.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("grp").alias("qgrp")), "queries")
@@ -149,7 +159,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, bl
     def best(found: DataFrame) -> DataFrame:
         from pyspark.sql import Window
 
-        return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
     low = F.lit(-float(2**63))
     own = docs.select(F.col("id").alias("own_id"), F.col("shard").alias("qshard")).join(homes, F.col("own_id") == F.col("qid"))

@@ -86,6 +86,22 @@ def test_topk_is_exact(spark, vectors, sizes):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("sizes", [(8192, 1024, 128), (40, 3, 8)])
+def test_topk_counts_rows_that_repeat_an_id_once(spark, sizes):
+    shard, group, block = sizes
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.standard_normal(6)]) for i in range(150)]
+    rows += [(i, [4 * v for v in rows[0][1]]) for i in (7, 8)] + [(7, [(5 + 0.1 * n) * v for v in rows[0][1]]) for n in range(30)] + [(9, [9 * v for v in rows[0][1]])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = topk.search(df, F.col("vec_id") == 0, shard_rows=shard, query_rows=group, block=block).collect()
+    best, whole = {}, [(i, [math.floor(256 * v) for v in x]) for i, x in rows]
+    for i, y in whole:
+        if i:
+            best[i] = max(best.get(i, -(2**63)), sum(a * b for a, b in zip(whole[0][1], y)))
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert sorted(map(tuple, got)) == [(0, n + 1, i, s) for n, (i, s) in enumerate(want)]
+
+
 def test_topk_without_rows_and_with_huge_numbers(spark, vectors):
     assert topk.search(vectors.limit(0), F.lit(True)).count() == 0 and topk.search(vectors, F.lit(False)).count() == 0
     big = spark.createDataFrame([(0, [1e12, -1e12]), (1, [1e12, 1e12]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
