@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import annlinks, language, lm, mixing, neardup, pieces, quality, substring, topk, warc
-from quillon.llm.common import remainder
+from quillon.llm import annlinks, convtrie, language, lm, mixing, neardup, pieces, quality, substring, topk, warc
+from quillon.llm.common import Shelf, remainder
 from quillon.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,42 @@ def op9(spark, sf):
 )
 def op2(spark, sf):
     return annlinks.near_vectors(table(spark, sf, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query(
+    "op11_conversation_trie",
+    """
+    WITH t AS (
+      SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce("text", '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (
+      SELECT c, sha256(length(role) || ':' || role || x) AS k, length(x) AS size,
+        row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, substr(sha256(length(role) || ':' || role || x), 1, 30)) AS i FROM t),
+    -- crc32, a byte and then a bit at a time
+    p AS (
+      SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, j: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT c FROM o)),
+    r AS (
+      SELECT p.c, o.i, o.k, o.size FROM p JOIN o ON o.c = p.c - p.c % 100 AND o.i <= p.h
+      UNION ALL SELECT p.c, o.i, o.k, o.size FROM p JOIN o ON o.c = p.c AND o.i > p.h),
+    s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, k, size FROM r),
+    m AS (
+      SELECT c, d, size, string_agg(k, '/') OVER (PARTITION BY c ORDER BY d) AS path, coalesce(lag(d) OVER (PARTITION BY c ORDER BY d), 0) AS up FROM s
+      UNION ALL SELECT c, 0, 0, '', NULL FROM p),
+    m2 AS (SELECT m.*, u.path AS above, coalesce(n.d, 0) = m.d AS ends FROM m LEFT JOIN m u ON u.c = m.c AND u.d = m.d - 1 LEFT JOIN (SELECT c, max(d) AS d FROM s GROUP BY c) n ON n.c = m.c),
+    n AS (
+      SELECT d, path, min(c) AS c, any_value(above) AS above, count(*) AS n, (count(*) - 1) * any_value(size) AS saved,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS e FROM m2 GROUP BY d, path),
+    kids AS (SELECT above, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY 1, 2),
+    f AS (SELECT n.*, coalesce(kids.n, 0) AS kids, u.c AS parent FROM n LEFT JOIN kids ON kids.above = n.path AND kids.d = n.d LEFT JOIN n u ON u.path = n.above AND u.d = n.d - 1),
+    below AS (
+      SELECT m.path, m.d, sum(CASE WHEN f.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum(f.saved) AS saved
+      FROM f JOIN m ON m.c = f.c AND m.d <= f.d GROUP BY 1, 2)
+    SELECT f.c AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, f.e AS ends_sha256
+    FROM f JOIN below ON below.path = f.path AND below.d = f.d
+    """,
+)
+def op11(spark, sf):
+    shelf = Shelf(spark)
+    placed = convtrie.number_turns(table(spark, sf, "conversations"), shelf)
+    return convtrie.prefix_trie(*convtrie.with_shared_heads(placed, shelf), shelf)
