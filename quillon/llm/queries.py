@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import annlinks, convtrie, language, lm, mixing, neardup, pieces, quality, substring, topk, warc
+from quillon.llm import annlinks, convtrie, language, lexscan, licenses, lm, mixing, neardup, pieces, quality, substring, topk, warc
 from quillon.llm.common import Shelf, remainder
 from quillon.runtime import table
 
@@ -178,3 +178,31 @@ def op11(spark, sf):
     shelf = Shelf(spark)
     placed = convtrie.number_turns(table(spark, sf, "conversations"), shelf)
     return convtrie.prefix_trie(*convtrie.with_shared_heads(placed, shelf), shelf)
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+    q AS (
+      SELECT item_id, t, count(*) AS repeats FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+      GROUP BY 1, 2),
+    tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY 1, 2, 3, 4),
+    wt AS (SELECT t, floor(1000 * ln((2 * s.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t, s.n),
+    sc AS (
+      SELECT item_id, r, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * tf.n * s.n) // s.l))))::BIGINT AS score
+      FROM tf JOIN wt USING (t) JOIN q USING (t), s GROUP BY 1, 2, 3),
+    k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS "rank", doc_id, score FROM sc WHERE score > 0)
+    SELECT * FROM k WHERE "rank" <= 10
+    """,
+)
+def op12(spark, sf):
+    return lexscan.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_license_scan", licenses.scan_sql())
+def op13(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
