@@ -125,25 +125,63 @@ def weighted_summary(df: DataFrame, by: Sequence[str], value: Column, weight) ->
 
 
 def robust_scatter(df: DataFrame, residual: str, by: Sequence[str] = (), outlier: float = 0.15, min_rows: int = 1) -> DataFrame:
-    """Median, 1.4826 x median absolute deviation, outlier share and RMS of a residual per group."""
+    """Median, 1.4826 x median absolute deviation, outlier share and RMS of a residual per group.
+
+    Two scans: a sketch of the residual brackets the median and, read as a distribution function, the median deviation d; the second scan counts rows and keeps
+    only values near the median and near median - d and median + d. Both medians are exact ranks of these, and proven if they lie inside their brackets;
+    other groups are ranked in full.
+    """
     by = list(by)
-    rows = df.count()
-    med = ranking.quantiles(df, residual, [0.5], by, rows=rows, names=["bias"])
-    if by:
-        dev = df.join(runtime.broadcast_checked(med), by)
-    else:
-        dev = df.crossJoin(F.broadcast(med))  # one row
-    dev = dev.withColumn("_dev", F.abs(F.col(residual) - F.col("bias")))
-    mad = ranking.quantiles(dev, "_dev", [0.5], by, rows=rows, names=["mad"])
-    basic = df.where(F.col(residual).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.abs(F.col(residual)) > outlier).cast("double")).alias("outlier_share"),
-        F.sqrt(F.avg(F.pow(F.col(residual), 2))).alias("rms"),
-    ).where(F.col("n") >= min_rows)
-    join = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))
-    out = join(join(basic, med), mad)
+    rows = df.where(F.col(residual).isNotNull()).select(*by, residual)
+    bounds = runtime.cut_lineage(_scatter_brackets(rows, residual, by, outlier))
+    pairs = [("_a1", "_a2"), ("_m1", "_m2"), ("_b1", "_b2")]
+    reduced = runtime.cut_lineage(ranking.reduced_counts(rows, residual, bounds, pairs, by))
+    n_kept = reduced.count()
+    med = ranking.picks(ranking.rank_reduced(reduced, residual, by, n_kept), residual, [0.5], by, ["bias"], F.col("_sure")).withColumnRenamed("_sure", "_sure_bias")
+    both = ranking.null_safe_join(reduced, ranking.null_safe_join(bounds.select(*by, "_a2", "_m2", "_d1", "_d2"), med, by), by)
+    # Gaps next to the median hold smaller deviations than the bracket, outer gaps larger ones.
+    x = F.col(residual).cast("double")
+    near = (x > F.col("_a2")) & (x < F.col("_m2") + F.col("_d2"))
+    dev = F.when(F.col("_sure"), F.abs(x - F.col("bias"))).when(near, F.lit(-1.0)).otherwise(F.lit(float("inf")))
+    sure = F.col("_sure") & F.col("_sure_bias") & (F.col("_dev") >= F.col("_d1")) & ((F.col("_dev") <= F.col("_d2")) | F.isnan("_d2"))
+    dev = both.select("*", dev.alias("_dev")).groupBy(*by, "_dev").agg(F.sum("n").alias("n"), F.min(sure).alias("_sure"), F.max("bias").alias("_bias"))
+    found = ranking.picks(ranking.rank_reduced(dev, "_dev", by, n_kept), "_dev", [0.5], by, ["mad"], F.col("_sure"), {"bias": F.max("_bias")})
+    found = runtime.cut_lineage(found).where("_sure").drop("_sure")
+    basic = bounds.select(*by, F.col("_n").alias("n"), "outlier_share", "rms")
+    missed = ranking.null_safe_join(basic.select(*by), found.select(*by), by, "left_anti") if by else basic.select("n").where(F.lit(found.isEmpty()))
+    if not missed.isEmpty():
+        again = ranking.null_safe_join(rows, missed, by, "left_semi") if by else rows
+        m = ranking.ranked_quantiles(again, residual, [0.5], by, names=["bias"])
+        d = ranking.null_safe_join(again, runtime.broadcast_checked(m) if by else F.broadcast(m), by).withColumn("_dev", F.abs(F.col(residual) - F.col("bias")))
+        found = found.unionByName(ranking.null_safe_join(m, ranking.ranked_quantiles(d, "_dev", [0.5], by, names=["mad"]), by))
+    out = ranking.null_safe_join(basic.where(F.col("n") >= min_rows), found, by)
     return out.select(*by, "n", "bias", (1.4826 * F.col("mad")).alias("sigma_mad"), "outlier_share", "rms")
 
 
+def _scatter_brackets(rows: DataFrame, residual: str, by: Sequence[str], outlier: float) -> DataFrame:
+    """Per group: the plain aggregates, and brackets of the median (``_m``), of the median deviation (``_d``) and of the values that far below (``_a``) and above (``_b``)."""
+    x = F.col(residual).cast("double")
+    steps = 1000
+    grid = [i / steps for i in range(steps + 1)]
+    s = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.isnan(x)).alias("_nan"), F.percentile_approx(F.when(~F.isnan(x), x), grid, ranking.SKETCH).alias("_g"),
+        F.avg((F.abs(F.col(residual)) > outlier).cast("double")).alias("outlier_share"), F.sqrt(F.avg(F.pow(F.col(residual), 2))).alias("rms"),
+    )
+    s = s.withColumn("_m1", F.get("_g", F.lit(steps // 2 - 1))).withColumn("_m2", F.get("_g", F.lit(steps // 2 + 1)))
+    # Counting grid points within d of m1 and m2 bounds the share of deviations up to d, for every distance d of a grid point.
+    reach = lambda m: F.transform("_g", lambda v: F.abs(v - F.col(m)))
+    s = s.withColumn("_e1", F.array_sort(reach("_m1"))).withColumn("_e2", F.array_sort(reach("_m2")))
+    width = F.col("_m2") - F.col("_m1")
+    low = F.greatest(F.lit(0.0), F.least(F.get("_e1", F.lit(steps // 2 - 3)), F.get("_e2", F.lit(steps // 2 - 3))) - width)
+    s = s.withColumn("_d1", low).withColumn("_d2", F.greatest(F.get("_e1", F.lit(steps // 2 + 3)), F.get("_e2", F.lit(steps // 2 + 3))) + width)
+    open_ = (F.col("_n") <= ranking.FEW) | (F.col("_nan") > 0)
+    ends = {
+        "_m1": (F.col("_m1"), "-inf"), "_m2": (F.col("_m2"), "nan"), "_a1": (F.col("_m1") - F.col("_d2"), "-inf"), "_a2": (F.col("_m2") - F.col("_d1"), "nan"),
+        "_b1": (F.col("_m1") + F.col("_d1"), "-inf"), "_b2": (F.col("_m2") + F.col("_d2"), "nan"), "_d1": (F.col("_d1"), "0"), "_d2": (F.col("_d2"), "nan"),
+    }
+    return s.select(*by, "_n", "outlier_share", "rms", *[F.when(open_, F.lit(float(o))).otherwise(c).alias(k) for k, (c, o) in ends.items()])
+
+
 def convention_difference(df: DataFrame, new: str, old: str, base: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     """Relative difference of two versions of one quantity, and the class share under each."""
     by = list(by)

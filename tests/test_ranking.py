@@ -98,3 +98,73 @@ def test_copies_are_laid_out_in_slices(spark, split_plans, monkeypatch):
     df = spark.createDataFrame([(1.0,)] * 50 + [(2.0,)] * 3, "x double")
     got = ranking.ecdf(df, "x").orderBy("i").collect()
     assert [r["i"] for r in got] == list(range(1, 54)) and [r["x"] for r in got] == [1.0] * 50 + [2.0] * 3
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, ["hot", "hot", None, "cold", "hot"][i % 5], float(rng.normal()) if i % 3 else 0.25) for i in range(6000)]
+    rows += [(i, "nan", [float("nan"), 1.0, 2.0, float("inf")][i % 4]) for i in range(400)] + [(i, "inf", [float("-inf"), 3.0, float("inf")][i % 3]) for i in range(300)]
+    rows += [(i, "none", None) for i in range(5)] + [(i, "one", 5.0) for i in range(1)] + [(i, "same", 7.0) for i in range(700)]
+    return spark.createDataFrame(rows, "id long, g string, x double").repartition(5), rows
+
+
+def same(got, want):
+    return sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("few, sketch, slack", [(4096, 10_000, 4), (50, 400, 4), (50, 200, 4), (0, 20, -0.5)])
+def test_bracketed_quantiles_are_exact(spark, awkward, monkeypatch, few, sketch, slack):
+    """Also where brackets are so narrow that they miss and groups are ranked in full."""
+    for name, v in (("FEW", few), ("SKETCH", sketch), ("SLACK", slack)):
+        monkeypatch.setattr(ranking, name, v)
+    df, _ = awkward
+    probs = [0.0, 0.05, 0.5, 0.51, 1.0]
+    want = ranking.ranked_quantiles(df, "x", probs, ["g"]).collect()
+    assert len(want) == 7  # a group without values has no row
+    assert same(map(tuple, ranking.quantiles(df, "x", probs, ["g"]).collect()), map(tuple, want))
+    some = df.where("g = 'hot'")
+    assert same(map(tuple, ranking.quantiles(some, "x", [0.25]).collect()), map(tuple, ranking.ranked_quantiles(some, "x", [0.25]).collect()))
+    assert ranking.quantiles(df.where("g = 'none'"), "x", [0.5], ["g"]).count() == 0
+
+
+def test_bracketed_quantiles_keep_few_rows(spark, monkeypatch):
+    df = spark.range(200_000).select(F.xxhash64("id").cast("double").alias("x"))
+    bounds = ranking.brackets(df, "x", [0.5, 0.9])
+    kept = ranking.reduced_counts(df, "x", bounds, [("_lo0", "_hi0"), ("_lo1", "_hi1")], []).where("_sure").count()
+    assert 0 < kept < 200_000 * 2 * 2 * (ranking.SLACK + 2) / ranking.SKETCH
+
+
+@pytest.mark.parametrize("few", [4096, 50])
+def test_robust_scatter_matches_numpy(spark, monkeypatch, few):
+    from quillon.operators import profiles
+
+    monkeypatch.setattr(ranking, "FEW", few)
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(2, 3, 3001), "b": np.round(rng.normal(0, 2, 900)), None: rng.exponential(1, 500), "few": np.array([1.0, 5.0]), "tie": np.r_[np.zeros(400), rng.normal(size=100)]}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, r double").repartition(4)
+    got = {r["g"]: r for r in profiles.robust_scatter(df, "r", ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        m = np.median(v)
+        assert np.allclose([got[g]["n"], got[g]["bias"], got[g]["sigma_mad"], got[g]["outlier_share"], got[g]["rms"]], [len(v), m, 1.4826 * np.median(np.abs(v - m)), np.mean(np.abs(v) > 0.15), np.sqrt(np.mean(v * v))])
+    v = groups["a"]
+    one = profiles.robust_scatter(df.where("g = 'a'"), "r").first()
+    assert np.allclose([one["bias"], one["sigma_mad"]], [np.median(v), 1.4826 * np.median(np.abs(v - np.median(v)))])
+    wild = spark.createDataFrame([(float(x),) for x in [np.inf, -np.inf, 1, 2, 3] * 30 + [np.nan] * 3], "r double")
+    assert profiles.robust_scatter(wild, "r").first()["bias"] == 2.0
+
+
+def test_robust_scatter_ranks_groups_whose_brackets_miss(spark, monkeypatch):
+    from quillon.operators import profiles
+
+    monkeypatch.setattr(ranking, "FEW", 10)
+    narrow = profiles._scatter_brackets
+    monkeypatch.setattr(profiles, "_scatter_brackets", lambda *a: narrow(*a).withColumn("_d2", F.when(F.col("g") == "a", F.col("_d1")).otherwise(F.col("_d2"))).withColumn("_m1", F.when(F.col("g") == "b", F.col("_m2") + 9).otherwise(F.col("_m1"))))
+    rng = np.random.default_rng(9)
+    groups = {g: rng.normal(1, 2, 801) for g in "abc"}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, r double")
+    for r in profiles.robust_scatter(df, "r", ["g"]).collect():
+        v = groups[r["g"]]
+        assert np.allclose([r["bias"], r["sigma_mad"]], [np.median(v), 1.4826 * np.median(np.abs(v - np.median(v)))])
