@@ -7,45 +7,53 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon import runtime
-from quillon.functions import hashing
 from quillon.functions.special import sign_test_pvalue
-from quillon.operators import ranking
+from quillon.operators import ranking, replicates
+from quillon.runtime import cut_lineage
 
 N_BOOT = 200
 MIN_REPLICATES = 10
 
 
-def with_replicates(df: DataFrame, key: str, n_boot: int, seed) -> DataFrame:
-    """Every row once per replicate with its Poisson(1) weight ``w``; zero weights are left out.
+def bootstrap(df: DataFrame, key: str, stats: Mapping[str, Callable[[Callable[..., Column]], Column]], n_boot: int = N_BOOT, seed=0, by: Sequence[str] = ()) -> DataFrame:
+    """Replicates of statistics made of Poisson-weighted sums, without a copy of any row.
 
-    The weight is a hash of (seed, replicate, key): no resampled table is stored and a retried task agrees.
+    Each statistic is a function of ``total``: total(column) stands for the weighted sum of the column, total() for the sum of the weights. The sums
+    of all replicates come from one pass (:func:`replicates.replicate_sums`).
     """
-    out = runtime.spread(df).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    w = hashing.poisson1(hashing.hash32(seed, "rep", key) / F.lit(hashing.SPAN))
-    return out.withColumn("w", w.cast("double")).where(F.col("w") > 0)
+    sums: list[Column] = []
 
+    def total(column: Column | None = None) -> Column:
+        if column is None:
+            return F.col("w")
+        sums.append(column)
+        return F.col(f"s{len(sums) - 1}")
 
-def bootstrap(df: DataFrame, key: str, stats: Mapping[str, Callable[[Column], Column]], n_boot: int = N_BOOT, seed=0, by: Sequence[str] = ()) -> DataFrame:
-    """Replicates of weighted-sum statistics: each function maps the weight column to an aggregate."""
-    reps = with_replicates(df, key, n_boot, seed)
-    return reps.groupBy(*by, "rep").agg(*[fn(F.col("w")).alias(name) for name, fn in stats.items()])
+    made = {name: fn(total) for name, fn in stats.items()}
+    reps = replicates.replicate_sums(df, key, sums, n_boot, seed, by)
+    return reps.select(*by, "rep", *[c.alias(name) for name, c in made.items()])
 
 
-def bootstrap_quantile(df: DataFrame, key: str, value: str, prob: float = 0.5, n_boot: int = N_BOOT, seed=0, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
-    """Replicates of an exact quantile through weighted percentiles."""
-    reps = with_replicates(df.select(*by, key, value), key, n_boot, seed)
-    return ranking.quantiles(reps, value, [prob], [*by, "rep"], weight=F.col("w"), rows=rows, names=[value])
+def bootstrap_quantile(df: DataFrame, key: str, value: str, prob: float = 0.5, n_boot: int = N_BOOT, seed=0, by: Sequence[str] = ()) -> DataFrame:
+    """Replicates of an exact quantile of the weighted rows."""
+    return replicates.replicate_quantile(df, key, value, prob, n_boot, seed, by)
 
 
 def intervals(reps: DataFrame, columns: Sequence[str], by: Sequence[str] = (), lo: float = 2.5, hi: float = 97.5) -> DataFrame:
     """Percentile interval per statistic; fewer than ten finite replicates give no interval."""
-    pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns]
-    long = reps.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.metric", "p.v")
-    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    enough = F.count(F.lit(1)) >= MIN_REPLICATES
-    q = F.percentile("v", [lo / 100.0, hi / 100.0])  # one value per replicate
-    return long.groupBy(*by, "metric").agg(F.count(F.lit(1)).alias("n_rep"), F.when(enough, q[0]).alias("ci_lo"), F.when(enough, q[1]).alias("ci_hi"))
+    aggs = []
+    for i, c in enumerate(columns):
+        v = F.col(c).cast("double")
+        v = F.when(~F.isnan(v), v)
+        aggs += [F.count(v).alias(f"_n{i}"), F.percentile(v, [lo / 100.0, hi / 100.0]).alias(f"_q{i}")]  # one value per replicate
+    wide = cut_lineage(reps.groupBy(*by).agg(*aggs))
+    out = None
+    for i, c in enumerate(columns):
+        enough = F.col(f"_n{i}") >= MIN_REPLICATES
+        ends = [F.when(enough, F.get(f"_q{i}", F.lit(j))).alias(name) for j, name in enumerate(("ci_lo", "ci_hi"))]
+        one = wide.where(F.col(f"_n{i}") > 0).select(*by, F.lit(c).alias("metric"), F.col(f"_n{i}").alias("n_rep"), *ends)
+        out = one if out is None else out.union(one)
+    return out
 
 
 def basic_interval(point: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
@@ -64,10 +72,12 @@ def shuffle_within(df: DataFrame, key: str, value: str, seed, out: str, by: Sequ
 
 
 def sign_flip_null(df: DataFrame, key: str, delta: str, n_rep: int = N_BOOT, seed=0) -> DataFrame:
-    """Median of randomly sign-flipped paired differences per replicate."""
-    reps = df.select(key, delta).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    flip = F.when(hashing.hash32(seed, "rep", key) % 2 == 0, F.col(delta)).otherwise(-F.col(delta))
-    return ranking.quantiles(reps.select("rep", flip.alias("d")), "d", [0.5], ["rep"], names=["median"])
+    """Median of randomly sign-flipped paired differences per replicate.
+
+    A difference and its negative are two values of which a replicate weighs one, so the median is a weighted percentile of both.
+    """
+    both = [df.select(key, v.alias("median"), F.lit(kind).alias("_kind")) for v, kind in ((F.col(delta), "positive"), (-F.col(delta), "negative"))]
+    return replicates.replicate_quantile(both[0].union(both[1]), key, "median", 0.5, n_rep, seed, weigh=F.col("_kind"))
 
 
 def sign_test(df: DataFrame, delta: str, by: Sequence[str] = ()) -> DataFrame:

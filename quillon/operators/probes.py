@@ -6,7 +6,7 @@ leave-one-out errors for every penalty through the leverages. Only (d + targets)
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,12 +112,11 @@ def fit_ridge(df: DataFrame, vec: str, targets: Sequence[str], alphas: Sequence[
     return mom.fit([alphas[i] for i in err.argmin(0)])
 
 
-def r2(y: str, p: str, w: Column | None = None) -> Column:
-    """1 - SSE / SST as one aggregate, optionally weighted."""
-    w = F.lit(1.0) if w is None else w
+def r2(y: str, p: str, total: Callable[..., Column] = lambda c=None: F.sum(F.lit(1.0) if c is None else c)) -> Column:
+    """1 - SSE / SST as one aggregate, or in terms of another kind of sum."""
     yy, pp = F.col(y), F.col(p)
-    sst = F.sum(w * yy * yy) - F.pow(F.sum(w * yy), 2) / F.sum(w)
-    return 1 - F.sum(w * (yy - pp) * (yy - pp)) / sst
+    sst = total(yy * yy) - F.pow(total(yy), 2) / total()
+    return 1 - total((yy - pp) * (yy - pp)) / sst
 
 
 def _one(point: DataFrame, ci: DataFrame, metric: str, prefix: str) -> DataFrame:
@@ -132,7 +131,7 @@ def probe(df: DataFrame, key: str, vec: str, label: str, alphas: Sequence[float]
     fit = fit_ridge(rows.where(~test), vec, ["y"], alphas)
     held = fit.score(rows.where(test), vec, ["p"]).select(key, "y", "p")
     point = held.agg(F.count(F.lit(1)).alias("n_test"), r2("y", "p").alias("r2"))
-    reps = inference.bootstrap(held, key, {"r2": lambda w: r2("y", "p", w)}, n_boot, f"boot{seed}")
+    reps = inference.bootstrap(held, key, {"r2": lambda total: r2("y", "p", total)}, n_boot, f"boot{seed}")
     out = _one(point, inference.intervals(reps, ["r2"]), "r2", "r2")
     return out.select("r2", "r2_lo", "r2_hi", "n_test", F.lit(fit.n).alias("n_train"), F.lit(fit.alpha[0]).alias("alpha"))
 
@@ -187,7 +186,7 @@ def circular_probe(df: DataFrame, key: str, vec: str, angle_rad: str, k: int, al
     v = F.slice(vec, 1, lead).alias(vec) if lead else F.col(vec)
     held = circular_readout(fit, rows.where(test).select(key, v, angle_rad), vec, angle_rad, k)
     med = inference.bootstrap_quantile(held, key, "err", 0.5, n_boot, f"boot{seed}")
-    share = inference.bootstrap(held, key, {"within": lambda w: F.sum(w * (F.col("err") < 20).cast("double")) / F.sum(w)}, n_boot, f"boot{seed}")
+    share = inference.bootstrap(held, key, {"within": lambda total: total((F.col("err") < 20).cast("double")) / total()}, n_boot, f"boot{seed}")
     out = _one(circular_summary(held, k), inference.intervals(med, ["err"]), "err", "med_err")
     return _one(out, inference.intervals(share, ["within"]), "within", "within_20").withColumns({"n_train": F.lit(fit.n), "alpha_cos": F.lit(fit.alpha[0]), "alpha_sin": F.lit(fit.alpha[1])})
 
@@ -305,12 +304,12 @@ def concept_angle(df: DataFrame, key: str, vec: str, a: str, b: str, n_boot: int
     both = _present(df.select(key, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), ["a", "b"])
     x, y = F.col("a"), F.col("b")
 
-    def wcorr(w):
-        n = F.sum(w)
-        cov = F.sum(w * x * y) - F.sum(w * x) * F.sum(w * y) / n
-        return cov / F.sqrt((F.sum(w * x * x) - F.pow(F.sum(w * x), 2) / n) * (F.sum(w * y * y) - F.pow(F.sum(w * y), 2) / n))
+    def correlation(total):
+        n, sx, sy = total(), total(x), total(y)
+        cov = total(x * y) - sx * sy / n
+        return cov / F.sqrt((total(x * x) - F.pow(sx, 2) / n) * (total(y * y) - F.pow(sy, 2) / n))
 
-    nulls = inference.bootstrap(both, key, {"null": lambda w: clip(wcorr(w))}, n_boot, f"{seed}ab")
+    nulls = inference.bootstrap(both, key, {"null": lambda total: clip(correlation(total))}, n_boot, f"{seed}ab")
     reps = ra.join(rb, "rep").join(nulls, "rep").select("rep", clip(vectors.dot("da", "db")).alias("angle"), "null").withColumn("excess", F.col("angle") - F.col("null"))
     ci = inference.intervals(reps, ["angle", "null", "excess"])
     pts = label_angle(both, "a", "b").select(F.lit(point).alias("angle"), F.col("label_angle").alias("null"))

@@ -19,11 +19,11 @@ def occupancy_ratio(df: DataFrame, key: str, sample: str, region: Column, weight
     """Weighted share of sample 'a' in a region over the share of sample 'b', with its bootstrap interval."""
     x = df.select(key, F.col(sample).alias("s"), region.cast("double").alias("in"), weight.cast("double").alias("wt"))
 
-    def ratio(w):
-        share = lambda v: F.sum(F.when(F.col("s") == v, w * F.col("wt") * F.col("in"))) / F.sum(F.when(F.col("s") == v, w * F.col("wt")))
+    def ratio(total):
+        share = lambda v: total(F.when(F.col("s") == v, F.col("wt") * F.col("in"))) / total(F.when(F.col("s") == v, F.col("wt")))
         return share("a") / share("b")
 
-    point = x.agg(ratio(F.lit(1.0)).alias("ratio"), (F.pow(F.sum(F.when(F.col("s") == "a", F.col("wt"))), 2) / F.sum(F.when(F.col("s") == "a", F.col("wt") * F.col("wt")))).alias("ess"))
+    point = x.agg(ratio(F.sum).alias("ratio"), (F.pow(F.sum(F.when(F.col("s") == "a", F.col("wt"))), 2) / F.sum(F.when(F.col("s") == "a", F.col("wt") * F.col("wt")))).alias("ess"))
     ci = inference.intervals(inference.bootstrap(x, key, {"ratio": ratio}, n_boot, seed), ["ratio"]).select("ci_lo", "ci_hi")
     return point.crossJoin(F.broadcast(ci))  # one row each
 

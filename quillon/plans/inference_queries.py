@@ -37,7 +37,7 @@ select o_orderstatus, metric, count(*)::BIGINT as n_rep, round(quantile_cont(v,
 def bootstrap_ci_mean(spark, sf):
     o = table(spark, sf, "orders")
     x = F.col("o_totalprice")
-    stats = {"mean": lambda w: F.sum(w * x) / F.sum(w), "harmonic": lambda w: F.sum(w) / F.sum(w / x)}
+    stats = {"mean": lambda total: total(x) / total(), "harmonic": lambda total: total() / total(1 / x)}
     return _r(R.intervals(R.bootstrap(o, "o_orderkey", stats, B, 9, ["o_orderstatus"]), ["mean", "harmonic"], ["o_orderstatus"]), 4, "ci_lo", "ci_hi")
 
 
@@ -47,7 +47,7 @@ s as (select rep, (sum(w * z * x) - sum(w * z) * sum(w * x) / sum(w)) / (sum(w *
 select 'slope' as metric, count(*)::BIGINT as n_rep, round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi from s""")
 def bootstrap_ci_slope(spark, sf):
     x, z = F.col("o_totalprice"), F.col("o_custkey").cast("double")
-    slope = lambda w: (F.sum(w * z * x) - F.sum(w * z) * F.sum(w * x) / F.sum(w)) / (F.sum(w * z * z) - F.pow(F.sum(w * z), 2) / F.sum(w))
+    slope = lambda total: (total(z * x) - total(z) * total(x) / total()) / (total(z * z) - F.pow(total(z), 2) / total())
     return _r(R.intervals(R.bootstrap(table(spark, sf, "orders"), "o_orderkey", {"slope": slope}, B, 10), ["slope"]), 6, "ci_lo", "ci_hi")
 
 
@@ -65,7 +65,7 @@ select round(2 * p - quantile_cont(m, 0.975), 4) as basic_lo, round(2 * p - quan
 def basic_interval(spark, sf):
     o = table(spark, sf, "orders")
     x = F.col("o_totalprice")
-    ci = R.intervals(R.bootstrap(o, "o_orderkey", {"m": lambda w: F.sum(w * x) / F.sum(w)}, B, 9), ["m"])
+    ci = R.intervals(R.bootstrap(o, "o_orderkey", {"m": lambda total: total(x) / total()}, B, 9), ["m"])
     lo, hi = R.basic_interval(F.col("p"), F.col("ci_lo"), F.col("ci_hi"))
     return ci.crossJoin(F.broadcast(o.agg(F.avg("o_totalprice").alias("p")))).select(F.round(lo, 4).alias("basic_lo"), F.round(hi, 4).alias("basic_hi"))
 

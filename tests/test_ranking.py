@@ -74,7 +74,7 @@ def test_bh_matches_definition(spark):
 
 def test_poisson_weights_have_unit_mean(spark):
     df = spark.range(2000)
-    w = inference.with_replicates(df, "id", 20, 3).groupBy("rep").agg(F.sum("w").alias("s")).collect()
+    w = inference.bootstrap(df, "id", {"s": lambda total: total()}, 20, 3).collect()
     means = [r["s"] / 2000 for r in w]
     assert len(means) == 20 and abs(np.mean(means) - 1) < 0.02
 
