@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import angles, hashing, vectors
 from quillon.operators import inference, kernels, profiles, ranking, vector_stats as V
+from quillon.runtime import cut_lineage
 
 # Penalty grid of the probes, penalty of the concept directions, held-out share.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
@@ -184,7 +185,7 @@ def circular_probe(df: DataFrame, key: str, vec: str, angle_rad: str, k: int, al
     test = is_test(key, seed)
     fit = fit_circular(rows.where(~test), vec, angle_rad, k, alphas, lead)
     v = F.slice(vec, 1, lead).alias(vec) if lead else F.col(vec)
-    held = circular_readout(fit, rows.where(test).select(key, v, angle_rad), vec, angle_rad, k)
+    held = cut_lineage(circular_readout(fit, rows.where(test).select(key, v, angle_rad), vec, angle_rad, k).drop(vec))
     med = inference.bootstrap_quantile(held, key, "err", 0.5, n_boot, f"boot{seed}")
     share = inference.bootstrap(held, key, {"within": lambda total: total((F.col("err") < 20).cast("double")) / total()}, n_boot, f"boot{seed}")
     out = _one(circular_summary(held, k), inference.intervals(med, ["err"]), "err", "med_err")

@@ -209,13 +209,18 @@ def quantiles(
 
     A sketch gives a bracket of values around each wanted rank (one pass); a second pass counts what lies below, between and above the brackets
     and keeps the distinct values inside them, about 2 SLACK / SKETCH of the rows per percentile. Ranks are exact counts, so a percentile is proven when the values it
-    reads are inside a bracket. Groups for which a bracket missed are ranked in full. Weighted rows are ranked in full.
+    reads are inside a bracket. Groups for which a bracket missed are ranked in full; so are weighted rows, and a column no longer than one range (see :func:`value_ranks`).
     """
     by, probs = list(by), list(probs)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    if weight is not None:
+    short = lambda n: runtime.bucket_count(n, df.sparkSession) == 1
+    if weight is not None or (rows is not None and short(rows)):
         return ranked_quantiles(df, value, probs, by, weight, rows, names)
     bounds = runtime.cut_lineage(brackets(df, value, probs, by))
+    total = bounds.agg(F.sum("_n")).first()[0] or 0
+    if short(total):
+        runtime.discard(bounds)
+        return ranked_quantiles(df, value, probs, by, None, total, names)
     pairs = [(f"_lo{i}", f"_hi{i}") for i in range(len(probs))]
     reduced = runtime.cut_lineage(reduced_counts(df, value, bounds, pairs, by))
     out = runtime.cut_lineage(picks(rank_reduced(reduced, value, by), value, probs, by, names, F.col("_sure")))

@@ -144,6 +144,8 @@ def replicate_quantile(df: DataFrame, key: str, value: str, prob: float, n_boot:
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(key).cast("string").alias("_key"), F.col(value).cast("double").alias("_v"), (F.lit("poisson") if weigh is None else weigh).alias("_kind"), F.lit(0).cast("long").alias("_path"))
     groups, wanted, found, level = [*by, "_path"], None, [], 0
+    if (rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= SORTED:
+        return _ends(_sorted_whole(rows, by, prob, n_boot, seed), by, value)
     while True:
         edges = runtime.cut_lineage(_range_edges(rows, groups, prob if wanted is None else None))
         known = ranking.null_safe_join(rows, edges, groups)
@@ -180,7 +182,12 @@ def replicate_quantile(df: DataFrame, key: str, value: str, prob: float, n_boot:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    ends = out.groupBy(*by, "rep").agg(F.max("_pos").alias("_pos"), *[F.max(F.when(F.col("_side") == i, F.col("_found"))).alias(f"_v{i}") for i in (0, 1)])
+    return _ends(out, by, value)
+
+
+def _ends(found: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Interpolate between the values below and above the wanted position."""
+    ends = found.groupBy(*by, "rep").agg(F.max("_pos").alias("_pos"), *[F.max(F.when(F.col("_side") == i, F.col("_found"))).alias(f"_v{i}") for i in (0, 1)])
     return ends.select(*by, "rep", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.floor("_pos"))).alias(value))
 
 
@@ -198,18 +205,40 @@ def _range_edges(rows: DataFrame, groups: Sequence[str], prob: float | None) ->
 
 def _sorted_ranks(rows: DataFrame, wanted: DataFrame, groups: Sequence[str], by: Sequence[str], seed) -> DataFrame:
     """Read the wanted ranks (_at) of every replicate out of the sorted rows of its range."""
-    fields = [rows.schema[c] for c in by] + [T.StructField("rep", T.IntegerType()), T.StructField("_side", T.IntegerType()), T.StructField("_pos", T.DoubleType()), T.StructField("_found", T.DoubleType())]
-
     def read(values: pa.Table, asked: pa.Table) -> pa.Table:
         v = values.column("_v").to_numpy()
         order = np.argsort(v, kind="stable")
-        rep = asked.column("rep").to_numpy()
-        reps, column = np.unique(rep, return_inverse=True)
-        w = weights(seed, reps.tolist(), values.column("_key").to_pylist(), values.column("_kind").combine_chunks())[order]
-        total, at = np.cumsum(w, axis=0), asked.column("_at").to_numpy()
-        got = np.array([v[order[np.searchsorted(total[:, c], a, side="right")]] for c, a in zip(column, at)])
+        reps, column = np.unique(asked.column("rep").to_numpy(), return_inverse=True)
+        total = np.cumsum(weights(seed, reps.tolist(), values.column("_key").to_pylist(), values.column("_kind").combine_chunks())[order], axis=0)
+        got = np.array([v[order[np.searchsorted(total[:, c], a, side="right")]] for c, a in zip(column, asked.column("_at").to_numpy())])
         return asked.select([*by, "rep", "_side", "_pos"]).append_column("_found", pa.array(got, pa.float64()))
 
-    # A group may be NULL; cogrouping needs plain keys, and only wanted ranges are here.
-    tag = lambda t: t.withColumn("_tag", F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in groups]), {"ignoreNullFields": "false"}))
-    return tag(rows).groupBy("_tag").cogroup(tag(wanted).groupBy("_tag")).applyInArrow(read, T.StructType(fields))
+    return _tagged(rows, groups).cogroup(_tagged(wanted, groups)).applyInArrow(read, _found_schema(rows, by))
+
+
+def _sorted_whole(rows: DataFrame, by: Sequence[str], prob: float, n_boot: int, seed) -> DataFrame:
+    """Read the percentile of every replicate out of whole groups of at most SORTED rows."""
+
+    def read(values: pa.Table) -> pa.Table:
+        v = values.column("_v").to_numpy()
+        order = np.argsort(v, kind="stable")
+        total = np.cumsum(weights(seed, list(range(n_boot)), values.column("_key").to_pylist(), values.column("_kind").combine_chunks())[order], axis=0)
+        reps = np.flatnonzero(total[-1] > 0)
+        pos = prob * (total[-1, reps] - 1)
+        out = []
+        for side, at in enumerate((np.floor(pos), np.ceil(pos))):
+            got = np.array([v[order[np.searchsorted(total[:, r], a, side="right")]] for r, a in zip(reps, at)], float)
+            keys = {c: values.column(c).take(pa.array(np.zeros(len(reps), np.int64))) for c in by}
+            out.append(pa.table({**keys, "rep": pa.array(reps, pa.int32()), "_side": pa.array(np.full(len(reps), side), pa.int32()), "_pos": pa.array(pos), "_found": pa.array(got)}))
+        return pa.concat_tables(out)
+
+    return _tagged(rows, by).applyInArrow(read, _found_schema(rows, by))
+
+
+def _tagged(t: DataFrame, groups: Sequence[str]):
+    """Group by the text of all keys: a NULL or NaN key is a group like any other."""
+    return t.withColumn("_tag", F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(c).cast("string").alias(c) for c in groups]), {"ignoreNullFields": "false"})).groupBy("_tag")
+
+
+def _found_schema(rows: DataFrame, by: Sequence[str]) -> T.StructType:
+    return T.StructType([rows.schema[c] for c in by] + [T.StructField("rep", T.IntegerType()), T.StructField("_side", T.IntegerType()), T.StructField("_pos", T.DoubleType()), T.StructField("_found", T.DoubleType())])

@@ -114,7 +114,7 @@ def same(got, want):
 
 
 @pytest.mark.parametrize("few, sketch, slack", [(4096, 10_000, 4), (50, 400, 4), (50, 200, 4), (0, 20, -0.5)])
-def test_bracketed_quantiles_are_exact(spark, awkward, monkeypatch, few, sketch, slack):
+def test_bracketed_quantiles_are_exact(spark, awkward, monkeypatch, split_plans, few, sketch, slack):
     """Also where brackets are so narrow that they miss and groups are ranked in full."""
     for name, v in (("FEW", few), ("SKETCH", sketch), ("SLACK", slack)):
         monkeypatch.setattr(ranking, name, v)
