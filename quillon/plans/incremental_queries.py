@@ -61,6 +61,17 @@ def continue_from_mark(spark, sf):
     return incremental.continue_from(e, done, "event_id", 4000)
 
 
+@query("marked_runs", """
+select o_orderkey, o_orderpriority, o_totalprice from (select *, row_number() over (order by o_orderpriority, o_orderkey) as k from orders) where k <= (select count(*) // 2 from orders)""")
+def marked_runs(spark, sf):
+    """Three runs by a mark of five values: each cut falls among equal marks, and the runs together have lost none."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    out, half = scratch_path(spark, "marked"), o.count() // 2
+    for target in (half // 4, half // 2, half):
+        done = incremental.run_marked(o, out, "o_orderpriority", "o_orderkey", target, lambda rows: rows)
+    return done.select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
 @query("chunk_resume", "select o_custkey % 8 as chunk, o_custkey, count(*)::BIGINT as n, round(sum(o_totalprice), 2) as total from orders group by 1, 2")
 def chunk_resume(spark, sf):
     """Half of the chunks are finished by a first run; the second run processes the rest."""
