@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import angles, hashing, vectors
 from quillon.operators import inference, kernels, profiles, ranking, vector_stats as V
@@ -158,7 +159,10 @@ def fit_circular(df: DataFrame, vec: str, angle_rad: str, k: int, alphas: Sequen
 
 def circular_readout(fit: Ridge, df: DataFrame, vec: str, angle_rad: str, k: int) -> DataFrame:
     """Predicted cosine and sine, readout angle in degrees, circular error and loop radius per row."""
-    p = fit.score(circular_targets(df, angle_rad, k), vec, ["pc", "ps"])
+    return _with_readout(fit.score(circular_targets(df, angle_rad, k), vec, ["pc", "ps"]), angle_rad, k)
+
+
+def _with_readout(p: DataFrame, angle_rad: str, k: int) -> DataFrame:
     return p.withColumns({
         "read_deg": F.degrees(F.atan2("ps", "pc")) / k, "radius": F.hypot("pc", "ps"),
         "err": angles.circular_error(F.atan2("ps", "pc"), k * F.col(angle_rad), k),
@@ -175,8 +179,7 @@ def circular_summary(scored: DataFrame, k: int, by: Sequence[str] = (), min_rows
     rows = scored.count()
     e = ranking.quantiles(scored, "err", [0.5], by, rows=rows, names=["med_err"])
     r = ranking.quantiles(scored, "radius", [0.5], by, rows=rows, names=["loop_radius"])
-    join = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))
-    return join(join(basic, e), r).withColumn("chance", angles.chance_floor(k))
+    return ranking.null_safe_join(ranking.null_safe_join(basic, e, by), r, by).withColumn("chance", angles.chance_floor(k))
 
 
 def circular_probe(df: DataFrame, key: str, vec: str, angle_rad: str, k: int, alphas: Sequence[float] = ALPHAS, seed=0, n_boot: int = inference.N_BOOT, lead: int | None = None) -> DataFrame:
@@ -204,16 +207,52 @@ def linear_angle_probe(df: DataFrame, key: str, vec: str, angle_deg: str, period
     return held.agg(F.count(F.lit(1)).alias("n"), r2("y", "p").alias("r2"), F.avg((F.col("err") < 20).cast("double")).alias("within_20")).crossJoin(F.broadcast(q))
 
 
+def grouped_ridge(df: DataFrame, key: str, vec: str, targets: Sequence[str], by: str, alpha: float, salts: int = 8) -> DataFrame:
+    """A ridge fit per group: (by, n_train, coef, intercept), coef holding the targets' coefficients one after the other.
+
+    A group's rows meet in at most ``salts`` tasks, each of which adds up one moment matrix per group; the matrix of a group is put together and solved in
+    one task, so nothing but the plan grows on the driver. Any type of group column works, and NULL is a group.
+    """
+    t = len(targets)
+    rows = _present(df, targets).select(by, vec, *targets, F.pmod(F.xxhash64(key), F.lit(salts)).alias("_salt"))
+    rows = rows.repartition(by, "_salt").sortWithinPartitions(by)
+    moments = V.moment_rows(rows, vec, targets, [by])
+
+    def solve(part: pa.Table) -> pa.Table:
+        i = part.column("i").to_numpy()
+        fit = Moments(kernels.matrix(part.column("row"))[np.argsort(i)], t).fit([alpha] * t)
+        one = part.select([by]).slice(0, 1)
+        for name, value in (("n_train", pa.array([fit.n], pa.int64())), ("coef", kernels.lists(fit.coef.T.reshape(1, -1))), ("intercept", kernels.lists(fit.intercept[None, :]))):
+            one = one.append_column(name, value)
+        return one
+
+    schema = T.StructType([df.schema[by], T.StructField("n_train", T.LongType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("coef", "intercept")]])
+    return moments.groupBy(by).applyInArrow(solve, schema)
+
+
+def score_grouped(df: DataFrame, fits: DataFrame, by: str, vec: str, outs: Sequence[str]) -> DataFrame:
+    """Attach each row's predictions by the fit of its own group; rows of groups without a fit are left out. One scan, whatever the number of groups."""
+    joined = ranking.null_safe_join(df, fits.select(by, "coef", "intercept"), [by])
+    t, kept = len(outs), df.columns
+    schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outs]])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, c = kernels.matrix(b.column(vec)), kernels.matrix(b.column("coef")).reshape(b.num_rows, t, -1)
+                p = np.einsum("ij,itj->it", x, c) + kernels.matrix(b.column("intercept"))
+                yield pa.RecordBatch.from_arrays([*[b.column(f) for f in kept], *[pa.array(p[:, i]) for i in range(t)]], names=[*kept, *outs])
+
+    return joined.select(*kept, "coef", "intercept").mapInArrow(run, schema)
+
+
 def per_stratum_circular(df: DataFrame, key: str, vec: str, angle_rad: str, k: int, stratum: str, alpha: float, seed=0, min_rows: int = 1) -> DataFrame:
-    """Refit inside every stratum from one grouped moment pass, evaluate on its held-out rows."""
-    rows = circular_targets(df, angle_rad, k)
+    """Refit inside every stratum, of any type and NULL included, and evaluate on its held-out rows: one plan for any number of strata."""
+    rows = circular_targets(df.select(key, vec, angle_rad, stratum), angle_rad, k).where(vectors.usable(vec))
     test = is_test(key, seed)
-    fits = {s: Moments(m, 2).fit([alpha, alpha]) for s, m in V.moment_matrices(rows.where(~test), vec, stratum, ["_c", "_s"]).items()}
-    out = None
-    for s, fit in sorted(fits.items(), key=lambda kv: str(kv[0])):
-        one = circular_readout(fit, rows.where(test & (F.col(stratum) == F.lit(s))), vec, angle_rad, k)
-        out = one if out is None else out.unionByName(one)
-    return circular_summary(out, k, [stratum], min_rows)
+    fits = cut_lineage(grouped_ridge(rows.where(~test), key, vec, ["_c", "_s"], stratum, alpha))
+    scored = cut_lineage(_with_readout(score_grouped(rows.where(test), fits, stratum, vec, ["pc", "ps"]), angle_rad, k).drop(vec))
+    return circular_summary(scored, k, [stratum], min_rows)
 
 
 def component_sweep(df: DataFrame, key: str, vec: str, angle_rad: str, k: int, sweep: Sequence[int], seed=0, alpha: float = 1.0) -> DataFrame:

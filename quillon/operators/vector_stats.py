@@ -106,21 +106,22 @@ def moment_rows(
     cols = by + ([vec] if vec else []) + extra + ([weight] if weight else [])
     fields = [df.schema[c] for c in by]
     schema = T.StructType(fields + [T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
-    arrow_by = {c: pa.string() if isinstance(df.schema[c].dataType, T.StringType) else None for c in by}
 
-    def emit(acc):
+    def emit(acc, types):
         for key, m in acc.items():
             n = m.shape[0]
-            arrays = [pa.array([v] * n, type=arrow_by[c]) for c, v in zip(by, key)]
+            arrays = [pa.array([v] * n, type=t) for t, v in zip(types, key)]
             names = by + ["i", "row"]
             arrays += [pa.array(np.arange(n, dtype=np.int32)), kernels.lists(m)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     def partial(batches):
         acc: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
         for b in batches:
             if b.num_rows == 0:
                 continue
+            types = [b.schema.field(c).type for c in by]
             parts = [np.ones((b.num_rows, 1))]
             if vec:
                 parts.append(kernels.matrix(b.column(vec)))
@@ -138,9 +139,9 @@ def moment_rows(
                 sub = a[idx]
                 acc[key] = acc.get(key, 0.0) + sub.T @ (sub * w[idx] if weight else sub)
             if len(acc) > 32:
-                yield from emit(acc)
+                yield from emit(acc, types)
                 acc = {}
-        yield from emit(acc)
+        yield from emit(acc, types)
 
     partials = df.select(*cols).mapInArrow(partial, schema)
     total = Summarizer.sum(array_to_vector("row"))
@@ -153,14 +154,6 @@ def moment_matrix(df: DataFrame, vec: str | None, extra: Sequence[str] = (), wei
     return np.array([r["row"] for r in sorted(rows, key=lambda r: r["i"])])
 
 
-def moment_matrices(df: DataFrame, vec: str | None, by: str, extra: Sequence[str] = (), weight: str | None = None) -> dict:
-    """Moment matrix per group; the groups are strata named by the caller, a short list."""
-    out: dict = {}
-    for r in moment_rows(df, vec, extra, [by], weight).collect():
-        out.setdefault(r[by], {})[r["i"]] = r["row"]
-    return {key: np.array([rows[i] for i in range(len(rows))]) for key, rows in out.items()}
-
-
 def gram(df: DataFrame, vec: str) -> DataFrame:
     """Uncentred second moments (i, j, value) of a vector column."""
     rows = moment_rows(df, vec).where(F.col("i") > 0)

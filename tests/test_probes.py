@@ -75,6 +75,40 @@ def test_component_sweep_and_strata(data):
     assert L.per_stratum_circular(d, "id", "v", "theta", 2, "g", 1.0).count() == 2
 
 
+def brute_strata(rows, alpha):
+    """Median error per stratum of ridge fits by the normal equations."""
+    out = {}
+    for g in {r["g"] for r in rows}:
+        mine = [r for r in rows if r["g"] == g]
+        x, y, t = (np.array([r[c] for r in mine], float) for c in ("v", "theta", "test"))
+        y, t = np.column_stack([np.cos(2 * y), np.sin(2 * y)]), t.astype(bool)
+        if t.all() or not t.any():
+            continue
+        mx, my = x[~t].mean(0), y[~t].mean(0)
+        xc = x[~t] - mx
+        p = (x[t] - mx) @ np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ (y[~t] - my)) + my
+        d = np.angle(np.exp(1j * (np.arctan2(p[:, 1], p[:, 0]) - np.arctan2(y[t, 1], y[t, 0]))))
+        out[g] = (int(t.sum()), float(np.median(np.degrees(np.abs(d)) / 2)))
+    return out
+
+
+@pytest.mark.parametrize("stratum", ["cast(id % 3 AS int)", "id % 2", "if(id % 4 = 0, NULL, concat('s', id % 4))", "if(id % 5 = 0, NULL, cast(id % 5 AS double))"])
+def test_stratum_refits_match_normal_equations(data, stratum):
+    df = data[0].withColumn("g", F.expr(stratum))
+    want = brute_strata(df.select("v", "theta", "g", L.is_test("id").alias("test")).collect(), 1.0)
+    got = {r["g"]: (r["n"], r["med_err"]) for r in L.per_stratum_circular(df, "id", "v", "theta", 2, "g", 1.0).collect()}
+    assert got.keys() == want.keys() and (None in want) == ("NULL" in stratum)
+    assert all(got[g][0] == want[g][0] and np.isclose(got[g][1], want[g][1]) for g in want)
+
+
+def test_ten_thousand_strata_take_one_plan(spark):
+    v = F.array(*[F.cos(F.col("id") * (i + 1)) for i in range(3)])
+    df = spark.range(60_000).select("id", v.alias("v"), (F.col("id") % 180 / 60.0).alias("theta"), (F.col("id") % 10_000).cast("int").alias("g"))
+    out = L.per_stratum_circular(df, "id", "v", "theta", 2, "g", 1.0)
+    n = df.where(L.is_test("id")).select("g").distinct().join(df.where(~L.is_test("id")).select("g").distinct(), "g").count()
+    assert out.count() == n > 7000
+
+
 def test_tail_probabilities():
     assert abs(special.t_two_sided(2.0, 10) - 0.07338803) < 1e-7
     assert abs(special.t_two_sided(1.96, 1e6) - 0.0499960) < 1e-5
