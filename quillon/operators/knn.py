@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon import runtime
 from quillon.functions import hashing, vectors
 from quillon.operators import kernels, ranking
 
@@ -223,35 +224,121 @@ def knn_join(
     return ranking.top_k(near, [*by, "src"], ["dist", "dst"], k)
 
 
-def pair_summary(df: DataFrame, id_col: str, vec: str, metric: str = "euclidean") -> DataFrame:
-    """All pair distances (a < b) of a bounded sample as rows (a, b, d); the sample travels as tiles."""
-    v = vectors.normalise(vec) if metric == "cosine" else F.col(vec).cast("array<double>")
-    s = df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v"))
-    n = s.count()
-    workers = s.sparkSession.sparkContext.defaultParallelism
-    nb = max(1, min(workers, math.ceil(n / 256)))
-    blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
-    qt = s.withColumn("qs", blk).withColumn("bs", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    bt = s.withColumn("bs", blk).withColumn("qs", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, c = left.column("_id").to_numpy(), right.column("_id").to_numpy()
-        r, cc = np.nonzero(a[:, None] < c[None, :])
-        d = _exact(kernels.matrix(left.column("_v")), kernels.matrix(right.column("_v")), r, cc)
-        if metric == "cosine":
-            d = d * d / 2.0
-        return pa.Table.from_arrays([pa.array(a[r]), pa.array(c[cc]), pa.array(d)], names=["a", "b", "d"])
-
-    tiles = qt.repartition(nb * nb, "qs", "bs").groupBy("qs", "bs").cogroup(bt.repartition(nb * nb, "qs", "bs").groupBy("qs", "bs"))
-    return tiles.applyInArrow(run, "a long, b long, d double")
-
-
-def distance_concentration(sample: DataFrame, id_col: str, vec: str, metric: str = "euclidean") -> DataFrame:
-    """Relative contrast, nearest over mean, coefficient of variation and p95/p5 of a seeded sample's pair distances."""
-    from quillon import runtime
-
-    pairs = runtime.cut_lineage(pair_summary(sample, id_col, vec, metric))
-    return concentration_of_pairs(pairs)
+# Rows of a block of the pair statistics, leading bits that the first pass counts by, bits of a later pass, and values below which all remaining bits are counted.
+PAIR_BLOCK = 2048
+FIRST_BITS, NEXT_BITS = 20, 16
+ALL_BITS_BELOW = 1_000_000
+
+
+class _Pairs:
+    """All pairs of rows as tiles of two blocks, computed again in every pass and never stored."""
+
+    def __init__(self, df: DataFrame, id_col: str, vec: str, metric: str, block: int = PAIR_BLOCK):
+        v = vectors.normalise(vec) if metric == "cosine" else F.col(vec).cast("array<double>")
+        rows = df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).where(vectors.usable("_v"))
+        self.rows, self.cosine = runtime.cut_lineage(rows), metric == "cosine"
+        self.n = self.rows.count()
+        spark = df.sparkSession
+        few = min(spark.sparkContext.defaultParallelism, math.ceil(self.n / 256))  # a short table is cut for the cores' sake
+        self.blocks = max(1, few, math.ceil(self.n / block))
+
+    def tiles(self, fn, schema: str) -> DataFrame:
+        """``fn`` of every tile's (ids, ids, rows, columns, distances), rows and columns being the tile's pairs in slices."""
+        nb, cosine = self.blocks, self.cosine
+        blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
+        left = self.rows.withColumn("qs", blk).withColumn("bs", F.explode(F.sequence(F.col("qs"), F.lit(nb - 1))))
+        right = self.rows.withColumn("bs", blk).withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("bs"))))
+        parts = min(20_000, nb * (nb + 1) // 2)
+
+        def run(key, q: pa.Table, x: pa.Table) -> pa.Table:
+            a, c, qv, xv = q.column("_id").to_numpy(), x.column("_id").to_numpy(), kernels.matrix(q.column("_v")), kernels.matrix(x.column("_v"))
+            same = key[0].as_py() == key[1].as_py()
+            if same:  # both sides are one block: the same order, and each pair once
+                o, p = np.argsort(a, kind="stable"), np.argsort(c, kind="stable")
+                a, qv, c, xv = a[o], qv[o], c[p], xv[p]
+            out, step = [], max(1, PAIR_BUDGET // max(1, len(c)))
+            for s in range(0, len(a), step):
+                r, cc = np.nonzero(np.arange(s, min(len(a), s + step))[:, None] < np.arange(len(c))) if same else map(np.ravel, np.indices((min(step, len(a) - s), len(c))))
+                d = _exact(qv[s : s + step], xv, r, cc)
+                out.append(fn(a, c, r + s, cc, d * d / 2.0 if cosine else d))
+            return pa.concat_tables(out) if out else fn(a, c, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+        sides = [t.select("qs", "bs", F.col("_id").alias("_id"), F.col("_v").alias("_v")).repartition(parts, "qs", "bs").groupBy("qs", "bs") for t in (left, right)]
+        return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
+
+
+def _pair_totals(a, c, r, cc, d, lead: int) -> pa.Table:
+    """What a slice of pairs adds: its moments (kind 0), each node's nearest (1), and counts by the leading bits of the distance (2)."""
+    node, at = np.unique(np.r_[a, c], return_inverse=True)
+    near = np.full(len(node), np.inf)
+    np.minimum.at(near, at[: len(a)][r], d)
+    np.minimum.at(near, at[len(a) :][cc], d)
+    met = np.isfinite(near)
+    bits, count = np.unique(d.view(np.int64) >> (64 - lead), return_counts=True)
+    m = (1 if len(d) else 0), int(met.sum()), len(bits)
+    mean = float(d.mean()) if len(d) else 0.0
+    pad = lambda first, second, third, t: pa.array(np.r_[[first] * m[0], second, third].astype(t))
+    zeros = np.zeros(m[1]), np.zeros(m[2])
+    return pa.table({
+        "kind": pa.array(np.repeat(np.arange(3), m).astype(np.int32)), "key": pad(0, node[met], bits, np.int64), "n": pad(len(d), zeros[0], count, np.int64), "mean": pad(mean, *zeros, float),
+        "m2": pad(float(((d - mean) ** 2).sum()), *zeros, float), "lo": pad(d.min(initial=np.inf), near[met], zeros[1], float), "hi": pad(d.max(initial=0.0), *zeros, float),
+    })
+
+
+def _pair_ranks(pairs: _Pairs, counts: DataFrame, ranks: Sequence[int]) -> list[float]:
+    """Exact order statistics: distances of equal leading bits are an interval, so counts tell which bits a rank has, and a further pass counts the next ones inside."""
+    found = {rank: (0, rank) for rank in ranks}  # leading bits so far, and the rank among the pairs that share them
+    known, width, table = 0, FIRST_BITS, counts.withColumn("prefix", F.lit(0).cast("long"))
+    while True:
+        ranked = runtime.cut_lineage(ranking.value_ranks(table, "key", ["prefix"], weight=F.col("n")))
+        sizes = {}
+        for rank, (prefix, at) in found.items():
+            hit = ranked.where((F.col("prefix") == prefix) & (F.col("before") <= at) & (F.col("before") + F.col("n") > at)).first()
+            found[rank] = ((prefix << width) | hit["key"], at - hit["before"])
+            sizes[found[rank][0]] = hit["n"]
+        known += width
+        if known == 64:
+            return [float(np.array(found[rank][0], np.int64).view(np.float64)) for rank in ranks]
+        width = 64 - known if sum(sizes.values()) <= ALL_BITS_BELOW else min(NEXT_BITS, 64 - known)
+        wanted, keep, cut = sorted(sizes), 64 - known, 64 - known - width
+
+        def next_bits(a, c, r, cc, d, wanted=tuple(wanted), keep=keep, cut=cut):
+            bits, out = d.view(np.int64), []
+            for prefix in wanted:
+                key, n = np.unique((bits[bits >> keep == prefix] >> cut) & ((1 << (keep - cut)) - 1), return_counts=True)
+                out.append(pa.table({"prefix": pa.array(np.full(len(key), prefix, np.int64)), "key": pa.array(key.astype(np.int64)), "n": pa.array(n.astype(np.int64))}))
+            return pa.concat_tables(out)
+
+        table = pairs.tiles(next_bits, "prefix long, key long, n long").groupBy("prefix", "key").agg(F.sum("n").alias("n"))
+
+
+def distance_concentration(df: DataFrame, id_col: str, vec: str, metric: str = "euclidean", block: int = PAIR_BLOCK) -> DataFrame:
+    """Number of pairs, relative contrast, nearest over mean, coefficient of variation and p95/p5 of the distances of all pairs of rows.
+
+    No pair is stored: each pass recomputes the tiles and returns moments, nearest distances and counts. The percentiles are exact order
+    statistics (:func:`_pair_ranks`). Vectors that are NULL or hold NULL, NaN or infinite components take no part; without a pair all but n_pairs is NULL.
+    """
+    pairs = _Pairs(df, id_col, vec, metric, block)
+    lead = FIRST_BITS
+    parts = runtime.cut_lineage(pairs.tiles(lambda *tile: _pair_totals(*tile, lead), "kind int, key long, n long, mean double, m2 double, lo double, hi double"))
+    first = parts.where("kind = 0")
+    n = F.sum("n")
+    mean = F.sum(F.col("mean") * F.col("n")) / n
+    total = first.agg(n.alias("n"), mean.alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    nearest = parts.where("kind = 1").groupBy("key").agg(F.min("lo").alias("nn")).agg(F.avg("nn")).first()[0]
+    spark, names = df.sparkSession, "n_pairs long, relative_contrast double, nn_over_mean double, distance_cv double, p95_over_p5 double"
+    if not total["n"]:
+        return spark.createDataFrame([(0, None, None, None, None)], names)
+    around = first.agg(F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.lit(total["mean"]), 2))).first()[0]
+    counts = parts.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n"))
+    at = [p * (total["n"] - 1) for p in (0.05, 0.95)]
+    values = _pair_ranks(pairs, counts, sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)}))
+    value = dict(zip(sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)}), values))
+    p5, p95 = (value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in at)
+    runtime.discard(parts)
+    over = lambda x, y: x / y if y else None
+    row = (total["n"], over(total["hi"] - total["lo"], total["lo"]), over(nearest, total["mean"]), over(math.sqrt(around / total["n"]), total["mean"]), over(p95, p5))
+    return spark.createDataFrame([row], names)
 
 
 def concentration_of_pairs(pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors
-from quillon.operators import graph, knn, profiles, ranking, spectral, vector_stats as V
+from quillon.operators import descent, graph, knn, profiles, ranking, spectral, vector_stats as V
 from quillon.plans.registry import h32, query, uni
 from quillon.plans.vectors_queries import KNN, Z, emb, knn_graph, sample, zemb
 from quillon.runtime import cut_lineage, table
@@ -24,6 +24,15 @@ e as (select src as u, dst as v, dist from k where rank <= 10 union all select d
 g as (select u, v, max(dist) as w from e group by 1, 2)"""
 
 
+@query("knn_descent")
+def knn_descent(spark, sf):
+    """Approximate neighbours of every z-scored vector, with the recall measured against exact neighbours of hashed rows."""
+    z = cut_lineage(zemb(spark, sf))
+    found = cut_lineage(descent.neighbour_descent(z, "vec_id", "v", 10))
+    one = descent.audit(z, found, "vec_id", "v", 10)
+    return _r(found.crossJoin(F.broadcast(one.select("recall"))), 6, "dist", "recall")  # one row
+
+
 @query("symmetric_graph", f"with {KNN}{_SYM} select u, v, round(w, 6) as w from g")
 def symmetric_graph(spark, sf):
     return _r(graph.symmetrise(edges(spark, sf, 10)), 6, "w")

@@ -145,12 +145,12 @@ def sample(spark, sf, n=2000):
 
 @query("distance_concentration", _AB.replace("{dist}", "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
 def distance_concentration(spark, sf):
-    return _rounded(knn.distance_concentration(sample(spark, sf), "vec_id", "v"))
+    return _rounded(knn.distance_concentration(emb(spark, sf), "vec_id", "v"))
 
 
 @query("distance_concentration_cosine", _AB.replace("{dist}", "list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
 def distance_concentration_cosine(spark, sf):
-    return _rounded(knn.distance_concentration(sample(spark, sf), "vec_id", "v", metric="cosine"))
+    return _rounded(knn.distance_concentration(emb(spark, sf), "vec_id", "v", metric="cosine"))
 
 
 @query("pca_variance")
