@@ -294,47 +294,165 @@ def normalised_pair(scores: DataFrame, i: int = 0, j: int = 1) -> DataFrame:
     return j2.select("cluster", "id", ((F.col("x") - F.col("mx")) * scale).alias("x"), ((F.col("y") - F.col("my")) * scale).alias("y"))
 
 
+# Tasks that count one cluster, rows turned at once, and ranges of a projection that the bounds of the mixture index count.
+CLUSTER_TASKS = 16
+TURNED = 512
+RANGES = 4096
+
+
+def _spread_clusters(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a cluster in at most CLUSTER_TASKS tasks, side by side, so that each task counts a cluster once."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(CLUSTER_TASKS))
+    return pairs.select("cluster", "x", "y", *columns, salt.alias("_salt")).repartition("cluster", "_salt").sortWithinPartitions("cluster").drop("_salt")
+
+
+def _per_cluster(batches, add, emit):
+    """Feed each cluster's rows, which come one after the other, to ``add``; ``emit`` what it held when the next cluster begins."""
+    held, at = None, None
+    for b in batches:
+        cluster = b.column("cluster").to_numpy()
+        for low, high in zip(*[(lambda c: (c[:-1], c[1:]))(np.r_[0, np.flatnonzero(np.diff(cluster)) + 1, len(cluster)])][0]) if len(cluster) else ():
+            if held is not None and cluster[low] != at:
+                yield emit(at, held)
+                held = None
+            at = cluster[low]
+            for s in range(low, high, TURNED):
+                held = add(held, b.slice(s, min(TURNED, high - s)))
+    if held is not None:
+        yield emit(at, held)
+
+
 def separability(pairs: DataFrame, n_angles: int = 1000, bins: int = 40, clip: float = 3.0) -> DataFrame:
-    """Smallest binned mutual information (bits) of the two coordinates over rotations, per cluster."""
-    ang = F.explode(F.sequence(F.lit(0), F.lit(n_angles - 1))).alias("a")
-    r = pairs.select("cluster", "x", "y", ang)
-    th = F.col("a") * F.lit(math.pi / n_angles)
-    u, v = F.col("x") * F.cos(th) + F.col("y") * F.sin(th), F.col("y") * F.cos(th) - F.col("x") * F.sin(th)
-    r = r.select("cluster", "a", u.alias("u"), v.alias("v")).where((F.abs("u") < clip) & (F.abs("v") < clip))
-    cell = lambda c: F.least(F.greatest(((F.col(c) + clip) / (2 * clip) * bins).cast("int"), F.lit(0)), F.lit(bins - 1))
-    h = r.groupBy("cluster", "a", cell("u").alias("iu"), cell("v").alias("iv")).agg(F.count(F.lit(1)).alias("n"))
+    """Smallest binned mutual information (bits) of the two coordinates over rotations, per cluster.
+
+    A task turns its rows by all angles and counts cells, so rows are not copied per angle; what it passes on is at most one count per angle and cell.
+    """
+    th = np.arange(n_angles) * (math.pi / n_angles)
+    cos, sin = np.cos(th), np.sin(th)
+
+    def add(held, b):
+        held = np.zeros(n_angles * bins * bins, np.int64) if held is None else held
+        x, y = b.column("x").to_numpy()[:, None], b.column("y").to_numpy()[:, None]
+        u, v = x * cos + y * sin, y * cos - x * sin
+        r, a = np.nonzero((np.abs(u) < clip) & (np.abs(v) < clip))
+        cell = lambda c: np.clip(((c[r, a] + clip) / (2 * clip) * bins).astype(np.int64), 0, bins - 1)
+        np.add.at(held, (a * bins + cell(u)) * bins + cell(v), 1)
+        return held
+
+    def emit(cluster, held):
+        at = np.flatnonzero(held)
+        columns = [np.full(len(at), cluster), at // (bins * bins), at // bins % bins, at % bins]
+        return pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in columns], pa.array(held[at])], names=["cluster", "a", "iu", "iv", "n"])
+
+    counts = _spread_clusters(pairs).mapInArrow(lambda batches: _per_cluster(batches, add, emit), "cluster int, a int, iu int, iv int, n long")
+    h = counts.groupBy("cluster", "a", "iu", "iv").agg(F.sum("n").cast("double").alias("n"))
     w = Window.partitionBy("cluster", "a")  # bins x bins cells
     p = h.withColumns({"t": F.sum("n").over(w), "nu": F.sum("n").over(w.partitionBy("cluster", "a", "iu")), "nv": F.sum("n").over(w.partitionBy("cluster", "a", "iv"))})
     mi = p.groupBy("cluster", "a").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nu") * F.col("nv")))).alias("mi"))
     return mi.groupBy("cluster").agg((F.min("mi") / F.lit(math.log(2.0))).alias("separability"))
 
 
+def _best_band(rows: DataFrame, open_: DataFrame, eps: float) -> DataFrame:
+    """Largest share of rows (cluster, x, y) in the bands (cluster, phi, prob) and its direction, per cluster: exact, each row once per direction."""
+    on = lambda a, b: a.join(b.select(F.col("cluster").alias("_c"), F.col("phi").alias("_phi"), *[c for c in b.columns if c not in ("cluster", "phi")]), (F.col("cluster") == F.col("_c")) & (F.col("phi") == F.col("_phi"))).drop("_c", "_phi")
+    turn = open_.select(F.col("cluster").alias("_t"), "phi").distinct()
+    p = rows.join(turn, F.col("cluster") == F.col("_t")).select("cluster", "phi", (F.col("x") * F.cos("phi") + F.col("y") * F.sin("phi")).alias("p"))
+    p = runtime.cut_lineage(p)
+    st = p.groupBy("cluster", "phi").agg(F.avg("p").alias("mu"), F.var_samp("p").alias("var"))
+    ranks = on(ranking.value_ranks(p, "p", ["cluster", "phi"]), open_).withColumn("pos", F.col("prob") * (F.col("total") - 1))
+    at = lambda pos: F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("n")), F.col("p")))
+    q = ranks.groupBy("cluster", "phi", "prob").agg(at(F.floor("pos")).alias("lo"), at(F.ceil("pos")).alias("hi"), F.max(F.col("pos") - F.floor("pos")).alias("f"))
+    cuts = on(q.select("cluster", "phi", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")).alias("q")), st)
+    near = F.abs(F.col("p") - F.col("q")) < eps * F.sqrt(F.col("var") + F.pow(F.col("mu") - F.col("q"), 2))
+    share = on(p, runtime.cut_lineage(cuts)).groupBy("cluster", "phi", "prob").agg(F.avg(near.cast("double")).alias("m"))
+    return share.groupBy("cluster").agg(F.max(F.struct("m", "phi")).alias("b")).select("cluster", "b.m", F.col("b.phi").alias("at"))
+
+
+def _offset_probs(offsets: int) -> np.ndarray:
+    return np.array([0.005 + 0.99 * i / (offsets - 1) for i in range(offsets)])
+
+
+def _band_bounds(counts: np.ndarray, low: np.ndarray, step: np.ndarray, mu: np.ndarray, var: np.ndarray, eps: float, offsets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the shares (directions x offsets), from counts (directions x ranges) alone; ranges are widened by one for rounding."""
+    m, ranges = counts.shape
+    total = np.concatenate([np.zeros((m, 1)), np.cumsum(counts, axis=1)], axis=1)
+    n = total[:, -1:]
+    pos = _offset_probs(offsets) * (n - 1)
+    first = np.stack([np.searchsorted(t[1:], np.floor(p), side="right") for t, p in zip(total, pos)])
+    last = np.stack([np.searchsorted(t[1:], np.ceil(p), side="right") for t, p in zip(total, pos)])
+    low, step, mu, var = (c[:, None] for c in (low, step, mu, var))
+    q0, q1 = low + step * (first - 1), low + step * (last + 2)
+    near = np.where((q0 <= mu) & (mu <= q1), 0.0, np.minimum(np.abs(q0 - mu), np.abs(q1 - mu)))
+    far = np.maximum(np.abs(q0 - mu), np.abs(q1 - mu))
+    w0, w1 = (eps * np.sqrt(np.maximum(var, 0.0) + d * d) * f for d, f in ((near, 1 - 1e-9), (far, 1 + 1e-9)))
+    inside = lambda lo, hi: np.take_along_axis(total, np.clip(hi, 0, ranges), 1) - np.take_along_axis(total, np.clip(np.minimum(lo, hi), 0, ranges), 1)
+    at = lambda v: (v - low) / step
+    most = inside(np.floor(at(q0 - w1)).astype(int) - 1, np.ceil(at(q1 + w1)).astype(int) + 1)
+    least = inside(np.ceil(at(q1 - w0)).astype(int) + 1, np.floor(at(q0 + w0)).astype(int) - 1)
+    return least / n, most / n
+
+
+def _open_bands(pairs: DataFrame, first: str, width: float, n: int, eps: float, offsets: int) -> DataFrame:
+    """(cluster, phi, prob) of the bands at directions ``first`` + i * width, i < n, and percentiles whose upper bound reaches the best lower bound of their cluster.
+
+    A task projects its rows on all directions and counts RANGES ranges of each; no row is copied. Mean and variance of a projection follow from the
+    plane's moments.
+    """
+    st = pairs.groupBy("cluster").agg(
+        F.max(F.hypot("x", "y")).alias("r"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy"), F.max(first).alias("first"),
+    )
+    st = runtime.cut_lineage(st)
+    rows = _spread_clusters(pairs.join(st.select(F.col("cluster").alias("_c"), "r"), F.col("cluster") == F.col("_c")), first, "r")
+    step, probs = np.arange(n) * width, _offset_probs(offsets)
+
+    def add(held, b):
+        held = np.zeros((n, RANGES), np.int64) if held is None else held
+        x, y, r, phi = b.column("x").to_numpy()[:, None], b.column("y").to_numpy()[:, None], b.column("r").to_numpy()[:, None], b.column(first).to_numpy()[:, None] + step
+        p = np.clip(((x * np.cos(phi) + y * np.sin(phi)) / np.maximum(r, 1e-300) + 1) * (RANGES / 2), 0, RANGES - 1).astype(np.int64)
+        np.add.at(held, (np.broadcast_to(np.arange(n), p.shape), p), 1)
+        return held
+
+    def emit(cluster, held):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, cluster, np.int32)), pa.array(np.arange(n, dtype=np.int32)), kernels.lists(held)], names=["cluster", "i", "counts"])
+
+    counts = rows.mapInArrow(lambda batches: _per_cluster(batches, add, emit), "cluster int, i int, counts array<double>")
+    counts = counts.groupBy("cluster", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("counts"))).alias("counts"))
+    counts = counts.join(st.select(F.col("cluster").alias("_c"), *[c for c in st.columns if c != "cluster"]), F.col("cluster") == F.col("_c"))
+
+    def bound(batches):
+        for b in batches:
+            if b.num_rows:
+                i, r, phi0, mx, my, vx, vy, vxy = (b.column(c).to_numpy().astype(float) for c in ("i", "r", "first", "mx", "my", "vx", "vy", "vxy"))
+                phi = phi0 + i * width
+                c, s = np.cos(phi), np.sin(phi)
+                r = np.maximum(r, 1e-300)
+                low, high = _band_bounds(kernels.matrix(b.column("counts")), -r, 2 * r / RANGES, mx * c + my * s, np.nan_to_num(vx * c * c + vy * s * s + 2 * vxy * c * s), eps, offsets)
+                each = np.repeat(np.arange(len(phi)), offsets)
+                yield pa.RecordBatch.from_arrays([b.column("cluster").take(pa.array(each)), pa.array(phi[each]), pa.array(np.tile(probs, len(phi))), pa.array(low.ravel()), pa.array(high.ravel())], names=["cluster", "phi", "prob", "low", "high"])
+
+    bounds = runtime.cut_lineage(counts.mapInArrow(bound, "cluster int, phi double, prob double, low double, high double"))
+    floor = bounds.groupBy(F.col("cluster").alias("_c")).agg(F.max("low").alias("floor"))
+    return bounds.join(floor, F.col("cluster") == F.col("_c")).where("high >= floor").select("cluster", "phi", "prob")
+
+
 def mixture_index(pairs: DataFrame, eps: float = 0.1, n_phi: int = 360, n_offsets: int = 61, refine: tuple[int, int] = (40, 121)) -> DataFrame:
     """Largest share of rows in a band |v.f + c| < eps RMS(v.f + c) over directions and offsets, per cluster: a
-    full grid, then a finer one around each cluster's best direction."""
-
-    def best(grid: DataFrame, offsets: int) -> DataFrame:
-        p = grid.select("cluster", "phi", (F.col("x") * F.cos("phi") + F.col("y") * F.sin("phi")).alias("p"))
-        st = p.groupBy("cluster", "phi").agg(F.avg("p").alias("mu"), F.var_samp("p").alias("var"))
-        probs = [0.005 + 0.99 * i / (offsets - 1) for i in range(offsets)]
-        q = ranking.quantiles(p, "p", probs, ["cluster", "phi"])
-        cut = q.select("cluster", "phi", F.array(*[F.col(f"q{i}") for i in range(offsets)]).alias("qs")).join(st, ["cluster", "phi"])
-        j = p.join(cut, ["cluster", "phi"])
-        share = [
-            F.avg((F.abs(F.col("p") - F.col("qs")[i]) < eps * F.sqrt(F.col("var") + F.pow(F.col("mu") - F.col("qs")[i], 2))).cast("double")).alias(f"s{i}")
-            for i in range(offsets)
-        ]
-        top = j.groupBy("cluster", "phi").agg(*share).select("cluster", "phi", F.greatest(*[F.col(f"s{i}") for i in range(offsets)]).alias("m"))
-        return top.groupBy("cluster").agg(F.max(F.struct("m", "phi")).alias("b")).select("cluster", "b.m", F.col("b.phi").alias("at"))
+    full grid, then a finer one around each cluster's best direction.
 
+    Counts of all directions bound every share from both sides; rows are looked at again only for the bands that can still be the best, which
+    are few. The result is that of the full grids.
+    """
+    pairs = runtime.cut_lineage(pairs.select(F.col("cluster").cast("int").alias("cluster"), "id", "x", "y"))
     step = math.pi / n_phi
-    coarse = pairs.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_phi - 1)))).withColumn("phi", F.col("_i") * F.lit(step))
-    first = runtime.cut_lineage(best(coarse, n_offsets))
     n_fine, off_fine = refine
-    at = first.select("cluster", F.explode(F.sequence(F.lit(0), F.lit(n_fine - 1))).alias("i"), "at")
-    at = at.select("cluster", (F.col("at") - step + 2 * step * F.col("i") / (n_fine - 1)).alias("phi"))
-    fine = best(pairs.join(runtime.broadcast_checked(at), "cluster"), off_fine)
-    return first.join(fine.select("cluster", F.col("m").alias("m2")), "cluster").select("cluster", F.greatest("m", "m2").alias("mixture"))
+
+    def best(rows: DataFrame, first: str, width: float, n: int, offsets: int) -> DataFrame:
+        return runtime.cut_lineage(_best_band(rows, runtime.cut_lineage(_open_bands(rows, first, width, n, eps, offsets)), eps))
+
+    coarse = best(pairs.withColumn("from", F.lit(0.0)), "from", step, n_phi, n_offsets)
+    around = coarse.select(F.col("cluster").alias("_a"), (F.col("at") - step).alias("from"))
+    fine = best(pairs.join(around, F.col("cluster") == F.col("_a")).drop("_a"), "from", 2 * step / (n_fine - 1), n_fine, off_fine)
+    return coarse.join(fine.select("cluster", F.col("m").alias("m2")), "cluster").select("cluster", F.greatest("m", "m2").alias("mixture"))
 
 
 def plane_fit(pairs: DataFrame, labels: DataFrame, id_col: str, names: Sequence[str], min_rows: int = 300) -> DataFrame:

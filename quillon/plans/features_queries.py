@@ -181,18 +181,18 @@ n as (select p.cluster, id, (x - mx) * k as x, (y - my) * k as y from p join st
 
 
 @query("cluster_separability", f"""
-with {_PAIR}, r as (select cluster, a.range as a, x * cos(a.range * {math.pi / 25!r}) + y * sin(a.range * {math.pi / 25!r}) as u, y * cos(a.range * {math.pi / 25!r}) - x * sin(a.range * {math.pi / 25!r}) as v from n, range(25) a),
+with {_PAIR}, r as (select cluster, a.range as a, x * cos(a.range * {math.pi / 1000!r}) + y * sin(a.range * {math.pi / 1000!r}) as u, y * cos(a.range * {math.pi / 1000!r}) - x * sin(a.range * {math.pi / 1000!r}) as v from n, range(1000) a),
 h as (select cluster, a, least(greatest(trunc((u + 3) / 6 * 40), 0), 39)::INT as iu, least(greatest(trunc((v + 3) / 6 * 40), 0), 39)::INT as iv, count(*)::DOUBLE as n from r where abs(u) < 3 and abs(v) < 3 group by all),
 w as (select *, sum(n) over (partition by cluster, a) as t, sum(n) over (partition by cluster, a, iu) as nu, sum(n) over (partition by cluster, a, iv) as nv from h),
 m as (select cluster, a, sum(n / t * ln(n * t / (nu * nv))) as mi from w group by 1, 2)
 select cluster::INT as cluster, round(min(mi) / ln(2.0), 6) as separability from m group by 1""")
 def cluster_separability(spark, sf):
-    return _r(D.separability(_pairs(spark, sf), n_angles=25), 6, "separability")
+    return _r(D.separability(_pairs(spark, sf)), 6, "separability")
 
 
 @query("cluster_mixture")
 def cluster_mixture(spark, sf):
-    return D.mixture_index(_pairs(spark, sf), n_phi=24, n_offsets=21, refine=(8, 21))
+    return D.mixture_index(_pairs(spark, sf))
 
 
 @query("cluster_plane_fit", f"""
