@@ -368,10 +368,19 @@ def angle_battery(df: DataFrame, vec: str, labels: Sequence[str], alpha: float =
     return df.sparkSession.createDataFrame([(*r, r[2] - r[3]) for r in rows], "a string, b string, angle double, label_angle double, excess double")
 
 
-def random_pair_angles(d: int, n: int = 200, seed: int = 0) -> np.ndarray:
-    """Percentiles (5, 50, 95) of the angle between random directions."""
-    a, b = V.random_directions(n, d, seed), V.random_directions(n, d, seed + 1)
-    return np.percentile(np.degrees(np.arccos(np.clip((a * b).sum(0), -1, 1))), [5, 50, 95])
+def random_pair_angles(df: DataFrame, key: str, vec: str, seed=0) -> DataFrame:
+    """(dims, p5, median, p95): percentiles in degrees of the angle between the vectors of random pairs of rows.
+
+    Rows are paired in hash order, the first with the second and so on, so every usable row is in one pair at most.
+    """
+    rows = df.where(vectors.usable(vec)).select(key, vec)
+    order = cut_lineage(ranking.hash_order(rows, key, seed, out="_r").select(vec, F.col("_r").alias("_r")))
+    at = F.expr("(_r - 1) div 2").alias("_pair")
+    a, b = (order.where(F.col("_r") % 2 == odd).select(at, F.col(vec).alias(name)) for odd, name in ((1, "_a"), (0, "_b")))
+    cosine = F.least(F.greatest(vectors.cosine("_a", "_b"), F.lit(-1.0)), F.lit(1.0))
+    angle = cut_lineage(a.join(b, "_pair").where((vectors.norm("_a") > 0) & (vectors.norm("_b") > 0)).select(F.size("_a").alias("dims"), F.degrees(F.acos(cosine)).alias("angle")))
+    q = ranking.quantiles(angle, "angle", [0.05, 0.5, 0.95], names=["p5", "median", "p95"])
+    return angle.agg(F.max("dims").alias("dims")).crossJoin(F.broadcast(q))  # one row
 
 
 def steering_response(df: DataFrame, vec: str, steer: str, labels: Sequence[str], amount: float, alpha: float = ALPHA_DIRECTION) -> DataFrame:

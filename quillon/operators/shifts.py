@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import hashing, vectors
 from quillon.operators import inference, joins, kernels, knn, probes, ranking, vector_stats as V
+from quillon.runtime import cut_lineage, spread
 
 
 def occupancy_ratio(df: DataFrame, key: str, sample: str, region: Column, weight: Column, n_boot: int = inference.N_BOOT, seed=0) -> DataFrame:
@@ -165,8 +166,6 @@ def decodability_table(df: DataFrame, ablated: DataFrame, key: str, vec: str, la
     shuffled = df
     for name in labels:
         shuffled = inference.shuffle_within(shuffled, key, name, f"{seed}{name}", f"_sh_{name}")
-    from quillon.runtime import cut_lineage
-
     shuffled = cut_lineage(shuffled)
     a = probes.probes(df, key, vec, labels, **kw)
     f = probes.probes(shuffled, key, vec, [f"_sh_{n}" for n in labels], **kw).select(F.expr("substring(label, 5)").alias("label"), F.col("r2").alias("floor"))
@@ -192,30 +191,47 @@ def angle_null(df: DataFrame, vec: str, labels: Sequence[str], n_draws: int = 20
     cov = m / n - np.outer(mu, mu)
     y = cov[1 + d :, 1 + d :]
     corr = y / np.sqrt(np.outer(np.diag(y), np.diag(y)))
-    root = (mom.q * np.sqrt(mom.lam / n)) @ mom.q.T
-    rng = np.random.default_rng(seed)
     deg = lambda c: float(np.degrees(np.arccos(np.clip(c, -1, 1))))
-    out = []
-    for i in range(t):
-        for j in range(i + 1, t):
-            rho = float(np.clip(corr[i, j], -1, 1))
-            excess = deg(unit[:, i] @ unit[:, j]) - deg(rho)
-            null = []
-            for _ in range(n_draws):
-                g = np.linalg.qr(rng.standard_normal((d, 2)))[0]
-                pair = np.column_stack([g[:, 0], rho * g[:, 0] + math.sqrt(1 - rho * rho) * g[:, 1]])
-                w = []
-                for c, s in zip(pair.T, (share[i], share[j])):
-                    # X'y of a label sqrt(s) x.c + noise: mean n root c, sampling noise of size sqrt(n (1 - s)).
-                    xy = n * math.sqrt(s) * (root @ c) + math.sqrt(n * (1 - s)) * (root @ rng.standard_normal(d))
-                    v = mom.q @ ((mom.q.T @ xy) / (mom.lam + probes.ALPHA_DIRECTION))
-                    w.append(v / np.linalg.norm(v))
-                null.append(deg(w[0] @ w[1]) - deg(rho))
-            null = np.array(null)
-            p = float((1 + (np.abs(null - null.mean()) >= abs(excess - null.mean())).sum()) / (n_draws + 1))
-            out.append((labels[i], labels[j], excess, float(null.mean()), float(null.std()), p))
-    pairs = df.sparkSession.createDataFrame(out, "a string, b string, excess double, null_mean double, null_std double, p double")
-    return pairs.join(inference.bh_qvalues(pairs, "p"), "p").select("a", "b", "excess", "null_mean", "null_std", "p", "q")
+    rhos = np.clip(corr, -1, 1)
+    pairs = [(i * t + j, labels[i], labels[j], deg(unit[:, i] @ unit[:, j]) - deg(rhos[i, j]), float(rhos[i, j]), float(share[i]), float(share[j])) for i in range(t) for j in range(i + 1, t)]
+    pairs = df.sparkSession.createDataFrame(pairs, "pair int, a string, b string, excess double, rho double, share_a double, share_b double")
+    null = cut_lineage(_null_excess(pairs, mom.lam, float(n), n_draws, seed))
+    st = null.groupBy(F.col("pair").alias("_p")).agg(F.avg("null").alias("null_mean"), F.stddev_pop("null").alias("null_std"))
+    j = null.join(st, F.col("pair") == F.col("_p")).drop("_p").join(pairs.select(F.col("pair").alias("_p"), "a", "b", "excess"), F.col("pair") == F.col("_p"))
+    beyond = F.abs(F.col("null") - F.col("null_mean")) >= F.abs(F.col("excess") - F.col("null_mean"))
+    out = j.groupBy("a", "b", "excess", "null_mean", "null_std").agg(((1 + F.count_if(beyond)) / F.lit(n_draws + 1)).alias("p"))
+    out = cut_lineage(out)
+    return out.join(inference.bh_qvalues(out, "p"), "p").select("a", "b", "excess", "null_mean", "null_std", "p", "q")
+
+
+def _null_excess(pairs: DataFrame, lam: np.ndarray, n: float, n_draws: int, seed: int) -> DataFrame:
+    """(pair, draw, null): excess angle of every draw, each with normals seeded by (seed, pair, draw), solved in tasks.
+
+    Angles do not change in the eigenbasis of the moments, where the fit divides by the eigenvalues: tasks need these d numbers and no matrix.
+    """
+    rows = pairs.select("pair", "rho", "share_a", "share_b", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
+
+    def solve(batches):
+        for b in batches:
+            pair, draw, rho, sa, sb = (b.column(c).to_numpy() for c in ("pair", "draw", "rho", "share_a", "share_b"))
+            normals = np.array([np.random.default_rng([seed, p, i]).standard_normal((4, len(lam))) for p, i in zip(pair, draw)]).reshape(-1, 4, len(lam))
+            yield pa.RecordBatch.from_arrays([b.column("pair"), b.column("draw"), pa.array(null_angles(normals, lam, n, rho, sa, sb))], names=["pair", "draw", "null"])
+
+    return spread(rows).mapInArrow(solve, "pair int, draw int, null double")
+
+
+def null_angles(normals: np.ndarray, lam: np.ndarray, n: float, rho: np.ndarray, share_a: np.ndarray, share_b: np.ndarray) -> np.ndarray:
+    """Angle between the refitted directions of two labels of correlation rho, less the correlation's own angle. ``normals``: draws x (two directions, two noises) x d."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    first = unit(normals[:, 0])
+    second = unit(normals[:, 1] - np.einsum("ij,ij->i", normals[:, 1], first)[:, None] * first)
+    second = rho[:, None] * first + np.sqrt(1 - rho * rho)[:, None] * second
+    w = []
+    for c, z, s in ((first, normals[:, 2], share_a), (second, normals[:, 3], share_b)):
+        # X'y of a label sqrt(s) x.c + noise: mean n root c, sampling noise of size sqrt(n (1 - s)).
+        xy = np.sqrt(lam / n) * (n * np.sqrt(s)[:, None] * c + np.sqrt(n * (1 - s))[:, None] * z)
+        w.append(unit(xy / (lam + probes.ALPHA_DIRECTION)))
+    return np.degrees(np.arccos(np.clip(np.einsum("ij,ij->i", *w), -1, 1)) - np.arccos(np.clip(rho, -1, 1)))
 
 
 def relation_by_population(df: DataFrame, x: str, y: str, population: str, min_rows: int = 30) -> DataFrame:

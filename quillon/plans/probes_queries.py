@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import angles, hashing, vectors
 from quillon.operators import inference, probes as L, profiles, ranking, vector_stats as V
-from quillon.plans.registry import query
+from quillon.plans.registry import h32, query
 from quillon.plans.vectors_queries import Z, emb, transformed, zemb
 from quillon.runtime import cut_lineage, table
 
@@ -85,11 +85,13 @@ def angle_battery(spark, sf):
     return L.angle_battery(labelled(spark, sf), "v", ["y", "part", "third"])
 
 
-@query("random_pair_angle")
+@query("random_pair_angle", f"""
+with {Z}, r as (select v, row_number() over (order by {h32(0, 'vec_id')}, vec_id) as r from z),
+d as (select degrees(acos(least(greatest(list_cosine_similarity(a.v, b.v), -1.0), 1.0))) as d, len(a.v) as n from r a join r b on b.r = a.r + 1 and a.r % 2 = 1)
+select max(n)::INT as dims, round(quantile_cont(d, 0.05), 6) as p5, round(quantile_cont(d, 0.5), 6) as median, round(quantile_cont(d, 0.95), 6) as p95 from d""")
 def random_pair_angle(spark, sf):
-    d = emb(spark, sf).agg(F.max(F.size("v"))).first()[0]
-    p5, p50, p95 = (float(x) for x in L.random_pair_angles(d))
-    return spark.createDataFrame([(d, p5, p50, p95)], "dims int, p5 double, median double, p95 double")
+    out = L.random_pair_angles(zemb(spark, sf), "vec_id", "v")
+    return out.select("dims", *[F.round(c, 6).alias(c) for c in ("p5", "median", "p95")])
 
 
 @query("circular_probe")
@@ -137,7 +139,7 @@ def component_sweep(spark, sf):
 def split_sensitivity(spark, sf):
     d = labelled(spark, sf)
     out = None
-    for s in range(5):
+    for s in range(10):
         test = L.is_test("vec_id", s)
         fit = L.fit_circular(d.where(~test), "v", "theta", 2, [100.0])
         one = L.circular_summary(L.circular_readout(fit, d.where(test), "v", "theta", 2), 2).withColumn("seed", F.lit(s))

@@ -240,7 +240,7 @@ def displacement_budget(spark, sf):
 @query("ring_scan")
 def ring_scan(spark, sf):
     z = zemb(spark, sf).withColumn("theta", F.radians((F.col("label") * 18.0)))
-    return V.ring_scan(z, "v", "theta", 2, 12)
+    return V.ring_scan(z, "v", "theta", 2, 50)
 
 
 @query("principal_angles")
