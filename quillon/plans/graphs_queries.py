@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import vectors
 from quillon.operators import descent, graph, knn, profiles, ranking, spectral, vector_stats as V
 from quillon.plans.registry import h32, query, uni
-from quillon.plans.vectors_queries import KNN, Z, emb, knn_graph, sample, zemb
+from quillon.plans.vectors_queries import KNN, Z, emb, knn_graph, zemb
 from quillon.runtime import cut_lineage, table
 
 
@@ -153,9 +153,20 @@ def forman(spark, sf):
 
 @query("ollivier")
 def ollivier(spark, sf):
-    s = cut_lineage(V.zscore(sample(spark, sf), "v"))
-    e = cut_lineage(knn.knn_join(s, s, 10, "vec_id", "v"))
-    return graph.curvature_summary(cut_lineage(graph.ollivier(e, s, "vec_id", "v")))
+    """Curvature of the neighbour edges of all rows, transport solved exactly."""
+    z = cut_lineage(zemb(spark, sf))
+    return graph.curvature_summary(cut_lineage(graph.ollivier(edges(spark, sf, 10), z, "vec_id", "v")))
+
+
+@query("ollivier_k_sweep")
+def ollivier_k_sweep(spark, sf):
+    """The same for three neighbourhood sizes, from one neighbour table."""
+    z, e = cut_lineage(zemb(spark, sf)), edges(spark, sf, 15)
+    out = None
+    for k in (8, 10, 15):
+        one = graph.curvature_summary(cut_lineage(graph.ollivier(e.where(F.col("rank") <= k), z, "vec_id", "v"))).select(F.lit(k).alias("k"), "*")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("components", f"""

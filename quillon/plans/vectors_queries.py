@@ -139,10 +139,6 @@ def _rounded(df):
     return df.select(*[F.round(c, d.get(c, 6)).alias(c) if c != "n_pairs" else F.col(c) for c in df.columns])
 
 
-def sample(spark, sf, n=2000):
-    return ranking.sample_n(emb(spark, sf), "vec_id", n, 0)
-
-
 @query("distance_concentration", _AB.replace("{dist}", "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
 def distance_concentration(spark, sf):
     return _rounded(knn.distance_concentration(emb(spark, sf), "vec_id", "v"))
