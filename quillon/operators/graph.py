@@ -302,18 +302,24 @@ def spanning_forest(undirected: DataFrame) -> DataFrame:
             live.groupBy("a").agg(F.min(F.struct("w", "lo", "hi", "b")).alias("e")).select("a", F.col("e.b").alias("p"), "e.w", "e.lo", "e.hi")
         )
         picked = best.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "w").distinct()
-        forest = cut_lineage(picked if forest is None else forest.unionByName(picked).distinct())
+        before, forest = forest, cut_lineage(picked if forest is None else forest.unionByName(picked).distinct())
+        if before is not None:
+            discard(before)
         # Two ends that chose each other form the only kind of cycle; the smaller becomes the root.
         back = best.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         ptr = best.select("a", "p").join(back, "p").select("a", F.when((F.col("pp") == F.col("a")) & (F.col("a") < F.col("p")), F.col("a")).otherwise(F.col("p")).alias("p"))
         ptr = cut_lineage(ptr)
+        jumps = ptr
         while True:
             up = ptr.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             nxt = cut_lineage(ptr.join(up, "p").select("a", F.col("pp").alias("q"), F.col("p").alias("old")))
+            discard(jumps)
+            jumps = nxt
             moved = nxt.where(F.col("q") != F.col("old")).isEmpty()
             ptr = nxt.select("a", F.col("q").alias("p"))
             if moved:
                 break
+        old = live
         live = (
             live.join(ptr, "a").withColumnRenamed("p", "a2").drop("a").withColumnRenamed("b", "a").join(ptr, "a")
             .select(F.col("a2").alias("a"), F.col("p").alias("b"), "w", "lo", "hi").where(F.col("a") != F.col("b"))
@@ -321,6 +327,7 @@ def spanning_forest(undirected: DataFrame) -> DataFrame:
         # Between two components only the lightest edge can ever be chosen.
         live = live.groupBy("a", "b").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("a", "b", "e.w", "e.lo", "e.hi")
         live = cut_lineage(live)
+        discard(old, best, jumps)
     if forest is None:
         return undirected.select("u", "v", "w").limit(0)
     return forest
@@ -367,14 +374,17 @@ def geodesics(undirected: DataFrame, landmarks: DataFrame, power: int = 1, requi
     """
     e = cut_lineage(undirected.select("u", "v", F.pow("w", power).alias("w")))
     best = cut_lineage(landmarks.select(F.col(landmarks.columns[0]).alias("landmark")).withColumn("node", F.col("landmark")).withColumn("d", F.lit(0.0)))
-    front = best
+    front, kept = best, best
     while not front.isEmpty():
         step = front.join(e, front["node"] == e["u"]).select("landmark", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"))
         step = step.groupBy("landmark", "node").agg(F.min("d").alias("nd"))
         merged = best.join(step, ["landmark", "node"], "full").select("landmark", "node", F.least("d", "nd").alias("d"), (F.col("d").isNull() | (F.col("nd") < F.col("d"))).alias("new"))
         merged = cut_lineage(merged)
+        discard(kept)
+        kept = merged
         best = merged.select("landmark", "node", "d")
         front = merged.where(F.coalesce("new", F.lit(False))).select("landmark", "node", "d")
+    discard(e)
     if require_connected:
         want = landmarks.count() * undirected.select("u").distinct().count()
         if best.count() != want:

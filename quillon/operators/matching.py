@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import inference, knn, ranking
-from quillon.runtime import cut_lineage
+from quillon.runtime import cut_lineage, discard
 
 
 def greedy_match(sources: DataFrame, pool: DataFrame, id_col: str, vec: str, priority: str, k: int = 40) -> DataFrame:
@@ -34,6 +34,7 @@ def greedy_match(sources: DataFrame, pool: DataFrame, id_col: str, vec: str, pri
             offers = offers.join(now, "dst", "left").where(F.col("hs").isNull() | (F.struct("hp", -F.col("hs")) < rank_key))
         best = cut_lineage(offers.groupBy("src", "pri").agg(F.min(F.struct("rank", "dst")).alias("b")).select("src", "pri", F.col("b.dst").alias("dst")))
         if best.isEmpty():
+            discard(best)
             stuck = free if width < n_pool else free.limit(0)
             n_stuck = stuck.count()
             if n_stuck == 0 or width >= n_pool:
@@ -41,10 +42,12 @@ def greedy_match(sources: DataFrame, pool: DataFrame, id_col: str, vec: str, pri
             width = min(2 * width, n_pool)
             wider = knn.knn_join(sources.join(stuck.select(F.col("src").alias(id_col)), id_col, "left_semi").select(id_col, vec), pool.select(id_col, vec), width, id_col, vec, exclude_self=False)
             more = wider.select("src", "rank", "dst").join(pri, "src")
-            cand = cut_lineage(cand.join(stuck.select("src"), "src", "left_anti").unionByName(more))
+            before, cand = cand, cut_lineage(cand.join(stuck.select("src"), "src", "left_anti").unionByName(more))
+            discard(before)
             continue
         claims = best if held is None else best.unionByName(held)
-        held = cut_lineage(claims.groupBy("dst").agg(F.max_by(F.struct("src", "pri"), rank_key).alias("w")).select("dst", "w.src", "w.pri"))
+        before, held = held, cut_lineage(claims.groupBy("dst").agg(F.max_by(F.struct("src", "pri"), rank_key).alias("w")).select("dst", "w.src", "w.pri"))
+        discard(best, *([before] if before is not None else []))
     if held is None:
         return pri.select("src", F.col("src").alias("dst")).limit(0)
     return held.select("src", "dst")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions import hashing
 from quillon.operators import graph, ranking
 from quillon.operators.vector_stats import moment_matrix, project
-from quillon.runtime import cut_lineage
+from quillon.runtime import cut_lineage, discard
 
 
 def self_tuned_kernel(edges: DataFrame, scale_rank: int = 7) -> DataFrame:
@@ -103,8 +103,10 @@ def top_eigenpairs(s: DataFrame, m: int, steps: int = 5, max_steps: int = 60, to
             change[:p, :p] = np.eye(p)
             change[:p, p:] = -c @ r
             change[p:, p:] = r
-            basis = cut_lineage(project(both, "q", change, "q"))
+            before, basis = basis, cut_lineage(project(both, "q", change, "q"))
+            discard(before)
             newest = (p, p + fresh)
+        discard(both)
         exhausted = not fresh or p + fresh >= n
         if step < steps and not exhausted:
             continue
