@@ -116,11 +116,14 @@ def delta_hyperbolicity(df: DataFrame, id_col: str, vec: str, n_quads: int, n_pa
 
 
 def delta_hyperbolicity_tree(df: DataFrame, id_col: str, n_quads: int, seed=0) -> DataFrame:
-    """The same statistic on exact path distances of the binary tree with as many nodes as the table: zero."""
+    """The same statistic on exact path distances of the binary tree whose nodes are the table's rows, laid out in hash order: zero."""
     spark = df.sparkSession
-    n = df.count()
+    rows = cut_lineage(indexed(df.select(id_col), id_col, seed).select("row"))
+    n = rows.count()
     d = scalars.heap_distance
     q = random_tuples(spark, n_quads, n, 4, f"{seed}q")
+    for j in range(4):
+        q = q.join(rows.withColumnRenamed("row", f"r{j}"), f"r{j}")
     s = F.sort_array(F.array(d("r0", "r1") + d("r2", "r3"), d("r0", "r2") + d("r1", "r3"), d("r0", "r3") + d("r1", "r2")), asc=False)
     diam = spark.range(1).select(F.lit(float(2 * (n.bit_length() - 1))).alias("diameter"))
     return _delta_summary(q.select(((s[0] - s[1]) / 2.0).alias("raw")), diam)

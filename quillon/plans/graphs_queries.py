@@ -101,14 +101,14 @@ def stratified_dimension(spark, sf):
     return _r(graph.twonn(e, ["low"]).select("low", "n", "mle"), 6, "mle")
 
 
-_QUADS = 20000
+_QUADS, _DIAMETER_PAIRS = 1_000_000, 100_000
 
 
 def _delta_sql(dist: str) -> str:
     pick = lambda seed, i: f"floor({uni(seed, i)} * n.n)::BIGINT"
     return f"""
 with {Z}, r as (select v, row_number() over (order by {h32(0, 'vec_id')}, vec_id) - 1 as row from z), n as (select count(*) as n from z),
-p as (select max({dist.replace('@1', 'a.v').replace('@2', 'b.v')}) as dm from (select {pick('0p-0', 'range')} as i, {pick('0p-1', 'range')} as j from range(5000), n) q join r a on a.row = q.i join r b on b.row = q.j),
+p as (select max({dist.replace('@1', 'a.v').replace('@2', 'b.v')}) as dm from (select {pick('0p-0', 'range')} as i, {pick('0p-1', 'range')} as j from range({_DIAMETER_PAIRS}), n) q join r a on a.row = q.i join r b on b.row = q.j),
 q as (select {pick('0q-0', 'range')} as i, {pick('0q-1', 'range')} as j, {pick('0q-2', 'range')} as k, {pick('0q-3', 'range')} as l from range({_QUADS}), n),
 ss as (select list_sort([{dist.replace('@1', 'a.v').replace('@2', 'b.v')} + {dist.replace('@1', 'c.v').replace('@2', 'd.v')}, {dist.replace('@1', 'a.v').replace('@2', 'c.v')} + {dist.replace('@1', 'b.v').replace('@2', 'd.v')},
   {dist.replace('@1', 'a.v').replace('@2', 'd.v')} + {dist.replace('@1', 'b.v').replace('@2', 'c.v')}], 'DESC') as s from q join r a on a.row = q.i join r b on b.row = q.j join r c on c.row = q.k join r d on d.row = q.l),
@@ -118,12 +118,12 @@ select round(max(dm), 6) as diameter, round(avg(delta), 6) as mean, round(quanti
 
 @query("delta_hyperbolicity", _delta_sql("list_distance(@1, @2)"))
 def delta_hyperbolicity(spark, sf):
-    return _r(graph.delta_hyperbolicity(zemb(spark, sf), "vec_id", "v", _QUADS, 5000), 6, "diameter", "mean", "median", "p95")
+    return _r(graph.delta_hyperbolicity(zemb(spark, sf), "vec_id", "v", _QUADS, _DIAMETER_PAIRS), 6, "diameter", "mean", "median", "p95")
 
 
 @query("delta_hyperbolicity_cosine", _delta_sql("list_cosine_distance(@1, @2)"))
 def delta_hyperbolicity_cosine(spark, sf):
-    return _r(graph.delta_hyperbolicity(zemb(spark, sf), "vec_id", "v", _QUADS, 5000, metric="cosine"), 6, "diameter", "mean", "median", "p95")
+    return _r(graph.delta_hyperbolicity(zemb(spark, sf), "vec_id", "v", _QUADS, _DIAMETER_PAIRS, metric="cosine"), 6, "diameter", "mean", "median", "p95")
 
 
 @query("delta_hyperbolicity_tree", "select (2 * floor(log2(count(*))))::DOUBLE as diameter, 0.0::DOUBLE as mean, 0.0::DOUBLE as median, 0.0::DOUBLE as p95 from orders")
