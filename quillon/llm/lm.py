@@ -23,6 +23,8 @@ WIDTH, KNOWN, CLASS = 16, 1024, 32
 FREQUENT = 200_000
 # Windows of the start model (all windows of all training texts refine it afterwards).
 START_WINDOWS = 8192
+# Windows that one bucket of a training round holds, on average.
+BUCKET = 1 << 17
 # Windows laid out at once.
 STEP = 8192
 CACHE = 400_000
@@ -106,6 +108,16 @@ def cut_windows(flat: np.ndarray, begin: np.ndarray, end: int, which: np.ndarray
     return inputs, targets, text
 
 
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w for a stack of matrices x, as one product."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+
+
+def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sum of x^T y over a stack of matrices, as one product."""
+    return x.reshape(-1, x.shape[-1]).T @ y.reshape(-1, y.shape[-1])
+
+
 class Attention:
     """One layer of causal self-attention with a residual, and a softmax in two steps: the class of the next token, then the token.
 
@@ -117,6 +129,8 @@ class Attention:
 
     def __init__(self, counts: np.ndarray, seed: int = 3):
         order = np.argsort(-counts, kind="stable")[:KNOWN]
+        share = np.full(KNOWN, 0.5)
+        share[: len(order)] += counts[order]
         self.token = np.full(len(counts), KNOWN, np.int64)
         self.token[order] = np.arange(len(order))
         rest = counts + 0.5
@@ -124,6 +138,8 @@ class Attention:
         self.rest = np.log10(np.maximum(rest, 1e-300) / max(rest.sum(), 1e-300))
         self.rest[order] = 0.0
         self.classes = KNOWN // CLASS
+        share = share.reshape(self.classes, CLASS)
+        of_class = np.append(share.sum(axis=1), max(rest.sum(), 0.5))  # the biases start at the counts: a model without weights is the unigram
         rng = np.random.default_rng(seed)
 
         def draw(*shape, scale):
@@ -132,8 +148,8 @@ class Attention:
         d = WIDTH
         self.weights = {
             "embed": draw(KNOWN + 1, d, scale=0.3), "place": draw(WINDOW, d, scale=0.1), "query": draw(d, d, scale=d**-0.5), "key": draw(d, d, scale=d**-0.5),
-            "value": draw(d, d, scale=d**-0.5), "out": draw(d, d, scale=d**-0.5), "wclass": draw(d, self.classes + 1, scale=0.1), "bclass": np.zeros(self.classes + 1, np.float32),
-            "wtoken": draw(self.classes, CLASS, d, scale=0.1), "btoken": np.zeros((self.classes, CLASS), np.float32),
+            "value": draw(d, d, scale=d**-0.5), "out": draw(d, d, scale=d**-0.5), "wclass": draw(d, self.classes + 1, scale=0.1), "bclass": np.log(of_class / of_class.sum()).astype(np.float32),
+            "wtoken": draw(self.classes, CLASS, d, scale=0.1), "btoken": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32),
         }
         causal = np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]
         self.mask = np.where(causal, 0.0, -1e9).astype(np.float32)
@@ -154,13 +170,13 @@ class Attention:
         pad = np.where(tokens < 0, np.float32(-1e9), np.float32(0))[:, None, :]
         x = w["embed"][np.maximum(tokens, 0)] + w["place"]
         late = x[:, CONTEXT:]
-        q, k, v = late @ w["query"], x @ w["key"], x @ w["value"]
+        q, k, v = times(late, w["query"]), times(x, w["key"]), times(x, w["value"])
         a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.mask + pad
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
         mixed = a @ v
-        return late + mixed @ w["out"], (x, q, k, v, a, mixed)
+        return late + times(mixed, w["out"]), (x, q, k, v, a, mixed)
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target token (rows of h)."""
@@ -171,12 +187,13 @@ class Attention:
         out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits).sum(axis=1))
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                z = h[rows] @ w["wtoken"][c].T + w["btoken"][c]
-                z -= z.max(axis=1, keepdims=True)
-                out[rows] += z[np.arange(len(rows)), target[rows] - c * CLASS] - np.log(np.exp(z).sum(axis=1))
+        h, own, part = h[order], (target - cls * CLASS)[order], np.zeros(len(h), h.dtype)
+        for c in np.flatnonzero(np.diff(cut)):
+            rows = slice(cut[c], cut[c + 1])
+            z = h[rows] @ w["wtoken"][c].T + w["btoken"][c]
+            z -= z.max(axis=1, keepdims=True)
+            part[rows] = z[np.arange(len(z)), own[rows]] - np.log(np.exp(z).sum(axis=1))
+        out[order] += part
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -184,7 +201,7 @@ class Attention:
         w, d = self.weights, WIDTH
         h, (x, q, k, v, a, mixed) = self.hidden(inputs)
         flat, t = h.reshape(-1, d), targets.ravel()
-        some = np.flatnonzero(t >= 0)
+        some = np.argsort(t, kind="stable")[np.count_nonzero(t < 0) :]  # by token, so that a class is a slice
         hs, t, n = flat[some], t[some], max(1, len(some))
         cls = t // CLASS
         z = hs @ w["wclass"] + w["bclass"]
@@ -195,12 +212,13 @@ class Attention:
         p /= n
         g = {"wclass": hs.T @ p, "bclass": p.sum(axis=0), "wtoken": np.zeros_like(w["wtoken"]), "btoken": np.zeros_like(w["btoken"])}
         dh = p @ w["wclass"].T
-        for c in np.unique(cls[cls < self.classes]):
-            rows = np.flatnonzero(cls == c)
+        cut = np.searchsorted(cls, np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(cut)):
+            rows = slice(cut[c], cut[c + 1])
             z = hs[rows] @ w["wtoken"][c].T + w["btoken"][c]
             e = np.exp(z - z.max(axis=1, keepdims=True))
             e /= e.sum(axis=1, keepdims=True)
-            own = (np.arange(len(rows)), t[rows] - c * CLASS)
+            own = (np.arange(len(z)), t[rows] - c * CLASS)
             loss -= np.log(np.maximum(e[own], 1e-12)).sum()
             e[own] -= 1
             e /= n
@@ -209,19 +227,19 @@ class Attention:
         back = np.zeros_like(flat)
         back[some] = dh
         back = back.reshape(h.shape)
-        g["out"] = np.einsum("bid,bie->de", mixed, back)
-        dm = back @ w["out"].T
+        g["out"] = outer(mixed, back)
+        dm = times(back, w["out"].T)
         da = dm @ v.transpose(0, 2, 1)
         ds = a * (da - (a * da).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
         dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
         late = x[:, CONTEXT:]
-        g["query"], g["key"], g["value"] = np.einsum("bid,bie->de", late, dq), np.einsum("bid,bie->de", x, dk), np.einsum("bid,bie->de", x, dv)
-        dx = dk @ w["key"].T + dv @ w["value"].T
-        dx[:, CONTEXT:] += back + dq @ w["query"].T
+        g["query"], g["key"], g["value"] = outer(late, dq), outer(x, dk), outer(x, dv)
+        dx = times(dk, w["key"].T) + times(dv, w["value"].T)
+        dx[:, CONTEXT:] += back + times(dq, w["query"].T)
         g["place"] = dx.sum(axis=0)
-        g["embed"] = np.zeros_like(w["embed"])
         used = inputs >= 0
-        np.add.at(g["embed"], inputs[used], dx[used])
+        cells = inputs[used][:, None] * d + np.arange(d)
+        g["embed"] = np.bincount(cells.ravel(), dx[used].ravel(), w["embed"].size).reshape(w["embed"].shape).astype(dx.dtype)
         return float(loss / n), g
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, epochs: int, rate: float, batch: int = 128, seed: int = 1) -> float:
@@ -288,14 +306,21 @@ def count_words(docs: DataFrame) -> DataFrame:
 def training_windows(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Every window of every training text: (h, tokens), tokens being the WINDOW inputs and the last target; copies of a text count each.
 
-    h is a number drawn for the window, in the range of a long.
+    h is a number drawn for the window from its document's id and text and its place there, in the range of a long, so that it
+    does not depend on how rows lie in files. Rows repeated whole (id and text) are numbered within their batch, so that many of
+    them do not meet in one bucket; only with such rows the layout can still change weights a little.
     """
 
     def run(batches):
         subwords = Subwords(tokenizer)
         ids_of = WordIds(subwords)
-        for numbers, batch in row_numbers(batches):
+        for batch in batches:
             data, offsets = text_buffer(batch.column(0))
+            keys = batch.column(1).to_numpy().view(np.uint64)
+            order = np.argsort(keys, kind="stable")
+            again = np.zeros(len(keys), np.uint64)
+            again[order] = np.arange(len(keys)) - np.searchsorted(keys[order], keys[order])
+            numbers = keys ^ mix(again)
             for a, b in slices(offsets):
                 part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 hashes, first, last, starts = words(part, o)
@@ -303,7 +328,7 @@ def training_windows(docs: DataFrame, tokenizer: str) -> DataFrame:
                 flat, begin = sequences(ids, id_at, which, starts, subwords.end)
                 per = -(-np.diff(begin) // SCORED)
                 total, first_of = int(per.sum()), np.cumsum(per) - per
-                drawn = np.repeat(mix(numbers[a:b].astype(np.uint64) + np.uint64(1)), per)
+                drawn = np.repeat(mix(numbers[a:b] + np.uint64(1)), per)
                 drawn = mix(drawn + (np.arange(total) - np.repeat(first_of, per)).astype(np.uint64)).view(np.int64)
                 for s in range(0, total, STEP):
                     inputs, targets, _ = cut_windows(flat, begin, subwords.end, np.arange(s, min(total, s + STEP)))
@@ -311,7 +336,8 @@ def training_windows(docs: DataFrame, tokenizer: str) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * (WINDOW + 1)), pa.array(tokens.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array(drawn[s : s + STEP]), lists], names=["h", "tokens"])
 
-    return docs.filter("train").select("text").mapInArrow(run, "h long, tokens array<int>")
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("key")
+    return docs.filter("train").select("text", key).mapInArrow(run, "h long, tokens array<int>")
 
 
 def _matrices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -334,49 +360,54 @@ def count_subwords(windows: DataFrame, vocabulary: int) -> DataFrame:
     return windows.select("tokens").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
-def start_sample(windows: DataFrame, rows: int = START_WINDOWS) -> pa.Table:
-    """The ``rows`` windows with the smallest h; only about twice as many are put in order, however many there are."""
-    n = windows.count()
+def start_sample(windows: DataFrame, rows: int = START_WINDOWS, n: int | None = None) -> pa.Table:
+    """The ``rows`` of the ``n`` windows with the smallest h; only about twice as many are put in order, however many there are."""
+    n = windows.count() if n is None else n
     some = windows
     if n > 2 * rows:
         some = windows.filter(F.col("h") < int(-(2**63) + 2**64 * (2 * rows / n)))
-    return some.orderBy("h").limit(rows).select("tokens").toArrow()
+    return some.orderBy("h", "tokens").limit(rows).select("tokens").toArrow()
+
+
+def bucket_round(bc, rate: float):
+    """What a round does with a bucket: its windows in the order of h, and the weights afterwards times their number."""
+
+    def run(group: pa.Table) -> pa.Table:
+        own = Attention.__new__(Attention)
+        own.__dict__.update(bc.value.__dict__)
+        own.weights = dict(bc.value.weights)
+        inputs, targets = _matrices(group.sort_by("h").column("tokens").combine_chunks())
+        own.train(own.tokens(inputs), own.tokens(targets), 1, rate, batch=512)
+        w = own.flat().astype(np.float64) * group.num_rows
+        return pa.table([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w), pa.array(np.full(len(w), group.num_rows))], names=["at", "sum", "n"])
+
+    return run
 
 
-def train_model(windows: DataFrame, vocabulary: int, rounds: int = 2) -> Attention:
+def train_model(windows: DataFrame, vocabulary: int, rounds: int = 1, bucket: int = BUCKET) -> Attention:
     """Fit on all windows: a start model on a bounded sample, then ``rounds`` of training in tasks and averaging.
 
-    The start model, and nothing else, sees START_WINDOWS windows at most. In a round, which is run whatever the size, every task
-    takes the model through all of its own windows, and the tasks' weights are averaged by their window counts; the
-    sums are made by Spark. Subwords are counted over all windows, thus over all training text.
+    The start model, and nothing else, sees START_WINDOWS windows at most. A round, which is run whatever the size, deals all
+    windows to buckets of about ``bucket`` windows by their drawn numbers; a task takes the model through the windows of a bucket in the
+    order of these numbers, and the buckets' weights are averaged by their window counts. Neither buckets nor order depend on
+    how rows lie in files. Subwords are counted over all windows, thus over all training text.
     """
     spark = windows.sparkSession
-    counts = np.zeros(vocabulary)
+    counts, n = np.zeros(vocabulary), windows.count()
     for r in local_rows(count_subwords(windows, vocabulary), vocabulary):
         counts[r["id"]] = r["count"]
     model = Attention(counts)
-    start = start_sample(windows)
+    start = start_sample(windows, n=n)
     if start.num_rows:
         inputs, targets = _matrices(start.column(0).combine_chunks())
         model.train(model.tokens(inputs), model.tokens(targets), epochs=6, rate=0.01)
+    buckets = -(-n // bucket)
     for r in range(rounds if start.num_rows else 0):
         bc = spark.sparkContext.broadcast(model)
 
-        def run(batches, bc=bc, r=r):
-            own = Attention.__new__(Attention)
-            own.__dict__.update(bc.value.__dict__)
-            own.weights = dict(bc.value.weights)
-            n = 0
-            for batch in batches:
-                if batch.num_rows:
-                    inputs, targets = _matrices(batch.column(0))
-                    own.train(own.tokens(inputs), own.tokens(targets), 1, 0.003 / (r + 1))
-                    n += batch.num_rows
-            if n:
-                w = own.flat().astype(np.float64) * n
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w), pa.array(np.full(len(w), n))], names=["at", "sum", "n"])
-
-        parts = windows.select("tokens").mapInArrow(run, "at int, sum double, n long")
+        # Twice as many partitions as buckets: few tasks get more than two.
+        dealt = windows.select(F.pmod("h", F.lit(buckets)).alias("bucket"), "h", "tokens").repartition(2 * buckets, "bucket")
+        parts = dealt.groupBy("bucket").applyInArrow(bucket_round(bc, 0.003 / (r + 1)), "at int, sum double, n long")
         mean = parts.groupBy("at").agg((F.sum("sum") / F.sum("n")).alias("mean")).orderBy("at").toArrow()
         model.load(mean.column("mean").to_numpy())
         bc.unpersist()

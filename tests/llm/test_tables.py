@@ -221,6 +221,23 @@ def test_lm_trains_on_every_window_of_every_training_text(spark, monkeypatch):
     assert trained[0] == windows.count() and not np.allclose(still.flat(), moved.flat())  # rounds are run on few windows, too
 
 
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["old", "grey", "river", "stone", "bridge", "falls", "over"], int(rng.integers(1, 90))))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({(r["doc_id"]): r["score"] for r in lm.score(d, remainder("doc_id", 5) == 1).collect()} for d in (df.coalesce(1), df.orderBy("text").repartition(7)))
+    assert one.keys() == two.keys() and max(abs(one[i] - two[i]) / max(1, abs(one[i])) for i in one) < 1e-5
+
+
+def test_lm_starts_at_the_unigram_of_subwords():
+    counts = np.random.default_rng(3).integers(0, 60, 3000).astype(float)
+    m = lm.Attention(counts)
+    m.weights = {k: (np.zeros_like(w) if k not in ("bclass", "btoken") else w) for k, w in m.weights.items()}
+    ids = np.arange(3000)
+    lp = m.log_probs(np.zeros((3000, lm.WIDTH), np.float32), m.token[ids]) / np.log(10) + m.rest[ids]
+    assert abs((10.0**lp).sum() - 1) < 1e-4 and np.allclose(lp, np.log10((counts + 0.5) / (counts + 0.5).sum()), atol=1e-4)
+
+
 def test_gradients_and_masking():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 50, 1500).astype(float)
