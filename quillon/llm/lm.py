@@ -377,7 +377,7 @@ def bucket_round(bc, rate: float):
         own.__dict__.update(bc.value.__dict__)
         own.weights = dict(bc.value.weights)
         inputs, targets = _matrices(group.sort_by("h").column("tokens").combine_chunks())
-        own.train(own.tokens(inputs), own.tokens(targets), 1, rate, batch=512)
+        own.train(own.tokens(inputs), own.tokens(targets), 1, rate, batch=256)
         w = own.flat().astype(np.float64) * group.num_rows
         return pa.table([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w), pa.array(np.full(len(w), group.num_rows))], names=["at", "sum", "n"])
 
