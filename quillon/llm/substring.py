@@ -11,15 +11,19 @@ from quillon.llm import setsketch
 from quillon.llm.buckets import link, shorten, sketch_matrix
 from quillon.llm.common import Shelf, slices, text_buffer
 from quillon.llm.neardup import set_keys
-from quillon.llm.shingles import distinct, jaccard, mix, shingles, words
+from quillon.llm.shingles import distinct, jaccard, mix, powers, shingles, words
 
 THRESHOLD = 0.75
 # A pair at the threshold is missed by all bands with this chance at most.
 MISS = 3e-4
 # Paragraphs of fewer words are left alone.
 LEAST_WORDS = 20
-# A passage ends at a word whose hash is the least of REACH words before and after it.
-REACH = 5
+# Runs of this many words that stand elsewhere word for word are cut, also across line ends.
+PASSAGE = 50
+# Anchors are runs of this many words; every run of PASSAGE words holds one that depends on nothing but the run.
+ANCHOR = 25
+# A hot anchor or passage is dealt over this many keys.
+SALTS = 8
 # Estimates below this are not verified.
 CUT = 0.5
 STEP = 1 << 15
@@ -184,127 +188,192 @@ def repeated(docs: DataFrame, shelf: Shelf, threshold: float = THRESHOLD) -> Dat
     return hits.distinct().select("doc_id", "text_hash", "pos", F.col("kept.doc_id").alias("first_doc"), F.col("kept.pos").alias("first_pos"))
 
 
-def passages(data: np.ndarray, offsets: np.ndarray):
-    """Content-defined passages of the lines of LEAST_WORDS words or more: (text, first word in the text, name, first byte, past-the-last byte).
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words, whatever text it is in."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(max(2, len(hashes) + 1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
+    return mix((sums[k:] - sums[:-k]) * down[:n] + np.uint64(k))
 
-    Where a run of words is cut depends on the REACH words around each place only, so that a run which two texts share
-    falls into the same passages in both, but for its ends, whatever stands around it.
+
+def anchors(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, name) of the anchors: in each run of PASSAGE words of a text the ANCHOR-run with the least hash, of equal ones the last."""
+    names = runs(hashes, ANCHOR)
+    span = PASSAGE - ANCHOR + 1
+    n = len(hashes) - PASSAGE + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def lesser(a, b):
+        return np.where(names[b] <= names[a], b, a)
+
+    best, width = np.arange(len(names)), 1
+    while 2 * width <= span:
+        best, width = lesser(best[:-width], best[width:]), 2 * width
+    best = lesser(best[:n], best[span - width : span - width + n])
+    inside = np.arange(n) + PASSAGE <= np.repeat(starts[1:], np.diff(starts))[:n]
+    at = np.unique(best[inside])
+    return at, names[at].view(np.int64)
+
+
+def keyed(docs: DataFrame, at: int) -> DataFrame:
+    """The columns as c0, c1, ... (no name of the input can clash) with d_ and h_: the id of a row as a long and the hash of its text."""
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return named.select("*", F.col(f"c{docs.columns.index('doc_id')}").cast("long").alias("d_"), F.xxhash64(f"c{at}").alias("h_"))
+
+
+def repeats(found: DataFrame, apart: int) -> DataFrame:
+    """Of (doc_id, text_hash, start, name) the rows with a name that stands at another place, and the first place of each name.
+
+    A place of the first's own text counts from ``apart`` words behind it. Names are counted before they are joined, and joined by
+    salted keys, so a name that a third of the documents hold meets in no task.
+    """
+    place = F.struct("doc_id", "text_hash", "start")
+    groups = found.groupBy(F.col("name").alias("group")).agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept != last").select("group", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))
+    both = found.join(groups, (F.col("name") == F.col("group")) & (dealt == F.col("salt")))
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    return both.withColumn("later", ~same | (F.col("start") >= F.col("kept.start") + apart))
+
+
+def dropped_lines(raw: np.ndarray, drop: set[int]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Which bytes stay when the lines ``drop`` go with their line ends, and (line, first, past-the-last byte) of each."""
+    ends = np.append(np.flatnonzero(raw == 10), len(raw))
+    begins = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
+    stay = np.ones(len(raw), bool)
+    some = [k for k in sorted(drop) if k < len(ends)]
+    for k in some:
+        stay[begins[k] : ends[k] + 1] = False
+    left = len(ends) - 1
+    while left in drop:
+        left -= 1
+    if 0 <= left < len(ends) - 1:
+        stay[ends[left]] = False
+    return stay, [(k, int(begins[k]), int(ends[k])) for k in some]
+
+
+def repeated_passages(rows: DataFrame, at: int, cuts: DataFrame, shelf: Shelf) -> DataFrame:
+    """(doc_id, text_hash, start, first_doc): every run of PASSAGE words in what the paragraph step leaves that stands before, by (doc_id, text_hash, word).
+
+    Anchors that occur at two places or more name the texts to look at, and the runs of PASSAGE words around them are compared
+    by name. As each such run holds an anchor which is the same in all its copies, none is missed.
     """
-    _, hashes, starts = paragraphs(data, offsets)
-    _, first, last, of_text = words(data, offsets)
-    n = len(hashes)
-    if not n:
-        return [np.zeros(0, np.int64)] * 5
-    h = mix(hashes + (np.concatenate([hashes[1:], hashes[:1]]) >> np.uint64(1)))
-    cut = np.ones(n, bool)
-    for d in range(1, REACH + 1):
-        cut[d:] &= h[d:] < h[:-d]
-        cut[:-d] &= h[:-d] <= h[d:]
-    edges = np.unique(np.concatenate([np.flatnonzero(cut) + 1, starts]))
-    line = np.searchsorted(starts, edges[:-1], side="right") - 1
-    whole = (edges[:-1] > starts[line]) & (edges[1:] < starts[line + 1])  # the ends of a line are no passages
-    keep = np.flatnonzero(whole & (np.diff(starts)[line] >= LEAST_WORDS) & (np.diff(edges) > REACH))
-    a, b = edges[:-1][keep], edges[1:][keep]
-    powers_ = mix(np.arange(n, dtype=np.uint64) - np.repeat(edges[:-1], np.diff(edges)).astype(np.uint64) + np.uint64(1))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ powers_), dtype=np.uint64)])
-    names = mix(sums[b] - sums[a]).view(np.int64)
-    text = np.searchsorted(of_text, a, side="right") - 1
-    return text, a - of_text[text], names, first[a], last[b - 1]
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, names, first_docs): passages that stand word for word in a place before, by (doc_id, word)."""
 
-    def run(batches):
+    def mark(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
             for a, b in slices(offsets):
-                text, start, name, _, _ = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + text)), pa.array(start.astype(np.int32)), pa.array(name)], names=["doc_id", "start", "name"])
-
-    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start int, name long")
-    place = F.struct("doc_id", "start")
-    groups = found.groupBy(F.col("name").alias("group")).agg(F.min(place).alias("kept"), F.count("*").alias("rows")).filter("rows > 1")
-    hits = found.join(groups, found["name"] == groups["group"]).filter(place != F.col("kept"))
-    return hits.select("doc_id", "start", "name", F.col("kept.doc_id").alias("first_doc"))
+                hashes, _, _, starts = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                where, names = anchors(hashes, starts)
+                text = np.searchsorted(starts, where, side="right") - 1
+                row = pa.array(a + text)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array((where - starts[text]).astype(np.int32)), pa.array(names)], names=["doc_id", "text_hash", "start", "name"])
+
+    kind = "doc_id long, text_hash long, start int, name long"
+    marked = shelf.put(rows.select("d_", "h_", f"c{at}").mapInArrow(mark, kind), "anchors")
+    seen = repeats(marked, 0).select("doc_id", "text_hash", F.lit(None).cast("int").alias("line"), "start")
+    lines = cuts.select("doc_id", "text_hash", F.explode("lines.at").alias("line"), F.lit(None).cast("int").alias("start"))
+    todo = seen.union(lines).groupBy(F.col("doc_id").alias("e_"), F.col("text_hash").alias("g_")).agg(F.collect_set("start").alias("starts"), F.collect_set("line").alias("lines")).filter("size(starts) > 0")
+    texts = rows.join(todo, F.col("d_").eqNullSafe(F.col("e_")) & (F.col("h_") == F.col("g_"))).select("d_", "h_", f"c{at}", "starts", "lines")
+
+    def spell(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = np.frombuffer(batch.column(2)[i].as_py().encode(), np.uint8)
+                hashes, first, _, _ = words(raw, np.array([0, len(raw)]))
+                stay, _ = dropped_lines(raw, set(batch.column(4)[i].as_py()))
+                gone = np.concatenate([np.zeros(1, np.int64), np.cumsum(~stay[first])])
+                where = np.zeros(max(0, len(hashes) - PASSAGE + 1) + 1, np.int64)
+                marks = np.array(batch.column(3)[i].as_py(), np.int64)
+                np.add.at(where, np.clip(marks - (PASSAGE - ANCHOR), 0, len(where) - 1), 1)
+                np.add.at(where, np.clip(marks + 1, 0, len(where) - 1), -1)
+                near = np.flatnonzero(np.cumsum(where)[:-1] > 0)
+                near = near[gone[near + PASSAGE] == gone[near]]
+                names = runs(hashes, PASSAGE)[near].view(np.int64)
+                for s in range(0, len(near), STEP):
+                    k = len(near[s : s + STEP])
+                    ids = batch.column(0).slice(i, 1).take(pa.array(np.zeros(k, np.int64)))
+                    yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(i, 1).take(pa.array(np.zeros(k, np.int64))), pa.array(near[s : s + STEP].astype(np.int32)), pa.array(names[s : s + STEP])], names=["doc_id", "text_hash", "start", "name"])
+
+    spelled = shelf.put(texts.mapInArrow(spell, kind).distinct(), "runs")
+    return repeats(spelled, PASSAGE).filter("later").select("doc_id", "text_hash", "start", F.col("kept.doc_id").alias("first_doc"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, inner: bool = True) -> DataFrame:
-    """The input's columns, with repeated paragraphs cut out of ``text``, and n_removed, removed, repeats_of.
+    """The input's columns, with repeated paragraphs and passages cut out of ``text``, and n_removed, removed, repeats_of.
 
     A paragraph is a line of LEAST_WORDS words or more. One that repeats another (Jaccard similarity of five-word
     shingle sets of ``threshold`` or more, over links) is removed everywhere but at the smallest (doc_id, text_hash, position).
-    With ``inner``, passages within such lines that stand word for word at a smaller (doc_id, word) are cut out as well, so that a run of words that
-    two lines share is broken also where the lines as a whole differ; places are compared over the whole input, also where a line
-    goes as a near copy of another. Shorter lines and all other text stay as they are. removed has (start, stop, first_doc) per cut
-    piece, in characters of the input's text; repeats_of lists the documents that keep them. A null text stays null; rows
-    repeated whole are cut alike; a null doc_id comes before all others and its inner passages stay. Input columns of the three names are replaced.
+    With ``inner``, runs of PASSAGE words or more that stand word for word elsewhere in what is left are cut as well, everywhere but at
+    the smallest (doc_id, text_hash, word); line ends and short lines are text like any other, and a run goes in full. A word of the
+    kept place is itself cut only where a still earlier place keeps it. Shorter repeats stay, and a text that repeats itself
+    with a period of less than PASSAGE words keeps its first PASSAGE words. removed has (start, stop, first_doc) per cut
+    piece, in characters of the input's text; repeats_of lists the documents that keep them. doc_id must be a whole number. A null text
+    stays null; rows repeated whole are one place and are cut alike; a null doc_id comes before all others. Input columns of the
+    three names are replaced.
     """
     shelf = Shelf(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_removed", "removed", "repeats_of")]
-    docs = docs.select(*columns)
-    piece = lambda at, name: F.struct(F.col(at).alias("at"), F.col(name).alias("name") if name else F.lit(None).cast("long").alias("name"), "first_doc")
-    hits = repeated(docs, shelf, threshold).select("doc_id", "text_hash", piece("pos", None).alias("cut"))
-    cuts = hits.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.collect_list("cut").alias("__cuts"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
+    at = columns.index("text")
+    rows = keyed(docs, at)
+    hits = repeated(docs.select("doc_id", "text"), shelf, threshold)
+    cuts = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(F.col("pos").alias("at"), "first_doc")).alias("lines"))
     cuts = shelf.put(cuts, "cuts")
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    more = None
+    shelf.drop(*[t for t, _ in list(shelf.paths.values()) if t is not cuts])
+    none = F.lit(None).cast("array<struct<at:int,first_doc:bigint>>")
+    todo = cuts.select("doc_id", "text_hash", "lines", none.alias("more"))
     if inner:
-        more = repeated_passages(docs).groupBy(F.col("doc_id").alias("__e")).agg(F.collect_list(piece("start", "name")).alias("__more"))
-        more = shelf.put(more, "passages")
-    shelf.drop(*[t for t, _ in list(shelf.paths.values()) if t is not cuts and t is not more])
-    lines = cuts.select(F.col("__d").alias("d1"), "__h", "__cuts")
-    rows = rows.join(lines, F.col("__id").eqNullSafe(F.col("d1")) & (F.col("__hash") == F.col("__h")), "left")
-    rows = rows.join(more, F.col("__id") == F.col("__e"), "left").select(*columns, "__cuts", "__more") if inner else rows.select(*columns, "__cuts", F.lit(None).cast("array<struct<at:int,name:bigint,first_doc:bigint>>").alias("__more"))
-    at = columns.index("text")
+        more = repeated_passages(rows, at, cuts, shelf).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(F.col("start").alias("at"), "first_doc")).alias("more"))
+        more = shelf.put(more.select("doc_id", "text_hash", none.alias("lines"), "more"), "passages")
+        shelf.drop(*[t for t, _ in list(shelf.paths.values()) if t is not cuts and t is not more])
+        todo = todo.union(more).groupBy("doc_id", "text_hash").agg(F.first("lines", ignorenulls=True).alias("lines"), F.first("more", ignorenulls=True).alias("more"))
+    todo = todo.select(F.col("doc_id").alias("e_"), F.col("text_hash").alias("g_"), "lines", "more")
+    rows = rows.join(todo, F.col("d_").eqNullSafe(F.col("e_")) & (F.col("h_") == F.col("g_")), "left").select(*[f"c{i}" for i in range(len(columns))], "lines", "more")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def spans_of(text: str, cut, more) -> list[tuple[int, int, int | None]]:
-        """Byte ranges to cut: whole lines with their line end, and passages that are still in the others."""
-        raw, spans, place = text.encode(), [], 0
-        drop = {c["at"]: c["first_doc"] for c in cut or []}
-        if drop:
-            for k, line in enumerate(raw.split(b"\n")):
-                if k in drop:
-                    spans.append((place, place + len(line), drop[k]))
-                place += len(line) + 1
+    def cut(text: str, lines, more) -> tuple[str, list[dict]]:
+        """What stays of a text, and the pieces that go."""
+        data = text.encode()
+        raw = np.frombuffer(data, np.uint8)
+        firsts = {c["at"]: c["first_doc"] for c in lines or []}
+        stay, gone = dropped_lines(raw, set(firsts))
+        spans = [(a, b, firsts[k]) for k, a, b in gone]
         if more:
-            data = np.frombuffer(raw, np.uint8)
-            _, start, name, first, last = passages(data, np.array([0, len(data)]))
-            there = dict(zip(zip(start.tolist(), name.tolist()), zip(first.tolist(), last.tolist())))
-            lines = sorted(spans)
-            edges = np.array([x[0] for x in lines], np.int64)
-            for c in more:
-                span = there.get((c["at"], c["name"]))  # else a passage of another text with this doc_id
-                if span:
-                    i = int(np.searchsorted(edges, span[0], side="right")) - 1
-                    if i < 0 or lines[i][1] <= span[0]:
-                        spans.append((*span, c["first_doc"]))
-        return sorted(spans, key=lambda x: x[:2])
+            _, first, last, _ = words(raw, np.array([0, len(raw)]))
+            pieces: list[list] = []
+            for w, d in sorted({(c["at"], c["first_doc"]) for c in more}, key=lambda x: x[0]):
+                if pieces and w <= pieces[-1][1]:
+                    if pieces[-1][2] == d:
+                        pieces[-1][1] = w + PASSAGE
+                        continue
+                    reach = max(pieces[-1][1], w + PASSAGE)
+                    pieces[-1][1] = w
+                    pieces.append([w, reach, d])
+                else:
+                    pieces.append([w, w + PASSAGE, d])
+            for j, (a, b, d) in enumerate(pieces):
+                e = int(first[b] if j + 1 < len(pieces) and pieces[j + 1][0] == b else last[b - 1])
+                spans.append((int(first[a]), e, d))
+                stay[first[a] : e] = False
+        removed, place, done = [], 0, 0
+        for a, b, d in sorted(spans, key=lambda x: x[:2]):
+            done += len(data[place:a].decode())
+            n = len(data[a:b].decode())
+            removed.append({"start": done, "stop": done + n, "first_doc": d})
+            done, place = done + n, b
+        return raw[stay].tobytes().decode(), removed
 
     def run(batches):
         for batch in batches:
             texts, removed = batch.column(at).to_pylist(), []
-            for i, (cut, more) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist())):
-                spans = spans_of(texts[i], cut, more) if texts[i] is not None and (cut or more) else []
-                if spans:
-                    raw, kept, place, chars = texts[i].encode(), [], 0, []
-                    whole, done = {c["at"] for c in cut or []}, 0
-                    for a, b, d in spans:
-                        done += len(raw[place:a].decode())
-                        n = len(raw[a:b].decode())
-                        chars.append({"start": done, "stop": done + n, "first_doc": d})
-                        done += n
-                        kept.append(raw[place:a])
-                        place = b
-                    kept.append(raw[place:])
-                    joined = b"".join(kept).decode()
-                    if whole:  # a line that went takes its line end along
-                        joined = "\n".join(x for k, x in enumerate(joined.split("\n")) if k not in whole)
-                    texts[i] = joined
-                    removed.append(chars)
-                else:
-                    removed.append([])
+            for i, (lines, more) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist())):
+                gone = []
+                if texts[i] is not None and (lines or more):
+                    texts[i], gone = cut(texts[i], lines, more)
+                removed.append(gone)
             arrays = list(batch.columns[:-2])
             arrays[at] = pa.array(texts, batch.schema.field(at).type)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("first_doc", pa.int64())]))

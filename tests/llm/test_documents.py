@@ -252,3 +252,49 @@ def test_passages_inside_lines_are_cut_once_found_before(spark):
         for s in reversed(out[i]["removed"]):
             left = left[: s["start"]] + left[s["stop"] :]
         assert left == out[i]["text"]
+
+
+def test_inner_passages_match_brute_force(spark):
+    """All lines are shorter than a paragraph: passages run over line ends, repeat themselves, and are up to 49 words where nothing may go."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passages = [[rng.choice(vocabulary) for _ in range(n)] for n in (49, 50, 51, 60, 90, 200, 400)]
+
+    def wrap(tokens):
+        out, left = [], 0
+        for t in tokens:
+            left = left - 1 if left else rng.randint(3, 14)
+            out.append(t + ("\n" if not left else rng.choice([" ", "  ", "\t"])))
+        return "".join(out)
+
+    rows = []
+    for i in range(60):
+        body = []
+        for _ in range(rng.randint(1, 3)):
+            passage = rng.choice(passages)
+            lo = rng.choice([0, 0, rng.randint(0, len(passage) // 2)])
+            body += [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))] + passage[lo:]
+        rows.append((i, wrap(body + [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))])))
+    rows += [(70, "tick tock\n" * 300), (71, "tick tock\n" * 80), (72, None), (73, ""), (74, " \n\n "), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as d_", "'y' as c0", "1 as starts", "2 as e_").repartition(5)
+    out = substring.deduplicate(df)
+    assert out.columns == [*df.columns, "n_removed", "removed", "repeats_of"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    first, texts = {}, dict(rows)
+    for i in sorted(texts):
+        w = (texts[i] or "").split()
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), (i, s))
+    for i, text in texts.items():
+        w = (text or "").split()
+        gone = set()
+        for s in range(len(w) - 49):
+            d, at = first[tuple(w[s : s + 50])]
+            if d != i or s >= at + 50:
+                gone.update(range(s, s + 50))
+        assert (got[i]["text"] or "").split() == [x for j, x in enumerate(w) if j not in gone], i
+        assert (got[i]["text"] is None) == (text is None) and (got[i]["n_removed"] > 0) == bool(gone)
+        left = text
+        for s in reversed(got[i]["removed"]):
+            left = left[: s["start"]] + left[s["stop"] :]
+        assert left == got[i]["text"]
