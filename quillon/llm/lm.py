@@ -118,6 +118,17 @@ def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x.reshape(-1, x.shape[-1]).T @ y.reshape(-1, y.shape[-1])
 
 
+def row_sums(e: np.ndarray) -> np.ndarray:
+    return times(e, np.ones((e.shape[-1], 1), e.dtype))
+
+
+def exp_rows(z: np.ndarray) -> np.ndarray:
+    """exp(z), with each row's maximum taken off first where numbers are large; a row's shares are the same either way."""
+    if z.size and max(z.max(), -z.min()) > 30:
+        z = z - z.max(axis=-1, keepdims=True)
+    return np.exp(z)
+
+
 class Attention:
     """One layer of causal self-attention with a residual, and a softmax in two steps: the class of the next token, then the token.
 
@@ -167,14 +178,18 @@ class Attention:
     def hidden(self, tokens: np.ndarray):
         """tokens (windows, WINDOW), -1 for none: the hidden state at each scored input, and what training needs."""
         w = self.weights
-        pad = np.where(tokens < 0, np.float32(-1e9), np.float32(0))[:, None, :]
         x = w["embed"][np.maximum(tokens, 0)] + w["place"]
         late = x[:, CONTEXT:]
         q, k, v = times(late, w["query"]), times(x, w["key"]), times(x, w["value"])
-        a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.mask + pad
-        a -= a.max(axis=2, keepdims=True)
+        a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+        large = a.size and max(a.max(), -a.min()) > 30
+        a += self.mask
+        some = np.flatnonzero((tokens < 0).any(axis=1))
+        a[some] += np.where(tokens[some] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+        if large:
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
+        a /= row_sums(a)
         mixed = a @ v
         return late + times(mixed, w["out"]), (x, q, k, v, a, mixed)
 
@@ -182,17 +197,17 @@ class Attention:
         """Natural log probability of each target token (rows of h)."""
         w = self.weights
         logits = h @ w["wclass"] + w["bclass"]
-        logits -= logits.max(axis=1, keepdims=True)
         cls = target // CLASS
-        out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits).sum(axis=1))
+        shares = exp_rows(logits)
+        out = np.log(np.maximum(shares[np.arange(len(h)), cls] / row_sums(shares)[:, 0], 1e-30))
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
         h, own, part = h[order], (target - cls * CLASS)[order], np.zeros(len(h), h.dtype)
         for c in np.flatnonzero(np.diff(cut)):
             rows = slice(cut[c], cut[c + 1])
             z = h[rows] @ w["wtoken"][c].T + w["btoken"][c]
-            z -= z.max(axis=1, keepdims=True)
-            part[rows] = z[np.arange(len(z)), own[rows]] - np.log(np.exp(z).sum(axis=1))
+            e = exp_rows(z)
+            part[rows] = np.log(np.maximum(e[np.arange(len(z)), own[rows]] / row_sums(e)[:, 0], 1e-30))
         out[order] += part
         return out
 
@@ -205,8 +220,8 @@ class Attention:
         hs, t, n = flat[some], t[some], max(1, len(some))
         cls = t // CLASS
         z = hs @ w["wclass"] + w["bclass"]
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        p = exp_rows(z)
+        p /= row_sums(p)
         loss = -np.log(np.maximum(p[np.arange(len(t)), cls], 1e-12)).sum()
         p[np.arange(len(t)), cls] -= 1
         p /= n
@@ -216,8 +231,8 @@ class Attention:
         for c in np.flatnonzero(np.diff(cut)):
             rows = slice(cut[c], cut[c + 1])
             z = hs[rows] @ w["wtoken"][c].T + w["btoken"][c]
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
+            e = exp_rows(z)
+            e /= row_sums(e)
             own = (np.arange(len(z)), t[rows] - c * CLASS)
             loss -= np.log(np.maximum(e[own], 1e-12)).sum()
             e[own] -= 1
@@ -230,7 +245,9 @@ class Attention:
         g["out"] = outer(mixed, back)
         dm = times(back, w["out"].T)
         da = dm @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
+        da -= row_sums(a * da)
+        da *= a
+        ds = da * np.float32(d**-0.5)
         dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
         late = x[:, CONTEXT:]
         g["query"], g["key"], g["value"] = outer(late, dq), outer(x, dk), outer(x, dv)
