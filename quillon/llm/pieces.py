@@ -212,7 +212,8 @@ def best_steps(values: np.ndarray, begin: np.ndarray, most: int) -> np.ndarray:
     size = np.diff(begin)
     for _ in range(min(most, int(size.max(initial=0)))):
         high = np.maximum.reduceat(left, begin[:-1])
-        at = np.flatnonzero((left == np.repeat(high, size)) & ~np.isneginf(left))
+        at = np.flatnonzero(left == np.repeat(high, size))
+        at = at[left[at] > -np.inf]
         doc = np.searchsorted(begin, at, side="right") - 1
         at = at[np.flatnonzero(np.diff(doc, prepend=-1))]  # of equal values the first
         if not len(at):
@@ -258,7 +259,8 @@ def sample(lat: Lattices, unit_at: np.ndarray, seeds: np.ndarray, k: int) -> lis
             loc[begin[:-1]] = -np.inf  # the parent keeps what the branching step leaves aside
         e = exponential(seeds[np.array([d[0] for d in docs])][doc_of] ^ mix((np.arange(len(codes)) - begin[doc_of] + turn * 1_000_003 + 7).astype(np.uint64)))
         gumbel = truncated(loc, values[doc_of], e)
-        for j in best_steps(gumbel, begin, k + 1).tolist():
+        # As many as can still be followed, and the best one outside.
+        for j in best_steps(gumbel, begin, k - turn).tolist():
             i = doc_of[j]
             d, p, s, _ = docs[i]
             heapq.heappush(queues[d], (-gumbel[j], len(paths[d]), s + int(j - begin[i]), (int(codes[j]),)))
