@@ -52,6 +52,16 @@ class Shelf:
                 self.remove(path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from ``taken``; Spark does not tell upper from lower case."""
+    lower, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n in lower:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import local_rows
+from quillon.llm.common import fresh, local_rows
 
 UNKNOWN = "und"
 
@@ -80,8 +80,9 @@ def identify(docs: DataFrame, model: LanguageModel, columns: list[str]) -> DataF
     names = list(model.dictionaries)
     columns = [c for c in columns if c not in ("lang_pred", "score", "narrow")]
     bc = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*columns, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("__text").schema.fields) + ", lang_pred string, score double, narrow boolean"
+    whole = fresh(columns, "__text")[0]
+    kept = docs.select(*columns, F.col("text").alias(whole))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema.fields) + ", lang_pred string, score double, narrow boolean"
 
     def run(batches):
         model = bc.value

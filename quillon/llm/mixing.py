@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Shelf, draw
+from quillon.llm.common import Shelf, draw, fresh
 
 # Rates of at most this many sources are broadcast; more are joined with the documents spread over SALTS keys each.
 BROADCAST_SOURCES = 100_000
@@ -60,17 +60,18 @@ def mix(docs: DataFrame, weights: dict | None = None, rows: float | None = None,
     docs = docs.drop("copy", "shuffle_key")
     shelf = Shelf(spark)
     table = shelf.put(with_distribution(rates(docs, weights, rows, power, by)).select("src", "cdf"), "rates")
-    count = F.size(F.filter(F.col("__cdf"), lambda c: c <= F.col("__u")))
     columns = docs.columns
-    table = table.select(F.col("src").alias("__src"), F.col("cdf").alias("__cdf"))
-    docs = docs.withColumn("__u", draw(f"{seed}-count", key))
+    src, cdf, u, n, salt, salt2 = fresh(columns, "__src", "__cdf", "__u", "__n", "__salt", "__salt2")
+    count = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
+    table = table.select(F.col("src").alias(src), F.col("cdf").alias(cdf))
+    docs = docs.withColumn(u, draw(f"{seed}-count", key))
     if table.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(table), docs[by].eqNullSafe(table["__src"]))
+        joined = docs.join(F.broadcast(table), docs[by].eqNullSafe(table[src]))
     else:
-        docs = docs.withColumn("__salt", F.floor(draw(f"{seed}-salt", key) * SALTS))
-        table = table.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.join(table, docs[by].eqNullSafe(table["__src"]) & (F.col("__salt") == F.col("__salt2")))
-    copies = joined.withColumn("__n", count).filter("__n > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
+        docs = docs.withColumn(salt, F.floor(draw(f"{seed}-salt", key) * SALTS))
+        table = table.withColumn(salt2, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.join(table, docs[by].eqNullSafe(table[src]) & (F.col(salt) == F.col(salt2)))
+    copies = joined.withColumn(n, count).filter(F.col(n) > 0).select(*columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
     copies = copies.withColumn("shuffle_key", draw(f"{seed}-order", key, "copy"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return copies.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", key)

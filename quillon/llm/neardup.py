@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import setsketch
 from quillon.llm.buckets import link, shorten, sketch_matrix
-from quillon.llm.common import Shelf, slices, text_buffer
+from quillon.llm.common import Shelf, fresh, slices, text_buffer
 from quillon.llm.shingles import distinct, jaccard, mix, shingles, words
 
 THRESHOLD = 0.75
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay when one of every group of near-duplicates does; a row repeated whole stays once."""
-    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    h = F.xxhash64("text")
-    rows = docs.withColumn("__hash", h).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("__hash") == F.col("kept_hash")))
-    return rows.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    kept_id, kept_hash, own = fresh(docs.columns, "kept_id", "kept_hash", "__hash")
+    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct()
+    rows = docs.withColumn(own, F.xxhash64("text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash)))
+    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import fresh
 from quillon.llm.shingles import mix, powers
 
 SPACE, MARK, NEWLINE, NONE = 32, 0x2581, 10, 0x110000
@@ -350,13 +351,14 @@ def encode(docs: DataFrame, columns: list[str], k: int = 2, seed: int = 1, model
     path = model_file or default_model()
     results = {c.split()[0] for c in SCHEMA.split(", ")}
     columns = [c for c in columns if c not in results]
-    kept = docs.select(*columns, F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("__seed"), F.col("text").alias("__text"))
+    seeds, whole_text = fresh(columns, "__seed", "__text")
+    kept = docs.select(*columns, F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias(seeds), F.col("text").alias(whole_text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-2])
 
     def run(batches):
         pieces = Pieces(path)
         for whole in batches:
-            lengths = np.array(pc.fill_null(pc.utf8_length(whole.column("__text")), 0))
+            lengths = np.array(pc.fill_null(pc.utf8_length(whole.column(whole_text)), 0))
             at, sums = 0, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths + 1)])
             while at < whole.num_rows:
                 end = max(at + 1, int(np.searchsorted(sums, sums[at] + SLICE_CHARS, side="right")) - 1)
@@ -364,10 +366,10 @@ def encode(docs: DataFrame, columns: list[str], k: int = 2, seed: int = 1, model
                 at = end
 
     def encode_slice(pieces, batch):
-        texts = [t or "" for t in batch.column("__text").to_pylist()]
+        texts = [t or "" for t in batch.column(whole_text).to_pylist()]
         cps = code_points("".join([" " + t if t else "" for t in texts]))
         doc_at = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(t) + 1 if t else 0 for t in texts])])
-        seeds = batch.column("__seed").to_numpy().view(np.uint64)
+        drawn = batch.column(seeds).to_numpy().view(np.uint64)
         nothing = [(np.zeros(0, np.int64), 0.0, 0.0, 1.0)]
         found = [nothing] * len(texts)
         if len(cps):
@@ -376,7 +378,7 @@ def encode(docs: DataFrame, columns: list[str], k: int = 2, seed: int = 1, model
             new[doc_at[:-1][np.diff(doc_at) > 0]] = True
             starts = np.flatnonzero(new)
             lat = Lattices(pieces, cps, starts)
-            found = [f or nothing for f in sample(lat, np.searchsorted(starts, doc_at), seeds, k)]
+            found = [f or nothing for f in sample(lat, np.searchsorted(starts, doc_at), drawn, k)]
         rows = [(i, j, *x) for i, f in enumerate(found) for j, x in enumerate(f)]
         for s in range(0, len(rows), 1000):
             some = rows[s : s + 1000]

@@ -298,3 +298,12 @@ def test_inner_passages_match_brute_force(spark):
         for s in reversed(got[i]["removed"]):
             left = left[: s["start"]] + left[s["stop"] :]
         assert left == got[i]["text"]
+
+
+def test_columns_with_clashing_names_come_back(spark, docs):
+    names = ["__u", "__n", "__salt", "__cdf", "__src", "__id", "__hash", "d1", "kept_id", "kept_hash", "__seed", "__text", "lines", "more", "h_"]
+    wide = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    model = language.learn(wide, F.lit(True))
+    outs = [mixing.mix(wide), neardup.keep_one(wide), substring.deduplicate(wide), pieces.encode(wide, ["doc_id", *names]), language.identify(wide, model, ["doc_id", *names])]
+    for out in outs:
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} == {tuple(f"own {n}" for n in names)}
