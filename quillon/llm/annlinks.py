@@ -334,8 +334,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
         some = np.flatnonzero(links)
         return pa.table({"id": pa.array(np.concatenate([qids[some], both[a]])), "other": pa.array(np.concatenate([qids[some], both[b]])), "links": pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)]))})
 
+    # Groups are small in bytes and heavy in work: a stated count keeps them from being merged into few tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side.repartition(tasks, *by, "salt") for side in (left, right))
     over = left.groupBy(*by, "salt").cogroup(right.groupBy(*by, "salt")).applyInArrow(cross, "id long, other long, links long")
     found = shelf.put(found.union(over), "found")
+    shelf.drop(dealt, sizes, placed, graph, asks, salts)
     roots = shelf.put(components(found.filter("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")), shelf), "roots")
     totals = found.groupBy(F.col("id").alias("t_id")).agg(F.sum("links").alias("others"))
     audited = audit_links(points, threshold)
