@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.angles import chord_to_arcsec, min_image, unit_vector
 from quillon.operators.joins import salt_hot_keys
+from quillon.runtime import cut_lineage
 
 ARCSEC = 3600.0
 
@@ -110,27 +111,56 @@ def sky_all(
 AXES = ("x", "y", "z")
 
 
-def _nearest_periodic(a: DataFrame, b: DataFrame, b_id: str, box: float, tolerance: float) -> DataFrame:
-    """Per distinct position in ``a`` the nearest ``b`` closer than the tolerance: (x, y, z, b_id, sep)."""
-    n = max(1, int(box // tolerance))
+# Rows that a cell of the first round aims at; fewer settle less in the round, more cost more pairs.
+CELL_ROWS = 2.0
+
+
+def _nearest_within(spots: DataFrame, once: DataFrame, b_id: str, box: float, reach: float) -> DataFrame:
+    """Per position in ``spots`` the nearest row of ``once`` closer than ``reach``: (x, y, z, b_id, sep).
+
+    The merge hint matters: the planner sizes the positions as if they had not been repeated for 27 cells and would
+    send all of them through the driver.
+    """
+    n = max(1, int(box // reach))
     side = box / n
-    cell = lambda c: F.least(F.floor(F.pmod(F.col(c), F.lit(box)) / side).cast("int"), F.lit(n - 1))
-    spots = a.select(*AXES).distinct()
-    once = b.groupBy(*AXES).agg(F.min(b_id).alias(b_id))
+    cell = lambda c: F.least(F.floor(F.pmod(F.col(c), F.lit(box)) / side).cast("long"), F.lit(n - 1))
     steps = sorted({s % n for s in (-1, 0, 1)}) if n < 3 else [-1, 0, 1]
-    near = spots
+    near, at = spots.withColumn("_cell", F.lit(0).cast("long")), F.lit(0).cast("long")
     for c in AXES:
-        options = F.array(*[F.lit(s) for s in steps])
-        near = near.withColumn(f"_s{c}", F.explode(options)).withColumn(f"_c{c}", F.pmod(cell(c) + F.col(f"_s{c}"), F.lit(n))).drop(f"_s{c}")
-    placed = once.select(b_id, *[F.col(c).alias(f"_{c}") for c in AXES], *[cell(c).alias(f"_c{c}") for c in AXES])
-    keys = [f"_c{c}" for c in AXES]
-    near, placed, keys = salt_hot_keys(near, placed, keys, b_id)
+        near = near.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in steps]))).withColumn("_cell", F.col("_cell") * n + F.pmod(cell(c) + F.col("_s"), F.lit(n))).drop("_s")
+        at = at * n + cell(c)
+    placed = once.select(b_id, *[F.col(c).alias(f"_{c}") for c in AXES], at.alias("_cell"))
+    near, placed, keys = salt_hot_keys(near, placed, ["_cell"], b_id)
     d2 = sum((F.pow(min_image(F.col(f"_{c}") - F.col(c), box), 2) for c in AXES[1:]), F.pow(min_image(F.col("_x") - F.col("x"), box), 2))
-    pairs = near.join(placed, keys).withColumn("sep", F.sqrt(d2)).where(F.col("sep") < tolerance)
+    pairs = near.join(placed.hint("merge"), keys).withColumn("sep", F.sqrt(d2)).where(F.col("sep") < reach)
     best = pairs.groupBy(*AXES).agg(F.min(F.struct("sep", b_id)).alias("_m"))
     return best.select(*AXES, F.col(f"_m.{b_id}").alias(b_id), F.col("_m.sep").alias("sep"))
 
 
+def _nearest_periodic(a: DataFrame, b: DataFrame, b_id: str, box: float, tolerance: float) -> DataFrame:
+    """Per distinct position in ``a`` the nearest ``b`` closer than the tolerance: (x, y, z, b_id, sep).
+
+    In a dense box the first round reaches a part of the tolerance only, over cells of about CELL_ROWS rows; what it
+    finds is nearest for good. Positions without a hit go on at twice the reach, up to the tolerance.
+    """
+    spots = a.select(*AXES).distinct()
+    once = b.groupBy(*AXES).agg(F.min(b_id).alias(b_id))
+    rows = b.count() / max(1, int(box // tolerance)) ** 3
+    halvings = max(0, math.ceil(math.log2(max(rows / CELL_ROWS, 1.0)) / 3))
+    if not halvings:
+        return _nearest_within(spots, once, b_id, box, tolerance)
+    once, found = cut_lineage(once), None
+    for h in range(halvings, -1, -1):
+        best = _nearest_within(spots, once, b_id, box, tolerance / 2**h)
+        if h:
+            best = cut_lineage(best)
+            spots = cut_lineage(spots.join(best, [*AXES], "left_anti"))
+        found = best if found is None else found.unionByName(best)
+        if h and spots.isEmpty():
+            break
+    return found
+
+
 def mutual_nearest_periodic(a: DataFrame, b: DataFrame, a_id: str, b_id: str, box: float, tolerance: float) -> DataFrame:
     """Pairs that are each other's nearest in a periodic box and closer than the tolerance.
 

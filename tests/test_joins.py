@@ -57,6 +57,32 @@ def test_periodic_mutual_nearest(spark):
     assert {(r["a"], r["b"]) for r in got} == want
 
 
+def test_periodic_matching_never_broadcasts_repeated_positions(spark):
+    df = lambda n, seed: spark.range(500).select(F.col("id").alias(n), *[(F.rand(seed + i) * 100).alias(c) for i, c in enumerate("xyz")])
+    best = spatial._nearest_periodic(df("a", 1), df("b", 5), "b", 100.0, 9.0)
+    assert best.count()
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    best.collect()
+    plan += best._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_periodic_rounds_settle_a_dense_box(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    box, tol = 100.0, 60.0
+    monkeypatch.setattr(spatial, "CELL_ROWS", 4.0)
+    a, b = rng.uniform(0, box, (300, 3)), np.vstack([rng.uniform(0, 30, (200, 3)), rng.uniform(0, box, (5, 3))])  # one corner full, the rest empty
+    d = a[:, None] - b[None]
+    d = np.sqrt(((d - box * np.rint(d / box)) ** 2).sum(-1))
+    want = {tuple(a[i]): int(j) for i, j in enumerate(d.argmin(1)) if d[i, j] < tol}
+    df = lambda m, n: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(m)], f"{n} long, x double, y double, z double")
+    asked, within = [], spatial._nearest_within
+    monkeypatch.setattr(spatial, "_nearest_within", lambda s, *r: asked.append((s.count(), r[-1])) or within(s, *r))
+    got = spatial._nearest_periodic(df(a, "a"), df(b, "b"), "b", box, tol).collect()
+    assert {(r["x"], r["y"], r["z"]): r["b"] for r in got} == want and len(got) == len(want)
+    assert [r for _, r in asked][-1] == tol and len(asked) > 1 and asked[-1][0] < asked[0][0]
+
+
 def test_intervals_drop_gaps_and_flag_zero_radius(spark):
     owners = spark.createDataFrame([(0, 0, 5, 1.0), (1, 7, 40, 0.0), (2, 60, 0, 1.0)], "o long, offset long, n long, radius double").withColumns({c: F.lit(0.5) for c in ("x", "y", "z")})
     rows = spark.range(100).select(F.col("id").alias("i"), F.lit(1.0).alias("m"), F.lit(0.05).alias("age"), F.lit(0.1).alias("met"), *[F.lit(99.9).alias(c) for c in ("px", "py", "pz")])
