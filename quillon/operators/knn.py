@@ -224,12 +224,39 @@ def knn_join(
     return ranking.top_k(near, [*by, "src"], ["dist", "dst"], k)
 
 
-# Rows of a block of the pair statistics, leading bits that the first pass counts by, bits of a later pass, and values below which all remaining bits are counted.
-PAIR_BLOCK = 2048
+# Rows of a block of the pair statistics and of a slice of a tile, leading bits that the first pass counts by, bits of a later pass, and values below which all remaining bits are counted.
+PAIR_BLOCK, PAIR_SLICE = 16_384, 128
 FIRST_BITS, NEXT_BITS = 20, 16
 ALL_BITS_BELOW = 1_000_000
 
 
+def _pair_distances(q: np.ndarray, x: np.ndarray):
+    """(first row, distances of a slice of rows to all of ``x``). Pairs that are close for their norms, where the expanded form would
+    cancel, are computed again from their differences. The same rows in the same order give the same bits."""
+    width = q.shape[1]
+    qn, xn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+    for s in range(0, len(q), PAIR_SLICE):
+        part = q[s : s + PAIR_SLICE]
+        if width <= 16:
+            d2 = np.zeros((len(part), len(x)))
+            for i in range(width):
+                diff = part[:, i, None] - x[None, :, i]
+                diff *= diff
+                d2 += diff
+            yield s, np.sqrt(d2, out=d2)
+            continue
+        d2 = part @ x.T
+        d2 *= -2.0
+        norms = qn[s : s + PAIR_SLICE, None] + xn
+        d2 += norms
+        norms *= 1e-3
+        r, c = np.nonzero(~(d2 >= norms))
+        d2[r, c] = 0.0
+        np.sqrt(d2, out=d2)
+        d2[r, c] = _exact(part, x, r, c)
+        yield s, d2
+
+
 class _Pairs:
     """All pairs of rows as tiles of two blocks, computed again in every pass and never stored."""
 
@@ -243,7 +270,8 @@ class _Pairs:
         self.blocks = max(1, few, math.ceil(self.n / block))
 
     def tiles(self, fn, schema: str) -> DataFrame:
-        """``fn`` of every tile's (ids, ids, rows, columns, distances), rows and columns being the tile's pairs in slices."""
+        """``fn`` of every tile's (ids, ids, slices); a slice is (first row, distances, distances of pairs): the matrix is infinite
+        where rows and columns of one block make no pair, and the flat array leaves these out."""
         nb, cosine = self.blocks, self.cosine
         blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
         left = self.rows.withColumn("qs", blk).withColumn("bs", F.explode(F.sequence(F.col("qs"), F.lit(nb - 1))))
@@ -253,35 +281,69 @@ class _Pairs:
         def run(key, q: pa.Table, x: pa.Table) -> pa.Table:
             a, c, qv, xv = q.column("_id").to_numpy(), x.column("_id").to_numpy(), kernels.matrix(q.column("_v")), kernels.matrix(x.column("_v"))
             same = key[0].as_py() == key[1].as_py()
-            if same:  # both sides are one block: the same order, and each pair once
-                o, p = np.argsort(a, kind="stable"), np.argsort(c, kind="stable")
-                a, qv, c, xv = a[o], qv[o], c[p], xv[p]
-            out, step = [], max(1, PAIR_BUDGET // max(1, len(c)))
-            for s in range(0, len(a), step):
-                r, cc = np.nonzero(np.arange(s, min(len(a), s + step))[:, None] < np.arange(len(c))) if same else map(np.ravel, np.indices((min(step, len(a) - s), len(c))))
-                d = _exact(qv[s : s + step], xv, r, cc)
-                out.append(fn(a, c, r + s, cc, d * d / 2.0 if cosine else d))
-            return pa.concat_tables(out) if out else fn(a, c, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            # The same order in every pass, so that every pass sees the same bits.
+            o, p = np.lexsort((*qv.T[:1], a)), np.lexsort((*xv.T[:1], c))
+            a, qv, c, xv = a[o], qv[o], c[p], xv[p]
+
+            def slices():
+                if not len(a) or not len(c):
+                    return
+                for s, d in _pair_distances(qv, xv):
+                    if cosine:
+                        d *= d
+                        d /= 2.0
+                    flat = d.ravel()
+                    if same:  # both sides are one block: each pair once
+                        pair = np.arange(s, s + len(d))[:, None] < np.arange(len(c))
+                        flat = d[pair]
+                        d = np.where(pair, d, np.inf)
+                    yield s, d, flat
+
+            return fn(a, c, slices())
 
         sides = [t.select("qs", "bs", F.col("_id").alias("_id"), F.col("_v").alias("_v")).repartition(parts, "qs", "bs").groupBy("qs", "bs") for t in (left, right)]
         return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
 
 
-def _pair_totals(a, c, r, cc, d, lead: int) -> pa.Table:
-    """What a slice of pairs adds: its moments (kind 0), each node's nearest (1), and counts by the leading bits of the distance (2)."""
-    node, at = np.unique(np.r_[a, c], return_inverse=True)
-    near = np.full(len(node), np.inf)
-    np.minimum.at(near, at[: len(a)][r], d)
-    np.minimum.at(near, at[len(a) :][cc], d)
+def _count_bits(bits: np.ndarray, counts: dict) -> None:
+    """Add up small integers by value."""
+    if not len(bits):
+        return
+    least = int(bits.min())
+    if int(bits.max()) - least < 1 << FIRST_BITS:
+        many = np.bincount(bits - least)
+        key = np.flatnonzero(many)
+        many, key = many[key], key + least
+    else:
+        key, many = np.unique(bits, return_counts=True)
+    for k, m in zip(key.tolist(), many.tolist()):
+        counts[k] = counts.get(k, 0) + m
+
+
+def _pair_totals(a, c, slices, lead: int) -> pa.Table:
+    """What a tile adds: its moments (kind 0), each node's nearest (1), and counts by the leading bits of the distance (2)."""
+    near_a, near_c, counts = np.full(len(a), np.inf), np.full(len(c), np.inf), {}
+    n, mean, m2, lo, hi = 0, 0.0, 0.0, np.inf, 0.0
+    for s, d, flat in slices:
+        near_a[s : s + len(d)] = d.min(1, initial=np.inf)
+        np.minimum(near_c, d.min(0, initial=np.inf), out=near_c)
+        if not len(flat):
+            continue
+        own = float(flat.mean())
+        gap, total = own - mean, n + len(flat)
+        m2 += float(np.square(flat - own).sum()) + gap * gap * n * len(flat) / total
+        mean += gap * len(flat) / total
+        n, lo, hi = total, min(lo, float(flat.min())), max(hi, float(flat.max()))
+        _count_bits(flat.view(np.int64) >> (64 - lead), counts)
+    near, node = np.r_[near_a, near_c], np.r_[a, c]
     met = np.isfinite(near)
-    bits, count = np.unique(d.view(np.int64) >> (64 - lead), return_counts=True)
-    m = (1 if len(d) else 0), int(met.sum()), len(bits)
-    mean = float(d.mean()) if len(d) else 0.0
+    bits, count = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+    m = (1 if n else 0), int(met.sum()), len(bits)
     pad = lambda first, second, third, t: pa.array(np.r_[[first] * m[0], second, third].astype(t))
     zeros = np.zeros(m[1]), np.zeros(m[2])
     return pa.table({
-        "kind": pa.array(np.repeat(np.arange(3), m).astype(np.int32)), "key": pad(0, node[met], bits, np.int64), "n": pad(len(d), zeros[0], count, np.int64), "mean": pad(mean, *zeros, float),
-        "m2": pad(float(((d - mean) ** 2).sum()), *zeros, float), "lo": pad(d.min(initial=np.inf), near[met], zeros[1], float), "hi": pad(d.max(initial=0.0), *zeros, float),
+        "kind": pa.array(np.repeat(np.arange(3), m).astype(np.int32)), "key": pad(0, node[met], bits, np.int64), "n": pad(n, zeros[0], count, np.int64), "mean": pad(mean, *zeros, float),
+        "m2": pad(m2, *zeros, float), "lo": pad(lo, near[met], zeros[1], float), "hi": pad(hi, *zeros, float),
     })
 
 
@@ -302,12 +364,15 @@ def _pair_ranks(pairs: _Pairs, counts: DataFrame, ranks: Sequence[int]) -> list[
         width = 64 - known if sum(sizes.values()) <= ALL_BITS_BELOW else min(NEXT_BITS, 64 - known)
         wanted, keep, cut = sorted(sizes), 64 - known, 64 - known - width
 
-        def next_bits(a, c, r, cc, d, wanted=tuple(wanted), keep=keep, cut=cut):
-            bits, out = d.view(np.int64), []
-            for prefix in wanted:
-                key, n = np.unique((bits[bits >> keep == prefix] >> cut) & ((1 << (keep - cut)) - 1), return_counts=True)
-                out.append(pa.table({"prefix": pa.array(np.full(len(key), prefix, np.int64)), "key": pa.array(key.astype(np.int64)), "n": pa.array(n.astype(np.int64))}))
-            return pa.concat_tables(out)
+        def next_bits(a, c, slices, wanted=tuple(wanted), keep=keep, cut=cut):
+            found = {prefix: {} for prefix in wanted}
+            for _, _, flat in slices:
+                bits = flat.view(np.int64)
+                for prefix in wanted:
+                    inside = bits[(bits >= prefix << keep) & (bits < (prefix + 1) << keep)]
+                    _count_bits((inside >> cut) & ((1 << (keep - cut)) - 1), found[prefix])
+            rows = [(prefix, key, n) for prefix, counts in found.items() for key, n in counts.items()]
+            return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("prefix", "key", "n"))})
 
         table = pairs.tiles(next_bits, "prefix long, key long, n long").groupBy("prefix", "key").agg(F.sum("n").alias("n"))
 

@@ -32,3 +32,24 @@ def test_equal_rows_and_few_rows(spark):
     assert got["n_pairs"] == 15 and got["relative_contrast"] is None and got["nn_over_mean"] == 0.0
     for some in (df.limit(1), df.limit(0)):
         assert tuple(knn.distance_concentration(some, "id", "v").first()) == (0, None, None, None, None)
+
+
+def test_wide_rows_close_together_far_from_zero():
+    """The expanded form would lose these distances; the same rows give the same bits again."""
+    rng = np.random.default_rng(3)
+    x = 1e4 + rng.standard_normal((300, 40))
+    x[1] = x[0]
+    x[200:] = rng.standard_normal((100, 40))
+    got = np.vstack([d for _, d in knn._pair_distances(x, x)])
+    assert np.allclose(got, np.linalg.norm(x[:, None] - x[None, :], axis=2), rtol=1e-11, atol=0) and got[0, 1] == 0.0
+    assert (got == np.vstack([d for _, d in knn._pair_distances(x, x.copy())])).all()
+
+
+def test_a_tile_is_never_listed_pair_by_pair(spark):
+    """A block of the pair statistics is taken in slices: what is held at once does not grow with the block."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((knn.PAIR_SLICE * 3 + 5, 20))
+    taken = [(s, d.shape) for s, d in knn._pair_distances(x, x)]
+    assert [s for s, _ in taken] == [0, knn.PAIR_SLICE, 2 * knn.PAIR_SLICE, 3 * knn.PAIR_SLICE] and max(len(x) * n for _, (n, _) in taken) <= len(x) * knn.PAIR_SLICE
+    got = knn.distance_concentration(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", block=200).first()
+    assert np.allclose(tuple(got), numbers(x), rtol=1e-11)
