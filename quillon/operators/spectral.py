@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +50,11 @@ def normalised_operator(w: DataFrame, alpha_one: bool = True) -> tuple[DataFrame
     return s, deg
 
 
-def _multiply(s: DataFrame, x: DataFrame, vec: str, out: str) -> DataFrame:
-    """Sparse matrix times the block held as one array per node."""
-    hit = s.join(x.select(F.col("node").alias("v"), F.col(vec).alias("_x")), "v")
-    scaled = array_to_vector(F.transform("_x", lambda t: t * F.col("w")))
-    return hit.select(F.col("u").alias("node"), scaled.alias("_y")).groupBy("node").agg(vector_to_array(Summarizer.sum(F.col("_y"))).alias(out))
+def _multiply(s: DataFrame, x: DataFrame, vec: str, out: str, width: int) -> DataFrame:
+    """Sparse matrix times the block of ``width`` columns held as one array per node."""
+    hit = s.join(x.select(F.col("node").alias("v"), *[F.col(vec)[i].alias(f"_x{i}") for i in range(width)]), "v")
+    sums = hit.groupBy(F.col("u").alias("node")).agg(*[F.sum(F.col(f"_x{i}") * F.col("w")).alias(f"_y{i}") for i in range(width)])
+    return sums.select("node", F.array(*[f"_y{i}" for i in range(width)]).alias(out))
 
 
 class Eigenpairs:
@@ -66,11 +64,35 @@ class Eigenpairs:
         self.values, self.vectors, self.residuals = values, vectors, residuals
 
 
-def top_eigenpairs(s: DataFrame, m: int, steps: int = 5, max_steps: int = 60, tol: float = 1e-5, seed=0) -> Eigenpairs:
-    """Leading eigenpairs of a symmetric edge table by block Krylov with Rayleigh-Ritz.
+# Blocks that the basis may hold before it is cut back to its best Ritz vectors and the newest block.
+MOST_BLOCKS = 10
 
-    Each step multiplies the newest block (one shuffle on the node), and orthogonalises it with coefficients from
-    a small Gram matrix; only that matrix reaches the driver. The basis rides along the node rows.
+
+def _ritz(t: np.ndarray, qq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenpairs (descending) of the projected matrix in the metric of the basis."""
+    li = np.linalg.inv(np.linalg.cholesky((qq + qq.T) / 2))
+    w, z = np.linalg.eigh(li @ ((t + t.T) / 2) @ li.T)
+    return w[::-1], li.T @ z[:, ::-1]
+
+
+def _residuals(s: DataFrame, vectors: DataFrame, values: np.ndarray) -> np.ndarray:
+    """Norms of S v - value v, from one multiplication of the vectors themselves."""
+    m = len(values)
+    both = cut_lineage(vectors.join(_multiply(s, vectors, "vector", "y", m), "node").select("node", F.concat("vector", "y").alias("q")))
+    g = moment_matrix(both, "q")[1:, 1:]
+    discard(both)
+    vv, vs, ss = np.diag(g[:m, :m]), np.diag(g[:m, m:]), np.diag(g[m:, m:])
+    return np.sqrt(np.maximum(ss - 2 * values * vs + values**2 * vv, 0.0))
+
+
+def top_eigenpairs(s: DataFrame, m: int, steps: int = 5, max_steps: int = 600, tol: float = 1e-5, seed=0) -> Eigenpairs:
+    """Leading eigenpairs of a symmetric edge table by block Krylov with Rayleigh-Ritz and thick restarts.
+
+    Each step multiplies the newest block only (one shuffle on the node) and orthogonalises it with coefficients from
+    a small Gram matrix; only that matrix reaches the driver. The same matrix holds the new rows of the projected
+    operator, and what the newest block leaves outside the basis bounds the residuals, so the basis is never
+    multiplied again. It rides along the node rows, in MOST_BLOCKS blocks at most. Residuals are checked on the
+    vectors returned.
     """
     nodes = s.select(F.col("u").alias("node")).distinct()
     n = nodes.count()
@@ -82,51 +104,48 @@ def top_eigenpairs(s: DataFrame, m: int, steps: int = 5, max_steps: int = 60, to
     lam, u = np.linalg.eigh(g)
     keep = lam > lam[-1] * 1e-12
     basis = cut_lineage(project(basis, "q", u[:, keep] / np.sqrt(lam[keep]), "q"))
-    newest = (0, int(keep.sum()))
+    newest, known = (0, int(keep.sum())), np.zeros((0, 0))
     step = 0
     while True:
         step += 1
-        last = F.slice("q", newest[0] + 1, newest[1] - newest[0])
-        y = _multiply(s, basis.select("node", last.alias("x")), "x", "y")
-        p = newest[1]
+        first, p = newest
+        last = F.slice("q", first + 1, p - first)
+        y = _multiply(s, basis.select("node", last.alias("x")), "x", "y", p - first)
         both = cut_lineage(basis.join(y, "node", "left").select("node", F.concat("q", "y").alias("q")))
         g = moment_matrix(both, "q")[1:, 1:]
         qq, qy, yy = g[:p, :p], g[:p, p:], g[p:, p:]
+        t = np.zeros((p, p))
+        t[:first, :first] = known
+        t[:, first:] = qy
+        t[first:, :first] = qy[:first].T
+        w, z = _ritz(t, qq)
         c = np.linalg.solve(qq, qy)
         rest = yy - qy.T @ c
-        lam, u = np.linalg.eigh((rest + rest.T) / 2)
-        keep = lam > max(1e-13, 1e-11 * np.trace(yy) / len(yy))
-        r = u[:, keep] / np.sqrt(lam[keep])
-        fresh = int(keep.sum())
-        if fresh and p + fresh <= n:
-            change = np.zeros((g.shape[0], p + fresh))
-            change[:p, :p] = np.eye(p)
-            change[:p, p:] = -c @ r
-            change[p:, p:] = r
-            before, basis = basis, cut_lineage(project(both, "q", change, "q"))
-            discard(before)
-            newest = (p, p + fresh)
-        discard(both)
-        exhausted = not fresh or p + fresh >= n
-        if step < steps and not exhausted:
-            continue
-        size = newest[1]
-        sq = _multiply(s, basis, "q", "y")
-        both = cut_lineage(basis.join(sq, "node").select("node", F.concat("q", "y").alias("q")))
-        g = moment_matrix(both, "q")[1:, 1:]
-        bb, ab, aa = g[:size, :size], g[:size, size:], g[size:, size:]
-        l = np.linalg.cholesky((bb + bb.T) / 2)
-        li = np.linalg.inv(l)
-        w, z = np.linalg.eigh(li @ ((ab + ab.T) / 2) @ li.T)
-        order = np.argsort(w)[::-1][:m]
-        w, z = w[order], li.T @ z[:, order]
-        res = np.sqrt(np.maximum(np.einsum("ij,ij->j", z, aa @ z) - 2 * w * np.einsum("ij,ij->j", z, ab @ z) + w**2 * np.einsum("ij,ij->j", z, bb @ z), 0.0))
-        if res.max() > tol and step >= max_steps and not exhausted:
-            raise RuntimeError(f"eigenpairs did not settle in {max_steps} steps: largest residual {res.max():.2e}, tolerance {tol:.0e}")
-        if res.max() <= tol or exhausted:
-            z = z * np.where(z[np.abs(z).argmax(0), np.arange(z.shape[1])] < 0, -1.0, 1.0)
-            out = project(both, "q", np.vstack([z, np.zeros_like(z)]), "vector").select("node", "vector")
-            return Eigenpairs(w, cut_lineage(out), res)
+        rest = (rest + rest.T) / 2
+        lam, u = np.linalg.eigh(rest)
+        fresh = min(int((lam > max(1e-13, 1e-11 * np.trace(yy) / len(yy))).sum()), n - p)
+        outside = np.sqrt(np.maximum(np.einsum("ij,ij->j", z[first:, :m], rest @ z[first:, :m]), 0.0))
+        if not fresh or (step >= steps and p >= m and outside.max() <= tol):
+            top, best = w[:m], z[:, :m]
+            best = best * np.where(best[np.abs(best).argmax(0), np.arange(best.shape[1])] < 0, -1.0, 1.0)
+            vectors = cut_lineage(project(both, "q", np.vstack([best, np.zeros((len(yy), best.shape[1]))]), "vector").select("node", "vector"))
+            res = _residuals(s, vectors, top)
+            if not fresh or res.max() <= tol:
+                discard(basis, both)
+                return Eigenpairs(top, vectors, res)
+            discard(vectors)
+        if step >= max_steps:
+            raise RuntimeError(f"eigenpairs did not settle in {max_steps} steps: largest residual {outside.max():.2e}, tolerance {tol:.0e}")
+        r = u[:, -fresh:] / np.sqrt(lam[-fresh:])
+        kept = p if p + fresh <= MOST_BLOCKS * b else min(p, m + 2 * b)
+        change = np.zeros((g.shape[0], kept + fresh))
+        change[:p, :kept] = np.eye(p) if kept == p else z[:, :kept]
+        known = t if kept == p else np.diag(w[:kept])
+        change[:p, kept:] = -c @ r
+        change[p:, kept:] = r
+        before, basis = basis, cut_lineage(project(both, "q", change, "q"))
+        discard(before, both)
+        newest = (kept, kept + fresh)
 
 
 def diffusion_map(edges: DataFrame, m: int, scale_rank: int = 7, kernel: str = "self_tuned", **kw) -> tuple[Eigenpairs, DataFrame]:

@@ -205,3 +205,24 @@ def test_diffusion_eigenpairs(spark, clustered):
     got = spectral.top_eigenpairs(s, 4)
     want = np.sort(np.linalg.eigvalsh(m))[::-1][:4]
     assert np.allclose(got.values, want, atol=1e-6) and max(got.residuals) < 1e-4
+
+
+def test_eigenpairs_multiply_the_newest_block_only(spark, monkeypatch):
+    """A ring of close eigenvalues takes many steps and restarts; no multiplication is wider than a block."""
+    n, m = 40, 3
+    rows = [(i, (i + d) % n, 0.5) for i in range(n) for d in (-1, 1)]
+    s = cut_lineage(spark.createDataFrame(rows, "u long, v long, w double"))
+    widths, multiply = [], spectral._multiply
+    monkeypatch.setattr(spectral, "_multiply", lambda *a: widths.append(a[-1]) or multiply(*a))
+    monkeypatch.setattr(spectral, "MOST_BLOCKS", 4)
+    got = spectral.top_eigenpairs(s, m)
+    want = np.sort(np.cos(2 * np.pi * np.arange(n) / n))[::-1][:m]
+    assert np.allclose(got.values, want, atol=1e-8) and max(got.residuals) <= 1e-5
+    assert max(widths) <= m + 2 and len(widths) > 5
+    v = np.zeros((n, m))
+    for r in got.vectors.collect():
+        v[r["node"]] = r["vector"]
+    a = np.zeros((n, n))
+    for i, j, x in rows:
+        a[i, j] = x
+    assert np.allclose(a @ v, v * got.values, atol=1e-4) and np.allclose(v.T @ v, np.eye(m), atol=1e-6)
