@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -46,6 +47,29 @@ def test_neighbours_are_exact(spark, clustered, kw):
     assert e.where((F.col("src") == F.col("dst"))).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["plain", "copies", "far", "one far"])
+def test_tile_search_is_exact_and_small(kind):
+    """Rows chosen in single precision are those of a plain search in doubles, ties by id, and few matrices are held at once."""
+    rng = np.random.default_rng(3)
+    x, ids = rng.standard_normal((20_000, 16)), rng.permutation(60_000)[:20_000]
+    if kind == "copies":
+        x = np.repeat(x[:400], 50, 0)
+    elif kind == "far":
+        x = 1e-4 * x + 1e4
+    elif kind == "one far":
+        x[0] *= 1e9
+    tracemalloc.start()
+    row, found, dist = knn._nearest(x[:400], ids[:400], x, ids, 5, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i in range(0, 400, 20):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        best = np.lexsort((ids, d))[:5]
+        assert found[row == i].tolist() == ids[best].tolist() and np.allclose(dist[row == i], d[best], rtol=1e-12)
+    assert peak < (64e6 if kind in ("plain", "far") else 256e6)  # several matrices of 32 MB before
+
+
 def test_pivots_prune_far_cells():
     p = np.array([[0.0], [100.0], [200.0]])
     pairs = knn.candidate_cells({0: 1.0, 1: 1.0, 2: 1.0}, {0: 1.0, 1: 1.0, 2: 1.0}, {0: 50, 1: 50, 2: 50}, p, 5)
