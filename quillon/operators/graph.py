@@ -216,8 +216,11 @@ def _transport(cost: np.ndarray, mu: np.ndarray, nu: np.ndarray) -> np.ndarray:
             flow[act[later], i[later], prior[later]] -= amount[later]
 
 
-def ollivier(edges: DataFrame, nodes: DataFrame, id_col: str, vec: str, lazy: float = 0.5) -> DataFrame:
-    """Ollivier curvature 1 - W1 / d per directed neighbour edge with lazy neighbour measures.
+def ollivier(edges: DataFrame, nodes: DataFrame, id_col: str, vec: str, lazy: float = 0.5, ks: Sequence[int] | None = None) -> DataFrame:
+    """Ollivier curvature 1 - W1 / d per directed neighbour edge with lazy neighbour measures: (u, v, curvature).
+
+    With ``ks`` it is (k, u, v, curvature), for each k the curvature on the graph of the edges of rank k or less; a smaller
+    neighbourhood is the beginning of the largest, so the vectors are joined once for all.
 
     Each edge row carries the vectors of both neighbourhoods (k + 1 rows each) through two joins; batches of
     edges are solved together, and exactly: see :func:`_transport`.
@@ -228,7 +231,11 @@ def ollivier(edges: DataFrame, nodes: DataFrame, id_col: str, vec: str, lazy: fl
     )
     own = vec_t.select(F.col("dst").alias("node"), F.col("_v"))
     hood = around.join(own, F.col("src") == F.col("node")).select("node", F.flatten(F.concat(F.array("_v"), F.transform("_n", lambda t: t["_v"]))).alias("h"), (F.size("_n") + 1).alias("m"))
-    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "dist")
+    # Transport costs the same both ways, so two nodes that are each other's neighbours are one row.
+    forth, back = F.col("src") <= F.col("dst"), F.col("src") > F.col("dst")
+    e = edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(
+        *[F.max(F.when(way, F.col(c))).alias(f"{c}_{name}") for name, way in (("uv", forth), ("vu", back)) for c in ("rank", "dist")]
+    )
     rows = e.join(hood.select(F.col("node").alias("u"), F.col("h").alias("hu"), F.col("m").alias("mu")), "u").join(
         hood.select(F.col("node").alias("v"), F.col("h").alias("hv"), F.col("m").alias("mv")), "v"
     )
@@ -238,8 +245,9 @@ def ollivier(edges: DataFrame, nodes: DataFrame, id_col: str, vec: str, lazy: fl
             if b.num_rows == 0:
                 continue
             mu, mv = kernels.column(b, "mu"), kernels.column(b, "mv")
-            d = kernels.column(b, "dist").astype(float)
-            out = np.empty(b.num_rows)
+            rank = {way: kernels.numbers(b, f"rank_{way}") for way in ("uv", "vu")}
+            least = np.fmin(rank["uv"], rank["vu"])
+            out = {k: np.full(b.num_rows, np.nan) for k in ks or [None]}
             hu, hv = b.column("hu"), b.column("hv")
             for a, c in sorted(set(zip(mu.tolist(), mv.tolist()))):
                 idx = np.nonzero((mu == a) & (mv == c))[0]
@@ -248,12 +256,21 @@ def ollivier(edges: DataFrame, nodes: DataFrame, id_col: str, vec: str, lazy: fl
                     x = kernels.matrix(hu.take(pa.array(part))).reshape(len(part), a, -1)
                     y = kernels.matrix(hv.take(pa.array(part))).reshape(len(part), c, -1)
                     cost = np.sqrt(np.maximum((x**2).sum(2)[:, :, None] + (y**2).sum(2)[:, None, :] - 2 * x @ y.transpose(0, 2, 1), 0.0))
-                    wa = np.r_[lazy, np.full(a - 1, (1 - lazy) / (a - 1))]
-                    wb = np.r_[lazy, np.full(c - 1, (1 - lazy) / (c - 1))]
-                    out[part] = _transport(cost, np.tile(wa, (len(part), 1)), np.tile(wb, (len(part), 1)))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(1.0 - out / d)], names=["u", "v", "curvature"])
-
-    return rows.select("u", "v", "dist", "hu", "mu", "hv", "mv").mapInArrow(solve, "u long, v long, curvature double")
+                    for k in out:
+                        mine = np.flatnonzero(least[part] <= k) if k else np.arange(len(part))
+                        m, n = (min(a, k + 1), min(c, k + 1)) if k else (a, c)
+                        wa = np.r_[lazy, np.full(m - 1, (1 - lazy) / (m - 1))]
+                        wb = np.r_[lazy, np.full(n - 1, (1 - lazy) / (n - 1))]
+                        out[k][part[mine]] = _transport(cost[mine, :m, :n], np.tile(wa, (len(mine), 1)), np.tile(wb, (len(mine), 1)))
+            for k, w in out.items():
+                for way, names in (("uv", ["u", "v"]), ("vu", ["v", "u"])):
+                    mine = np.flatnonzero(rank[way] <= (k or np.inf))
+                    ends = [b.column(n).take(pa.array(mine)) for n in names]
+                    curved = pa.array((1.0 - w / kernels.numbers(b, f"dist_{way}"))[mine])
+                    size = {"k": pa.array(np.full(len(mine), k, np.int32))} if k else {}
+                    yield pa.RecordBatch.from_pydict({**size, "u": ends[0], "v": ends[1], "curvature": curved})
+
+    return rows.select(*e.columns, "hu", "mu", "hv", "mv").mapInArrow(solve, ("k int, " if ks else "") + "u long, v long, curvature double")
 
 
 # ---- components, forests, paths -----------------------------------------------------------------------------

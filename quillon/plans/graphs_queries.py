@@ -162,9 +162,10 @@ def ollivier(spark, sf):
 def ollivier_k_sweep(spark, sf):
     """The same for three neighbourhood sizes, from one neighbour table."""
     z, e = cut_lineage(zemb(spark, sf)), edges(spark, sf, 15)
+    curved = cut_lineage(graph.ollivier(e, z, "vec_id", "v", ks=(8, 10, 15)))
     out = None
     for k in (8, 10, 15):
-        one = graph.curvature_summary(cut_lineage(graph.ollivier(e.where(F.col("rank") <= k), z, "vec_id", "v"))).select(F.lit(k).alias("k"), "*")
+        one = graph.curvature_summary(curved.where(F.col("k") == k)).select(F.lit(k).alias("k"), "*")
         out = one if out is None else out.union(one)
     return out
 

@@ -174,6 +174,17 @@ def test_triangles_of_a_hub(spark):
     assert t[(0, 1)] == 1 and t[(0, 5)] == 2 and t[(5, 6)] == 1
 
 
+def test_ollivier_of_several_sizes_joins_once(spark):
+    df = frame(spark, np.random.default_rng(5).standard_normal((60, 4)))
+    e = cut_lineage(knn.knn_join(df, df, 6, "id", "v"))
+    got = graph.ollivier(e, df, "id", "v", ks=(3, 6)).collect()
+    for k in (3, 6):
+        want = {(r["u"], r["v"]): r["curvature"] for r in graph.ollivier(e.where(F.col("rank") <= k), df, "id", "v").collect()}
+        one = {(r["u"], r["v"]): r["curvature"] for r in got if r["k"] == k}
+        assert len(want) == 60 * k and one.keys() == want.keys()
+        assert all(abs(one[p] - want[p]) < 1e-12 for p in want)
+
+
 def test_ollivier_of_exact_cases(spark):
     """Two far pairs of twins: transport between identical neighbourhoods costs nothing, so curvature is known."""
     p = np.array([[0.0], [1.0], [2.0], [3.0], [4.0], [5.0]])
