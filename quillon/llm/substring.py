@@ -298,6 +298,7 @@ def repeated_passages(rows: DataFrame, at: int, cuts: DataFrame, shelf: Shelf) -
                     yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(i, 1).take(pa.array(np.zeros(k, np.int64))), pa.array(near[s : s + STEP].astype(np.int32)), pa.array(names[s : s + STEP])], names=["doc_id", "text_hash", "start", "name"])
 
     spelled = shelf.put(texts.mapInArrow(spell, kind).distinct(), "runs")
+    shelf.drop(marked)
     return repeats(spelled, PASSAGE).filter("later").select("doc_id", "text_hash", "start", F.col("kept.doc_id").alias("first_doc"))
 
 

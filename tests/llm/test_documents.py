@@ -307,3 +307,18 @@ def test_columns_with_clashing_names_come_back(spark, docs):
     outs = [mixing.mix(wide), neardup.keep_one(wide), substring.deduplicate(wide), pieces.encode(wide, ["doc_id", *names]), language.identify(wide, model, ["doc_id", *names])]
     for out in outs:
         assert {tuple(r) for r in out.select(*names).distinct().collect()} == {tuple(f"own {n}" for n in names)}
+
+
+def test_anchors_are_deleted_before_runs_are_compared(spark, monkeypatch):
+    import os
+
+    from quillon.llm import common, substring
+
+    made, there = [], []
+    folder, repeats = common.Shelf.folder, substring.repeats
+    monkeypatch.setattr(common.Shelf, "folder", lambda self, name: made.append(folder(self, name)) or made[-1])
+    monkeypatch.setattr(substring, "repeats", lambda found, apart: there.append([os.path.isdir(p.removeprefix("file:")) for p in made if "/anchors-" in p]) or repeats(found, apart))
+    text = " ".join(f"w{i}" for i in range(60))
+    got = substring.deduplicate(spark.createDataFrame([(1, "a " + text), (2, text + " b")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert there == [[True], [False]]
+    assert [r["n_removed"] for r in got] == [0, 1]
