@@ -519,8 +519,9 @@ def invariance(base: DataFrame, moved: DataFrame, key: str, vec: str, label: str
     w = np.hstack([fit.coef, dirs])
     b0 = np.r_[fit.intercept, np.zeros(n_random)]
     p = V.project(rows.where(test), vec, w, "p0", intercept=b0).select(key, "y", "p0")
-    t = V.project(moved.select(key, vec), vec, w, "p1", intercept=b0).select(key, "p1")
+    t = V.project(moved.select(key, vec).where(test), vec, w, "p1", intercept=b0).select(key, "p1")
     j = p.join(t, key).select(key, "y", F.col("p0")[0].alias("before"), F.col("p1")[0].alias("after"), "p0", "p1").withColumn("change", F.abs(F.col("after") - F.col("before")))
+    j = cut_lineage(j)  # joined once, read by every statistic
     q = ranking.quantiles(j, "change", [0.5], names=["median_change"])
     basic = j.agg(
         F.count(F.lit(1)).alias("n"), r2("y", "before").alias("r2_before"), r2("y", "after").alias("r2_after"), F.corr("before", "after").alias("correlation"),

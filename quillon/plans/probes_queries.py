@@ -311,7 +311,7 @@ def label_noise_floor(spark, sf):
 @query("family_change")
 def family_change(spark, sf):
     d = labelled(spark, sf)
-    stats = V.dim_stats(emb(spark, sf), "v")
+    stats = cut_lineage(V.dim_stats(emb(spark, sf), "v"))
     out = None
     for name in ("sandwich", "twice"):
         for lab in ("part", "third"):

@@ -127,3 +127,16 @@ def test_planted_shift_is_found(spark):
     found = shifts.two_sample_auc(moved, "id", "v", "sample").first()["auc"]
     assert abs(null - 0.5) < 0.12 and found > 0.85
     assert shifts.plant_deletion(df, "id", F.col("sample") == "a", 0.5).where("sample = 'b'").count() == 300
+
+
+def test_invariance_joins_its_sides_once(spark):
+    """The statistics read stored rows: no prediction is made, and neither side sent, once per statistic."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, 3))
+    base = spark.createDataFrame([(i, r.tolist(), float(r[0] - r[1])) for i, r in enumerate(x)], "id long, v array<double>, y double")
+    moved = spark.createDataFrame([(i, (r + 0.01).tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    out = L.invariance(base, moved, "id", "v", "y")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "score" not in plan and "ArrowEvalPython" not in plan
+    one = out.first()
+    assert 40 < one["n"] < 160 and one["r2_before"] > 0.999 and abs(one["median_change"]) < 1e-3
