@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import vectors
 from quillon.operators import inference, knn, ranking
 from quillon.runtime import cut_lineage, discard
 
+# Candidates that one widening asks for in all; never fewer than ``k`` for each source.
+WIDER_ROWS = 2_000_000
+
 
 def greedy_match(sources: DataFrame, pool: DataFrame, id_col: str, vec: str, priority: str, k: int = 40) -> DataFrame:
     """Pairs (src, dst): sources in descending priority (ties by id) each take the nearest pool row still free.
@@ -17,9 +21,13 @@ def greedy_match(sources: DataFrame, pool: DataFrame, id_col: str, vec: str, pri
     With one priority order shared by all pool rows, the greedy result is the stable assignment, so it can be
     computed in rounds: every unmatched source proposes to its nearest candidate not held by a source of higher
     priority, and each candidate keeps its best proposer. A source that runs out of its ``k`` nearest candidates
-    gets twice as many and goes on, so the candidate lists never limit the result.
+    is searched again among the pool rows that are free or held by a lower priority than the highest of those sources; what
+    others hold is lost to them for good. So the candidate lists never limit the result, and are never as long as the pool.
+    Rows without an id or a usable vector take no part.
     """
-    n_pool = pool.count()
+    there = lambda df: df.where(F.col(id_col).isNotNull() & vectors.usable(F.col(vec)))
+    sources, pool = there(sources), there(pool)
+    n_pool = pool.select(id_col).distinct().count()
     pri = cut_lineage(sources.select(F.col(id_col).cast("long").alias("src"), F.col(priority).cast("double").alias("pri")))
     rank_key = F.struct(F.col("pri"), -F.col("src"))  # larger wins
     k = min(k, n_pool)
@@ -35,12 +43,18 @@ def greedy_match(sources: DataFrame, pool: DataFrame, id_col: str, vec: str, pri
         best = cut_lineage(offers.groupBy("src", "pri").agg(F.min(F.struct("rank", "dst")).alias("b")).select("src", "pri", F.col("b.dst").alias("dst")))
         if best.isEmpty():
             discard(best)
-            stuck = free if width < n_pool else free.limit(0)
+            if held is None:
+                break
+            stuck, holder = free, F.struct(F.col("pri"), -F.col("src"))
+            if held.count() >= n_pool:  # all are taken: only who outranks a holder goes on
+                stuck = free.crossJoin(F.broadcast(held.agg(F.min(holder).alias("_low")))).where(rank_key > F.col("_low")).drop("_low")  # one row
             n_stuck = stuck.count()
-            if n_stuck == 0 or width >= n_pool:
+            if n_stuck == 0:
                 break
-            width = min(2 * width, n_pool)
-            wider = knn.knn_join(sources.join(stuck.select(F.col("src").alias(id_col)), id_col, "left_semi").select(id_col, vec), pool.select(id_col, vec), width, id_col, vec, exclude_self=False)
+            lost = held.crossJoin(F.broadcast(stuck.agg(F.max(rank_key).alias("_top")))).where(holder > F.col("_top"))  # one row
+            rest = pool.join(lost.select(F.col("dst").alias(id_col)), id_col, "left_anti")
+            width = max(k, min(2 * width, n_pool, WIDER_ROWS // n_stuck))
+            wider = knn.knn_join(sources.join(stuck.select(F.col("src").alias(id_col)), id_col, "left_semi").select(id_col, vec), rest.select(id_col, vec), width, id_col, vec, exclude_self=False)
             more = wider.select("src", "rank", "dst").join(pri, "src")
             before, cand = cand, cut_lineage(cand.join(stuck.select("src"), "src", "left_anti").unionByName(more))
             discard(before)

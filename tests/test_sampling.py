@@ -98,3 +98,24 @@ def test_level_cap_fills_the_total_as_far_as_it_goes():
         cap = sampling.level_cap(counts, total)
         filled = [sum(min(c, k) for c in counts) for k in (cap, cap + 1)]
         assert filled[0] <= total and (filled[1] > total or cap == max(counts, default=0))
+
+
+def test_greedy_match_searches_again_among_rows_still_to_be_had(spark, monkeypatch):
+    """Sources and pool in one place each: lists run out, and a search that asked for the whole pool would hold all pairs."""
+    rng = np.random.default_rng(4)
+    src = rng.standard_normal((45, 2)) * 0.1
+    pool = np.r_[rng.standard_normal((25, 2)) * 0.1, rng.standard_normal((10, 2)) + 4.0]
+    pri = rng.permutation(45) * 1.0
+    a = spark.createDataFrame([(i, [float(z) for z in r], float(p)) for i, (r, p) in enumerate(zip(src, pri))] + [(900, None, 7.0)], "id long, v array<double>, p double")
+    b = spark.createDataFrame([(1000 + i, [float(z) for z in r], 0.0) for i, r in enumerate(pool)] + [(9000, None, 0.0)], "id long, v array<double>, p double")
+    free, want = set(range(35)), {}
+    for i in np.argsort(-pri):
+        if free:
+            want[int(i)] = min(free, key=lambda j: (np.linalg.norm(pool[j] - src[i]), j))
+            free.remove(want[int(i)])
+    asked, search = [], matching.knn.knn_join
+    monkeypatch.setattr(matching.knn, "knn_join", lambda q, b, k, *x, **kw: asked.append((q.count(), min(k, b.count()))) or search(q, b, k, *x, **kw))
+    monkeypatch.setattr(matching, "WIDER_ROWS", 100)
+    got = {r["src"]: r["dst"] - 1000 for r in matching.greedy_match(a, b, "id", "v", "p", k=5).collect()}
+    assert got == want
+    assert all(n * k <= max(5 * n, 100) for n, k in asked)
