@@ -16,7 +16,7 @@ from quillon.llm.common import fresh
 from quillon.llm.shingles import mix, powers
 
 SPACE, MARK, NEWLINE, NONE = 32, 0x2581, 10, 0x110000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 250_000
 STEPS = mix(np.arange(1, 4097, dtype=np.uint64))
 SCHEMA = "sample int, ids array<int>, n_pieces int, log_prob double, score double, inclusion double, round_trip boolean"
 

@@ -322,3 +322,21 @@ def test_anchors_are_deleted_before_runs_are_compared(spark, monkeypatch):
     got = substring.deduplicate(spark.createDataFrame([(1, "a " + text), (2, text + " b")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert there == [[True], [False]]
     assert [r["n_removed"] for r in got] == [0, 1]
+
+
+def test_a_slice_of_pieces_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    p = pieces.Pieces(pieces.default_model())
+    rng = np.random.default_rng(2)
+    letters = rng.integers(97, 123, pieces.SLICE_CHARS).astype(np.uint32)
+    letters[rng.random(len(letters)) < 0.15] = pieces.SPACE
+    letters[0] = pieces.SPACE
+    tracemalloc.start()
+    lat = pieces.Lattices(p, letters, np.flatnonzero(letters == pieces.SPACE))
+    pieces.sample(lat, np.array([0, len(lat.unit)]), np.array([5], np.uint64), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
