@@ -432,8 +432,8 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     return spearman(res, x, y)
 
 
-def polynomial_ridge(df: DataFrame, key: str, features: Sequence[str], label: str, alphas: Sequence[float], seed=0) -> tuple[DataFrame, DataFrame]:
-    """Degree-2 polynomial ridge: (held-out report, whole table with prediction and in-range flag).
+def polynomial_ridge(df: DataFrame, key: str, features: Sequence[str], label: str, alphas: Sequence[float], seed=0, apply: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Degree-2 polynomial ridge: (held-out report, whole table with prediction and in-range flag); the latter only with ``apply``.
 
     The report is from an 80/20 split; the applied model is refitted on every labelled row. A row is in range
     when each feature lies inside the labelled rows' 1-99 percentiles.
@@ -457,6 +457,8 @@ def polynomial_ridge(df: DataFrame, key: str, features: Sequence[str], label: st
     report = held.agg(
         F.count(F.lit(1)).alias("n_test"), r2(label, "pred").alias("r2"), F.sqrt(F.avg(F.pow(F.col(label) - F.col("pred"), 2))).alias("rmse")
     ).crossJoin(F.broadcast(rho)).withColumn("alpha", F.lit(fit.alpha[0]))
+    if not apply:
+        return report, None
     fit, stats = fitted(train)
     bounds = {r["metric"]: (r["lo"], r["hi"]) for r in ranking.quantiles_of(train, features, [0.01, 0.99], ["lo", "hi"]).collect()}  # one row per feature
     inside = F.lit(True)

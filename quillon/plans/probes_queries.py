@@ -156,7 +156,7 @@ def _poly(spark, sf):
 @query("polynomial_ridge_report")
 def polynomial_ridge_report(spark, sf):
     alphas = [10.0 ** (i / 2 - 3) for i in range(13)]
-    return L.polynomial_ridge(_poly(spark, sf), "o_orderkey", ["lp", "day", "cust"], "label", alphas)[0]
+    return L.polynomial_ridge(_poly(spark, sf), "o_orderkey", ["lp", "day", "cust"], "label", alphas, apply=False)[0]
 
 
 @query("polynomial_ridge_applied")

@@ -140,3 +140,12 @@ def test_invariance_joins_its_sides_once(spark):
     assert "score" not in plan and "ArrowEvalPython" not in plan
     one = out.first()
     assert 40 < one["n"] < 160 and one["r2_before"] > 0.999 and abs(one["median_change"]) < 1e-3
+
+
+def test_polynomial_report_alone_makes_no_second_fit(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, float(a), float(b), float(a * b + a)) for i, (a, b) in enumerate(rng.standard_normal((200, 2)))], "id long, a double, b double, y double")
+    fits, fit = [], L.fit_ridge
+    monkeypatch.setattr(L, "fit_ridge", lambda *x, **kw: fits.append(1) or fit(*x, **kw))
+    report, applied = L.polynomial_ridge(df, "id", ["a", "b"], "y", [0.001], apply=False)
+    assert applied is None and len(fits) == 1 and report.first()["r2"] > 0.99
