@@ -44,7 +44,7 @@ def robust_prune(x: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: f
     for s in range(0, n, 512):
         cand = near[s : s + 512]
         v = x[np.maximum(cand, 0)]
-        among = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("bid,bjd->bij", v, v)))
+        among = np.sqrt(np.maximum(0.0, 2 - 2 * (v @ v.transpose(0, 2, 1))))
         own = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("bid,bd->bi", v, x[s : s + 512])))
         alive, count = cand >= 0, np.zeros(len(cand), np.int64)
         for i in range(c):
@@ -106,36 +106,42 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, entry: np.ndarray, querie
     """For queries (rows of x): pairs (query, vertex) with cosine at the threshold or above, by greedy search.
 
     Every search starts from the shard's medoids and its own vertex, expands the best ``beam`` vertices met so far, and all that
-    lie in range, until none is left unexpanded. All queries of a block go on together.
+    lie in range, until none is left unexpanded. All queries of a block go on together; a round touches what it meets and what is
+    still open, and the best of each query are carried over.
     """
     n, found_q, found_v = len(x), [], []
     block = max(1, (1 << 23) // max(1, n * 8))
     for s in range(0, len(queries), block):
         q = queries[s : s + block]
-        sim = np.full((len(q), n), -np.inf)
-        expanded = np.zeros((len(q), n), bool)
-        row, col = np.repeat(np.arange(len(q)), len(entry)), np.tile(entry, len(q))
-        row, col = np.concatenate([row, np.arange(len(q))]), np.concatenate([col, q])
+        seen, best = np.zeros((len(q), n), bool), np.full((len(q), beam), -np.inf)
+        new = np.zeros((len(q), n), bool)
+        new[:, entry] = True
+        new[np.arange(len(q)), q] = True
+        row, col = np.nonzero(new)
+        open_row, open_col, open_sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         while len(row):
-            sim[row, col] = dots(x, q[row], col)
-            if n > beam:
-                kth = np.partition(sim, n - beam, axis=1)[:, n - beam]
-            else:
-                kth = np.full(len(q), -2.0)
-            front = (~expanded) & (sim > -np.inf) & ((sim >= np.maximum(kth, -2)[:, None]) | (sim >= threshold))
-            r, c = np.nonzero(front)
-            expanded[r, c] = True
+            seen[row, col] = True
+            sim = dots(x, q[row], col)
+            hit = (sim >= threshold) & (col != q[row])
+            found_q.append(q[row[hit]])
+            found_v.append(col[hit])
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            wide = np.full((len(q), beam + int(rank.max()) + 1), -np.inf)
+            wide[:, :beam] = best
+            wide[row, beam + rank] = sim
+            best = np.partition(wide, wide.shape[1] - beam, axis=1)[:, wide.shape[1] - beam :]
+            least = np.minimum(np.maximum(best[:, 0], -2), threshold)
+            open_row, open_col, open_sim = (np.concatenate(z) for z in ((open_row, row), (open_col, col), (open_sim, sim)))
+            front = open_sim >= least[open_row]
+            r, c = open_row[front], open_col[front]
+            open_row, open_col, open_sim = open_row[~front], open_col[~front], open_sim[~front]
             nxt = adjacency[c]
             r, c = np.repeat(r, nxt.shape[1]), nxt.ravel()
-            new = c >= 0
-            r, c = r[new], c[new]
-            new = np.isneginf(sim[r, c])
-            code = np.unique(r[new] * n + c[new])
-            row, col = code // n, code % n
-        r, c = np.nonzero(sim >= threshold)
-        other = c != q[r]
-        found_q.append(q[r[other]])
-        found_v.append(c[other])
+            some = c >= 0
+            new[:] = False
+            new[r[some], c[some]] = True
+            new &= ~seen
+            row, col = np.nonzero(new)
     return np.concatenate([np.zeros(0, np.int64), *found_q]), np.concatenate([np.zeros(0, np.int64), *found_v])
 
 
@@ -153,6 +159,25 @@ def medoids(x: np.ndarray, k: int = 4) -> np.ndarray:
     return np.unique([centre] + [int(np.flatnonzero(part == p)[(x[part == p] @ x[part == p].mean(axis=0)).argmax()]) for p in range(len(picked))])
 
 
+def links_of(x: np.ndarray, adjacency: np.ndarray, audit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, row) of a part in range of each other, by searches from every row; the rows ``audit`` are checked against all.
+
+    While the audit is short the beam is doubled. Once the lists of a wider beam name as many rows as there are, a search is no less
+    work than comparing all rows block by block, and that is done instead: it misses nothing.
+    """
+    n, entry, beam = len(x), medoids(x), BEAM
+    want = x[audit] @ x.T >= threshold
+    want[np.arange(len(audit)), audit] = False
+    while True:
+        fq, fv = range_search(x, adjacency, entry, np.arange(n), threshold, beam)
+        if np.bincount(fq, minlength=n)[audit].sum() >= RECALL * want.sum():
+            return fq, fv
+        if 2 * beam * DEGREE >= n:
+            fq, fv = in_range(x, x, threshold)
+            return fq[fq != fv], fv[fq != fv]
+        beam *= 2
+
+
 def _centres(vectors: DataFrame, shard_rows: int) -> dict[tuple[int, int], np.ndarray]:
     """Centres per (label, width) of more than one shard, refined on a bounded sample."""
     sizes = vectors.groupBy("label", "width").agg(F.count("*").alias("n"))
@@ -209,7 +234,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     little is ruled out, and the work is that of all pairs of a label. A pair counts in the shard of the found vertex's nearest
     centre only. Only counts and a spanning forest of the links leave a task, so a tight group of thousands gives thousands of rows.
     Searches of some vertices are checked against all of the part; a part whose recall is short is searched with
-    a beam twice as wide, and in the end against all of it. audit_links is the number of links that about AUDIT hashed vertices have among
+    a beam twice as wide, and in the end against all of it (see ``links_of``). audit_links is the number of links that about AUDIT hashed vertices have among
     all rows of their labels, and audit_found what the search counted for them (0 for vertices that are not audited).
     Vectors that are null, zero or hold null or non-finite components, and null labels or ids, link with nothing;
     vectors of different widths do not link. Rows that repeat an id are one vertex each by their vector; component_id is the
@@ -282,21 +307,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
         rank = np.arange(len(src)) - np.searchsorted(src, src)
         adjacency = np.full((len(ids), max(1, int(rank.max(initial=0)) + 1)), -1, np.int64)
         adjacency[src, rank] = dst
-        entry = medoids(x)
         audit = np.argsort((ids * np.int64(2654435761)) % 1_000_003, kind="stable")[:AUDIT_ROWS]
-        want = x[audit] @ x.T >= threshold
-        want[np.arange(len(audit)), audit] = False
-        beam, todo = BEAM, np.arange(len(ids))
-        while True:
-            fq, fv = range_search(x, adjacency, entry, todo, threshold, beam)
-            got = np.bincount(fq, minlength=len(ids))
-            if got[audit].sum() >= RECALL * want.sum():
-                break
-            if beam >= len(ids):  # parts of the graph that no edge reaches: compare with every member, block by block
-                fq, fv = in_range(x, x, threshold)
-                fq, fv = fq[fq != fv], fv[fq != fv]
-                break
-            beam *= 2
+        fq, fv = links_of(x, adjacency, audit, threshold)
         # A pair counts, once for each side that asks, in the shard of the found vertex's nearest centre.
         home = t.column("home").to_numpy()
         mine = home[fv] == shard

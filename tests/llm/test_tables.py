@@ -276,3 +276,16 @@ def test_training_lowers_the_loss():
     before = m.gradients(m.tokens(inputs), m.tokens(targets))[0]
     order = rng.permutation(len(inputs))
     assert m.train(m.tokens(inputs[order]), m.tokens(targets[order]), 30, 0.02, batch=32) < before / 3
+
+
+def test_a_short_part_is_compared_whole_before_its_beam_is_wider_than_that(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=8)[None, :] + 0.05 * rng.normal(size=(600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    beams, search = [], annlinks.range_search
+    monkeypatch.setattr(annlinks, "range_search", lambda *a: beams.append(a[-1]) or search(*a))
+    fq, fv = annlinks.links_of(x, np.full((600, 1), -1, np.int64), np.arange(64), 0.93)
+    want = x @ x.T >= 0.93
+    np.fill_diagonal(want, False)
+    assert want.sum() > 100_000 and len(fq) == want.sum() and want[fq, fv].all()
+    assert max(beams) * annlinks.DEGREE < 600
