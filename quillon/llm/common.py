@@ -16,12 +16,14 @@ from quillon.runtime import checkpoint_dir
 
 # Bytes of text that one numpy step works on: small enough for the processor's cache, whatever the row count.
 SLICE_BYTES = 1 << 18
+# Whether Spark deletes the shuffle files of a query with its end, not when the driver's garbage is collected.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Shelf:
     """Tables stored in the shared folder, so that a lost executor never loses more than its running tasks.
 
-    ``put`` writes a table and reads it back; ``drop`` deletes one that no later step reads; ``folder`` names a new
+    ``put`` writes a table and reads it back, and the shuffle files of that write go with its end; ``drop`` deletes one that no later step reads; ``folder`` names a new
     folder for files that tasks write themselves.
     """
 
@@ -35,7 +37,12 @@ class Shelf:
 
     def put(self, df: DataFrame, name: str = "table") -> DataFrame:
         path = self.folder(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.select("*").write.parquet(path)  # a new plan, made under the setting
+        finally:
+            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(stored)] = (stored, path)
         return stored

@@ -289,3 +289,25 @@ def test_a_short_part_is_compared_whole_before_its_beam_is_wider_than_that(monke
     np.fill_diagonal(want, False)
     assert want.sum() > 100_000 and len(fq) == want.sum() and want[fq, fv].all()
     assert max(beams) * annlinks.DEGREE < 600
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    import glob
+    import os
+    import time
+
+    def there():
+        return set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*.data"))
+
+    jvm = spark.sparkContext._jvm
+    folder = os.path.dirname(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = there()
+    shelf = Shelf(spark)
+    stored = shelf.put(spark.range(5000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not there() - before:
+            break
+        time.sleep(0.2)
+    assert not there() - before
+    assert stored.count() == 7
+    shelf.drop(stored)
