@@ -24,6 +24,9 @@ PASSAGE = 50
 ANCHOR = 25
 # A hot anchor or passage is dealt over this many keys.
 SALTS = 8
+# Names found about HOT_PLACES times or more, told from the places in one of HOT_SHARE hash ranges, are looked up in tasks: at most
+# HOT_NAMES of them, the commonest, whatever the size of the table. All other names are joined; both ways give the same rows.
+HOT_PLACES, HOT_SHARE, HOT_NAMES = 512, 16, 4096
 # Estimates below this are not verified.
 CUT = 0.5
 STEP = 1 << 15
@@ -224,16 +227,41 @@ def keyed(docs: DataFrame, at: int) -> DataFrame:
     return named.select("*", F.col(f"c{docs.columns.index('doc_id')}").cast("long").alias("d_"), F.xxhash64(f"c{at}").alias("h_"))
 
 
+def hot_names(found: DataFrame) -> list[int]:
+    """The commonest names, at most HOT_NAMES. Which names are listed changes how they are looked up, not what is found."""
+    some = found.filter(F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(HOT_SHARE)) == 0).groupBy("name").agg(F.count("*").alias("n"))
+    return [r["name"] for r in some.filter(F.col("n") >= HOT_PLACES // HOT_SHARE).orderBy(F.desc("n"), "name").limit(HOT_NAMES).collect()]
+
+
 def repeats(found: DataFrame, apart: int) -> DataFrame:
-    """Of (doc_id, text_hash, start, name) the rows with a name that stands at another place, and the first place of each name.
+    """Of (doc_id, text_hash, start, name) the rows with a name that stands at another place, the first place of each name, and later.
 
-    A place of the first's own text counts from ``apart`` words behind it. Names are counted before they are joined, and joined by
-    salted keys, so a name that a third of the documents hold meets in no task.
+    later: whether the row stands elsewhere than the first; a place of the first's own text counts from ``apart`` words behind it.
+    Names are counted before they are joined. The first places of the commonest names go to all tasks, so that their many rows are not
+    shuffled; the others are joined by salted keys, so that no name meets in one task.
     """
     place = F.struct("doc_id", "text_hash", "start")
-    groups = found.groupBy(F.col("name").alias("group")).agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept != last").select("group", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+    def firsts(rows):
+        return rows.groupBy(F.col("name").alias("group")).agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept != last")
+
+    hot = hot_names(found)
+    common = F.col("name").isin(hot)
+    rest = found.filter(~common) if hot else found
+    groups = firsts(rest).select("group", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))
-    both = found.join(groups, (F.col("name") == F.col("group")) & (dealt == F.col("salt")))
+    both = rest.join(groups, (F.col("name") == F.col("group")) & (dealt == F.col("salt"))).select("doc_id", "text_hash", "start", "name", "kept")
+    if hot:
+        first = {r["group"]: r["kept"].asDict() for r in firsts(found.filter(common)).collect()}
+
+        def look_up(batches):
+            for batch in batches:
+                kept = [first.get(x) for x in batch.column(3).to_pylist()]
+                kind = pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32())])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, kind)], names=["doc_id", "text_hash", "start", "name", "kept"])
+
+        known = found.filter(common).select("doc_id", "text_hash", "start", "name").mapInArrow(look_up, "doc_id long, text_hash long, start int, name long, kept struct<doc_id:long,text_hash:long,start:int>")
+        both = both.union(known.filter("kept is not null"))
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
     return both.withColumn("later", ~same | (F.col("start") >= F.col("kept.start") + apart))
 

@@ -340,3 +340,20 @@ def test_a_slice_of_pieces_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150 << 20
+
+
+def test_common_names_are_looked_up_and_not_joined(spark, monkeypatch):
+    places = [(d, d * 7, s, d % 3 if s < 9 else 100 * d + s % 40) for d in range(1, 40) for s in range(60)]
+    places += [(None, 5, 0, 1), (1, 7, 90, 10_000), (2, 14, 90, -3), (2, 14, 91, -3)]
+    found = spark.createDataFrame(places, "doc_id long, text_hash long, start int, name long")
+
+    def rows(apart):
+        return sorted((str(r["doc_id"]), r["text_hash"], r["start"], r["name"], str(r["kept"]["doc_id"]), r["kept"]["start"], r["later"]) for r in substring.repeats(found, apart).collect())
+
+    want = [rows(0), rows(4)]
+    assert want[0] and not substring.hot_names(found)
+    monkeypatch.setattr(substring, "HOT_PLACES", 48)
+    assert set(substring.hot_names(found)) == {0, 1, 2}
+    assert [rows(0), rows(4)] == want
+    joined = substring.repeats(found, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in joined and "NOT name" in joined
