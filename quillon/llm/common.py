@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,17 @@ SLICE_BYTES = 1 << 18
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that are planned and run in here leave no shuffle files."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+
+
 class Shelf:
     """Tables stored in the shared folder, so that a lost executor never loses more than its running tasks.
 
@@ -37,12 +49,8 @@ class Shelf:
 
     def put(self, df: DataFrame, name: str = "table") -> DataFrame:
         path = self.folder(name)
-        before = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")
-        try:
+        with tidy(self.spark):
             df.select("*").write.parquet(path)  # a new plan, made under the setting
-        finally:
-            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(stored)] = (stored, path)
         return stored

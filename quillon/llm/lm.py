@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Shelf, local_rows, row_numbers, slices, text_buffer
+from quillon.llm.common import Shelf, local_rows, row_numbers, slices, text_buffer, tidy
 from quillon.llm.shingles import mix, words
 
 # A window is CONTEXT inputs that are only looked at and SCORED inputs whose next token is scored.
@@ -386,6 +386,18 @@ def start_sample(windows: DataFrame, rows: int = START_WINDOWS, n: int | None =
     return some.orderBy("h", "tokens").limit(rows).select("tokens").toArrow()
 
 
+def narrow(bc):
+    """Windows of subword ids to windows of the model's tokens, two bytes each: lists of ids take about four times as much in a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(1).flatten().to_numpy()
+            tokens = bc.value.tokens(ids).astype(np.int16).reshape(-1, WINDOW + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in tokens], pa.binary())], names=["h", "tokens"])
+
+    return run
+
+
 def bucket_round(bc, rate: float):
     """What a round does with a bucket: its windows in the order of h, and the weights afterwards times their number."""
 
@@ -393,8 +405,9 @@ def bucket_round(bc, rate: float):
         own = Attention.__new__(Attention)
         own.__dict__.update(bc.value.__dict__)
         own.weights = dict(bc.value.weights)
-        inputs, targets = _matrices(group.sort_by("h").column("tokens").combine_chunks())
-        own.train(own.tokens(inputs), own.tokens(targets), 1, rate, batch=256)
+        packed = b"".join(group.sort_by("h").column("tokens").to_pylist())
+        tokens = np.frombuffer(packed, np.int16).reshape(-1, WINDOW + 1).astype(np.int64)
+        own.train(tokens[:, :WINDOW], tokens[:, CONTEXT + 1 :], 1, rate, batch=256)
         w = own.flat().astype(np.float64) * group.num_rows
         return pa.table([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w), pa.array(np.full(len(w), group.num_rows))], names=["at", "sum", "n"])
 
@@ -423,9 +436,10 @@ def train_model(windows: DataFrame, vocabulary: int, rounds: int = 1, bucket: in
         bc = spark.sparkContext.broadcast(model)
 
         # Twice as many partitions as buckets: few tasks get more than two.
-        dealt = windows.select(F.pmod("h", F.lit(buckets)).alias("bucket"), "h", "tokens").repartition(2 * buckets, "bucket")
+        dealt = windows.select("h", "tokens").mapInArrow(narrow(bc), "h long, tokens binary").withColumn("bucket", F.pmod("h", F.lit(buckets))).repartition(2 * buckets, "bucket")
         parts = dealt.groupBy("bucket").applyInArrow(bucket_round(bc, 0.003 / (r + 1)), "at int, sum double, n long")
-        mean = parts.groupBy("at").agg((F.sum("sum") / F.sum("n")).alias("mean")).orderBy("at").toArrow()
+        with tidy(spark):
+            mean = parts.groupBy("at").agg((F.sum("sum") / F.sum("n")).alias("mean")).orderBy("at").toArrow()
         model.load(mean.column("mean").to_numpy())
         bc.unpersist()
     return model
@@ -459,6 +473,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str | None = None) -> Da
     subwords = Subwords(tokenizer)
     windows = shelf.put(training_windows(docs, tokenizer), "windows")
     model = train_model(windows, subwords.size)
+    shelf.drop(windows)
     bc = spark.sparkContext.broadcast((model, table))
     end_log = float(np.log10(ends + 0.5))
 

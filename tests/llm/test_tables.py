@@ -311,3 +311,22 @@ def test_shuffle_files_go_when_a_table_is_stored(spark):
     assert not there() - before
     assert stored.count() == 7
     shelf.drop(stored)
+
+
+def test_windows_go_when_the_model_is_trained_and_travel_as_its_tokens(spark, monkeypatch):
+    import os
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    made, folder = [], Shelf.folder
+    monkeypatch.setattr(Shelf, "folder", lambda self, name: made.append(folder(self, name)) or made[-1])
+    df = spark.createDataFrame([(i, "old stone bridge " * i) for i in range(1, 9)], "doc_id long, text string")
+    out = lm.score(df, remainder("doc_id", 5) == 1)
+    assert [os.path.isdir(p.removeprefix("file:")) for p in made if "/windows-" in p] == [False]
+    assert out.count() == 8
+    model = lm.Attention(np.arange(3000.0))
+    ids = np.random.default_rng(1).integers(-1, 3000, (5, lm.WINDOW + 1)).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(ids.tolist(), pa.list_(pa.int32()))], names=["h", "tokens"])
+    (packed,) = lm.narrow(SimpleNamespace(value=model))(iter([batch]))
+    assert np.array_equal(np.frombuffer(b"".join(packed.column(1).to_pylist()), np.int16).reshape(5, -1), model.tokens(ids))
