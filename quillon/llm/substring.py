@@ -286,7 +286,8 @@ def repeated_passages(rows: DataFrame, at: int, cuts: DataFrame, shelf: Shelf) -
     """(doc_id, text_hash, start, first_doc): every run of PASSAGE words in what the paragraph step leaves that stands before, by (doc_id, text_hash, word).
 
     Anchors that occur at two places or more name the texts to look at, and the runs of PASSAGE words around them are compared
-    by name. As each such run holds an anchor which is the same in all its copies, none is missed.
+    by name. As each such run holds an anchor which is the same in all its copies, none is missed. Rows repeated whole give the same
+    places again, which change neither first nor later; a place can be listed as often as its row stands there.
     """
 
     def mark(batches):
@@ -311,21 +312,23 @@ def repeated_passages(rows: DataFrame, at: int, cuts: DataFrame, shelf: Shelf) -
             for i in range(batch.num_rows):
                 raw = np.frombuffer(batch.column(2)[i].as_py().encode(), np.uint8)
                 hashes, first, _, _ = words(raw, np.array([0, len(raw)]))
-                stay, _ = dropped_lines(raw, set(batch.column(4)[i].as_py()))
-                gone = np.concatenate([np.zeros(1, np.int64), np.cumsum(~stay[first])])
+                drop = set(batch.column(4)[i].as_py())
                 where = np.zeros(max(0, len(hashes) - PASSAGE + 1) + 1, np.int64)
                 marks = np.array(batch.column(3)[i].as_py(), np.int64)
                 np.add.at(where, np.clip(marks - (PASSAGE - ANCHOR), 0, len(where) - 1), 1)
                 np.add.at(where, np.clip(marks + 1, 0, len(where) - 1), -1)
                 near = np.flatnonzero(np.cumsum(where)[:-1] > 0)
-                near = near[gone[near + PASSAGE] == gone[near]]
+                if drop:
+                    stay, _ = dropped_lines(raw, drop)
+                    gone = np.concatenate([np.zeros(1, np.int64), np.cumsum(~stay[first])])
+                    near = near[gone[near + PASSAGE] == gone[near]]
                 names = runs(hashes, PASSAGE)[near].view(np.int64)
                 for s in range(0, len(near), STEP):
                     k = len(near[s : s + STEP])
                     ids = batch.column(0).slice(i, 1).take(pa.array(np.zeros(k, np.int64)))
                     yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(i, 1).take(pa.array(np.zeros(k, np.int64))), pa.array(near[s : s + STEP].astype(np.int32)), pa.array(names[s : s + STEP])], names=["doc_id", "text_hash", "start", "name"])
 
-    spelled = shelf.put(texts.mapInArrow(spell, kind).distinct(), "runs")
+    spelled = shelf.put(texts.mapInArrow(spell, kind), "runs")
     shelf.drop(marked)
     return repeats(spelled, PASSAGE).filter("later").select("doc_id", "text_hash", "start", F.col("kept.doc_id").alias("first_doc"))
 
@@ -355,7 +358,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, inner: bool = Tru
     none = F.lit(None).cast("array<struct<at:int,first_doc:bigint>>")
     todo = cuts.select("doc_id", "text_hash", "lines", none.alias("more"))
     if inner:
-        more = repeated_passages(rows, at, cuts, shelf).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(F.col("start").alias("at"), "first_doc")).alias("more"))
+        more = repeated_passages(rows, at, cuts, shelf).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.col("start").alias("at"), "first_doc")).alias("more"))
         more = shelf.put(more.select("doc_id", "text_hash", none.alias("lines"), "more"), "passages")
         shelf.drop(*[t for t, _ in list(shelf.paths.values()) if t is not cuts and t is not more])
         todo = todo.union(more).groupBy("doc_id", "text_hash").agg(F.first("lines", ignorenulls=True).alias("lines"), F.first("more", ignorenulls=True).alias("more"))
