@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,23 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.runtime import checkpoint_dir
+from quillon.runtime import checkpoint_dir, tidy
 
 # Bytes of text that one numpy step works on: small enough for the processor's cache, whatever the row count.
 SLICE_BYTES = 1 << 18
-# Whether Spark deletes the shuffle files of a query with its end, not when the driver's garbage is collected.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries that are planned and run in here leave no shuffle files."""
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
 
 
 class Shelf:

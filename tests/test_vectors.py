@@ -261,3 +261,26 @@ def test_eigenpairs_multiply_the_newest_block_only(spark, monkeypatch):
     for i, j, x in rows:
         a[i, j] = x
     assert np.allclose(a @ v, v * got.values, atol=1e-4) and np.allclose(v.T @ v, np.eye(m), atol=1e-6)
+
+
+def test_eigenpairs_of_a_long_ring_take_few_steps(spark, monkeypatch):
+    """Close eigenvalues, in several blocks: products of one step follow each other in one job, and a block is sent a row once however many edges it has there."""
+    n, m = 400, 3
+    rows = [(i, (i + d) % n, 0.25) for i in range(n) for d in (-2, -1, 1, 2)]
+    s = cut_lineage(spark.createDataFrame(rows, "u long, v long, w double"))
+    monkeypatch.setattr(spectral, "BLOCK_ROWS", 64)
+    got = spectral.top_eigenpairs(s, m, max_steps=30)
+    k = 2 * np.pi * np.arange(n) / n
+    want = np.sort((np.cos(k) + np.cos(2 * k)) / 2)[::-1][:m]
+    assert np.allclose(got.values, want, atol=1e-8) and max(got.residuals) <= 1e-5
+    blocks = spectral._Blocks(s)
+    records = blocks.stored.collect()
+    assert blocks.count == len(records) == 7 and sum(len(r["ids"]) // 8 for r in records) == n
+    assert sum(len(r["weight"]) // 8 for r in records) == len(rows) > sum(len(r["rows"]) // 4 for r in records)
+    blocks.discard()
+
+
+def test_eigenpairs_need_a_symmetric_table(spark):
+    s = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0), (3, 0, 1.0)], "u long, v long, w double")
+    with pytest.raises(Exception, match="not symmetric"):
+        spectral.top_eigenpairs(s, 2)
