@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,9 +282,14 @@ def knn_join(
 
 
 # Rows of a block of the pair statistics and of a slice of a tile, leading bits that the first pass counts by, bits of a later pass, and values below which all remaining bits are counted.
-PAIR_BLOCK, PAIR_SLICE = 16_384, 128
+PAIR_BLOCK, PAIR_SLICE = 32_768, 128
 FIRST_BITS, NEXT_BITS = 20, 16
 ALL_BITS_BELOW = 1_000_000
+# Rows and columns of a piece of a tile (as much as stays in the processor's cache), rows of a group that the brackets are drawn from, ranges that its distances
+# are counted in, and distances inside the brackets that a tile holds at most.
+PIECE_ROWS, PIECE_COLUMNS = 128, 1_024
+GROUP_ROWS, GROUP_RANGES = 1_024, 4_096
+MOST_INSIDE = 4_000_000
 
 
 def _pair_distances(q: np.ndarray, x: np.ndarray):
@@ -312,6 +319,56 @@ def _pair_distances(q: np.ndarray, x: np.ndarray):
         yield s, d2
 
 
+class _Side:
+    """Rows around a middle, with their squared lengths, as one side of a matrix product that gives squared distances (halved for the cosine)."""
+
+    def __init__(self, x: np.ndarray, middle: np.ndarray, cosine: bool, left: bool):
+        self.x, rows = x, x - middle
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.norm = np.einsum("ij,ij->i", rows, rows) * (0.5 if cosine else 1.0)
+        one, side = np.ones((len(x), 1)), self.norm[:, None]
+        self.a = np.hstack([rows * (-1.0 if cosine else -2.0), side, one]) if left else np.ascontiguousarray(np.hstack([rows, one, side]).T)
+
+
+def _fill(q: _Side, x: _Side, rows: slice, columns: slice, cosine: bool, out: np.ndarray) -> np.ndarray:
+    """Squared distances (halved for the cosine) of a piece. Pairs that are close for their norms, where the expanded form would cancel, are computed from their differences."""
+    np.matmul(q.a[rows], x.a[:, columns], out=out)
+    near = 1e-2 * (q.norm[rows] + x.norm[columns].max())
+    if (out.min(1) >= near).all():
+        return out
+    close = ~(out >= 1e-2 * (q.norm[rows, None] + x.norm[columns]))
+    many = np.count_nonzero(close)
+    if many > out.size // 20:
+        out[:] = 0.0
+        for i in range(q.x.shape[1]):
+            diff = q.x[rows, i, None] - x.x[None, columns, i]
+            diff *= diff
+            out += diff
+        if cosine:
+            out *= 0.5
+    elif many:
+        r, c = np.nonzero(close)
+        d = _exact(q.x[rows], x.x[columns], r, c)
+        out[r, c] = d * d * (0.5 if cosine else 1.0)
+    return out
+
+
+def _pieces(q: np.ndarray, x: np.ndarray, same: bool, cosine: bool):
+    """(first row, first column, squared distances) of all pairs of a tile, piece by piece; if both sides are one block each pair once, its own triangles with infinite places."""
+    middle = np.median(x[: 4 * GROUP_ROWS], axis=0)
+    left, right = _Side(q, middle, cosine, True), _Side(x, middle, cosine, False)
+    held = np.empty(PIECE_ROWS * PIECE_COLUMNS)
+    for s in range(0, len(q), PIECE_ROWS):
+        e = min(s + PIECE_ROWS, len(q))
+        if same:
+            d = _fill(left, right, slice(s, e), slice(s, e), cosine, held[: (e - s) ** 2].reshape(e - s, e - s))
+            d[np.tril_indices(e - s)] = np.inf
+            yield s, s, d
+        for f in range(e if same else 0, len(x), PIECE_COLUMNS):
+            g = min(f + PIECE_COLUMNS, len(x))
+            yield s, f, _fill(left, right, slice(s, e), slice(f, g), cosine, held[: (e - s) * (g - f)].reshape(e - s, g - f))
+
+
 class _Pairs:
     """All pairs of rows as tiles of two blocks, computed again in every pass and never stored."""
 
@@ -324,14 +381,27 @@ class _Pairs:
         few = min(spark.sparkContext.defaultParallelism, math.ceil(self.n / 256))  # a short table is cut for the cores' sake
         self.blocks = max(1, few, math.ceil(self.n / block))
 
-    def tiles(self, fn, schema: str) -> DataFrame:
+    def groups(self, fn, schema: str) -> DataFrame:
+        """``fn`` of the distances inside groups of about GROUP_ROWS rows, dealt by hash: a sample of pairs in which every row has the same share."""
+        count, cosine = max(1, self.n // GROUP_ROWS), self.cosine
+
+        def run(group: pa.Table) -> pa.Table:
+            x = kernels.matrix(group.column("_v"))
+            found = [d[np.isfinite(d)] for _, _, d in _pieces(x, x, True, cosine)]
+            v = np.concatenate(found) if found else np.zeros(0)
+            return fn(v if cosine else np.sqrt(v))
+
+        g = F.pmod(F.xxhash64("_id", F.lit("group")), F.lit(count)).cast("int")
+        return self.rows.select(g.alias("_g"), "_v").groupBy("_g").applyInArrow(run, schema)
+
+    def tiles(self, fn, schema: str, whole: bool = False) -> DataFrame:
         """``fn`` of every tile's (ids, ids, slices); a slice is (first row, distances, distances of pairs): the matrix is infinite
-        where rows and columns of one block make no pair, and the flat array leaves these out."""
+        where rows and columns of one block make no pair, and the flat array leaves these out. ``whole``: ``fn`` of (ids, ids, vectors, vectors, one block)."""
         nb, cosine = self.blocks, self.cosine
         blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
         left = self.rows.withColumn("qs", blk).withColumn("bs", F.explode(F.sequence(F.col("qs"), F.lit(nb - 1))))
         right = self.rows.withColumn("bs", blk).withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("bs"))))
-        parts = min(20_000, nb * (nb + 1) // 2)
+        parts = min(20_000, 2 * nb * (nb + 1))
 
         def run(key, q: pa.Table, x: pa.Table) -> pa.Table:
             a, c, qv, xv = q.column("_id").to_numpy(), x.column("_id").to_numpy(), kernels.matrix(q.column("_v")), kernels.matrix(x.column("_v"))
@@ -339,6 +409,8 @@ class _Pairs:
             # The same order in every pass, so that every pass sees the same bits.
             o, p = np.lexsort((*qv.T[:1], a)), np.lexsort((*xv.T[:1], c))
             a, qv, c, xv = a[o], qv[o], c[p], xv[p]
+            if whole:
+                return fn(a, c, qv, xv, same)
 
             def slices():
                 if not len(a) or not len(c):
@@ -375,31 +447,134 @@ def _count_bits(bits: np.ndarray, counts: dict) -> None:
         counts[k] = counts.get(k, 0) + m
 
 
-def _pair_totals(a, c, slices, lead: int) -> pa.Table:
-    """What a tile adds: its moments (kind 0), each node's nearest (1), and counts by the leading bits of the distance (2)."""
-    near_a, near_c, counts = np.full(len(a), np.inf), np.full(len(c), np.inf), {}
-    n, mean, m2, lo, hi = 0, 0.0, 0.0, np.inf, 0.0
-    for s, d, flat in slices:
-        near_a[s : s + len(d)] = d.min(1, initial=np.inf)
-        np.minimum(near_c, d.min(0, initial=np.inf), out=near_c)
-        if not len(flat):
-            continue
-        own = float(flat.mean())
-        gap, total = own - mean, n + len(flat)
-        m2 += float(np.square(flat - own).sum()) + gap * gap * n * len(flat) / total
-        mean += gap * len(flat) / total
-        n, lo, hi = total, min(lo, float(flat.min())), max(hi, float(flat.max()))
-        _count_bits(flat.view(np.int64) >> (64 - lead), counts)
+def _squeeze(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values once, with their counts."""
+    v, at = np.unique(values, return_inverse=True)
+    return v, np.bincount(at, counts, len(v)).astype(np.int64)
+
+
+def _pair_totals(a, c, q, x, same: bool, cosine: bool, middle: float, brackets: Sequence[tuple[float, float]], most: int) -> pa.Table:
+    """What a tile adds: its moments around ``middle`` (kind 0), each node's nearest (1), distances below each bracket (2) and those inside it (3).
+
+    A tile with more than ``most`` different distances inside a bracket tells so by a NULL and lists none."""
+    near_a, near_c = np.full(len(a), np.inf), np.full(len(c), np.inf)
+    n, s1, s2, hi = 0, 0.0, 0.0, 0.0
+    below, inside, size, full = [0] * len(brackets), [[] for _ in brackets], [0] * len(brackets), [False] * len(brackets)
+    for s, f, d in _pieces(q, x, same, cosine) if len(a) and len(c) else ():
+        rows, columns = slice(s, s + len(d)), slice(f, f + d.shape[1])
+        near_a[rows] = np.minimum(near_a[rows], d.min(1))
+        near_c[columns] = np.minimum(near_c[columns], d.min(0))
+        if same and s == f:
+            d = d[np.triu_indices(len(d), 1)]
+            if not len(d):
+                continue
+        d = d.reshape(-1)
+        if not cosine:
+            np.sqrt(d, out=d)
+        hi = max(hi, float(d.max()))
+        for i, (low, high) in enumerate(brackets):
+            under, to = d < low, d < high
+            few = int(np.count_nonzero(under))
+            below[i] += few
+            if not full[i] and np.count_nonzero(to) > few:
+                to &= ~under
+                inside[i].append((d[to], np.ones(int(np.count_nonzero(to)), np.int64)))
+                size[i] += len(inside[i][-1][0])
+                if size[i] > most:
+                    inside[i] = [_squeeze(*(np.concatenate(z) for z in zip(*inside[i])))]
+                    size[i] = len(inside[i][0][0])
+                    if size[i] > most // 2:
+                        full[i], inside[i] = True, []
+        d -= middle
+        n, s1, s2 = n + len(d), s1 + float(d.sum()), s2 + float(d @ d)
     near, node = np.r_[near_a, near_c], np.r_[a, c]
     met = np.isfinite(near)
-    bits, count = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
-    m = (1 if n else 0), int(met.sum()), len(bits)
-    pad = lambda first, second, third, t: pa.array(np.r_[[first] * m[0], second, third].astype(t))
-    zeros = np.zeros(m[1]), np.zeros(m[2])
-    return pa.table({
-        "kind": pa.array(np.repeat(np.arange(3), m).astype(np.int32)), "key": pad(0, node[met], bits, np.int64), "n": pad(n, zeros[0], count, np.int64), "mean": pad(mean, *zeros, float),
-        "m2": pad(m2, *zeros, float), "lo": pad(lo, near[met], zeros[1], float), "hi": pad(hi, *zeros, float),
-    })
+    near = near[met] if cosine else np.sqrt(near[met])
+    few = [[np.concatenate(z) for z in zip(*rows)] if rows else [np.zeros(0), np.zeros(0, np.int64)] for rows in inside]
+    kind = np.repeat([0, 1, 2, 3], [1, len(near), len(brackets), sum(len(v) for v, _ in few)]).astype(np.int32)
+    key = np.r_[0, node[met], np.arange(len(brackets)), np.repeat(np.arange(len(brackets)), [len(v) for v, _ in few])].astype(np.int64)
+    count = pa.array([n, *[None] * len(near), *[None if z else m for z, m in zip(full, below)]], pa.int64())
+    rest = pa.array(np.concatenate([k for _, k in few]).astype(np.int64))
+    value = np.r_[s1, near, np.zeros(len(brackets)), np.concatenate([v for v, _ in few])].astype(float)
+    more = np.zeros((2, len(kind)))
+    more[:, 0] = s2, hi
+    return pa.table({"kind": pa.array(kind), "key": pa.array(key), "n": pa.concat_arrays([count, rest]), "value": pa.array(value), "s2": pa.array(more[0]), "hi": pa.array(more[1])})
+
+
+def _brackets(pairs: _Pairs, shares: Sequence[float]) -> tuple[float, list[tuple[float, float]]]:
+    """The mean of a sample of the distances, and for each share a narrow pair of values around that percentile; whether it is inside is only known once all pairs are counted."""
+    if pairs.n * (pairs.n - 1) // 2 <= ALL_BITS_BELOW:
+        return 0.0, [(-math.inf, math.inf)]
+    around = [max(0.0, min(1.0, p + side)) for p in shares for side in (-0.01, 0.01)]
+
+    def first(v: np.ndarray) -> pa.Table:
+        row = np.r_[len(v), v.sum(), np.quantile(v, around) * len(v)] if len(v) else np.zeros(2 + len(around))
+        return pa.table({"row": kernels.lists(row[None, :])})
+
+    add = lambda t: np.array(t.agg(Summarizer.sum(array_to_vector("row"))).first()[0].toArray())
+    total = add(pairs.groups(first, "row array<double>"))
+    if not total[0]:
+        return 0.0, [(-math.inf, math.inf)] * len(shares)
+    edges = [(low * (1 - 1e-9), high * (1 + 1e-9) + 1e-300) for low, high in (total[2:] / total[0]).reshape(-1, 2).tolist()]
+
+    def counts(v: np.ndarray) -> pa.Table:
+        rows = [np.bincount(np.clip((v - low) / (high - low) * GROUP_RANGES + 1, 0, GROUP_RANGES + 1).astype(np.int64), minlength=GROUP_RANGES + 2) for low, high in edges]
+        return pa.table({"row": kernels.lists(np.concatenate(rows)[None, :])})
+
+    out = []
+    for p, (low, high), row in zip(shares, edges, add(pairs.groups(counts, "row array<double>")).reshape(len(edges), -1)):
+        m, upto = row.sum(), np.cumsum(row)
+        slack = 5 * math.sqrt(p * (1 - p) / m) + 2 / m
+        at = int(np.searchsorted(upto, (p - slack) * m)), int(np.searchsorted(upto, (p + slack) * m))
+        edge = lambda i: -math.inf if i < 0 else math.inf if i > GROUP_RANGES else low + (high - low) * i / GROUP_RANGES
+        out.append((edge(at[0] - 2), edge(at[1] + 1)))
+    return float(total[1] / total[0]), out
+
+
+def _inside(parts: DataFrame, brackets: list[tuple[float, float]], ranks: Sequence[int]) -> dict[int, float] | None:
+    """The distances of these ranks among those inside the brackets; None if one is outside, or a bracket was not listed."""
+    below = {r["key"]: (r["n"], r["missed"]) for r in parts.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n"), F.count_if(F.col("n").isNull()).alias("missed")).collect()}
+    values = parts.where("kind = 3").select("key", "value", "n")
+    ends = {r["key"]: (r["low"], r["high"], r["n"]) for r in values.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("n")).collect()}
+    where = {}
+    for rank in ranks:
+        for i, (_, _, n) in ends.items():
+            if not below[i][1] and below[i][0] <= rank < below[i][0] + n:
+                where[rank] = i, rank - below[i][0]
+    if len(where) < len(ranks):
+        return None
+    # Counts of equal ranges tell in which range a rank is; the values of these few ranges are ranked.
+    low, width = F.lit(0.0), F.lit(1.0)
+    for i, (a, b, _) in ends.items():
+        low, width = F.when(F.col("key") == i, a).otherwise(low), F.when(F.col("key") == i, (b - a) or 1.0).otherwise(width)
+    binned = values.withColumn("bin", F.floor((F.col("value") - low) / width * GROUP_RANGES))
+    sizes: dict[int, list] = {}
+    for r in binned.groupBy("key", "bin").agg(F.sum("n").alias("n")).collect():  # GROUP_RANGES rows a bracket
+        sizes.setdefault(r["key"], []).append((r["bin"], r["n"]))
+    chosen = {}
+    for rank, (i, at) in where.items():
+        for b, n in sorted(sizes[i]):
+            if at < n:
+                chosen[rank] = i, b, at
+                break
+            at -= n
+    picked = F.lit(False)
+    for i, b, _ in chosen.values():
+        picked = picked | ((F.col("key") == i) & (F.col("bin") == b))
+    ranked = runtime.cut_lineage(ranking.value_ranks(binned.where(picked), "value", ["key", "bin"], weight=F.col("n")))
+    hits = {}
+    for rank, (i, b, at) in chosen.items():
+        hits[rank] = ranked.where((F.col("key") == i) & (F.col("bin") == b) & (F.col("before") <= at) & (F.col("before") + F.col("n") > at)).first()["value"]
+    runtime.discard(ranked)
+    return hits
+
+
+def _leading_bits(slices, lead: int) -> pa.Table:
+    """Counts of a tile's distances by their leading bits."""
+    counts: dict[int, int] = {}
+    for _, _, flat in slices:
+        _count_bits(flat.view(np.int64) >> (64 - lead), counts)
+    return pa.table({"key": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
 def _pair_ranks(pairs: _Pairs, counts: DataFrame, ranks: Sequence[int]) -> list[float]:
@@ -435,29 +610,32 @@ def _pair_ranks(pairs: _Pairs, counts: DataFrame, ranks: Sequence[int]) -> list[
 def distance_concentration(df: DataFrame, id_col: str, vec: str, metric: str = "euclidean", block: int = PAIR_BLOCK) -> DataFrame:
     """Number of pairs, relative contrast, nearest over mean, coefficient of variation and p95/p5 of the distances of all pairs of rows.
 
-    No pair is stored: each pass recomputes the tiles and returns moments, nearest distances and counts. The percentiles are exact order
-    statistics (:func:`_pair_ranks`). Vectors that are NULL or hold NULL, NaN or infinite components take no part; without a pair all but n_pairs is NULL.
+    One pass over the tiles returns moments, nearest distances, and the few distances inside the brackets that a sample puts around the
+    percentiles, with the numbers of those below. They prove the percentiles, which are exact order statistics; if one is outside its bracket,
+    all pairs are counted by their bits (:func:`_pair_ranks`). Vectors that are NULL or hold NULL, NaN or infinite components take no part; without a pair all but n_pairs is NULL.
     """
     pairs = _Pairs(df, id_col, vec, metric, block)
-    lead = FIRST_BITS
-    parts = runtime.cut_lineage(pairs.tiles(lambda *tile: _pair_totals(*tile, lead), "kind int, key long, n long, mean double, m2 double, lo double, hi double"))
-    first = parts.where("kind = 0")
-    n = F.sum("n")
-    mean = F.sum(F.col("mean") * F.col("n")) / n
-    total = first.agg(n.alias("n"), mean.alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    nearest = parts.where("kind = 1").groupBy("key").agg(F.min("lo").alias("nn")).agg(F.avg("nn")).first()[0]
     spark, names = df.sparkSession, "n_pairs long, relative_contrast double, nn_over_mean double, distance_cv double, p95_over_p5 double"
-    if not total["n"]:
+    n = pairs.n * (pairs.n - 1) // 2
+    if not n:
         return spark.createDataFrame([(0, None, None, None, None)], names)
-    around = first.agg(F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.lit(total["mean"]), 2))).first()[0]
-    counts = parts.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n"))
-    at = [p * (total["n"] - 1) for p in (0.05, 0.95)]
-    values = _pair_ranks(pairs, counts, sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)}))
-    value = dict(zip(sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)}), values))
+    middle, brackets = _brackets(pairs, (0.05, 0.95))
+    cosine, most = pairs.cosine, MOST_INSIDE
+    parts = runtime.cut_lineage(pairs.tiles(lambda *tile: _pair_totals(*tile, cosine, middle, brackets, most), "kind int, key long, n long, value double, s2 double, hi double", whole=True))
+    total = parts.where("kind = 0").agg(F.sum("value").alias("s1"), F.sum("s2").alias("s2"), F.max("hi").alias("hi")).first()
+    near = parts.where("kind = 1").groupBy("key").agg(F.min("value").alias("nn")).agg(F.avg("nn").alias("nearest"), F.min("nn").alias("lo")).first()
+    mean, spread = middle + total["s1"] / n, math.sqrt(max(total["s2"] / n - (total["s1"] / n) ** 2, 0.0))
+    at = [p * (n - 1) for p in (0.05, 0.95)]
+    ranks = sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)})
+    value = _inside(parts, brackets, ranks)
+    if value is None:
+        lead = FIRST_BITS
+        counts = pairs.tiles(lambda a, c, slices: _leading_bits(slices, lead), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        value = dict(zip(ranks, _pair_ranks(pairs, counts, ranks)))
     p5, p95 = (value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in at)
     runtime.discard(parts)
     over = lambda x, y: x / y if y else None
-    row = (total["n"], over(total["hi"] - total["lo"], total["lo"]), over(nearest, total["mean"]), over(math.sqrt(around / total["n"]), total["mean"]), over(p95, p5))
+    row = (n, over(total["hi"] - near["lo"], near["lo"]), over(near["nearest"], mean), over(spread, mean), over(p95, p5))
     return spark.createDataFrame([row], names)
 
 

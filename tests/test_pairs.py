@@ -53,3 +53,34 @@ def test_a_tile_is_never_listed_pair_by_pair(spark):
     assert [s for s, _ in taken] == [0, knn.PAIR_SLICE, 2 * knn.PAIR_SLICE, 3 * knn.PAIR_SLICE] and max(len(x) * n for _, (n, _) in taken) <= len(x) * knn.PAIR_SLICE
     got = knn.distance_concentration(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", block=200).first()
     assert np.allclose(tuple(got), numbers(x), rtol=1e-11)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_all_pairs_are_met_once(spark, monkeypatch, metric):
+    """Brackets from a sample prove the percentiles in one pass over the tiles; brackets that miss them, or hold too much, only cost more passes."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 20)) + 3.0
+    x[700:760] = x[:60]
+    x[800:] += 40.0 * rng.standard_normal((1, 20))  # two clusters that are far from each other
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    y = x / np.linalg.norm(x, axis=1)[:, None] if metric == "cosine" else x
+    d = np.linalg.norm(y[:, None] - y[None, :], axis=2)
+    d = d * d / 2 if metric == "cosine" else d
+    i = np.triu_indices(len(x), 1)
+    p = np.quantile(d[i], [0.05, 0.95])
+    want = (d + np.diag(np.full(len(x), np.inf))).min(1).mean() / d[i].mean(), d[i].std() / d[i].mean(), p[1] / p[0]
+    passes, tiles = [], knn._Pairs.tiles
+    monkeypatch.setattr(knn._Pairs, "tiles", lambda self, *a, **kw: passes.append(1) or tiles(self, *a, **kw))
+    found = knn._brackets
+
+    def check(n):
+        passes.clear()
+        got = knn.distance_concentration(df, "id", "v", metric, block=600).first()
+        assert got["n_pairs"] == len(i[0]) and got["relative_contrast"] is None and np.allclose(tuple(got)[2:], want, rtol=1e-10) and (len(passes) == n if n else len(passes) > 1)
+
+    check(1)
+    monkeypatch.setattr(knn, "_brackets", lambda *a: (1.0, [(0.0, 1e-3), (1e9, 1e10)]))
+    check(None)
+    monkeypatch.setattr(knn, "_brackets", lambda *a: (found(*a)[0], [(-np.inf, np.inf)] * 2))
+    monkeypatch.setattr(knn, "MOST_INSIDE", 50)
+    check(None)
