@@ -284,3 +284,19 @@ def test_eigenpairs_need_a_symmetric_table(spark):
     s = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0), (3, 0, 1.0)], "u long, v long, w double")
     with pytest.raises(Exception, match="not symmetric"):
         spectral.top_eigenpairs(s, 2)
+
+
+def test_neighbours_in_rounds(spark, monkeypatch):
+    """What a search moves beyond its bytes is moved in rounds, stored one after another, and cells that rule nothing out are not used."""
+    rng = np.random.default_rng(7)
+    df = frame(spark, rng.standard_normal((400, 8)))
+    want = sorted(tuple(r) for r in knn.knn_join(df, df, 5, "id", "v").collect())
+    stored, store, asked = [], knn.runtime.cut_lineage, []
+    join = knn.knn_join
+    monkeypatch.setattr(knn.runtime, "cut_lineage", lambda d: stored.append(1) or store(d))
+    monkeypatch.setattr(knn, "knn_join", lambda *a, **kw: asked.append(kw["pivots"]) or join(*a, **kw))
+    got = join(df, df, 5, "id", "v", block_bytes=8 * 8 * 50, round_bytes=150_000)
+    assert len(stored) > 1 and asked == [1] * len(stored)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    monkeypatch.setattr(knn, "ROUND_BYTES", 1)
+    assert join(df, df, 5, "id", "v", block_bytes=8 * 8 * 50).count() == 2000
