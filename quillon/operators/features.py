@@ -502,15 +502,67 @@ def matched_controls(moments: DataFrame, chosen: DataFrame, n_controls: int, see
 
 # ---- one-dimensional mixtures -------------------------------------------------------------------------------
 
-def two_component_cut(df: DataFrame, value: str, seed: int = 0) -> dict:
-    """Means, spreads, shares of a two-component mixture and the posterior crossing between the means."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = df.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    model = GaussianMixture(k=2, seed=seed, maxIter=200, tol=1e-6, featuresCol="f").fit(VectorAssembler(inputCols=["x"], outputCol="f").transform(rows))
-    comp = sorted((g.mean[0], g.cov.toArray()[0, 0], w) for g, w in zip([_Gauss(r) for r in model.gaussiansDF.collect()], model.weights))
-    (m0, v0, w0), (m1, v1, w1) = comp
+# Ranges that the first fit of a mixture sees, and its steps.
+MIXTURE_RANGES, MIXTURE_STEPS = 65_536, 5_000
+
+
+def _shares(x: np.ndarray, p: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of the first component and log density at ``x``; ``p`` holds (mean, variance, share) twice."""
+    (m0, v0, w0), (m1, v1, w1) = p
+    l0, l1 = (math.log(w / math.sqrt(2 * math.pi * v)) - (x - m) ** 2 / (2 * v) for m, v, w in ((m0, v0, w0), (m1, v1, w1)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(l1 - l0)), np.maximum(l0, l1) + np.log1p(np.exp(-np.abs(l1 - l0)))
+
+
+def _refit(n: float, x: float, xx: float, r: float, rx: float, rxx: float) -> tuple:
+    """Both components from the sums of 1, x and x^2 over all rows and over the first component's shares."""
+    out = []
+    for a, b, c in ((r, rx, rxx), (n - r, x - rx, xx - rxx)):
+        out.append((b / a, max(c / a - (b / a) ** 2, 1e-300), a / n))
+    return tuple(out)
+
+
+def two_component_cut(df: DataFrame, value: str, max_iter: int = 200, tol: float = 1e-6) -> dict:
+    """Means, spreads, shares of a two-component mixture and the posterior crossing between the means.
+
+    Expectation maximisation starts on counts of MIXTURE_RANGES ranges, from their two means, and goes on over all rows until a pass changes
+    their log likelihood by no more than ``tol`` (or its rounding): a few passes, whatever the number of rows. Values that are NULL, NaN or infinite
+    are left out.
+    """
+    rows = runtime.cut_lineage(df.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))))
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not one["n"] or one["lo"] == one["hi"]:
+        raise ValueError("a mixture needs two different values")
+    mean, width = one["mean"], (one["hi"] - one["lo"]) / MIXTURE_RANGES
+    x = F.col("x") - F.lit(mean)
+    bins = rows.groupBy(F.least(F.floor((F.col("x") - F.lit(one["lo"])) / F.lit(width)), F.lit(MIXTURE_RANGES - 1)).alias("bin"))
+    ranges = bins.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("x")).collect()  # MIXTURE_RANGES rows at most
+    at, many = np.array([r["x"] for r in ranges]), np.array([r["n"] for r in ranges], float)
+    total = many.sum(), many @ at, many @ at**2
+    share = (at < 0).astype(float)
+    for _ in range(MIXTURE_STEPS):  # two means
+        w = many * share
+        before, share = share, (at < (w @ at / w.sum() + (total[1] - w @ at) / (total[0] - w.sum())) / 2).astype(float)
+        if (before == share).all():
+            break
+    for _ in range(MIXTURE_STEPS):
+        w = many * share
+        p = _refit(*total, w.sum(), w @ at, w @ at**2)
+        before, share = share, _shares(at, p)[0]
+        if np.abs(share - before).max() < 1e-13:
+            break
+    last = None
+    for _ in range(max_iter):
+        logs = [F.lit(math.log(w / math.sqrt(2 * math.pi * v))) - (x - F.lit(m)) ** 2 / F.lit(2 * v) for m, v, w in p]
+        first = 1 / (1 + F.exp(logs[1] - logs[0]))
+        density = F.greatest(*logs) + F.log1p(F.exp(-F.abs(logs[1] - logs[0])))
+        terms = rows.select(x.alias("x"), first.alias("r"), density.alias("l"))
+        s = terms.agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("r").alias("r"), F.sum(F.col("r") * F.col("x")).alias("rx"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("rxx"), F.sum("l").alias("l")).first()
+        if last is not None and abs(s["l"] - last) <= max(tol, 1e-14 * abs(s["l"])):
+            break
+        p, last = _refit(one["n"], s["x"], s["xx"], s["r"], s["rx"], s["rxx"]), s["l"]
+    runtime.discard(rows)
+    (m0, v0, w0), (m1, v1, w1) = sorted((m + mean, v, w) for m, v, w in p)
     a = 0.5 / v1 - 0.5 / v0
     b = m0 / v0 - m1 / v1
     c = 0.5 * m1 * m1 / v1 - 0.5 * m0 * m0 / v0 + math.log(w0 / w1) - 0.5 * math.log(v0 / v1)
@@ -518,8 +570,3 @@ def two_component_cut(df: DataFrame, value: str, seed: int = 0) -> dict:
     inside = [r for r in roots if m0 <= r <= m1]
     cut = inside[0] if inside else 0.5 * (m0 + m1)
     return {"low": m0, "high": m1, "var_low": v0, "var_high": v1, "share_low": w0, "cut": float(cut)}
-
-
-class _Gauss:
-    def __init__(self, row):
-        self.mean, self.cov = row["mean"], row["cov"]

@@ -72,6 +72,22 @@ def test_mixture_cut_between_means(spark):
     assert abs(c["low"]) < 0.2 and abs(c["high"] - 6) < 0.2 and abs(c["cut"] - 3) < 0.3
 
 
+def test_mixture_is_the_most_likely_one(spark):
+    """Overlapping components, where steps get small long before the fit is there; other values than numbers are left out."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 2000), rng.normal(2.5, 1.5, 1000)])
+    m, v, w = np.array([0.0, 2.5]), np.array([1.0, 2.25]), np.array([2 / 3, 1 / 3])
+    for _ in range(20_000):
+        d = w / np.sqrt(2 * np.pi * v) * np.exp(-((x[:, None] - m) ** 2) / (2 * v))
+        r = d / d.sum(1, keepdims=True)
+        w = r.mean(0)
+        m = (r * x[:, None]).sum(0) / r.sum(0)
+        v = (r * (x[:, None] - m) ** 2).sum(0) / r.sum(0)
+    df = spark.createDataFrame([(float(a),) for a in x] + [(None,), (float("nan"),), (float("-inf"),)], "x double")
+    c = features.two_component_cut(df, "x")
+    assert np.allclose([c["low"], c["high"], c["var_low"], c["var_high"], c["share_low"]], [*m, *v, w[0]], rtol=1e-5)
+
+
 def test_missing_value_rules(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (-99.0,), (None,)], "x double")
     assert [r[0] for r in df.select(scalars.clean("x", floor=-98)).collect()] == [1.0, None, None, None, None]
